@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,15 @@ def c(x: ColumnLike | float) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
+def held(f: Callable[..., Column], *xs: ColumnLike) -> Column:
+    """f of the values, each worked out once.  A function that uses a computed argument many times
+    would otherwise repeat its whole expression each time; columns by name need no such care."""
+    if all(isinstance(x, str) for x in xs):
+        return f(*map(F.col, xs))
+    one = F.array(F.struct(*[c(x).alias(f"v{i}") for i, x in enumerate(xs)]))
+    return F.get(F.transform(one, lambda s: f(*[s[f"v{i}"] for i in range(len(xs))])), F.lit(0))
+
+
 def norm(*xs: ColumnLike) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [c(x) * c(x) for x in xs]))
 
@@ -92,9 +102,10 @@ def pack_rgb(r: ColumnLike, g: ColumnLike, b: ColumnLike) -> Column:
 
 def transform(pose: ColumnLike, x: ColumnLike, y: ColumnLike, z: ColumnLike) -> Column:
     """struct(x, y, z) of a point under a row-major 4x4 pose (array<double> of 16)."""
-    m = c(pose)
-    rows = [(m[4 * i] * c(x) + m[4 * i + 1] * c(y) + m[4 * i + 2] * c(z) + m[4 * i + 3]).alias(n) for i, n in enumerate("xyz")]
-    return F.struct(*rows)
+    def run(m: Column, x: Column, y: Column, z: Column) -> Column:
+        return F.struct(*[(m[4 * i] * x + m[4 * i + 1] * y + m[4 * i + 2] * z + m[4 * i + 3]).alias(n) for i, n in enumerate("xyz")])
+
+    return held(run, pose, x, y, z)
 
 
 def truth(text: ColumnLike) -> Column:

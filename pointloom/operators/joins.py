@@ -22,7 +22,7 @@ def _last_known(both: DataFrame, by: list[str], order: list[Column], value: str,
     frame = (0, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, 0)
     if bucket is None:
         return both.withColumn("__hit", take(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*frame)))
-    both = both.withColumn("__bucket", bucket)
+    both = both.withColumn("__bucket", F.coalesce(bucket, F.lit(-(1 << 62))))  # rows without a time have a piece of their own
     inner = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(*frame)
     edge = F.min if forward else F.max
     ends = both.where(F.col(value).isNotNull()).groupBy(*by, "__bucket").agg(edge(F.struct("__ts", "__tie", value))[value].alias("__end"))

@@ -6,10 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.operators.joins import radius_pairs
 
-FEATURES = "struct<e0:double,e1:double,e2:double,nx:double,ny:double,nz:double,lx:double,ly:double,lz:double>"
+FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("e0", "e1", "e2", "nx", "ny", "nz", "lx", "ly", "lz")])
 
 
 @F.pandas_udf(FEATURES)

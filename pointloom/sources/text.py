@@ -55,7 +55,7 @@ def trajectory(spark: SparkSession, paths: str | list[str], layout: str = "auto"
     from pointloom.functions.pose import from_quaternion
 
     rows = _wholes(lines(spark, paths).withColumn("v", numbers(F.col("line"))).where("length(trim(line)) > 0"))
-    v = F.col("v")
+    v = [F.get("v", F.lit(i)) for i in range(17)]
     if layout == "quaternion":
         q = {n: v[4 + i] for i, n in enumerate(quaternion)}
         return rows.where("size(v) = 8").select("path", v[0].cast("long").alias("ts_ns"), from_quaternion(v[1], v[2], v[3], *[q[n] for n in "wxyz"]).alias("pose"))
@@ -70,7 +70,7 @@ def fused_trajectory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     from pointloom.functions.pose import from_rows
 
     rows = _wholes(lines(spark, paths).withColumn("v", numbers(F.col("line"), r"\s*;\s*"))).where("size(v) = 13")
-    v = F.col("v")
+    v = [F.get("v", F.lit(i)) for i in range(17)]
     return rows.select("path", v[0].alias("ts"), from_rows([v[4 + i] for i in range(9)], [v[1], v[2], v[3]]).alias("pose"))
 
 
@@ -80,7 +80,7 @@ def tum(spark: SparkSession, paths: str | list[str], from_first: bool = False) -
     rows = _wholes(lines(spark, paths).where("not trim(line) like '#%' and length(trim(line)) > 0").withColumn("v", F.slice(numbers(F.col("line")), 1, 8))).where("size(v) = 8")
     rows = rows.where(~F.exists("v", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
     names = ("ts", "tx", "ty", "tz", "qx", "qy", "qz", "qw")
-    out = rows.select("path", *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
+    out = rows.select("path", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
     if not from_first:
         return out
     from pointloom.functions import pose as P
@@ -97,7 +97,7 @@ def gnss(spark: SparkSession, paths: str | list[str], undulation: bool = True) -
     not zero.  Column 7 is the undulation (height = alt + it) or the height itself."""
     rows = lines(spark, paths).withColumn("v", numbers(F.col("line"), " +")).where("size(v) >= 10")
     names = ("ts", "lat", "lon", "alt", "hdop", "sats", "col7", "age", "time", "fix")
-    out = rows.select("path", *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
+    out = rows.select("path", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
     for n in ("lat", "lon", "alt"):
         out = out.where(F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf")) & (F.col(n) != 0))
     return out.withColumn("height", F.col("alt") + F.col("col7") if undulation else F.col("col7")).drop("col7")
