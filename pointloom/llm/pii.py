@@ -50,7 +50,7 @@ CONTEXT = {
     "ssn": (0.2, r"ssn|social security", r"phone|fax"),
 }
 RAISE, LOWER, LEAST_SCORE = 0.3, 0.3, 0.5
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
 def luhn(digits: Column) -> Column:
