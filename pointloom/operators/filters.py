@@ -43,7 +43,7 @@ def crop(points: DataFrame, other: DataFrame, dims: list[str]) -> DataFrame:
     return out.select(*points.columns)
 
 
-def sane_matrix(matrix: str, most: float = 1e5) -> Column:
+def sane_matrix(matrix: Column | str, most: float = 1e5) -> Column:
     """Whether no entry of a matrix is too large or not finite."""
     return ~F.exists(matrix, lambda v: F.isnan(v) | (F.abs(v) > most))
 
