@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.functions import geodesy, geometry, nmea, pose, robust
+from pointloom.functions import camera, geodesy, geometry, nmea, pose, robust
 from pointloom.operators import aggregates as A
-from pointloom.operators import filters, joins, shape, windows
+from pointloom.operators import filters, joins, maps, shape, windows
 from pointloom.plans.registry import ORACLES, QUERIES, query
+from pointloom.sources import sinks
 from pointloom.streaming import messages
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
@@ -498,3 +499,116 @@ def register_clouds(spark, sf_dir):
 @query()
 def voxel_shape(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+# ---- maps and further windows ------------------------------------------------------------------
+
+FLOOR_SQL = "floor(x / 0.1)::INT AS ix, floor(y / 0.1)::INT AS iy, floor(z / 0.1)::INT AS iz"
+GAUSS_SQL = ", ".join(f"round(avg({a}), 6) AS mean_{a}" for a in XYZ) + ", " + ", ".join(f"round(covar_pop({a}, {b}), 6) AS cov_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+@query(f"{P_SQL}, k AS (SELECT *, {FLOOR_SQL} FROM p) SELECT ix, iy, iz, count(*) AS n, {GAUSS_SQL} FROM k GROUP BY ix, iy, iz HAVING count(*) >= 5")
+def merged_maps(spark, sf_dir):
+    """A map made of two batches equals the map of all points."""
+    p = points(spark, sf_dir)
+    both = maps.merged(maps.voxel_sums(p.where("id % 2 = 0"), SIZE), maps.voxel_sums(p.where("id % 2 = 1"), SIZE))
+    return rounded(maps.voxel_gaussians(both, SIZE, 5), *MOMENT_NAMES)
+
+
+@query(f"{P_SQL}, s AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM p), k AS (SELECT trunc(r / 0.1)::INT AS ir, trunc(atan2(y, x) / 0.5)::INT AS ip, trunc(acos(z / r) / 0.5)::INT AS ia, x, y, z FROM s WHERE r > 0.05) SELECT ir, ip, ia, count(*) AS n, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(avg(z), 6) AS mean_z FROM k GROUP BY 1, 2, 3 HAVING count(*) >= 3")
+def spherical_voxels(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("s", geometry.spherical("x", "y", "z")).where("s.r > 0.05")
+    keys = [geometry.cell("s.r", 0.1).alias("ir"), geometry.cell("s.polar", 0.5).alias("ip"), geometry.cell("s.azimuth", 0.5).alias("ia")]
+    out = p.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"mean_{a}") for a in XYZ]).where("n >= 3")
+    return rounded(out, "mean_x", "mean_y", "mean_z")
+
+
+@query(f"{P_SQL}, o AS (SELECT unnest(range(4)) AS \"offset\"), c AS (SELECT DISTINCT \"offset\", floor((x + \"offset\" * 0.025) / 0.1)::INT AS a, floor(y / 0.1)::INT AS b, floor(z / 0.1)::INT AS c FROM p, o) SELECT \"offset\"::INT AS \"offset\", count(*) AS cells FROM c GROUP BY 1 ORDER BY 2, 1 LIMIT 1")
+def fewest_cells(spark, sf_dir):
+    return maps.fewest_cells(points(spark, sf_dir), SIZE, [(0.025 * i, 0.0, 0.0) for i in range(4)])
+
+
+@query(
+    f"""{E_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM e WHERE event_id % 2 = 1),
+    q AS (SELECT event_id AS id, us, user_id, value FROM e WHERE event_id % 2 = 0),
+    h AS (SELECT q.*, (SELECT max(rn) FROM s WHERE s.user_id = q.user_id AND s.us <= q.us) AS at FROM q)
+    SELECT h.id, arg_min(s.event_id, (abs(s.value - h.value), s.event_id)) AS nearest_id, round(min(abs(s.value - h.value)), 6) AS d
+    FROM h JOIN s ON s.user_id = h.user_id AND s.rn >= h.at - 10 AND s.rn < h.at + 10 GROUP BY h.id"""
+)
+def nearest_in_window(spark, sf_dir):
+    e = events(spark, sf_dir)
+    q = e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), "us", "user_id", "value")
+    s = e.where("event_id % 2 = 1").select("event_id", "us", "user_id", "value")
+    return rounded(maps.nearest_in_window(q, s, "us", ["user_id"], ["value"], reach=10, tie="event_id"), "d")
+
+
+@query(f"{E_SQL} SELECT event_id, CASE WHEN abs(a) > 20 THEN 0 ELSE round(a, 6) END AS step_value FROM (SELECT event_id, lag(value, 1) OVER w - lag(value, 2) OVER w AS a FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))")
+def predicted_motion(spark, sf_dir):
+    out = windows.predicted(events(spark, sf_dir), ["user_id"], ["us", "event_id"], ["value"], 20.0)
+    return rounded(out.select("event_id", "step_value"), "step_value")
+
+
+@query(
+    f"""{E_SQL}, d AS (SELECT event_id, (us - lag(us, 5) OVER w) / 1e9 AS ax, value - lag(value, 5) OVER w AS ay, (lead(us, 5) OVER w - us) / 1e9 AS bx, lead(value, 5) OVER w - value AS by_
+      FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
+    SELECT event_id, coalesce(abs(atan2(ax * by_ - ay * bx, ax * bx + ay * by_)) > radians(10), false) AS in_curve FROM d"""
+)
+def curve_detection(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("sec", F.col("us") / 1e9)
+    return windows.curves(e, ["user_id"], ["us", "event_id"], "sec", "value", 5, 10.0).select("event_id", "in_curve")
+
+
+@query(f"{E_SQL} SELECT event_id, first_value(us) OVER w + (row_number() OVER w - 1) * 5000 AS ts FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)")
+def uniform_times(spark, sf_dir):
+    return windows.uniform_times(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "us", 5000).select("event_id", "ts")
+
+
+@query("WITH b AS (SELECT o_orderkey, o_orderkey % 215 AS batch FROM orders), c AS (SELECT *, batch // 51 AS chunk FROM b) SELECT o_orderkey, batch, chunk FROM c WHERE chunk IN (SELECT chunk FROM c GROUP BY chunk HAVING count(DISTINCT batch) > 10)")
+def result_chunks(spark, sf_dir):
+    b = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 215).alias("batch"))
+    return sinks.result_chunks(b).select("o_orderkey", "batch", "chunk")
+
+
+@query("WITH e AS (SELECT n_nationkey AS scan_from, n_regionkey AS scan_to FROM nation) SELECT DISTINCT scan_from, scan_to, s_suppkey AS scan_id FROM e JOIN supplier ON s_suppkey BETWEEN scan_from - 2 AND scan_from + 2 OR s_suppkey BETWEEN scan_to - 2 AND scan_to + 2")
+def edge_neighbours(spark, sf_dir):
+    e = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("scan_from"), F.col("n_regionkey").alias("scan_to"))
+    return joins.edge_neighbours(e, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scan_id")), 2)
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber AS scan_a, b.l_linenumber AS scan_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber")
+def observation_pairs(spark, sf_dir):
+    """Views of the same thing (an order) from different scans (its lines)."""
+    o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    a, b = o.withColumnRenamed("l_linenumber", "scan_a"), o.withColumnRenamed("l_linenumber", "scan_b")
+    return a.join(b, "l_orderkey").where("scan_a <> scan_b")
+
+
+@query("SELECT l_returnflag, round(avg(l_tax) / nullif(avg(l_discount), 0), 6) AS impact FROM lineitem GROUP BY l_returnflag")
+def uncertainty_impact(spark, sf_dir):
+    out = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.try_divide(F.avg("l_tax"), F.avg("l_discount")).alias("impact"))
+    return rounded(out, "impact")
+
+
+@query(f"{P_SQL}, c AS (SELECT id, x / (z + 1) AS a, y / (z + 1) AS b, z + 1 AS d FROM p), r AS (SELECT *, a * a + b * b AS r2 FROM c) SELECT id, round(500 * (a * (1 + r2 * (0.1 - 0.05 * r2)) + 2 * 0.001 * a * b + 0.002 * (r2 + 2 * a * a)) + 320, 5) AS u, round(500 * (b * (1 + r2 * (0.1 - 0.05 * r2)) + 0.001 * (r2 + 2 * b * b) + 2 * 0.002 * a * b) + 240, 5) AS v FROM r WHERE d > 1e-6")
+def camera_projection(spark, sf_dir):
+    cam = camera.Intrinsics(500.0, 500.0, 320.0, 240.0, (0.1, -0.05, 0.0, 0.0, 0.0, 0.0), (0.001, 0.002))
+    q = points(spark, sf_dir).select("id", camera.project("x", "y", F.col("z") + 1, cam).alias("q")).where("q is not null")
+    return q.select("id", F.round("q.u", 5).alias("u"), F.round("q.v", 5).alias("v"))
+
+
+@query("SELECT p_partkey, string_split(p_name || '/' || p_brand || '.las', '/')[-1] AS base, right(regexp_replace(p_name || '/' || p_brand || '.las', '^.*/|\\.[^.]*$', '', 'g'), 4) AS chunk FROM part")
+def path_names(spark, sf_dir):
+    path = F.concat("p_name", F.lit("/"), "p_brand", F.lit(".las"))
+    return table(spark, sf_dir, "part").select("p_partkey", geometry.base_name(path).alias("base"), geometry.chunk_index(path).alias("chunk"))
+
+
+@query(f"{P_SQL} SELECT id, round(sqrt((y * 3 - z * 2) ** 2 + (z * 1 - x * 3) ** 2 + (x * 2 - y * 1) ** 2) / sqrt(14), 6) AS d FROM p")
+def point_line_distance(spark, sf_dir):
+    d = geometry.point_line_distance(("x", "y", "z"), (0.0, 0.0, 0.0), (1.0, 2.0, 3.0))
+    return rounded(points(spark, sf_dir).select("id", d.alias("d")), "d")
+
+
+@query("SELECT c_custkey, xor(c_custkey, c_custkey >> 1) AS gray, c_custkey AS back FROM customer")
+def gray_code(spark, sf_dir):
+    g = F.col("c_custkey").bitwiseXOR(F.shiftright("c_custkey", 1))
+    return table(spark, sf_dir, "customer").select("c_custkey", g.alias("gray"), geometry.gray_to_binary(g, 64).alias("back"))
