@@ -33,6 +33,8 @@ ROUNDS = 3
 SURE, PER_ROUND = 0.97, 0.1
 #: A word must occur in so many of the documents fitted on.
 LEAST_DOCS = 4
+#: And tell the classes apart by so many standard errors.
+LEAST_Z = 3.0
 #: Share of labelled rows held out for calibration.
 HELD_OUT = 0.3
 SYMBOLS = "#*$%&|<>!"
@@ -145,6 +147,20 @@ class Head:
         return float(1 / (1 + np.exp(-min(35.0, max(-35.0, z)))))
 
 
+def telling(lists: list[np.ndarray], y: np.ndarray, fitted: np.ndarray) -> np.ndarray:
+    """The features that occur in enough documents and in one class more often than chance allows
+    (by ``LEAST_Z`` standard errors); the others would only add noise to long texts."""
+    own = np.flatnonzero(fitted)
+    sizes = [len(lists[k]) for k in own]
+    known, at, counts = np.unique(np.concatenate([lists[k] for k in own]), return_inverse=True, return_counts=True)
+    good = np.bincount(at, weights=np.repeat(y[own], sizes), minlength=len(known))
+    n, n1 = len(own), float(y[own].sum())
+    share = counts / n
+    gap = good / n1 - (counts - good) / (n - n1)
+    z = gap / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
+    return known[(counts >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)]
+
+
 def fit_head(texts: list[np.ndarray], metas: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> Head:
     """``y``: 1, 0 or nan (pool); ``held``: labelled rows for calibration."""
     fitted = ~np.isnan(y) & ~held
@@ -152,8 +168,7 @@ def fit_head(texts: list[np.ndarray], metas: list[np.ndarray], y: np.ndarray, he
         return Head()
     views, keys = [], []
     for lists in (texts, metas):
-        known, counts = np.unique(np.concatenate(lists), return_counts=True)
-        known = known[counts >= LEAST_DOCS]
+        known = telling(lists, y, fitted)
         at = [np.searchsorted(known, x) for x in lists]
         at = [a[(a < len(known)) & (known[np.minimum(a, len(known) - 1)] == x)] if len(known) else a[:0] for a, x in zip(at, lists)]
         views.append(at)
