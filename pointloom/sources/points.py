@@ -138,22 +138,29 @@ def packed_points(data: bytes) -> dict[str, np.ndarray]:
 DECODERS: dict[str, Callable[[bytes], dict[str, np.ndarray]]] = {"las": las_points, "ply": ply_points, "pcd": pcd_points, "packed": packed_points}
 
 
+TYPES = [(c.split()[0], {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[c.split()[1]]) for c in SCHEMA.split(", ")]
+
+
+def batches_of(path: str, data: bytes, kind: str, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of a file's points."""
+    got = DECODERS[kind](data)
+    n = len(got["x"])
+    for a in range(0, max(n, 1), most):
+        b = min(n, a + most)
+        own = {"path": pa.array([path] * (b - a), pa.string()), "point_id": pa.array(np.arange(a, b), pa.int64())}
+        cols = [own[k] if k in own else pa.array(np.asarray(got[k][a:b]).astype(t.to_pandas_dtype()), t) if k in got else pa.nulls(b - a, t) for k, t in TYPES]
+        yield pa.RecordBatch.from_arrays(cols, [k for k, _ in TYPES])
+
+
 def read_points(spark: SparkSession, paths: str | list[str], kind: str, glob: str | None = None) -> DataFrame:
     """Points of many files; columns that a format lacks are null."""
-    decode = DECODERS[kind]
     reader = spark.read.format("binaryFile")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(paths).select("path", "content")
-    types = [(c.split()[0], {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[c.split()[1]]) for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = decode(content.as_py())
-                n = len(got["x"])
-                for a in range(0, max(n, 1), 100_000):
-                    b = min(n, a + 100_000)
-                    cols = {"path": pa.array([path] * (b - a)), "point_id": pa.array(np.arange(a, b))}
-                    yield pa.RecordBatch.from_arrays([cols[k] if k in cols else pa.array(np.asarray(got[k][a:b]).astype(t.to_pandas_dtype()), t) if k in got else pa.nulls(b - a, t) for k, t in types], [k for k, _ in types])
+                yield from batches_of(path, content.as_py(), kind)
 
     return files.mapInArrow(run, SCHEMA)
 

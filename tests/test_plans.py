@@ -187,3 +187,28 @@ def test_settings(spark, tmp_path):
     assert [r["path"][-6:] for r in config.listing(spark, str(tmp_path), r".*\.toml").collect()] == ["p.toml", "q.toml"]
     m = spark.createDataFrame([("a", 0, 10), ("b", 11, 20), ("c", 21, 30)], "path string, first_ns long, last_ns long")
     assert config.chunks_in(m, 10, 15) == ["a", "b"]
+
+
+def test_ground_and_poles(spark):
+    from pointloom.plans import terrain
+
+    rng = np.random.default_rng(2)
+    ground = [(x, y, 0.05 * x + rng.uniform(0, 0.01)) for x, y in rng.uniform(0, 6, (600, 2))]
+    pole = [(3.0 + rng.normal() * 0.01, 3.0 + rng.normal() * 0.01, 0.2 + 0.05 * k) for k in range(60)]
+    p = scan_table(spark, ground + pole)
+    surface = {(r["ix"], r["iy"]): r["ground_z"] for r in terrain.ground_surface(p, 0.5, smooth=0.1).collect()}
+    assert all(abs(z - 0.05 * (ix + 0.5) * 0.5) < 0.06 for (ix, iy), z in surface.items())
+    found = {r["id"] for r in terrain.find_poles(p).collect()}
+    assert found and found <= set(range(600, 660)) and len(found) > 40
+
+
+def test_camera_extrinsics_from_picks():
+    from pointloom.plans.terrain import camera_extrinsics
+
+    cam = Intrinsics(500.0, 500.0, 320.0, 240.0)
+    true = exp_pose(np.array([0.1, -0.2, 0.3, 0.05, -0.1, 0.2]))
+    rng = np.random.default_rng(0)
+    xyz = rng.uniform(-1, 1, (12, 3)) + [0, 0, 5]
+    c = xyz @ true[:3, :3].T + true[:3, 3]
+    picks = [(tuple(p), (500 * q[0] / q[2] + 320, 500 * q[1] / q[2] + 240)) for p, q in zip(xyz, c)]
+    assert np.allclose(camera_extrinsics(picks, cam), true, atol=1e-6)

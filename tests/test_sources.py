@@ -115,3 +115,14 @@ def test_result_chunks(spark):
     rows = spark.range(62).select(F.col("id").alias("batch"))
     assert sinks.result_chunks(rows).groupBy("chunk").count().orderBy("chunk").collect()[-1]["count"] == 11
     assert sinks.result_chunks(spark.range(61).select(F.col("id").alias("batch"))).count() == 51
+
+
+def test_sources_by_name(spark, tmp_path):
+    from pointloom.sources.register import register
+
+    (tmp_path / "a.ply").write_bytes(b"ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n4 5 6\n")
+    (tmp_path / "skip.txt").write_text("x")
+    register(spark)
+    assert sorted(r["z"] for r in spark.read.format("ply").load(str(tmp_path)).collect()) == [3.0, 6.0]
+    assert spark.sql("SELECT voxel_cell(-0.05, 0.1) c").first()["c"] == -1
+    assert spark.sql("SELECT count(DISTINCT jx, jy, jz) n FROM neighbour_cells(1, 2, 3)").first()["n"] == 27
