@@ -166,3 +166,48 @@ def orientation(rows: DataFrame, keys: list[str], order: str = "ts", gain: float
         return pdf.assign(**dict(zip(("qw", "qx", "qy", "qz"), np.array(out).reshape(-1, 4).T)))
 
     return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
+def spaced_matches(rows: DataFrame, keys: list[str], order: list[str], values: list[str], matched: str, reach: float) -> DataFrame:
+    """Rows at which the path since the last row taken reaches ``reach`` and that have a match
+    (column ``matched`` not null); the path goes on counting where there is none."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    square = None
+    for v in values:
+        d = F.coalesce(F.col(v) - F.lag(v).over(w), F.lit(0)).cast("double")
+        square = d * d if square is None else square + d * d
+    stepped = rows.withColumn("__step", F.sqrt(square))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        keep, gone = np.zeros(len(pdf), bool), 0.0
+        there = pdf[matched].notna().to_numpy()
+        for i, s in enumerate(pdf["__step"].to_numpy()):
+            gone += s
+            if gone >= reach and there[i]:
+                keep[i], gone = True, 0.0
+        return pdf[keep].drop(columns="__step")
+
+    return stepped.groupBy(*keys).applyInPandas(run, rows.schema)
+
+
+def thinned(rows: DataFrame, keys: list[str], order: list[str], values: list[str], straight: float, curved: float, in_curve: str = "in_curve") -> DataFrame:
+    """Rows a distance apart: ``straight`` on straight parts, ``curved`` in curves; each key's first
+    row stays and its counter is its own."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    square = None
+    for v in values:
+        d = F.coalesce(F.col(v) - F.lag(v).over(w), F.lit(0)).cast("double")
+        square = d * d if square is None else square + d * d
+    stepped = rows.withColumn("__step", F.sqrt(square))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        keep, gone = np.zeros(len(pdf), bool), float("inf")
+        for i, (s, c) in enumerate(zip(pdf["__step"].to_numpy(), pdf[in_curve].to_numpy())):
+            gone += s
+            if gone >= (curved if c else straight):
+                keep[i], gone = True, 0.0
+        return pdf[keep].drop(columns="__step")
+
+    return stepped.groupBy(*keys).applyInPandas(run, rows.schema)

@@ -95,3 +95,35 @@ def message_layout(points: DataFrame, layout: str, start: float = 0.0) -> DataFr
     if layout == "hesai":
         return points.select(*base, "timestamp")
     raise ValueError(layout)
+
+
+def colmap_images(images: DataFrame, path: str, camera_id: int = 1) -> None:
+    """Lines ``id qw qx qy qz tx ty tz camera name`` (world to camera), each with an empty line of
+    observations after it, from image_id, name and pose (camera in the world)."""
+    from pointloom.functions.pose import inverse, to_quaternion
+
+    rows = images.withColumn("__m", inverse("pose")).withColumn("__q", to_quaternion("__m"))
+    m = F.col("__m")
+    parts = [F.col("image_id"), *[F.col(f"__q.{q}") for q in ("qw", "qx", "qy", "qz")], m[3], m[7], m[11], F.lit(camera_id), F.col("name")]
+    rows.select(F.concat(F.concat_ws(" ", *[p.cast("string") for p in parts]), F.lit("\n"))).write.text(path)
+
+
+def colmap_points(points: DataFrame, path: str, every: int = 1) -> None:
+    """Lines ``id x y z r g b error`` of every n-th point."""
+    rows = points.where(F.pmod(F.col("id"), F.lit(every)) == 0)
+    rows.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("id", "x", "y", "z", "r", "g", "b")], F.lit("0"))).write.text(path)
+
+
+def dxf_polyline(track: DataFrame, order: str = "ts_ns") -> str:
+    """A DXF document with one 3D polyline through x, y, z in order; for a track that a driver holds."""
+    head = ["0", "SECTION", "2", "ENTITIES", "0", "POLYLINE", "8", "track", "66", "1", "70", "8"]
+    body: list[str] = []
+    for r in track.orderBy(order).select("x", "y", "z").collect():
+        body += ["0", "VERTEX", "8", "track", "10", f"{r['x']:.6f}", "20", f"{r['y']:.6f}", "30", f"{r['z']:.6f}", "70", "32"]
+    return "\n".join([*head, *body, "0", "SEQEND", "0", "ENDSEC", "0", "EOF"]) + "\n"
+
+
+def scale_board(rows: int, cols: int, step: float, spark) -> DataFrame:
+    """(row, col, x, y, z) lattice of a board."""
+    out = spark.range(rows).select(F.col("id").cast("int").alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    return out.select("row", "col", (F.col("col") * step).alias("x"), (F.col("row") * step).alias("y"), F.lit(0.0).alias("z"))

@@ -204,3 +204,33 @@ def paired_chunks(files: DataFrame) -> DataFrame:
     f = files.withColumn("chunk", chunk_index("path"))
     ext = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
     return f.groupBy("chunk").agg(F.min(F.when(ext.isin("las", "laz"), F.col("path"))).alias("points"), F.min(F.when(ext == "csv", F.col("path"))).alias("imu"))
+
+
+def pose_blocks(spark: SparkSession, path: str, inverse: bool = False) -> DataFrame:
+    """(stem, pose) of blocks of five lines: a file name, then four rows of four numbers.  Joined to
+    scans by the stem of their file; ``inverse`` inverts them."""
+    from pointloom.functions.geometry import stem
+    from pointloom.functions.pose import inverse as inverted
+
+    text = spark.read.text(path, wholetext=True).select(F.filter(F.split(F.regexp_replace("value", r"\r", ""), r"\n"), lambda x: F.length(F.trim(x)) > 0).alias("l"))
+    rows = text.where("size(l) >= 5").select("l", F.explode(F.sequence(F.lit(0), (F.floor(F.size("l") / 5) - 1).cast("int"))).alias("i"))
+    pose = F.flatten(F.transform(F.slice("l", F.col("i") * 5 + 2, F.lit(4)), lambda x: numbers(x, r"\s+")))
+    out = rows.select(stem(F.trim(F.element_at("l", F.col("i") * 5 + 1))).alias("stem"), pose.alias("pose"))
+    return out.withColumn("pose", inverted("pose")) if inverse else out
+
+
+def xyz_text(spark: SparkSession, paths: str | list[str], skip_first: bool = True) -> DataFrame:
+    """(path, x, y, z) of text points with at least three columns; the first line of a file is its
+    count and has fewer."""
+    rows = lines(spark, paths).withColumn("v", numbers(F.col("line"))).where("size(v) >= 3" if skip_first else "size(v) > 0")
+    rows = rows.select("path", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate("xyz")])
+    return rows.where("x is not null and y is not null and z is not null")
+
+
+def updated_poses(scans: DataFrame, poses: DataFrame) -> DataFrame:
+    """Scans (scan_id, file_name, pose) with the poses of a list (stem, pose); others keep theirs."""
+    from pointloom.functions.geometry import stem
+
+    new = poses.select(F.col("stem").alias("__stem"), F.col("pose").alias("__pose"))
+    out = scans.withColumn("__stem", stem("file_name")).join(new, "__stem", "left")
+    return out.withColumn("pose", F.coalesce("__pose", "pose")).select(*scans.columns)

@@ -126,3 +126,20 @@ def test_sources_by_name(spark, tmp_path):
     assert sorted(r["z"] for r in spark.read.format("ply").load(str(tmp_path)).collect()) == [3.0, 6.0]
     assert spark.sql("SELECT voxel_cell(-0.05, 0.1) c").first()["c"] == -1
     assert spark.sql("SELECT count(DISTINCT jx, jy, jz) n FROM neighbour_cells(1, 2, 3)").first()["n"] == 27
+
+
+def test_pose_blocks_and_exports(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("a/scan_1.ply\n1 0 0 7\n0 1 0 8\n0 0 1 9\n0 0 0 1\n\n")
+    blocks = text.pose_blocks(spark, str(tmp_path / "r.txt"))
+    assert blocks.first()["stem"] == "scan_1" and text.pose_blocks(spark, str(tmp_path / "r.txt"), inverse=True).first()["pose"][3] == -7
+    eye = [1.0 if k % 5 == 0 else 0.0 for k in range(16)]
+    scans = spark.createDataFrame([(1, "x/scan_1.laz", eye), (2, "scan_2.laz", eye)], "scan_id int, file_name string, pose array<double>")
+    assert {r["scan_id"]: r["pose"][3] for r in text.updated_poses(scans, blocks).collect()} == {1: 7.0, 2: 0.0}
+    (tmp_path / "s.3d").write_text("2\n1 2 3 9\n4 5 6\n")
+    assert text.xyz_text(spark, str(tmp_path / "s.3d")).count() == 2
+    sinks.colmap_images(spark.createDataFrame([(1, "a.jpg", [*eye[:3], 2.0, *eye[4:]])], "image_id int, name string, pose array<double>"), str(tmp_path / "images"))
+    line = next(x for f in (tmp_path / "images").glob("part-*") for x in f.read_text().split("\n") if x)
+    assert [float(v) for v in line.split()[1:8]] == [1, 0, 0, 0, -2, 0, 0] and line.split()[-1] == "a.jpg"
+    track = spark.createDataFrame([(2, 1.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0)], "ts_ns long, x double, y double, z double")
+    assert sinks.dxf_polyline(track).count("VERTEX") == 2
+    assert sinks.scale_board(2, 3, 0.5, spark).count() == 6

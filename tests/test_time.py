@@ -93,3 +93,11 @@ def test_integration_of_constant_rate(spark):
     for method in ("euler", "trapezoid"):
         last = windows.integrated(rows, ["k"], "t", "a", method).agg(F.max("integral")).first()[0]
         assert last == pytest.approx(2.0)
+
+
+def test_spaced_and_thinned_rows(spark):
+    rows = spark.createDataFrame([(1, i, float(i), None if i % 2 else 1.0, i > 5) for i in range(12)], "k int, i int, v double, m double, in_curve boolean")
+    got = [r["i"] for r in windows.spaced_matches(rows, ["k"], ["i"], ["v"], "m", 3.0).orderBy("i").collect()]
+    assert got == [4, 8]
+    got = [r["i"] for r in windows.thinned(rows, ["k"], ["i"], ["v"], 4.0, 2.0).orderBy("i").collect()]
+    assert got == [0, 4, 6, 8, 10]
