@@ -11,7 +11,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterable
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import regex
@@ -166,15 +166,17 @@ class ChunkTable:
 
     def lookup(self, chunks: list[str]) -> np.ndarray:
         """Row of each chunk in ``starts`` and ``lengths``; valid until the next call."""
-        rows = list(map(self.index.get, chunks))
-        if None in rows:
-            new = list(dict.fromkeys(c for c, r in zip(chunks, rows) if r is None))
+        rows = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            lost = [chunks[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(lost))
             if len(self.index) + len(new) > self.limit and self.index:
                 self.halve()
-                new = list(dict.fromkeys(c for c in chunks if c not in self.index))
+                return self.lookup(chunks)
             self.add(new)
-            rows = list(map(self.index.__getitem__, chunks))
-        return np.array(rows, np.int64)
+            rows[missing] = np.fromiter(map(self.index.__getitem__, lost), np.int64, len(lost))
+        return rows
 
     def add(self, new: list[str]) -> None:
         ids, lengths = self.encode(new)

@@ -30,10 +30,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.bpe_core import ChunkTable, Vocabulary, gathered, slices
+from pointloom.llm.bpe_core import ChunkTable, Vocabulary, byte_alphabet, gathered, slices
+from pointloom.llm.byte_chunks import ByteTable, encoded
 from pointloom.llm.common import fresh_path, written
 
 MAGIC = b"PLEF"
@@ -153,38 +155,62 @@ class LibraryEncoder:
         self.library.no_padding()
         self.width = 2 if self.vocabulary.size <= 1 << 16 else 4
         self.feed = self.vocabulary.ids[chr(266)]  # the line feed's id
-        self.table = ChunkTable(self.encode_new)
+        self.alphabet = {b: c for b, c in enumerate(byte_alphabet()) if b != 10}
+        dtype = np.uint16 if self.width == 2 else np.int32
+        self.table = ByteTable(self.encode_new, dtype)
+        self.strings = ChunkTable(self.encode_new, limit=100_000, dtype=dtype)
 
     def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks without white space inside are given to the library as lines of one text, as a line
-        feed between others is always a token of its own; the rest one by one."""
-        line = [len(c.split()) == 1 and len(c) - len(c.strip()) == c.startswith(" ") and not any(x in c for x in "\x1c\x1d\x1e\x1f") and c not in self.vocabulary.specials for c in new]
-        parts: list = [None] * len(new)
-        lined = [i for i, x in enumerate(line) if x]
-        for a in range(0, len(lined), 2000):
-            own = lined[a : a + 2000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(new[i] for i in own)], add_special_tokens=False)[0].ids, np.int32)
-            at = np.flatnonzero(ids == self.feed)
+        """Ids and lengths of new chunks.
+
+        A chunk of letters is one pre-token and goes straight to the library's model, in the
+        model's alphabet.  Others are given to the library as lines of one text, as a line feed
+        between them is always a token of its own; those of white space alone and special strings
+        go one by one.
+        """
+        parts: dict[str, list[int]] = {}
+        letters = [c for c in new if c.isalpha() or c[0] == " " and c[1:].isalpha()]
+        if letters:
+            tokenize = self.library.model.tokenize
+            mapped = "\n".join(letters).encode().decode("latin-1").translate(self.alphabet).split("\n")
+            parts.update((c, [t.id for t in tokenize(m)]) for c, m in zip(letters, mapped))
+        rest = [c for c in new if c not in parts]
+        alone = [c for c in rest if c.isspace() or c in self.vocabulary.specials]
+        if alone:
+            parts.update((c, e.ids) for c, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)))
+        lined = [c for c in rest if c not in parts]
+        for a in range(0, len(lined), 200):
+            own = lined[a : a + 200]
+            ids = self.library.encode_batch_fast(["\n".join(own)], add_special_tokens=False)[0].ids
+            at = np.flatnonzero(np.array(ids) == self.feed).tolist()
             if len(at) != len(own) - 1:
                 raise AssertionError("a line feed was merged")
-            for i, x, y in zip(own, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]):
-                parts[i] = ids[x:y]
-        rest = [i for i, x in enumerate(line) if not x]
-        for i, e in zip(rest, self.library.encode_batch_fast([new[i] for i in rest], add_special_tokens=False) if rest else []):
-            parts[i] = np.array(e.ids, np.int32)
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+            parts.update((c, ids[x:y]) for c, x, y in zip(own, [0, *[i + 1 for i in at]], [*at, len(ids)]))
+        flat: list[int] = []
+        ends = []
+        for c in new:
+            flat += parts[c]
+            ends.append(len(flat))
+        return np.array(flat, np.int64), np.diff(np.array(ends, np.int64), prepend=0)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that need the patterns' own pre-tokens."""
+        out = []
+        for a, b in slices(np.array(list(map(len, texts)), np.int64), 2_000_000):
+            chunks, counts = gathered(self.vocabulary, texts[a:b])
+            rows = self.strings.lookup(chunks)
+            sizes = np.concatenate([[0], np.cumsum(self.strings.lengths[rows])])
+            out += np.split(self.strings.ids(rows), sizes[np.cumsum(counts)][:-1])
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts with the end id after each, and lengths."""
         flat, lengths = [], []
-        for a, b in slices(np.array([len(t or "") for t in texts], np.int64), 4_000_000):
-            chunks, counts = gathered(self.vocabulary, texts[a:b])
-            rows = self.table.lookup(chunks) if chunks else np.zeros(0, np.int64)
-            ids = self.table.ids(rows)
-            before = np.concatenate([[0], np.cumsum(self.table.lengths[rows])])
-            ends = before[np.cumsum(counts)]
-            flat.append(np.insert(ids, ends, end_id).astype(f"<u{self.width}"))
-            lengths.append(np.diff(np.concatenate([[0], ends])) + 1)
+        sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        for a, b in slices(sizes, 4_000_000):
+            ids, own = encoded(self.table, texts.slice(a, b - a), list(self.vocabulary.specials), self.whole, self.whole)
+            flat.append(np.insert(ids.astype(f"<u{self.width}"), np.cumsum(own), end_id))
+            lengths.append(own + 1)
         return (np.concatenate(flat), np.concatenate(lengths)) if flat else (np.zeros(0, f"<u{self.width}"), np.zeros(0, np.int64))
 
 
@@ -198,7 +224,7 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, partitions: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, partitions: int | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write shards of all documents to ``folder``; gives the stored manifest
     (part, seq, path, n_docs, n_ids, start), where ``start`` counts the ids of all shards before."""
     spark = docs.sparkSession
@@ -228,14 +254,14 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, part
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [name.rpartition("/")[2]], "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([len(flat)], pa.int64())})
 
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(np.array([len(t or "") for t in texts], np.int64), 8_000_000):
-                flat, sizes = own.encode(texts[a:b], end_id)
+            docs_, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), 8_000_000):
+                flat, sizes = own.encode(texts.slice(a, b - a), end_id)
                 keys += docs_[a:b]
                 ids.append(flat)
                 lengths.append(sizes)
                 held += len(flat)
-                if held >= SHARD_IDS:
+                if held >= shard_ids:
                     yield flush()
                     keys, lengths, ids, held, seq = [], [], [], 0, seq + 1
         if keys:
