@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_fair_mix": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_fair_mix": mixing.MIX_SQL, "op10_url_templates": url_templates.TEMPLATES_SQL}

@@ -119,3 +119,60 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFra
     bad = rejected_paths(marked.select("host", "path", "bad")).withColumn("rejected", F.lit(True))
     out = urls.join(bad, ["host", "path"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("rejected"), "block"), F.lit("allow")).alias("verdict"))
+
+
+#: The same in SQL for the rules of the registered query, without given labels.
+TEMPLATES_SQL = r"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM urls),
+judged AS (
+  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS own FROM ruled),
+paths AS (
+  SELECT host, path, count(own) AS labels, count(*) FILTER (own = 'block') AS bads, count(*) AS n FROM judged GROUP BY host, path),
+parts AS (
+  SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS raw FROM paths),
+cut AS (
+  SELECT * EXCLUDE raw, CASE WHEN len(raw) > 8 THEN list_append(raw[1:8], '{rest}') ELSE raw END AS raw FROM parts),
+single AS (
+  SELECT host, path, d, raw[d] AS s, regexp_extract(raw[d], '(?s)^(.*?)(\.[A-Za-z]{1,5})?$', 1) AS stem, regexp_extract(raw[d], '(?s)^(.*?)(\.[A-Za-z]{1,5})?$', 2) AS ext
+  FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS d FROM cut)),
+typed AS (
+  SELECT host, path, d, CASE WHEN regexp_matches(stem, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN '{date}' || ext
+      WHEN regexp_matches(stem, '^[0-9]+$') THEN '{n}' || ext
+      WHEN regexp_matches(stem, '[0-9]') AND regexp_matches(stem, '^[0-9A-Fa-f]{8,}$') OR regexp_matches(stem, '^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$') THEN '{x}' || ext
+      ELSE s END AS seg FROM single),
+steps AS (
+  SELECT *, coalesce(string_agg(seg, '/') OVER (PARTITION BY host, path ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS up FROM typed),
+children AS (
+  SELECT host, d, up, seg, count(*) AS own FROM steps GROUP BY ALL),
+fans AS (
+  SELECT host, d, up FROM children GROUP BY host, d, up HAVING count(*) >= 20 AND sum(own) < 4.0 * count(*)),
+starred AS (
+  SELECT s.host, s.path, s.d, CASE WHEN f.host IS NOT NULL AND NOT starts_with(seg, '{') AND seg <> '' THEN '*' ELSE seg END AS t
+  FROM steps s LEFT JOIN fans f ON s.host = f.host AND s.d = f.d AND s.up = f.up),
+marked AS (
+  SELECT *, coalesce(max(CASE WHEN NOT starts_with(t, '{') AND t NOT IN ('*', '') THEN d END) OVER (PARTITION BY host, path), 0) AS last FROM starred),
+named AS (
+  SELECT host, path, string_agg(t, '/' ORDER BY d) AS leaf, string_agg(CASE WHEN d = last THEN '*' ELSE t END, '/' ORDER BY d) AS branch FROM marked GROUP BY host, path),
+leaves AS (
+  SELECT host, leaf, branch, sum(n) AS n, sum(labels) AS labels, sum(bads) AS bads FROM named JOIN paths USING (host, path) GROUP BY ALL),
+pooled AS (
+  SELECT *, sum(n) OVER w AS all_n, sum(bads) OVER w AS all_bads FROM leaves WINDOW w AS (PARTITION BY host, branch)),
+grouped AS (
+  SELECT *, CASE WHEN coalesce(abs(bads / n - (all_bads - bads) / nullif(all_n - n, 0)) >
+      2.58 * sqrt((all_bads / all_n) * (1 - all_bads / all_n) * (1 / n + 1 / nullif(all_n - n, 0))), false) THEN 'leaf:' || leaf ELSE 'branch:' || branch END AS grp FROM pooled),
+rejected AS (
+  SELECT host, grp FROM grouped GROUP BY host, grp
+  HAVING sum(labels) >= 5 AND (sum(bads) + (SELECT coalesce(count(*) FILTER (own = 'block') / nullif(count(own), 0), 0) FROM judged) * 4.0) / (sum(labels) + 4.0) >= 0.9)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.own, CASE WHEN r.grp IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM judged j JOIN named USING (host, path) JOIN grouped g ON g.host = named.host AND g.leaf = named.leaf AND g.branch = named.branch
+LEFT JOIN rejected r ON r.host = g.host AND r.grp = g.grp
+"""

@@ -196,3 +196,16 @@ def test_calibration_of_two_views():
     assert abs(w[1]) < 0.15 and math.isclose(p[(p > 0.6) & (p < 0.8)].mean(), y[(p > 0.6) & (p < 0.8)].mean(), abs_tol=0.06)
     sure = cotraining.combined(np.column_stack([np.where(y > 0, 500.0, -500.0), z[:, 1]]), y)
     assert np.isfinite(sure).all() and pytest.approx(1, abs=0.01) == cotraining.sigmoid(500 * sure[:1] + sure[2:])[0]
+
+
+def test_templates_match_sql(spark):
+    import duckdb
+
+    urls = [f"http://x{i % 3}.example.net/shop/{i}" for i in range(90)] + [f"http://q.example.com/de/{i}" for i in range(60)] + [f"http://q.example.com/{a}/{i}" for a in ("dex", "fr", "de") for i in range(30)]
+    urls += [f"http://q.example.com/u/name{chr(97 + i % 26)}{i}x/de/p" for i in range(50)] + [None, "x", "http://h.org" + "/a" * 12]
+    df = pages(spark, urls)
+    con = duckdb.connect()
+    con.register("pages", df.select("page_id", "url").toPandas())
+    want = sorted(con.execute(url_templates.TEMPLATES_SQL).fetchall(), key=str)
+    got = sorted((tuple(r) for r in url_templates.url_filter(df, RULES).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+    assert got == want
