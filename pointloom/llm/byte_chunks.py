@@ -211,3 +211,23 @@ def encoded(table: ByteTable, texts: pa.Array, specials: list[str], slow: Callab
         ids = np.concatenate([*pieces, ids[before:]])
         lengths[at] = [len(p) for p in parts]
     return ids, lengths
+
+
+def counted(table: ByteTable, texts: pa.Array, specials: list[str], plain_count: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+    """Tokens of each text, from a table that holds lengths alone; null texts have none.
+    ``plain_count`` counts texts that aren't plain, and chunks of over 24 bytes."""
+    texts = texts.fill_null("")
+    batch = Batch(texts, specials)
+    own = np.zeros(len(batch.sizes), np.int64)
+    wide, kept = np.flatnonzero(batch.sizes > WIDE), batch.sizes <= WIDE
+    of = batch.of
+    if len(wide):
+        own[wide] = plain_count(batch.texts(wide))
+        batch.starts, batch.sizes, batch.of = batch.starts[kept], batch.sizes[kept], batch.of[kept]
+    rows = table.lookup(batch, batch.keys())
+    own[kept] = table.lengths[rows]
+    out = np.bincount(of, weights=own, minlength=len(texts)).astype(np.int64)
+    at = np.flatnonzero(batch.slow)
+    if len(at):
+        out[at] = plain_count(texts.take(pa.array(at)).to_pylist())
+    return out

@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 
 from pointloom.llm.bpe_core import LONG, NONE, ChunkTable, Vocabulary, gathered, merge_with_heap, pretokens, ragged_take, slices
+from pointloom.llm.byte_chunks import ByteTable, counted
 
 #: Symbols that one batch of equal lengths holds at most; bounds memory.
 BATCH_SYMBOLS = 2_000_000
@@ -81,7 +83,16 @@ class Counter:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         encode = by_pretoken_counts(self.vocabulary)
-        self.table = ChunkTable(encode)
+        self.table = ChunkTable(encode, limit=100_000 if not self.vocabulary.words else 500_000)
+        self.bytes = None if self.vocabulary.words else ByteTable(encode, np.uint8)
+
+    def count_array(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text of a string array."""
+        if self.bytes is None:
+            return self.count(texts.to_pylist())
+        sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        parts = [counted(self.bytes, texts.slice(a, b - a), list(self.vocabulary.specials), self.count) for a, b in slices(sizes, 4_000_000)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
@@ -128,11 +139,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         if path not in _counters:
             _counters[path] = Counter(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = _counters[path].count(texts)
-            size = [len(t.encode()) if t else 0 for t in texts]
+            n = _counters[path].count_array(batch.column(1))
+            size = pa.compute.binary_length(batch.column(1)).cast(pa.int64()).fill_null(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())],
+                [batch.column(0), size, pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -60,7 +60,8 @@ def test_counts_match_the_library(spark, library):
     want = sorted((r["doc_id"] is None, r["doc_id"], len((r["text"] or "").encode()), n := len(lib.encode(r["text"] or "", add_special_tokens=False).ids), n > 100) for r in df.collect())
     assert sorted((r["doc_id"] is None, r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == want
     texts = odd_texts()
-    assert token_counts.Counter(BYTES).count(texts).tolist() == [len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    counter = token_counts.Counter(BYTES)
+    assert counter.count(texts).tolist() == counter.count_array(pa.array(texts)).tolist() == [len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert token_counts.token_counts(documents(spark, empty=True), BYTES).count() == 0
 
 
