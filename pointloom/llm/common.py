@@ -40,9 +40,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     This cuts the lineage with a replicated copy: an executor lost later costs no recomputation of
     what lies before.
     """
-    path = fresh_path(df.sparkSession, what)
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pointloom_path = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made and that nothing reads any more."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored._pointloom_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import written
+from pointloom.llm.common import discard, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     neighbours on the smallest of those (small star).  The number of rounds grows with the
     logarithm of the nodes.  A hub with very many neighbours is only aggregated (with partial
     sums) and joined, so it can be split between tasks; it is never gathered in one.
-    Each round is stored in the shared folder.
+    Each round is stored in the shared folder, and the round before it deleted.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     signature = None
@@ -28,7 +28,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == signature:
             break
