@@ -56,17 +56,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
     return w.select("source", "source_size", "source_rows", F.when(full, F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def place(docs: DataFrame) -> DataFrame:
-    """Adds __place, the shuffled order within a source."""
+def place() -> F.Column:
+    """Column __place, the shuffled order within a source."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     tie = F.coalesce(F.xxhash64("text"), F.lit(0))
-    return docs.withColumn("__place", F.struct(key.alias("key"), F.col("doc_id").isNull().alias("missing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), tie.alias("tie")))
+    return F.struct(key.alias("key"), F.col("doc_id").isNull().alias("missing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), tie.alias("tie")).alias("__place")
 
 
 def queued(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, slot_rows: int = SLOT_ROWS) -> tuple[DataFrame, float | None]:
     """Every row with source, size, source_size, target, __place and reached (words of the source up
     to it), and the finish time up to which the mix takes documents (null: there are no words)."""
-    rows = written(place(docs).select("source", word_count("text").alias("size"), "__place"), "sizes")
+    rows = written(docs.select("source", word_count("text").alias("size"), place()), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     targets = written(source_targets(sizes, weights, share_percent, most), "targets")
     named = targets.withColumnRenamed("source", "__source")
@@ -129,10 +129,12 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
         return docs.limit(0)
     last = [F.max(F.when((F.col("size") > 0) & (finish(k) < F.lit(first_out)), F.col("__place"))).alias(f"__last{k}") for k in range(most)]
     ends = written(own.groupBy("source").agg(*last).withColumnRenamed("source", "__source"), "ends")
-    rows = place(docs).join(ends, F.col("source").eqNullSafe(F.col("__source")))
-    laps = [F.when((word_count("text") > 0) & (F.col("__place") <= F.col(f"__last{k}")), 1).otherwise(0) for k in range(most)]
+    # packed, so that no name of the documents' own can clash
+    rows = docs.select(F.struct("*").alias("__doc"), place(), (word_count("text") > 0).alias("__words"), F.col("source").alias("__own"))
+    rows = rows.join(ends, F.col("__own").eqNullSafe(F.col("__source")))
+    laps = [F.when(F.col("__words") & (F.col("__place") <= F.col(f"__last{k}")), 1).otherwise(0) for k in range(most)]
     rows = rows.withColumn("__times", sum(laps[1:], laps[0])).where("__times > 0")
-    return rows.withColumn("__lap", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return rows.withColumn("__lap", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__doc.*")
 
 
 #: The same in SQL, over a table of documents with unique doc_ids.

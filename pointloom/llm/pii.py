@@ -127,10 +127,10 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), found).otherwise(empty)
 
 
-def with_spans(docs: DataFrame, name: str = "__spans") -> DataFrame:
-    """Adds the sorted array of all spans."""
+def all_spans() -> Column:
+    """The sorted array of all spans of column text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn(name, F.array_sort(F.concat(*[spans_of(text, k) for k in KINDS])))
+    return F.array_sort(F.concat(*[spans_of(text, k) for k in KINDS])).alias("__spans")
 
 
 def written_out(spans: Column) -> Column:
@@ -141,7 +141,7 @@ def written_out(spans: Column) -> Column:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and n_iban, n_secret, n_ssn, scores."""
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "__spans")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), all_spans())
     of = lambda i: F.size(F.filter("__spans", lambda s: s["kind"] == i)).cast("long")
     base = F.filter("__spans", lambda s: s["kind"] < BASE)
     return rows.select(
@@ -157,9 +157,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in angle brackets; overlapping spans become
     one, named after the first.  Other columns stay; n_chars, if there, is counted again."""
-    rows = with_spans(docs)
+    rows = docs.select(F.struct("*").alias("__doc"), all_spans())  # packed, so that no name of theirs can clash
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    text = F.col("text")
+    text = F.col("__doc.text")
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
@@ -167,7 +167,8 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(out).alias("out"))
 
     done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    rows = rows.withColumn("text", F.when(F.size("__spans") > 0, done).otherwise(text))
+    rows = rows.select("__doc", F.when(F.size("__spans") > 0, done).otherwise(text).alias("__text"))
+    own = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        own["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[own.get(n, F.col("__doc").getField(n)).alias(n) for n in docs.columns])

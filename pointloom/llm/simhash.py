@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(shingle_hashes(t.as_py())) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64), pa.int64())], ["__missing", "__rid", "fp"])
 
-    return with_identity(docs).select("__missing", "__rid", "text").mapInArrow(run, "__missing boolean, __rid long, fp long")
+    return docs.select(*identity(), "text").mapInArrow(run, "__missing boolean, __rid long, fp long")
 
 
 def transposed(rows: np.ndarray) -> np.ndarray:
@@ -192,10 +192,10 @@ def candidate_groups(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return grouped.where(F.size("members") > 1).select("members")
 
 
-def with_identity(docs: DataFrame) -> DataFrame:
-    """Adds __missing and __rid, which order documents by doc_id and, where that is null, after all
+def identity() -> list:
+    """Columns __missing and __rid, which order documents by doc_id and, where that is null, after all
     others by a hash of the text."""
-    return docs.withColumn("__missing", F.col("doc_id").isNull()).withColumn("__rid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return [F.col("doc_id").isNull().alias("__missing"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__rid")]
 
 
 def _groups(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -220,5 +220,6 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def first_of_group(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The document with the smallest doc_id of each group, once, with all its columns."""
     firsts = _groups(docs, block)[1].select("first.*").distinct()
-    kept = with_identity(docs).join(firsts, ["__missing", "__rid"], "left_semi")
-    return kept.dropDuplicates(["__missing", "__rid"]).select(*docs.columns)
+    rows = docs.select(*identity(), F.struct("*").alias("__doc"))  # packed, so that no name of theirs can clash
+    kept = rows.join(firsts, ["__missing", "__rid"], "left_semi")
+    return kept.dropDuplicates(["__missing", "__rid"]).select("__doc.*")

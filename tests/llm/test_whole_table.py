@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pointloom.llm import additive_ann, components, mixing, simhash
 from tests.llm.cases import documents
@@ -52,7 +53,7 @@ def test_groups_match_all_pairs(spark, monkeypatch, block):
             fps.append(f)
     fps += [0, 0, 1, 3, 2**63, fps[0], fps[0]]
     df = spark.createDataFrame([(i, f - (1 << 64) * (f >> 63)) for i, f in enumerate(fps)], "doc_id long, fp long")
-    monkeypatch.setattr(simhash, "fingerprints", lambda docs: simhash.with_identity(docs.withColumnRenamed("fp", "text")).selectExpr("__missing", "__rid", "text as fp"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.withColumnRenamed("fp", "text").select(*simhash.identity(), F.col("text").alias("fp")))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, block).collect()}
     links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
     assert got == plain_components(range(len(fps)), links)
@@ -81,7 +82,7 @@ def test_bit_sliced_comparison(radius):
 def test_one_of_each_group_stays(spark):
     df = documents(spark)
     kept = simhash.first_of_group(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {r["__rid"] for r in kept.collect()} == {"x"}
     groups = {r["component_id"] for r in simhash.near_duplicates(df).collect()}
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(ids) == sorted(groups)
