@@ -153,7 +153,7 @@ class ChunkTable:
     ``encode`` maps a list of new chunks to (flat ids, lengths).
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000, dtype=np.int32):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000, dtype=np.int32):
         self.encode, self.limit, self.dtype = encode, limit, dtype
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
