@@ -1,7 +1,7 @@
 """Personal data in texts, with built-in expressions only.
 
 Regular expressions propose spans; checksums confirm them (Luhn for card numbers, mod 97 for bank
-account numbers); words nearby raise or lower a score, and the spans of the method's own kinds
+account numbers, cut by their country's length); words before them raise or lower a score, and the spans of the method's own kinds
 count only from ``LEAST_SCORE`` on.  Spans are (kind, start, end) in code points, end exclusive.
 
 Base kinds are email, ip, card and phone.  The method adds: iban (confirmed by mod 97), secret
@@ -25,20 +25,32 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
 BASE = 4
 
+#: Length of an account number by country (the countries of the IBAN registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_ibans = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
 #: Proposals. Each is leftmost and non-overlapping for its kind.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+",
+    # as long as its country says; other countries, and numbers that go on in one piece, as far as they go
+    "iban": rf"(?<![A-Za-z0-9])(?:(?:{_ibans})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))",
+    # "=" only at the end, so that a key name before it is context
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: What must be in a text before a kind's pattern is tried (a cheap test by characters).
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"[A-Za-z0-9_+/=-]{20}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
-#: Characters before a span in which context words count.
+#: Characters before a span in which context words count. In a list (only marks, "and" and "or"
+#: between its items) the words before the first item count for all.
 NEAR = 40
+LIST = r"^(?:[^A-Za-z0-9]|and|or)*$"
 #: (score without context, words that raise it, words that lower it)
 CONTEXT = {
     "email": (0.9, r"mail|contact|write", r""),
@@ -93,9 +105,9 @@ def confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: str, before: Column) -> Column:
+def score(kind: str, context: Column) -> Column:
     start, up, down = CONTEXT[kind]
-    near = F.lower(F.right(before, F.lit(NEAR)))
+    near = F.lower(context)
     out = F.lit(start)
     out = out + F.when(near.rlike(up), RAISE).otherwise(0.0) if up else out
     out = out - F.when(near.rlike(down), LOWER).otherwise(0.0) if down else out
@@ -116,14 +128,20 @@ def spans_of(text: Column, kind: str) -> Column:
         between, found = x["between"], x["found"]
         start = acc["at"] + F.length(between)
         end = start + F.coalesce(F.length(found), F.lit(0))
-        own = score(kind, between)
+        last = lambda *parts: F.right(F.concat(*parts), F.lit(NEAR))
+        listed = (acc["at"] > 0) & (F.length(between) <= NEAR) & between.rlike(LIST)
+        near = last(acc["tail"], between)
+        context = F.when(listed, acc["context"]).otherwise(near)
+        own = score(kind, F.when(listed, F.concat(context, F.lit(" "), near)).otherwise(near))
         span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), own.alias("score"))
         ok = found.isNotNull() & confirmed(kind, found)
         if number >= BASE:
             ok = ok & (own >= LEAST_SCORE)
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        tail = last(acc["tail"], between, F.coalesce(found, F.lit("")))  # carried on: substring() would read a long text from its start each time
+        return F.struct(end.alias("at"), tail.alias("tail"), context.alias("context"), F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    found = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit("").alias("context"), empty.alias("spans"))
+    found = F.aggregate(both, first, step, lambda acc: acc["spans"])
     return F.when(text.rlike(HINTS[kind]), found).otherwise(empty)
 
 
