@@ -439,11 +439,19 @@ def robust_weights(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT c_custkey, '$GPGGA,184852.00,' || lpad((c_custkey % 60)::VARCHAR, 2, '0') || '12.5,N,02056.25,W,4,12,0.94,109.1,M,34.4,M,,' || '*' AS body FROM customer)
-    SELECT c_custkey, round((c_custkey % 60) + 12.5 / 60, 6) AS lat, round(-(20 + 56.25 / 60), 6) AS lon, 109.1::DOUBLE AS alt, -1.0::DOUBLE AS age FROM s"""
+    """WITH f AS (SELECT c_custkey, string_split('$GPGGA,' || lpad((c_custkey % 24)::VARCHAR, 2, '0') || '0000,' || printf('%02d%02d.%03d', (c_custkey * 7) % 90, c_custkey % 60, (c_custkey * 13) % 1000) || CASE WHEN c_nationkey % 2 = 0 THEN ',N,' ELSE ',S,' END
+      || printf('%03d%02d.%03d', (c_custkey * 11) % 180, (c_custkey * 3) % 60, (c_custkey * 17) % 1000) || CASE WHEN c_nationkey % 3 = 0 THEN ',E,' ELSE ',W,' END || '1,09,1.1,' || c_acctbal::VARCHAR || ',M,0,M,,', ',') AS p FROM customer),
+    n AS (SELECT c_custkey, p[3]::DOUBLE AS a, p[5]::DOUBLE AS o, p[4] AS ns, p[6] AS ew, p[10]::DOUBLE AS alt FROM f)
+    SELECT c_custkey, round(CASE ns WHEN 'S' THEN -1 ELSE 1 END * (floor(a / 100) + (a % 100) / 60), 6) AS lat, round(CASE ew WHEN 'W' THEN -1 ELSE 1 END * (floor(o / 100) + (o % 100) / 60), 6) AS lon, alt, -1.0::DOUBLE AS age FROM n"""
 )
 def nmea_parse(spark, sf_dir):
-    body = F.concat(F.lit("$GPGGA,184852.00,"), F.lpad((F.col("c_custkey") % 60).cast("string"), 2, "0"), F.lit("12.5,N,02056.25,W,4,12,0.94,109.1,M,34.4,M,,*"))
+    """Sentences made of every customer's numbers, taken apart again."""
+    k = F.col("c_custkey")
+    lat = F.format_string("%02d%02d.%03d", (k * 7) % 90, k % 60, (k * 13) % 1000)
+    lon = F.format_string("%03d%02d.%03d", (k * 11) % 180, (k * 3) % 60, (k * 17) % 1000)
+    side = lambda by, a, b: F.when(F.col("c_nationkey") % by == 0, a).otherwise(b)
+    time = F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit("0000"))
+    body = F.concat_ws(",", F.lit("$GPGGA"), time, lat, side(2, "N", "S"), lon, side(3, "E", "W"), F.lit("1,09,1.1"), F.col("c_acctbal").cast("string"), F.lit("M,0,M,,*"))
     g = table(spark, sf_dir, "customer").select("c_custkey", nmea.gga(body).alias("g"))
     return rounded(g.select("c_custkey", "g.lat", "g.lon", "g.alt", "g.age"), "lat", "lon")
 

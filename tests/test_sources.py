@@ -1,4 +1,6 @@
+import functools
 import json
+import operator
 
 import numpy as np
 import pytest
@@ -7,23 +9,32 @@ from pyspark.sql import functions as F
 from pointloom.functions import nmea as N
 from pointloom.sources import points, sinks, text
 
-GGA = "$GPGGA,184852.00,5212.02878,N,02056.51988,E,4,12,0.94,109.1,M,34.4,M,2.0,0093*74"
-RMC = "$GPRMC,184942.40,A,5212.01834,N,02056.49288,E,1.953,254.11,080725,,,R,V*00"
+
+def sentence(body):
+    """A sentence with its checksum, the exclusive or of the body's characters."""
+    return f"${body}*{functools.reduce(operator.xor, body.encode()):02X}"
+
+
+GGA = sentence("GNGGA,071530.25,3345.5,S,15112.75,E,2,07,1.31,58.4,M,22.6,M,3.5,0127")
+RMC = sentence("GNRMC,220105.00,A,0130.6,N,00415.3,W,0.25,12.5,010203,,,D,V")
 
 
 def test_sentences(spark):
-    rows = spark.createDataFrame([(GGA,), (RMC,), (GGA.replace("12.02878", "12.02879"),), ("junk",), (None,)], "s string")
+    wrong = GGA.replace("58.4", "58.5")
+    rows = spark.createDataFrame([(GGA,), (RMC,), (wrong,), ("no sentence",), (None,)], "s string")
     got = rows.select(N.valid("s").alias("ok"), N.gga("s").alias("g"), N.rmc("s").alias("r")).collect()
     assert [r["ok"] for r in got] == [True, True, False, False, False]
-    assert got[0]["g"]["lat"] == pytest.approx(52.2004796667) and got[0]["g"]["lon"] == pytest.approx(20.941998) and got[0]["g"]["age"] == 2.0
-    assert got[1]["r"]["lat"] == pytest.approx(52.2003056667) and got[1]["r"]["lon"] == pytest.approx(20.941548)
+    g = got[0]["g"]
+    assert (g["lat"], g["lon"]) == pytest.approx((-(33 + 45.5 / 60), 151 + 12.75 / 60)) and (g["fix"], g["sats"], g["alt"], g["undulation"], g["age"]) == (2, 7, 58.4, 22.6, 3.5)
+    r = got[1]["r"]
+    assert (r["lat"], r["lon"]) == pytest.approx((1 + 30.6 / 60, -(4 + 15.3 / 60))) and r["active"] and r["knots"] == 0.25
     assert got[1]["g"] is None and got[3]["r"] is None
 
 
 def test_stamped_file(spark, tmp_path):
-    (tmp_path / "a.nmea").write_text(f"12 34 {GGA}\r\n12 34 {GGA[:-1]}5\n7 8 {RMC}\nnothing\n")
+    (tmp_path / "drive.nmea").write_text(f"501 9001 {GGA}\r\n502 9002 {GGA[:-2]}zz\n503 9003 {RMC}\nhello\n")
     got = text.nmea(spark, str(tmp_path)).collect()
-    assert len(got) == 1 and got[0]["lidar_ns"] == 12 and got[0]["unix_ns"] == 34
+    assert [(r["lidar_ns"], r["unix_ns"]) for r in got] == [(501, 9001)]
 
 
 def test_imu_with_and_without_header(spark, tmp_path):
@@ -36,24 +47,32 @@ def test_imu_with_and_without_header(spark, tmp_path):
 
 
 def test_sensor_ids_and_calibration(spark, tmp_path):
-    (tmp_path / "a.sn").write_text("0 SN1\nnotanumber\n1 SN2\n")
-    ids = text.sensor_ids(spark, str(tmp_path / "a.sn"))
-    assert sorted(map(tuple, ids.collect())) == [(0, "SN1"), (1, "SN2")]
-    row = [1, 0, 0, 1, 0, 1, 0, 2, 0, 0, 1, 3, 0, 0, 0, 1]
-    col = [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 5, 6, 7, 1]
-    doc = {"calibration": {"SN1": {"data": row}, "SN2": {"order": "COLUMN", "data": col}, "X": {"identity": "true"}, "I": {"inverted": "TRUE", "data": [1, 0, 0, 2, *row[4:7], 0, *row[8:11], 0, 0, 0, 0, 1]}, "B": {"data": row}}, "imuToUse": "SN2", "blacklist": ["B"]}
-    (tmp_path / "c.json").write_text(json.dumps(doc))
-    (tmp_path / "bad.json").write_text("{")
-    c = {r["serial"]: r["pose"] for r in text.calibration(spark, str(tmp_path / "c.json")).collect()}
-    at = lambda p: (p[3], p[7], p[11])
-    assert at(c["SN1"]) == (1, 2, 3) and at(c["SN2"]) == (5, 6, 7) and at(c["X"]) == (0, 0, 0) and at(c["I"]) == (-2, 0, 0) and "B" not in c
+    (tmp_path / "rig.sn").write_text("3 left\n\nx7 odd\n8 right\n")
+    ids = text.sensor_ids(spark, str(tmp_path / "rig.sn"))
+    assert sorted(map(tuple, ids.collect())) == [(3, "left"), (8, "right")]
+    rng = np.random.default_rng(3)
+    mount = np.eye(4)
+    mount[:3, :3], mount[:3, 3] = np.linalg.qr(rng.normal(size=(3, 3)))[0], rng.uniform(-2, 2, 3)
+    flat = lambda m: m.ravel().tolist()
+    entries = {
+        "left": {"data": flat(mount)},
+        "right": {"order": "COLUMN", "data": flat(mount.T)},
+        "none": {"identity": "true"},
+        "back": {"inverted": "TRUE", "data": flat(mount)},
+        "off": {"data": flat(mount)},
+    }
+    (tmp_path / "rig.json").write_text(json.dumps({"calibration": entries, "imuToUse": "right", "blacklist": ["off"]}))
+    (tmp_path / "bad.json").write_text("[1,")
+    c = {r["serial"]: np.array(r["pose"]).reshape(4, 4) for r in text.calibration(spark, str(tmp_path / "rig.json")).collect()}
+    want = {"left": mount, "right": mount, "none": np.eye(4), "back": np.linalg.inv(mount)}
+    assert set(c) == set(want) and all(np.allclose(c[k], want[k]) for k in want)
     assert text.calibration(spark, str(tmp_path / "bad.json")).count() == 0
-    assert text.imu_to_use(spark, str(tmp_path / "c.json")) == "SN2" and text.imu_to_use(spark, str(tmp_path / "bad.json")) == ""
-    both = text.combined_calibration(ids, text.calibration(spark, str(tmp_path / "c.json")))
-    assert sorted(r["lidar_id"] for r in both.collect()) == [0, 1]
+    assert text.imu_to_use(spark, str(tmp_path / "rig.json")) == "right" and text.imu_to_use(spark, str(tmp_path / "bad.json")) == ""
+    both = text.combined_calibration(ids, text.calibration(spark, str(tmp_path / "rig.json")))
+    assert sorted(r["lidar_id"] for r in both.collect()) == [3, 8]
     assert text.combined_calibration(ids, text.calibration(spark, str(tmp_path / "bad.json"))).count() == 0
     with pytest.raises(Exception, match="no row for serial"):
-        text.combined_calibration(spark.createDataFrame([(9, "SN9")], "lidar_id int, serial string"), text.calibration(spark, str(tmp_path / "c.json"))).collect()
+        text.combined_calibration(spark.createDataFrame([(4, "rear")], "lidar_id int, serial string"), text.calibration(spark, str(tmp_path / "rig.json"))).collect()
 
 
 def test_trajectories(spark, tmp_path):
@@ -78,8 +97,8 @@ def test_pose_list_session_and_gnss(spark, tmp_path):
 
 
 def test_las_round_trip_and_scan(spark, tmp_path):
-    rng = np.random.default_rng(42)
-    rows = [(float(a), float(b), float(c), i % 256, 1000.0 + i * 1e-6, i % 2, i // 50) for i, (a, b, c) in enumerate(rng.uniform(-50, 50, (100, 3)))]
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), float(c), 200 - i, 30.0 + i * 0.002, i % 2, i // 50) for i, (a, b, c) in enumerate(rng.uniform(-40, 60, (100, 3)))]
     df = spark.createDataFrame(rows, "x double, y double, z double, intensity int, ts double, lidar_id int, scan_id int")
     paths = sinks.write_las(df, str(tmp_path / "las"), "scan_id")
     assert len(paths) == 2
@@ -105,10 +124,10 @@ def test_ply_pcd_and_packed(spark, tmp_path):
 
 
 def test_message_layouts(spark):
-    p = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 5, 6, 1000.000001)], "x double, y double, z double, intensity double, ring int, laser_id int, timestamp double")
-    assert "laser_id" not in sinks.message_layout(p, "velodyne", 1000.0).columns
-    assert sinks.message_layout(p, "ouster", 1000.0).first()["t"] == 1000
-    assert sinks.message_layout(p, "hesai").first()["timestamp"] == 1000.000001
+    p = spark.createDataFrame([(0.5, -7.0, 2.25, 31.0, 11, 2, 77.000004)], "x double, y double, z double, intensity double, ring int, laser_id int, timestamp double")
+    assert "laser_id" not in sinks.message_layout(p, "velodyne", 77.0).columns
+    assert sinks.message_layout(p, "ouster", 77.0).first()["t"] == 4000
+    assert sinks.message_layout(p, "hesai").first()["timestamp"] == 77.000004
 
 
 def test_result_chunks(spark):

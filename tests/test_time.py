@@ -1,4 +1,5 @@
-import math
+import bisect
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,47 +8,42 @@ from pointloom.functions import pose as P
 from pointloom.operators import joins, windows
 
 
-def trajectory(spark, rows):
-    return spark.createDataFrame(rows, "ts double, tx double")
-
-
-def value_at(spark, rows, at, **settings):
-    q = spark.createDataFrame([(float(t),) for t in at], "q double")
-    out = joins.interpolated(q, trajectory(spark, rows), "q", "ts", "tx", **settings)
-    return {r["q"]: r["tx"] for r in out.collect()}
-
-
-TRACK = [(1.0, 0.0), (2.0, 10.0), (3.0, 20.0)]
-
-
-def test_no_trajectory(spark):
-    assert value_at(spark, [], [0, 123.456]) == {0.0: None, 123.456: None}
-
-
-def test_before_range(spark):
-    assert value_at(spark, TRACK, [0, -100]) == {0.0: None, -100.0: None}
-
-
-def test_exact_and_linear(spark):
-    assert value_at(spark, TRACK, [2, 3]) == {2.0: pytest.approx(10), 3.0: pytest.approx(20)}
-    assert value_at(spark, [(0.0, 0.0), (10.0, 0.0), (20.0, 100.0)], [15, 12]) == {15.0: pytest.approx(50), 12.0: pytest.approx(20)}
-
-
-def test_first_key_and_first_segment(spark):
-    assert value_at(spark, [(1.0, 5.0), (2.0, 10.0)], [1], compat=True) == {1.0: None}
-    assert value_at(spark, [(0.0, 0.0), (10.0, 100.0), (20.0, 200.0)], [5], compat=True) == {5.0: None}
-    assert value_at(spark, [(0.0, 0.0), (10.0, 100.0), (20.0, 200.0)], [5]) == {5.0: pytest.approx(50)}
-
-
-def test_clamped(spark):
-    assert value_at(spark, TRACK, [0, 9], clamp=True) == {0.0: 0.0, 9.0: 20.0}
+def plain_interpolation(track, t, clamp=False, compat=False):
+    """Linear between the neighbours of ``t`` in a sorted list of (time, value); null outside."""
+    track = sorted(track)
+    if not track or compat and (len(track) < 2 or t < track[1][0]):
+        return None
+    if t < track[0][0] or t > track[-1][0]:
+        return (track[0] if t < track[0][0] else track[-1])[1] if clamp else None
+    times = [x for x, _ in track]
+    i = bisect.bisect_left(times, t)
+    if times[i] == t:
+        return track[i][1]
+    (ta, va), (tb, vb) = track[i - 1], track[i]
+    return va + (vb - va) * (t - ta) / (tb - ta)
+
+
+@pytest.mark.parametrize("settings", [{}, {"clamp": True}, {"compat": True}])
+def test_interpolation_matches_a_plain_one(spark, settings):
+    """Random tracks of 0 to 9 rows; times on rows, between them and outside."""
+    rng = random.Random(11)
+    tracks = {k: [(t / 8, rng.uniform(-50, 50)) for t in rng.sample(range(-200, 200), k % 10)] for k in range(40)}
+    asked = {k: sorted({t for t, _ in tr[:3]} | {rng.uniform(-30, 30) for _ in range(6)}) for k, tr in tracks.items()}
+    series = spark.createDataFrame([(k, *r) for k, tr in tracks.items() for r in tr], "track int, at double, level double")
+    q = spark.createDataFrame([(k, t) for k, ts in asked.items() for t in ts], "track int, t double")
+    got = {(r["track"], r["t"]): r["level"] for r in joins.interpolated(q, series, "t", "at", "level", ["track"], **settings).collect()}
+    assert len(got) == sum(map(len, asked.values()))
+    for (k, t), v in got.items():
+        want = plain_interpolation(tracks[k], t, **settings)
+        assert v is None if want is None else v == pytest.approx(want, abs=1e-9)
 
 
 def test_rotation_between_poses(spark):
     lit = lambda *v: [F.lit(float(x)) for x in v]
-    a, b = P.from_tait_bryan(*lit(0, 0, 0, 0, 0, 0)), P.from_tait_bryan(*lit(2, 0, 0, 0, 0, math.pi / 2))
-    r = spark.range(1).select(P.to_tait_bryan(P.interpolate(a, b, F.lit(0.5))).alias("p")).first()["p"]
-    assert r["ka"] == pytest.approx(math.pi / 4, abs=1e-9) and r["px"] == pytest.approx(1)
+    a, b = P.from_tait_bryan(*lit(1, 4, 0, 0, 0, 0.2)), P.from_tait_bryan(*lit(5, 4, -8, 0, 0, 1.4))
+    for part in (0.0, 0.3, 1.0):  # about one axis the angle moves evenly
+        r = spark.range(1).select(P.to_tait_bryan(P.interpolate(a, b, F.lit(part))).alias("p")).first()["p"]
+        assert r["ka"] == pytest.approx(0.2 + 1.2 * part, abs=1e-9) and (r["px"], r["pz"]) == pytest.approx((1 + 4 * part, -8 * part))
 
 
 def test_pose_encodings_agree(spark):
