@@ -1,20 +1,32 @@
 """URL filters: rules first, then a path-template tree for what no rule decides.
 
-Per host the paths form a tree.  *Generalising:* a segment made of digits, hexadecimal digits or a
-date is a typed wildcard, and all children of a node with many, thinly filled children become one
-wildcard.  *Merging:* templates that differ only in their last literal segment are one branch if
-their shares of bad pages don't differ more than chance allows (a two-proportion test against the
-others).  *Rejecting:* a branch is rejected if its labelled pages' share of bad ones, smoothed with
-the whole table's share, reaches ``PURITY``; branches with under ``LEAST_LABELS`` labels are kept.
+Per host the paths form a tree of segments.
+
+*Generalising.*  A segment made of digits, hexadecimal digits or a date is a typed wildcard.  A node
+with many, thinly filled literal children turns them into one wildcard, from the root down, so that
+what lies below a wildcard is looked at together: /u/<name>/<slug> has two.  Each round turns the
+shallowest such node of every template; the rounds end when no node is left, so their number is that
+of wildcards nested in a path, whatever the paths' length.
+
+*Merging.*  Each node carries the labels of all pages below it.  A branch stands apart if its share
+of bad ones among its labelled pages differs from that of its siblings by more than chance allows (a
+two-proportion test); a branch without labels, or whose siblings have none, can't differ.  A template
+belongs to the deepest branch above it that stands apart, or to its host: similar branches of all
+levels are one group.
+
+*Rejecting.*  A group is rejected if its share of bad pages among its labelled ones, smoothed with
+the whole table's, reaches ``PURITY``; groups with under ``LEAST_LABELS`` labels are kept.  So pages
+without any label share the verdict of similar branches of their host.
 
 Labels are the verdicts of the rules themselves (block: bad), with any given ones in ``labelled``.
 
-Everything is counted over distinct (host, path) with partial sums, so one host with a third of
-all pages only adds to counters; no host's tree is gathered in one task.
+Pages are counted by (host, typed path) with partial sums before anything is joined, so one host with
+a third of all pages only adds to counters; a typed path with very many pages is split in the last
+join.  Nodes are named by (host, depth, a 64-bit hash of the segments above).
 
 A null url or one without ``://`` has an empty host and path, fits no rule and is judged like any
-other template; repeated rows are judged alike; a path beyond ``DEPTH`` segments has one wildcard
-for the rest; extra columns are not read; an empty table gives an empty result.
+other template; repeated rows are judged alike; paths of any number of segments are read whole; extra
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +36,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 8
-#: A node generalises its children from so many on, if they have fewer paths each than the second number.
+from pointloom.llm.common import let, skewed_join, written
+
+#: A node generalises its literal children from so many on, if they have fewer pages each than the second number.
 FAN, THIN = 20, 4.0
 #: Two shares differ beyond this many standard errors.
 Z = 2.58
@@ -61,46 +74,67 @@ def typed(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, ext)).otherwise(segment)
 
 
-def templates(paths: DataFrame) -> DataFrame:
-    """Adds template (array of segments) to distinct (host, path, ...)."""
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("{rest}")))).otherwise(parts)
-    p = paths.withColumn("segs", F.transform(parts, typed))
-    steps = p.select("host", "path", "segs", "n", F.posexplode("segs").alias("d", "seg"))
-    steps = steps.withColumn("up", F.array_join(F.slice("segs", F.lit(1), F.col("d")), "/")).withColumn("level", F.col("d")).drop("segs")
-    children = steps.groupBy("host", "level", "up", "seg").agg(F.count("*").alias("own"))
-    fans = children.groupBy("host", "level", "up").agg(F.count("*").alias("n_children"), F.sum("own").alias("n_paths"))
-    fans = fans.where((F.col("n_children") >= FAN) & (F.col("n_paths") < THIN * F.col("n_children"))).select("host", "level", "up", F.lit(True).alias("fan"))
-    steps = steps.join(fans, ["host", "level", "up"], "left")
-    star = F.when(F.col("fan").isNotNull() & ~F.col("seg").startswith("{") & (F.col("seg") != ""), "*").otherwise(F.col("seg"))
-    lists = steps.groupBy("host", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", star.alias("s")))), lambda x: x["s"]).alias("template"))
-    return paths.join(lists, ["host", "path"])
+def typed_path(path: Column) -> Column:
+    """The path's segments with typed wildcards, as one string."""
+    return F.array_join(F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), typed), "/")
+
+
+def literal(segment: Column) -> Column:
+    return ~segment.startswith("{") & ~segment.isin("*", "")
+
+
+def prefixes(segments: Column) -> Column:
+    """A hash of the first d segments for each d from 0 to all."""
+    return F.transform(F.sequence(F.lit(0), F.size(segments)), lambda d: F.xxhash64(F.slice(segments, F.lit(1), d)))
+
+
+def generalised(paths: DataFrame) -> DataFrame:
+    """Adds template (array of segments) to (host, typed, n, ...), one row each."""
+    now = paths.withColumn("template", F.split("typed", "/", -1))
+    while True:
+        now = written(now, "templates")
+        own = let(prefixes(F.col("template")), lambda p: F.transform("template", lambda s, i: F.struct(i.alias("level"), F.get(p, i).alias("above"), s.alias("seg"))))
+        steps = now.select("host", "typed", "n", F.explode(own).alias("s")).select("host", "typed", "n", "s.*").where(literal(F.col("seg")))
+        children = steps.groupBy("host", "level", "above", "seg").agg(F.sum("n").alias("own"))
+        nodes = children.groupBy("host", "level", "above").agg(F.count("*").alias("children"), F.sum("own").alias("pages"))
+        fans = nodes.where((F.col("children") >= FAN) & (F.col("pages") < THIN * F.col("children"))).select("host", "level", "above")
+        first = steps.join(fans, ["host", "level", "above"], "left_semi").groupBy("host", "typed").agg(F.min("level").alias("turn"))
+        first = written(first, "fans")
+        if first.isEmpty():
+            return now
+        now = now.join(first, ["host", "typed"], "left")
+        star = F.transform("template", lambda x, i: F.when(i == F.col("turn"), "*").otherwise(x))
+        now = now.withColumn("template", F.when(F.col("turn").isNull(), F.col("template")).otherwise(star)).drop("turn")
+
+
+def branches(leaves: DataFrame) -> DataFrame:
+    """Adds depth and node of the group that each of the leaves (host, template, labels, bads) belongs to."""
+    own = let(prefixes(F.col("template")), lambda p: F.transform(p, lambda x, i: F.struct(i.alias("depth"), x.alias("node"), F.get(p, i - 1).alias("above"))))
+    chain = leaves.select("host", "leaf", "labels", "bads", F.explode(own).alias("s")).select("host", "leaf", "labels", "bads", "s.*")
+    nodes = chain.groupBy("host", "depth", "node").agg(F.first("above").alias("above"), F.sum("labels").alias("labels"), F.sum("bads").alias("bads"))
+    over = nodes.select("host", (F.col("depth") + 1).alias("depth"), F.col("node").alias("above"), F.col("labels").alias("all_labels"), F.col("bads").alias("all_bads"))
+    both = nodes.join(over, ["host", "depth", "above"])
+    rest, rest_bad = F.col("all_labels") - F.col("labels"), F.col("all_bads") - F.col("bads")
+    share = F.try_divide(F.col("all_bads"), F.col("all_labels"))
+    error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1), F.col("labels")) + F.try_divide(F.lit(1), rest)))
+    apart = both.where(F.abs(F.try_divide("bads", "labels") - F.try_divide(rest_bad, rest)) > Z * error).select("host", "depth", "node")
+    own = chain.join(apart, ["host", "depth", "node"], "left_semi").groupBy("host", "leaf").agg(F.max(F.struct("depth", "node")).alias("group"))
+    return leaves.join(own, ["host", "leaf"], "left").withColumn("group", F.coalesce("group", F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("node"))))
 
 
 def rejected_paths(urls: DataFrame) -> DataFrame:
-    """(host, path) of rejected branches; ``urls`` has host, path and bad (true, false, null)."""
-    label = [F.count("bad").alias("labels"), F.count_if("bad").alias("bads"), F.count("*").alias("n")]
-    paths = templates(urls.groupBy("host", "path").agg(*label))
-    # the branch above: the last literal segment left open
-    literal = F.filter(F.sequence(F.lit(1), F.size("template")), lambda i: ~F.element_at("template", i).startswith("{") & (F.element_at("template", i) != "*") & (F.element_at("template", i) != ""))
-    last = F.coalesce(F.try_element_at(literal, F.lit(-1)), F.lit(0))
-    branch = F.transform("template", lambda s, i: F.when(i + 1 == last, F.lit("*")).otherwise(s))
-    sums = [F.sum(c).alias(c) for c in ("n", "labels", "bads")]
-    leaves = paths.groupBy("host", F.array_join("template", "/").alias("leaf"), F.array_join(branch, "/").alias("branch")).agg(*sums)
-    whole = leaves.groupBy("host", "branch").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labels", "bads")])
-    both = leaves.join(whole, ["host", "branch"])
-    rest_n, rest_bad = F.col("all_n") - F.col("n"), F.col("all_bads") - F.col("bads")
-    share = F.col("all_bads") / F.col("all_n")
-    error = F.sqrt(share * (1 - share) * (1 / F.col("n") + F.try_divide(F.lit(1), rest_n)))
-    apart = F.abs(F.col("bads") / F.col("n") - F.try_divide(rest_bad, rest_n)) > Z * error
-    both = both.withColumn("group", F.when(F.coalesce(apart, F.lit(False)), F.concat(F.lit("leaf:"), "leaf")).otherwise(F.concat(F.lit("branch:"), "branch")))
-    merged = both.groupBy("host", "group").agg(F.sum("labels").alias("g_labels"), F.sum("bads").alias("g_bads"))
-    totals = urls.agg(F.count("bad"), F.count_if("bad")).first()
+    """(host, typed) of rejected groups; ``urls`` has host, typed and bad (true, false, null)."""
+    label = [F.count("bad").alias("labels"), F.count_if("bad").alias("bads")]
+    paths = generalised(urls.groupBy("host", "typed").agg(F.count("*").alias("n"), *label)).withColumn("leaf", F.array_join("template", "/"))
+    leaves = written(paths.groupBy("host", "leaf").agg(F.first("template").alias("template"), *[F.sum(c).alias(c) for c in ("labels", "bads")]), "leaves")
+    grouped = branches(leaves)
+    merged = grouped.groupBy("host", "group").agg(F.sum("labels").alias("labels"), F.sum("bads").alias("bads"))
+    totals = leaves.agg(F.sum("labels"), F.sum("bads")).first()
     prior = totals[1] / totals[0] if totals[0] else 0.0
-    purity = (F.col("g_bads") + prior * STRENGTH) / (F.col("g_labels") + STRENGTH)
-    bad = merged.where((F.col("g_labels") >= LEAST_LABELS) & (purity >= PURITY)).select("host", "group")
-    leaf = both.join(bad, ["host", "group"], "left_semi").select("host", "leaf")
-    return paths.withColumn("leaf", F.array_join("template", "/")).join(leaf, ["host", "leaf"], "left_semi").select("host", "path")
+    purity = (F.col("bads") + prior * STRENGTH) / (F.col("labels") + STRENGTH)
+    bad = merged.where((F.col("labels") >= LEAST_LABELS) & (purity >= PURITY)).select("host", "group")
+    leaf = grouped.join(bad, ["host", "group"], "left_semi").select("host", "leaf")
+    return written(paths.join(leaf, ["host", "leaf"], "left_semi").select("host", "typed"), "rejected")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None) -> DataFrame:
@@ -111,19 +145,20 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFra
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumn("rule", rule).withColumn("own", verdict)
+    urls = urls.withColumn("rule", rule).withColumn("own", verdict).withColumn("typed", typed_path(F.col("path")))
     marked = urls.withColumn("bad", F.col("own") == "block")
     if labelled is not None:
         given = labelled.groupBy("page_id").agg(F.max("bad").alias("given"))
         marked = marked.join(given, "page_id", "left").withColumn("bad", F.coalesce("bad", "given"))
-    bad = rejected_paths(marked.select("host", "path", "bad")).withColumn("rejected", F.lit(True))
-    out = urls.join(bad, ["host", "path"], "left")
+    bad = rejected_paths(marked.select("host", "typed", "bad")).withColumn("rejected", F.lit(True))
+    out = skewed_join(urls, bad, ["host", "typed"], "left", F.xxhash64("page_id"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("rejected"), "block"), F.lit("allow")).alias("verdict"))
 
 
-#: The same in SQL for the rules of the registered query, without given labels.
+#: The same for the rules of the registered query, without given labels: the tree is walked level by
+#: level, from the root down.
 TEMPLATES_SQL = r"""
-WITH rests AS (
+WITH RECURSIVE rests AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 urls AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -134,45 +169,41 @@ ruled AS (
                  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
                  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM urls),
 judged AS (
-  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS own FROM ruled),
-paths AS (
-  SELECT host, path, count(own) AS labels, count(*) FILTER (own = 'block') AS bads, count(*) AS n FROM judged GROUP BY host, path),
-parts AS (
-  SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS raw FROM paths),
-cut AS (
-  SELECT * EXCLUDE raw, CASE WHEN len(raw) > 8 THEN list_append(raw[1:8], '{rest}') ELSE raw END AS raw FROM parts),
-single AS (
-  SELECT host, path, d, raw[d] AS s, regexp_extract(raw[d], '(?s)^(.*?)(\.[A-Za-z]{1,5})?$', 1) AS stem, regexp_extract(raw[d], '(?s)^(.*?)(\.[A-Za-z]{1,5})?$', 2) AS ext
-  FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS d FROM cut)),
-typed AS (
-  SELECT host, path, d, CASE WHEN regexp_matches(stem, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN '{date}' || ext
-      WHEN regexp_matches(stem, '^[0-9]+$') THEN '{n}' || ext
-      WHEN regexp_matches(stem, '[0-9]') AND regexp_matches(stem, '^[0-9A-Fa-f]{8,}$') OR regexp_matches(stem, '^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$') THEN '{x}' || ext
-      ELSE s END AS seg FROM single),
-steps AS (
-  SELECT *, coalesce(string_agg(seg, '/') OVER (PARTITION BY host, path ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS up FROM typed),
-children AS (
-  SELECT host, d, up, seg, count(*) AS own FROM steps GROUP BY ALL),
-fans AS (
-  SELECT host, d, up FROM children GROUP BY host, d, up HAVING count(*) >= 20 AND sum(own) < 4.0 * count(*)),
-starred AS (
-  SELECT s.host, s.path, s.d, CASE WHEN f.host IS NOT NULL AND NOT starts_with(seg, '{') AND seg <> '' THEN '*' ELSE seg END AS t
-  FROM steps s LEFT JOIN fans f ON s.host = f.host AND s.d = f.d AND s.up = f.up),
-marked AS (
-  SELECT *, coalesce(max(CASE WHEN NOT starts_with(t, '{') AND t NOT IN ('*', '') THEN d END) OVER (PARTITION BY host, path), 0) AS last FROM starred),
+  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS own,
+         list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s:
+           CASE WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}(\.[A-Za-z]{1,5})?$') THEN '{date}' || regexp_extract(s, '(\.[A-Za-z]{1,5})?$')
+                WHEN regexp_matches(s, '^[0-9]+(\.[A-Za-z]{1,5})?$') THEN '{n}' || regexp_extract(s, '(\.[A-Za-z]{1,5})?$')
+                WHEN regexp_matches(s, '^([0-9A-Fa-f]{8,}|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12})(\.[A-Za-z]{1,5})?$') AND regexp_matches(s, '^[0-9A-Fa-f]*[0-9]|-') THEN '{x}' || regexp_extract(s, '(\.[A-Za-z]{1,5})?$')
+                ELSE s END) AS segs FROM ruled),
+pages_of AS (
+  SELECT host, segs, count(*) AS n, count(own) AS labels, count(*) FILTER (own = 'block') AS bads FROM judged GROUP BY host, segs),
+walk AS (
+  SELECT host, segs, n, labels, bads, 0 AS d, []::VARCHAR[] AS t FROM pages_of
+  UNION ALL
+  SELECT host, segs, n, labels, bads, d + 1, list_append(t, CASE WHEN fixed OR kids < 20 OR held >= 4.0 * kids THEN s ELSE '*' END)
+  FROM (SELECT *, count(DISTINCT CASE WHEN NOT fixed THEN s END) OVER (PARTITION BY host, t) AS kids,
+               sum(CASE WHEN fixed THEN 0 ELSE n END) OVER (PARTITION BY host, t) AS held
+        FROM (SELECT *, segs[d + 1] AS s, starts_with(segs[d + 1], '{') OR segs[d + 1] IN ('*', '') AS fixed FROM walk WHERE d < len(segs)))),
 named AS (
-  SELECT host, path, string_agg(t, '/' ORDER BY d) AS leaf, string_agg(CASE WHEN d = last THEN '*' ELSE t END, '/' ORDER BY d) AS branch FROM marked GROUP BY host, path),
-leaves AS (
-  SELECT host, leaf, branch, sum(n) AS n, sum(labels) AS labels, sum(bads) AS bads FROM named JOIN paths USING (host, path) GROUP BY ALL),
-pooled AS (
-  SELECT *, sum(n) OVER w AS all_n, sum(bads) OVER w AS all_bads FROM leaves WINDOW w AS (PARTITION BY host, branch)),
+  SELECT host, segs, n, labels, bads, t FROM walk WHERE d = len(segs)),
+above AS (
+  SELECT host, t, t[1:d] AS node, d, sum(labels) AS labels, sum(bads) AS bads FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM named) GROUP BY ALL),
+nodes AS (
+  SELECT host, d, node, sum(labels) AS l, sum(bads) AS b FROM above GROUP BY ALL),
+tested AS (
+  SELECT c.host, c.d, c.node, c.b / c.l AS own_share, (p.b - c.b) / (p.l - c.l) AS other_share, p.b / p.l AS share, c.l, p.l - c.l AS rest
+  FROM nodes c JOIN nodes p ON p.host = c.host AND p.d = c.d - 1 AND p.node = c.node[1:c.d - 1] WHERE c.l > 0 AND p.l > c.l),
+standing AS (
+  SELECT host, d, node FROM tested WHERE abs(own_share - other_share) > 2.58 * sqrt(share * (1 - share) * (1 / l + 1 / rest))),
 grouped AS (
-  SELECT *, CASE WHEN coalesce(abs(bads / n - (all_bads - bads) / nullif(all_n - n, 0)) >
-      2.58 * sqrt((all_bads / all_n) * (1 - all_bads / all_n) * (1 / n + 1 / nullif(all_n - n, 0))), false) THEN 'leaf:' || leaf ELSE 'branch:' || branch END AS grp FROM pooled),
+  SELECT n.host, n.t, coalesce(max(s.d), 0) AS d FROM (SELECT DISTINCT host, t FROM named) n
+  LEFT JOIN standing s ON s.host = n.host AND s.d <= len(n.t) AND s.node = n.t[1:s.d] GROUP BY ALL),
+sums AS (
+  SELECT host, t[1:d] AS node, sum(labels) AS labels, sum(bads) AS bads FROM named JOIN grouped USING (host, t) GROUP BY ALL),
 rejected AS (
-  SELECT host, grp FROM grouped GROUP BY host, grp
-  HAVING sum(labels) >= 5 AND (sum(bads) + (SELECT coalesce(count(*) FILTER (own = 'block') / nullif(count(own), 0), 0) FROM judged) * 4.0) / (sum(labels) + 4.0) >= 0.9)
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.own, CASE WHEN r.grp IS NOT NULL THEN 'block' END, 'allow') AS verdict
-FROM judged j JOIN named USING (host, path) JOIN grouped g ON g.host = named.host AND g.leaf = named.leaf AND g.branch = named.branch
-LEFT JOIN rejected r ON r.host = g.host AND r.grp = g.grp
+  SELECT host, node FROM sums
+  WHERE labels >= 5 AND (bads + 4.0 * (SELECT sum(bads) / sum(labels) FROM sums)) / (labels + 4.0) >= 0.9)
+SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN r.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM judged j JOIN named n ON n.host = j.host AND n.segs = j.segs JOIN grouped g ON g.host = n.host AND g.t = n.t
+LEFT JOIN rejected r ON r.host = g.host AND r.node = g.t[1:g.d]
 """
