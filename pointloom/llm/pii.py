@@ -9,7 +9,8 @@ Base kinds are email, ip, card and phone.  The method adds: iban (confirmed by m
 word before it).
 
 Positions come without a Python function: splitting by a pattern gives the text between its
-matches, so running lengths of both give every place.  Most patterns are possessive and begin where a
+matches, so running lengths of both give every place.  The work is in proportion to the text and the
+number of matches: both are folded in blocks (``folded``).  Most patterns are possessive and begin where a
 run of their characters begins (or where the match before ended), which keeps them linear on
 documents with very long runs and changes no match.
 
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import let
+
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
 BASE = 4
 
@@ -114,34 +117,59 @@ def score(kind: str, context: Column) -> Column:
     return F.round(F.least(out, F.lit(1.0)), 2)
 
 
+#: Items of an array that are folded into one output array before it is set down.
+BLOCK = 256
 SPAN = "struct<start:int,kind:int,end:int,score:double>"
 
 
+def folded(items: Column, first: Column, step, block: int = BLOCK) -> Column:
+    """Folds an array in blocks: ``step(state, items of the block)`` gives (state, output) as a struct
+    of state and out, an array; the result is (state, rest of them) with all outputs end to end.
+
+    Growing one array item by item copies it at every item.  Here an item copies at most its own
+    block, and a block the short list of blocks before it.
+    """
+    n = F.ceil(F.size(items) / F.lit(block)).cast("int")
+
+    def add(acc: Column, k: Column) -> Column:
+        one = step(acc["state"], F.slice(items, k * block + 1, F.lit(block)))
+        return let(one, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    blocks = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(blocks, first, add)
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind: array of (start, kind, end, score)."""
     number = KINDS.index(kind)
     pattern = PATTERNS[kind]
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     empty = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        between, found = x["between"], x["found"]
-        start = acc["at"] + F.length(between)
-        end = start + F.coalesce(F.length(found), F.lit(0))
-        last = lambda *parts: F.right(F.concat(*parts), F.lit(NEAR))
-        listed = (acc["at"] > 0) & (F.length(between) <= NEAR) & between.rlike(LIST)
-        near = last(acc["tail"], between)
-        context = F.when(listed, acc["context"]).otherwise(near)
-        own = score(kind, F.when(listed, F.concat(context, F.lit(" "), near)).otherwise(near))
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), own.alias("score"))
-        ok = found.isNotNull() & confirmed(kind, found)
-        if number >= BASE:
-            ok = ok & (own >= LEAST_SCORE)
-        tail = last(acc["tail"], between, F.coalesce(found, F.lit("")))  # carried on: substring() would read a long text from its start each time
-        return F.struct(end.alias("at"), tail.alias("tail"), context.alias("context"), F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit("").alias("context"), empty.alias("spans"))
-    found = F.aggregate(both, first, step, lambda acc: acc["spans"])
+    last = lambda *parts: F.right(F.concat(*parts), F.lit(NEAR))
+
+    def item(acc: Column, x: Column) -> Column:
+        between, found, at = x["between"], x["found"], acc["state"]["at"]
+        listed = (at > 0) & (F.length(between) <= NEAR) & between.rlike(LIST)
+        seen = F.struct((at + F.length(between)).alias("start"), last(acc["state"]["tail"], between).alias("near"), listed.alias("listed"))
+
+        def judged(s: Column) -> Column:
+            end = s["start"] + F.coalesce(F.length(found), F.lit(0))
+            context = F.when(s["listed"], acc["state"]["context"]).otherwise(s["near"])
+            own = score(kind, F.when(s["listed"], F.concat(context, F.lit(" "), s["near"])).otherwise(s["near"]))
+            span = F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), end.alias("end"), own.alias("score"))
+            ok = found.isNotNull() & confirmed(kind, found)
+            if number >= BASE:
+                ok = ok & (own >= LEAST_SCORE)
+            # the tail is carried on: substring() would read a long text from its start each time
+            state = F.struct(end.alias("at"), last(s["near"], F.coalesce(found, F.lit(""))).alias("tail"), context.alias("context"))
+            return F.struct(state.alias("state"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+        return let(seen, judged)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit("").alias("context"))
+    inner = lambda state, part: F.aggregate(part, F.struct(state.alias("state"), empty.alias("out")), item)
+    first = F.struct(start.alias("state"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    found = let(pieces, lambda p: F.flatten(folded(p, first, inner)["out"]))
     return F.when(text.rlike(HINTS[kind]), found).otherwise(empty)
 
 
@@ -174,17 +202,34 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in angle brackets; overlapping spans become
-    one, named after the first.  Other columns stay; n_chars, if there, is counted again."""
+    one, named after the first.  Other columns stay; n_chars, if there, is counted again.
+
+    The text is taken off piece by piece, a block of spans at a time, so no span reads it from its
+    start."""
     rows = docs.select(F.struct("*").alias("__doc"), all_spans())  # packed, so that no name of theirs can clash
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     text = F.col("__doc.text")
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(out).alias("out"))
+    def item(acc: Column, s: Column) -> Column:
+        ahead = s["start"] - acc["at"]  # below zero: inside the span before
+        out = F.when(ahead < 0, acc["out"]).otherwise(F.concat(acc["out"], F.substr(acc["rest"], F.lit(1), F.greatest(ahead, F.lit(0))), F.element_at(names, s["kind"] + 1)))
+        rest = F.substr(acc["rest"], F.greatest(s["end"] - acc["at"], F.lit(0)) + 1)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), rest.alias("rest"), out.alias("out"))
+
+    def block(state: Column, part: Column) -> Column:
+        """The spans of one block, on the piece of text up to the last of their ends."""
+
+        def cut(x: Column) -> Column:
+            own = F.struct(state["at"].alias("at"), F.substr(state["rest"], F.lit(1), x["n"]).alias("rest"), F.lit("").alias("out"))
+            after = F.struct((state["at"] + x["n"]).alias("at"), F.substr(state["rest"], x["n"] + 1).alias("rest"))
+            return let(F.aggregate(x["part"], own, item), lambda done: F.struct(after.alias("state"), done["out"].alias("out")))
+
+        end = F.array_max(F.transform(part, lambda s: s["end"]))
+        return let(F.struct(part.alias("part"), F.greatest(end - state["at"], F.lit(0)).alias("n")), cut)
 
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    start = F.struct(F.lit(0).alias("at"), text.alias("rest"))
+    first = F.struct(start.alias("state"), F.array().cast("array<string>").alias("out"))
+    done = let(folded(F.col("__spans"), first, block), lambda x: F.concat(F.array_join(x["out"], ""), x["state"]["rest"]))
     rows = rows.select("__doc", F.when(F.size("__spans") > 0, done).otherwise(text).alias("__text"))
     own = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
