@@ -4,8 +4,11 @@ The symbols of many words lie in one flat array.  Every round finds the ranks of
 changed by binary search over the sorted pair keys, takes each word's lowest rank, merges all its
 occurrences and closes the gaps; words without a known pair leave the array.
 
-Nulls and empty texts encode to no ids (and decode to an empty text); repeated rows and extra
-columns pass through; texts of any length are read whole; an empty table gives an empty result.
+A word of over ``LONG`` bytes has rounds of its own, which touch only the places that change.
+
+Nulls and empty texts encode to no ids (and decode to an empty text); repeated rows give repeated
+results; extra columns are not read; texts of any length are read whole; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pointloom.llm.bpe_core import LONG, NONE, ChunkTable, Vocabulary, by_pretoken, gathered, merge_with_heap, ragged_take, slices
+from pointloom.llm.bpe_core import LONG, NONE, ChunkTable, Vocabulary, by_pretoken, gathered, merge_long, ragged_take, slices
 
 #: Chunks that one merge batch lays out at once; bounds a worker's memory whatever the texts' length.
 BATCH_CHUNKS = 400_000
@@ -42,7 +45,7 @@ def merge_rounds(v: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.nda
     done_words, done_sizes, done_symbols = [], [], []
     starts = np.cumsum(sizes) - sizes
     for w in np.flatnonzero(sizes > LONG):
-        ids = merge_with_heap(v, symbols[starts[w] : starts[w] + sizes[w]].tolist())
+        ids = merge_long(v, symbols[starts[w] : starts[w] + sizes[w]])
         done_words.append([w])
         done_sizes.append([len(ids)])
         done_symbols.append(ids)

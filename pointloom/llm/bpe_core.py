@@ -20,7 +20,8 @@ import regex
 BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int64(1) << 40
 
-#: A pre-token above this many bytes is merged with a heap: rounds over it would each scan it whole.
+#: A pre-token above this many bytes has rounds of its own (``merge_long``); together with the others
+#: each round would scan it whole.
 LONG = 400
 
 
@@ -68,7 +69,12 @@ class Vocabulary:
         keys = np.array(left, np.int64) * self.size + np.array(right, np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), np.array(new, np.int64)
-        self.table = {int(k): int(r) for k, r in zip(self.keys, self.ranks)}
+        self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
+        # all places of a rank may be merged at once only if no merge makes a pair of a lower rank
+        made_at = np.full(self.size, -1)
+        made_at[self.made] = np.arange(len(new))
+        if len(np.unique(self.made)) < len(new) or (np.maximum(made_at[self.left], made_at[self.right]) > np.arange(len(new))).any():
+            raise ValueError("a merge comes before the symbols it needs")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials))) + ")") if self.specials else None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -89,26 +95,47 @@ class Vocabulary:
         return out, sizes
 
 
-def merge_with_heap(v: Vocabulary, symbols: list[int]) -> list[int]:
-    """One very long sequence: a linked list and a heap of (rank, place)."""
-    n, sym = len(symbols), list(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank_of = lambda i: v.table.get(sym[i] * v.size + sym[after[i]]) if after[i] < n else None
-    heap = [(r, i) for i in range(n) if (r := rank_of(i)) is not None]
-    heapq.heapify(heap)
-    while heap:
-        r, i = heapq.heappop(heap)
-        if sym[i] < 0 or rank_of(i) != r:
-            continue
-        j = after[i]
-        sym[i], sym[j] = int(v.made[r]), -1
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for k in (i, before[i]):
-            if k >= 0 and (x := rank_of(k)) is not None:
-                heapq.heappush(heap, (x, k))
-    return [x for x in sym if x >= 0]
+def merge_long(v: Vocabulary, symbols: np.ndarray) -> np.ndarray:
+    """One long sequence after all merges.
+
+    The places of every known pair are kept by rank.  A round takes the lowest rank, merges all its
+    places at once, links the neighbours over the gaps and ranks only the pairs that changed, so a
+    round costs its own merges and not the sequence's length.
+    """
+    n, sym = len(symbols), symbols.copy()
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    places: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def add(at: np.ndarray) -> None:
+        rank = v.rank(sym[at], sym[after[at]])
+        at, rank = at[rank < NONE], rank[rank < NONE]
+        order = np.argsort(rank, kind="stable")
+        own, firsts = np.unique(rank[order], return_index=True)
+        for r, part in zip(own.tolist(), np.split(at[order], firsts[1:])):
+            if r not in places:
+                places[r] = []
+                heapq.heappush(ranks, r)
+            places[r].append(part)
+
+    add(np.arange(n - 1))
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(places.pop(r)))
+        at = at[(sym[at] == v.left[r]) & (after[at] < n)]
+        at = at[sym[after[at]] == v.right[r]]
+        if v.left[r] == v.right[r] and len(at) > 1:  # in a run of overlapping pairs every second one
+            first = np.ones(len(at), bool)
+            first[1:] = after[at[:-1]] != at[1:]
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
+        gone = after[at]
+        sym[at], sym[gone] = v.made[r], -1
+        after[at] = after[gone]
+        inner = after[at] < n
+        before[after[at[inner]]] = at[inner]
+        add(np.unique(np.concatenate([at[inner], before[at[before[at] >= 0]]])))
+    return sym[sym >= 0]
 
 
 def pretokens(v: Vocabulary, chunk: str) -> list[bytes]:

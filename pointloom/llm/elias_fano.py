@@ -16,7 +16,10 @@ a manifest of shards (one short row each) gives every shard's first id position.
 written under a name of its own attempt and counts only if its row reaches the manifest: a task run
 again after a lost executor, or twice by speculation, leaves nothing that is read.
 
-Null texts are empty documents with the end id alone; null doc_ids sort first; equal doc_ids stay
+Reading goes through the sampled ``select``: the boundaries of ``READ`` documents at a time, never a
+table of all.
+
+Null texts are empty documents with the end id alone; texts of any length are encoded whole; null doc_ids sort first; equal doc_ids stay
 apart rows in the order of their texts' hashes; extra columns are not read; an empty table gives no
 shards.
 """
@@ -42,6 +45,8 @@ MAGIC = b"PLEF"
 SAMPLE = 256
 #: Ids in a shard: more begin a new file, so that neither writer nor reader holds more.
 SHARD_IDS = 4_000_000
+#: Documents whose boundaries are decoded at once on reading.
+READ = 1024
 
 
 class EliasFano:
@@ -66,37 +71,42 @@ class EliasFano:
         return cls(n, low_bits, low, np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype("<u8"))
 
     def select(self, i: int) -> int:
-        """Value i: the place of one-bit i less i, from the sample before it, with its low bits."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at = int(self.samples[i // SAMPLE])
-        need = i % SAMPLE  # ones still to pass
-        byte = at // 8
-        seen = np.unpackbits(self.high[byte : byte + 1], bitorder="little")[: at % 8].sum()
-        need += int(seen)
-        while True:
-            block = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
-            ones = np.flatnonzero(block)
-            if need < len(ones):
-                place = byte * 8 + int(ones[need])
-                break
-            need -= len(ones)
-            byte += 64
-        first = i * self.low_bits
-        part = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low_bits]
-        low = sum(int(b) << k for k, b in enumerate(part))
-        return ((place - i) << self.low_bits) | low
-
-    def all(self) -> np.ndarray:
-        """Every value."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits and self.n:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+        """Value i."""
+        return int(self.range(i, i + 1)[0])
+
+    def range(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: one-bit a is looked for from the sample before it, and the high parts
+        are read on from there; value i is the place of one-bit i less i, with its low bits."""
+        if not 0 <= a < b <= self.n:
+            raise IndexError((a, b))
+        start = int(self.samples[a // SAMPLE])
+        skip = a % SAMPLE  # ones still to pass
+        byte = start // 8
+        skip += int(np.unpackbits(self.high[byte : byte + 1], bitorder="little")[: start % 8].sum())
+        places, missing, step = [], b - a, 64
+        while missing:
+            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + step], bitorder="little"))
+            own = ones[skip : skip + missing] + byte * 8
+            places.append(own)
+            skip, missing, byte, step = max(0, skip - len(ones)), missing - len(own), byte + step, 1024
+        place = np.concatenate(places)
+        out = (place - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            first, last = a * self.low_bits, b * self.low_bits
+            bits = np.unpackbits(self.low[first // 8 : (last + 7) // 8], bitorder="little")[first % 8 : first % 8 + last - first].reshape(b - a, self.low_bits)
             for k in range(self.low_bits):
                 out |= bits[:, k].astype(np.uint64) << np.uint64(k)
         return out
 
+    def parts(self, size: int) -> Iterator[np.ndarray]:
+        """All values, ``size`` at a time."""
+        for a in range(0, self.n, size):
+            yield self.range(a, min(a + size, self.n))
+
+    def all(self) -> np.ndarray:
+        """Every value."""
+        return self.range(0, self.n) if self.n else np.zeros(0, np.uint64)
+
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)], "<u8")
         return head.tobytes() + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
@@ -120,14 +130,19 @@ class Shard:
             raise ValueError("not a token shard")
         width, nulls, self.n, self.m, least = view[5], *np.frombuffer(view, "<i8", 4, 8).tolist()
         self.bounds, at = EliasFano.read(view, 40)
-        keys, at = EliasFano.read(view, at)
-        self.nulls = nulls
-        self.doc_ids = (keys.all() + np.uint64(least & (2**64 - 1))).astype(np.int64)
+        self.keys, at = EliasFano.read(view, at)
+        self.nulls, self.least = nulls, np.uint64(least & (2**64 - 1))
         self.ids = np.frombuffer(view, f"<u{width}", self.m, at)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
+    def doc_ids(self, a: int, b: int) -> pa.Array:
+        """The ids of documents a to b - 1, nulls first."""
+        nulls = max(0, min(b, self.nulls) - a)
+        known = (self.keys.range(a + nulls - self.nulls, b - self.nulls) + self.least).astype(np.int64) if a + nulls < b else np.zeros(0, np.int64)
+        return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(known, pa.int64())])
+
 
 def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, width: int) -> bytes:
     """One file's content; ``doc_ids`` ascend with nulls first."""
@@ -283,12 +298,14 @@ def read_documents(manifest: DataFrame, folder: str, keep_ids: bool = False) ->
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with store.open_input_stream(f"{base}/{name}") as f:
                     shard = Shard(f.read())
-                bounds = shard.bounds.all().astype(np.int64)
-                wide = shard.ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                keys = pa.concat_arrays([pa.nulls(shard.nulls, pa.int64()), pa.array(shard.doc_ids, pa.int64())])
-                more = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(wide.astype(np.int32)))] if keep_ids else []
-                yield pa.RecordBatch.from_arrays([keys, pa.array(start + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64()), *more], names)
+                for a in range(0, shard.n, READ):  # offsets of so many documents at a time, by select
+                    b = min(a + READ, shard.n)
+                    bounds = shard.bounds.range(a, b + 1).astype(np.int64)
+                    wide = shard.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    own = bounds - bounds[0]
+                    crc = [zlib.crc32(wide[x:y]) for x, y in zip(own[:-1].tolist(), own[1:].tolist())]
+                    more = [pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(wide.astype(np.int32)))] if keep_ids else []
+                    yield pa.RecordBatch.from_arrays([shard.doc_ids(a, b), pa.array(start + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64()), *more], names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,7 +3,8 @@
 Pre-tokens are held as ragged arrays, batched by length.  A round applies to every sequence of a
 batch its own lowest-rank pair (the leftmost, if it occurs more than once) at the same time, so all
 sequences still merging shrink by one symbol together; those without a known pair leave, and the
-symbols that survive are the count.  No ids are laid out.
+symbols that survive are the count.  No ids are laid out.  In a sequence of over ``LONG`` bytes a
+round merges all places of its lowest-rank pair and touches only what changes.
 
 Nulls and empty texts count zero tokens; repeated rows stay; extra columns are not read; texts are
 counted whole; an empty table gives an empty result.
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 
-from pointloom.llm.bpe_core import LONG, NONE, ChunkTable, Vocabulary, gathered, merge_with_heap, pretokens, ragged_take, slices
+from pointloom.llm.bpe_core import LONG, NONE, ChunkTable, Vocabulary, gathered, merge_long, pretokens, ragged_take, slices
 from pointloom.llm.byte_chunks import ByteTable, counted
 
 #: Symbols that one batch of equal lengths holds at most; bounds memory.
@@ -67,7 +68,7 @@ def count_pieces(v: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.nda
             continue
         if n > LONG:
             for i in own:
-                out[i] = len(merge_with_heap(v, symbols[starts[i] : starts[i] + n].tolist()))
+                out[i] = len(merge_long(v, symbols[starts[i] : starts[i] + n]))
             continue
         step = max(1, BATCH_SYMBOLS // int(n))
         for a in range(0, len(own), step):

@@ -1,4 +1,5 @@
 import hashlib
+import heapq
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.llm import bpe_codec, elias_fano, token_counts
-from pointloom.llm.bpe_core import merge_with_heap
+from pointloom.llm.bpe_core import merge_long
 from pointloom.llm.queries import tokenizer
 from tests.llm.cases import documents
 
@@ -43,6 +44,38 @@ def test_rounds_match_the_library_on_odd_texts(library):
         assert all(a.tolist() == library[path].encode(t or "", add_special_tokens=False).ids for a, t in zip(own, texts))
 
 
+def merge_with_heap(v, symbols: list[int]) -> list[int]:
+    """One pair at a time: a linked list and a heap of (rank, place)."""
+    n, sym = len(symbols), list(symbols)
+    table = dict(zip(v.keys.tolist(), v.ranks.tolist()))
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank_of = lambda i: table.get(sym[i] * v.size + sym[after[i]]) if after[i] < n else None
+    heap = [(r, i) for i in range(n) if (r := rank_of(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        if sym[i] < 0 or rank_of(i) != r:
+            continue
+        j = after[i]
+        sym[i], sym[j] = int(v.made[r]), -1
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for k in (i, before[i]):
+            if k >= 0 and (x := rank_of(k)) is not None:
+                heapq.heappush(heap, (x, k))
+    return [x for x in sym if x >= 0]
+
+
+def test_long_sequences_match_pair_by_pair():
+    v = bpe_codec.Codec(BYTES).vocabulary
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("a", "ab", "aabbth", "etaoinshrdlu", "0123456789abcdef") for n in (1, 2, 3, 401, 5000)]
+    for t in texts:
+        own = v.of_byte[np.frombuffer(t.encode(), np.uint8)]
+        assert merge_long(v, own).tolist() == merge_with_heap(v, own.tolist())
+
+
 def test_heap_and_rounds_agree():
     v = bpe_codec.Codec(BYTES).vocabulary
     rng = random.Random(2)
@@ -83,6 +116,7 @@ def test_elias_fano(values):
     ef = elias_fano.EliasFano.of(np.array(values, np.uint64))
     back, _ = elias_fano.EliasFano.read(memoryview(ef.to_bytes()), 0)
     assert back.all().tolist() == values
+    assert [x for part in back.parts(7) for x in part.tolist()] == values
     assert [back.select(i) for i in range(len(values))] == values
     with pytest.raises(IndexError):
         back.select(len(values))
@@ -96,7 +130,8 @@ def test_elias_fano_is_small():
 def test_shard_with_null_and_equal_ids():
     data = elias_fano.shard_bytes([None, -5, 3, 3, 2**62], np.array([1, 0, 3, 2, 1]), np.arange(7), 2)
     s = elias_fano.Shard(data)
-    assert s.nulls == 1 and s.doc_ids.tolist() == [-5, 3, 3, 2**62]
+    assert s.nulls == 1 and s.doc_ids(0, 5).to_pylist() == [None, -5, 3, 3, 2**62]
+    assert s.doc_ids(0, 1).to_pylist() == [None] and s.doc_ids(2, 4).to_pylist() == [3, 3]
     assert [s.document(i).tolist() for i in range(5)] == [[0], [], [1, 2, 3], [4, 5], [6]]
     with pytest.raises(ValueError):
         elias_fano.Shard(b"nonsense" * 10)
