@@ -1,21 +1,29 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A unit vector is approximated by the sum of one codeword from each of ``M`` full-dimensional
-codebooks (the first has ``CELLS`` codewords, the others ``K``).  The codebooks are fitted on residuals, then improved together by least squares; codes
-are found by beam search over the partial sums.  An index row is its codes (a byte each) and the
-stored squared norm of its sum, so a query scores it from lookup tables, |sum|^2 - 2 <q, sum>,
-without decoding.  The nearest by that score are reranked exactly, by cosine in double precision.
-
-*What meets what.*  The first codebook also deals the index into cells.  A query visits the cells
-nearest to it, at least ``PROBE`` and more until they hold enough rows.  Rows of a cell and queries
-of a cell are packed into blocks of bounded size, so a cell with a third of all vectors is only
-more blocks, and a task holds one pair of blocks.  A block pair returns each query's best few.
-
-Codebooks are fitted on at most ``TRAIN`` vectors, chosen by a hash of vec_id; every vector is
-indexed.  Vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, as query or candidate.  Ties in the cosine go to the smaller vec_id; rows
-with equal vec_ids are one candidate; a null vec_id takes no part; extra columns are not read; an
-empty table gives an empty result.
+codebooks.  The codebooks are fitted on residuals, then improved together by least squares; codes are
+found by beam search over the partial sums.  An index row is its codes, the stored squared norm of its
+sum, the cosine between sum and vector, and the vector itself.  A query scores rows from lookup
+tables, |sum|^2 - 2 <q, sum>, without decoding, and reranks them exactly, by cosine in double precision.
+
+*How deep to rerank.*  With a the angle between query and sum and t the stored angle between sum and
+vector, the query's cosine is at most cos(a - t).  A block's nearest by score are reranked first; then
+every row of it whose bound reaches their k-th exact cosine.  So in the blocks a query meets the result
+is exact, and no number of candidates is fixed, however many near copies there are.
+
+*What meets what.*  The first codebook deals the index into cells, about the square root of the rows
+many.  How many cells, in order of their distance, a query visits is measured: ``CHECKED`` queries are
+searched exactly over all rows, and the fewest cells that hold ``RECALL`` of their nearest are taken.
+Cells are cut into blocks of about ``ROWS`` rows by hash, so a cell with a third of all vectors is only
+more blocks.  A task reads a block and then the queries that visit it, sorted behind it, in batches;
+each block gives the best k of a query, and their best k are the result.
+
+The codebooks are fitted on at most ``TRAIN`` vectors, chosen by a hash of vec_id; every vector is
+indexed.  Vectors that are null, zero, or hold null or non-finite components take no part, nor do those
+with a null vec_id; a shorter vector counts as ending in zeros; very long or large ones are read whole
+(cosines are taken of vectors scaled by a power of two).  Ties in the cosine go to the smaller vec_id.
+Rows equal in vec_id and vector are one; rows with one vec_id and different vectors are each other's
+candidates.  Extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,14 +37,14 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import written
 
-#: Codebooks, codewords of each, codewords of the first (the cells), partial sums kept.
-M, K, CELLS, BEAM = 24, 128, 32, 4
+#: Codebooks, codewords of each but the first, most of the first (the cells), partial sums kept.
+M, K, CELLS, BEAM = 24, 128, 500, 4
 TRAIN = 10_000
-PROBE = 28
-#: Candidates of a query that are reranked, and the most that one block pair returns of them.
-RERANK, FROM_BLOCK = 300, 80
-#: Rows and queries in a block.
-ROWS, QUERIES = 4096, 512
+#: Queries that are searched exactly to choose the number of cells visited, and the share of their
+#: nearest that those must hold.
+CHECKED, RECALL = 200, 0.97
+#: Rows of a block, rows of it that are reranked first, and queries scored at once.
+ROWS, FIRST, QUERIES = 4096, 32, 64
 
 
 def nearest_codewords(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -60,10 +68,10 @@ def encode(x: np.ndarray, books: list[np.ndarray], beam: int = BEAM) -> np.ndarr
     """Codes (rows, M) by beam search: each level extends every kept partial sum by every codeword
     and keeps the ``beam`` with the smallest remaining error."""
     n, m = len(x), len(books)
-    out = np.zeros((n, m), np.uint8)
+    out = np.zeros((n, m), np.int16)
     for a in range(0, n, 1024):
         rest = x[a : a + 1024, None, :]  # rows, kept, dims
-        codes = np.zeros((len(rest), 1, 0), np.uint8)
+        codes = np.zeros((len(rest), 1, 0), np.int16)
         for level in range(m):
             book = books[level]
             error = (rest**2).sum(axis=2)[:, :, None] - 2 * rest @ book.T + (book**2).sum(axis=1)
@@ -72,7 +80,7 @@ def encode(x: np.ndarray, books: list[np.ndarray], beam: int = BEAM) -> np.ndarr
             best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
             before, word = best // len(book), best % len(book)
             rest = np.take_along_axis(rest, before[:, :, None], axis=1) - book[word]
-            codes = np.concatenate([np.take_along_axis(codes, before[:, :, None], axis=1), word[:, :, None].astype(np.uint8)], axis=2)
+            codes = np.concatenate([np.take_along_axis(codes, before[:, :, None], axis=1), word[:, :, None].astype(np.int16)], axis=2)
         out[a : a + 1024] = codes[:, 0]
     return out
 
@@ -81,7 +89,7 @@ def decoded(codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
     return sum(books[j][codes[:, j]] for j in range(len(books)))
 
 
-def fit_codebooks(x: np.ndarray, m: int = M, k: int = K, cells: int = CELLS, seed: int = 7) -> list[np.ndarray]:
+def fit_codebooks(x: np.ndarray, cells: int, m: int = M, k: int = K, seed: int = 7) -> list[np.ndarray]:
     """``m`` codebooks for unit rows ``x``."""
     rng = np.random.default_rng(seed)
     k, cells = min(k, max(1, len(x))), min(cells, max(1, len(x) // 4))
@@ -115,136 +123,203 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(flat).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, with largest components from a half to one; cosines stay."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The cosine of every row with vector ``q``, in double precision."""
+    rows, q = scaled(rows), scaled(q[None])[0]
+    return (rows * q).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((q * q).sum()))
+
+
 def sound(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part, one a vec_id."""
+    """(vec_id, h, v array<double>) of the vectors that take part, all of one length; vec_id and h, a
+    hash of the vector, name a row."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return v.where(fine)
+    v = v.where(fine)
+    width = v.agg(F.max(F.size("v"))).first()[0] or 0
+    v = v.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
+    return v.groupBy("vec_id", F.xxhash64("v").alias("h")).agg(F.first("v").alias("v"))
 
 
 def index(vectors: DataFrame, books: list[np.ndarray]) -> DataFrame:
-    """(vec_id, cell, codes, norm) of every vector."""
+    """(vec_id, h, v, cell, codes, norm, near) of every vector; near is the cosine to its own sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column(1))
-            if not len(x):
+            if not len(b):
                 continue
-            codes = encode((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), books)
-            norm = (decoded(codes, books) ** 2).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes[:, 0], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32())], ["vec_id", "cell", "codes", "norm"])
+            x = unit(matrix(b.column(2)))
+            codes = encode(x, books)
+            sums = decoded(codes, books)
+            norm = (sums.astype(np.float64) ** 2).sum(axis=1)
+            near = (sums * x).sum(axis=1) / np.sqrt(np.maximum(norm, 1e-30))
+            packed = pa.array([c.tobytes() for c in codes[:, 1:].astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes[:, 0], pa.int32()), packed, pa.array(norm, pa.float32()), pa.array(near, pa.float32())], ["vec_id", "h", "v", "cell", "codes", "norm", "near"])
+
+    return vectors.select("vec_id", "h", "v").mapInArrow(run, "vec_id long, h long, v array<double>, cell int, codes binary, norm float, near float")
+
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, cell int, codes binary, norm float")
+def cell_order(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Cells by distance, for every unit row."""
+    return np.argsort((first**2).sum(axis=1) - 2 * x @ first.T, axis=1, kind="stable")
 
 
-def routed(queries: DataFrame, books: list[np.ndarray], rows_in_cell: np.ndarray, probe: int, least_rows: int) -> DataFrame:
-    """(query_id, q array<float>, cell) for each cell that a query visits."""
+def cells_needed(rows: DataFrame, queries: DataFrame, first: np.ndarray, k: int, checked: int, recall: float) -> int:
+    """The fewest nearest cells that hold ``recall`` of the exact k nearest of a bounded sample of queries."""
+    sample = queries.orderBy(F.xxhash64("vec_id", F.lit(3)), "h").limit(checked).select("vec_id", "h", "v").toArrow().combine_chunks()
+    if not sample.num_rows:
+        return len(first)
+    ids, marks, q = (sample.column(0).to_numpy(), sample.column(1).to_numpy(), unit(matrix(sample.column(2).combine_chunks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = books[0]
-        for b in batches:
-            x = matrix(b.column(1))
-            if not len(x):
+        for b in batches:  # a batch's best k of each query: what is not among them can't be among the whole table's
+            if not len(b):
                 continue
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            order = np.argsort((first**2).sum(axis=1) - 2 * x @ first.T, axis=1, kind="stable")
-            held = np.cumsum(rows_in_cell[order], axis=1)
-            enough = np.maximum((held < least_rows).sum(axis=1) + 1, probe)
-            for a in range(0, len(x), 256):
-                part = slice(a, a + 256)
-                visits = np.arange(order.shape[1]) < enough[part, None]
-                row, col = np.nonzero(visits)
-                cells = order[part][row, col]
-                live = rows_in_cell[cells] > 0
-                row, cells = row[live], cells[live]
-                q = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * x.shape[1], pa.int32()), pa.array(x[part][row].ravel(), pa.float32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 256).take(pa.array(row)), q, pa.array(cells, pa.int32())], ["query_id", "q", "cell"])
-
-    return queries.select("vec_id", "v").mapInArrow(run, "query_id long, q array<float>, cell int")
-
-
-def scored(pairs: DataFrame, books: list[np.ndarray], most: int) -> DataFrame:
-    """(query_id, vec_id, far) for the ``most`` nearest rows of each block pair, by lookup tables."""
+            own, h, cell = (np.asarray(b.column(i)) for i in (0, 1, 3))
+            s = q @ unit(matrix(b.column(2))).T
+            s[(ids[:, None] == own) & (marks[:, None] == h)] = -2
+            n = min(k, s.shape[1])
+            best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), n), pa.int32()), pa.array(np.take_along_axis(s, best, axis=1).ravel(), pa.float32()), pa.array(own[best].ravel()), pa.array(cell[best].ravel())], ["q", "s", "vec_id", "cell"])
+
+    w = Window.partitionBy("q").orderBy(F.desc("s"), "vec_id")
+    found = rows.select("vec_id", "h", "v", "cell").mapInArrow(run, "q int, s float, vec_id long, cell int").where("s > -2")
+    found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("q", "cell").collect()  # at most checked * k short rows
+    place = np.argsort(cell_order(q, first), axis=1)
+    ranks = np.sort([place[r["q"], r["cell"]] for r in found])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else len(first)
+
+
+def routed(queries: DataFrame, first: np.ndarray, parts: np.ndarray, probe: int) -> DataFrame:
+    """(vec_id, h, v, cell, part) for each block that a query visits; ``parts`` are the blocks of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(books)
         for b in batches:
-            c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            for i in range(len(b)):
-                rows, asks = c["rows"][i].values, c["asks"][i].values
-                ids, norm = np.asarray(rows.field("vec_id")), np.asarray(rows.field("norm"))
-                codes = np.frombuffer(b"".join(rows.field("codes").to_pylist()), np.uint8).reshape(-1, m)
-                who, q = np.asarray(asks.field("query_id")), matrix(asks.field("q"))
-                order = np.argsort(ids, kind="stable")  # equal scores: the smaller id stays
-                ids, norm, codes = ids[order], norm[order], codes[order]
-                out = []
-                for a in range(0, len(q), 64):
-                    part = q[a : a + 64]
-                    far = np.repeat(norm[None, :], len(part), axis=0)
-                    for j in range(m):
-                        table = part @ books[j].T  # <q, codeword>
-                        far -= 2 * table[:, codes[:, j]]
-                    far[who[a : a + 64, None] == ids[None, :]] = np.inf
-                    n = min(most, far.shape[1])
-                    best = np.argsort(far, axis=1, kind="stable")[:, :n] if far.shape[1] <= 4 * most else _least(far, n)
-                    out.append((np.repeat(who[a : a + 64], n), ids[best].ravel(), np.take_along_axis(far, best, axis=1).ravel()))
-                x, y, z = (np.concatenate(o) for o in zip(*out))
-                ok = np.isfinite(z)
-                yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok]), pa.array(z[ok], pa.float32())], ["query_id", "vec_id", "far"])
-
-    return pairs.select("rows", "asks").mapInArrow(run, "query_id long, vec_id long, far float")
-
-
-def _least(far: np.ndarray, n: int) -> np.ndarray:
-    """Columns of the n smallest of each row; of equal ones those further left."""
-    edge = np.partition(far, n - 1, axis=1)[:, n - 1 : n]
-    below, at = far < edge, far == edge
-    room = n - below.sum(axis=1, keepdims=True)
-    keep = below | (at & (np.cumsum(at, axis=1) <= room))
-    return np.nonzero(keep)[1].reshape(len(far), n)
-
-
-def reranked(pairs: DataFrame) -> DataFrame:
-    """Adds score: the cosine of columns q and v in double precision."""
+            if not len(b):
+                continue
+            live = np.zeros((len(b), len(parts)), bool)
+            np.put_along_axis(live, cell_order(unit(matrix(b.column(2))), first)[:, :probe], True, axis=1)
+            row, cell = np.nonzero(live & (parts > 0))
+            times = parts[cell]
+            row, cell = np.repeat(row, times), np.repeat(cell, times)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            for a in range(0, len(row), 4096):
+                own = b.take(pa.array(row[a : a + 4096]))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cell[a : a + 4096], pa.int32()), pa.array(part[a : a + 4096], pa.int32())], ["vec_id", "h", "v", "cell", "part"])
+
+    return queries.select("vec_id", "h", "v").mapInArrow(run, "vec_id long, h long, v array<double>, cell int, part int")
+
+
+class Block:
+    """Index rows that queries are scored against."""
+
+    def __init__(self, books: list[np.ndarray], cell: int, rows: pa.Table):
+        rows = rows.sort_by("vec_id").combine_chunks()  # equal scores: the smaller id stays
+        of = lambda n: rows.column(n).combine_chunks()
+        self.books = books
+        self.ids, self.marks, self.norm = (of(n).to_numpy() for n in ("vec_id", "h", "norm"))
+        self.v = matrix(of("v"))
+        self.turn = np.arccos(np.clip(of("near").to_numpy().astype(np.float64), -1, 1))
+        self.codes = np.frombuffer(b"".join(of("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.cell = cell
+
+    def best(self, ids: np.ndarray, marks: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, vec_id, cosine) of each query's k nearest rows of the block."""
+        u = unit(q)
+        dots = np.repeat((u @ self.books[0][self.cell])[:, None], len(self.ids), axis=1)
+        for j, book in enumerate(self.books[1:]):
+            dots += (u @ book.T)[:, self.codes[:, j]]  # the table of <q, codeword>
+        score = self.norm - 2 * dots
+        own = (ids[:, None] == self.ids) & (marks[:, None] == self.marks)
+        score[own] = np.inf
+        angle = np.arccos(np.clip(dots / np.sqrt(np.maximum(self.norm, 1e-30)), -1, 1))
+        bound = np.cos(np.abs(angle - self.turn)) + 1e-5
+        bound[own] = -np.inf
+        first = np.argpartition(score, min(FIRST, score.shape[1]) - 1, axis=1)[:, :FIRST]
+        out = []
+        for i in range(len(q)):
+            near = first[i][~own[i, first[i]]]
+            exact = cosines(self.v[near], q[i])
+            least = np.partition(exact, -k)[-k] if len(exact) >= k else -2.0
+            more = np.flatnonzero(bound[i] >= least)
+            more = more[~np.isin(more, near)]
+            near, exact = np.concatenate([near, more]), np.concatenate([exact, cosines(self.v[more], q[i])])
+            keep = np.lexsort((self.ids[near], -exact))[:k]
+            out.append((np.full(len(keep), i), self.ids[near[keep]], exact[keep]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def searched(rows: DataFrame, asks: DataFrame, books: list[np.ndarray], k: int, tasks: int) -> DataFrame:
+    """(query_id, h, vec_id, score): the k nearest of every query in every block that it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        name, block = None, None
         for b in batches:
-            a, c = matrix(b.column(2)), matrix(b.column(3))
-            s = (a * c).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((c * c).sum(axis=1))) if len(b) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
-
-    return pairs.select("query_id", "vec_id", "q", "v").mapInArrow(run, "query_id long, vec_id long, score double")
-
-
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, probe: int = PROBE, rerank: int = RERANK, train: int = TRAIN) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of every vector whose vec_id is divisible by ``every``."""
+            at = np.stack([np.asarray(b.column(n)) for n in ("cell", "part", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(b)]
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if z == a:
+                    continue
+                cell, part, kind = at[a].tolist()
+                own = b.slice(a, z - a)
+                if kind == 0:  # the block's rows come before its queries
+                    if name != (cell, part):
+                        held, block, name = [], None, (cell, part)
+                    held.append(pa.Table.from_batches([own]))
+                    continue
+                if name != (cell, part):
+                    raise AssertionError("queries without their block")
+                if block is None:
+                    block, held = Block(books, cell, pa.concat_tables(held)), []
+                for c in range(0, len(own), QUERIES):
+                    some = own.slice(c, QUERIES)
+                    ids, marks = np.asarray(some.column(0)), np.asarray(some.column(1))
+                    place, vec_id, score = block.best(ids, marks, matrix(some.column(2)), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[place]), pa.array(marks[place]), pa.array(vec_id), pa.array(score)], ["query_id", "h", "vec_id", "score"])
+
+    names = ["vec_id", "h", "v", "cell", "part", "kind", "codes", "norm", "near"]
+    both = rows.withColumn("kind", F.lit(0)).select(names).unionByName(asks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", "kind")
+    return dealt.select(names).mapInArrow(run, "query_id long, h long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, probe: int | None = None, train: int = TRAIN, checked: int = CHECKED, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of every vector whose vec_id is divisible by ``every``.
+
+    ``probe`` cells are visited; if not given, as many as ``recall`` needs on ``checked`` queries.
+    """
     spark = vectors.sparkSession
     v = written(sound(vectors), "vectors")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    usual = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if usual is None:
-        return empty
-    v = v.where(F.size("v") == usual["d"]).dropDuplicates(["vec_id"])
-    unit = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
-    fitted = v.where(unit < int((1 << 20) * min(1.0, 0.9 * train / usual["count"]))) if usual["count"] > 0.9 * train else v
-    x = matrix(fitted.orderBy("vec_id").limit(train).select("v").toArrow().combine_chunks().column(0).combine_chunks())
-    books = fit_codebooks((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
+    n = v.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    chance = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30)
+    fitted = v.where(chance < 2 * train / n).orderBy(F.xxhash64("vec_id"), "vec_id", "h").limit(train)  # of about twice as many the first by hash
+    x = unit(matrix(fitted.select("v").toArrow().combine_chunks().column(0).combine_chunks()))
+    books = fit_codebooks(x, cells=int(min(CELLS, np.ceil(np.sqrt(n)))))
 
     rows = written(index(v, books), "index")
     in_cell = np.zeros(len(books[0]), np.int64)
     for r in rows.groupBy("cell").count().collect():  # a row for each codeword at most
         in_cell[r["cell"]] = r["count"]
-    parts = F.element_at(F.array(*[F.lit(int(max(1, -(-n // ROWS)))) for n in in_cell]), F.col("cell") + 1)
-    asks = routed(v.where(F.col("vec_id") % every == 0), books, in_cell, probe, rerank)
-    deal = F.pmod(F.xxhash64("vec_id"), parts).cast("int")
-    blocks = rows.groupBy("cell", deal.alias("part")).agg(F.collect_list(F.struct("vec_id", "codes", "norm")).alias("rows"))
-    groups = F.element_at(F.array(*[F.lit(int(max(1, usual["count"] // every // QUERIES)))]), F.lit(1))
-    ask_blocks = asks.groupBy("cell", F.pmod(F.xxhash64("query_id"), groups).cast("int").alias("group")).agg(F.collect_list(F.struct("query_id", "q")).alias("asks"))
-    pairs = blocks.join(ask_blocks, "cell")
-    short = scored(pairs.repartition("cell", "part", "group"), books, FROM_BLOCK)
-    w = Window.partitionBy("query_id").orderBy("far", "vec_id")
-    short = written(short.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rerank).select("query_id", "vec_id"), "shortlist")
-    q = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    final = reranked(short.join(v, "vec_id").join(q, "query_id"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return final.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = -(-in_cell // ROWS)
+    queries = rows.where(F.col("vec_id") % every == 0)
+    if probe is None:
+        probe = cells_needed(rows, queries, books[0], k, checked, recall)
+    asks = routed(queries, books[0], parts, probe)
+    per_cell = F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts]), F.col("cell") + 1)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "h"), per_cell).cast("int"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(min(parts.sum(), 20_000)))
+    short = searched(dealt, asks, books, k, tasks)
+    w = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
+    return short.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

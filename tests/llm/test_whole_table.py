@@ -141,7 +141,7 @@ def cloud(spark, rows):
 
 
 def exact(rows, every, k):
-    good = {i: np.array(v) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v) and len(v) == 8}
+    good = {i: np.pad(v, (0, 8 - len(v))) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     out = {}
     for q in (i for i in good if i % every == 0):
         s = sorted((-float(good[q] @ v / np.linalg.norm(good[q]) / np.linalg.norm(v)), i) for i, v in good.items() if i != q)
@@ -167,6 +167,35 @@ def test_search_cases(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(0, 1, 1)] and few[0]["score"] == pytest.approx(0.8)
 
 
+def test_one_id_with_two_vectors_and_huge_components(spark):
+    rows = [(0, [1e300, 1e300]), (0, [1.0, 0.0]), (1, [1e-300, 0.9e-300]), (2, [-1.0, 0.0]), (1, [0.0, 3.0])]
+    got = sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in additive_ann.nearest(cloud(spark, [(*r, "", "") for r in rows])).collect())
+    one = np.array([[1.0, 1.0], [1.0, 0.0], [1.0, 0.9], [-1.0, 0.0], [0.0, 1.0]])
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    want = []
+    for q in (0, 1):  # both rows with id 0 ask, and each is a candidate of the other
+        s = sorted((-round(float(one[q] @ one[i]), 6), rows[i][0]) for i in range(5) if i != q)
+        want += [(rank, i, -x) for rank, (x, i) in enumerate(s, 1)]
+    assert got == sorted(want)
+
+
+def test_near_copies_are_reranked_whole(spark):
+    """A third of the rows are near copies of one vector, more than any fixed list would hold; with all
+    cells visited the result is exact."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2400, 24))
+    x[:800] = x[0] + 0.003 * rng.normal(size=(800, 24))
+    ids = rng.permutation(2400)
+    got = {}
+    for r in additive_ann.nearest(cloud(spark, [(int(i), v.tolist(), "", "") for i, v in zip(ids, x)]), every=40, probe=10_000).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in np.flatnonzero(ids % 40 == 0):
+        s = unit @ unit[i]
+        s[i] = -9
+        assert [got[ids[i]][r] for r in range(1, 6)] == ids[np.argsort(-s)[:5]].tolist()
+
+
 def test_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = df.toPandas().sort_values("vec_id")
