@@ -56,16 +56,16 @@ def discard(stored: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def skewed_join(big: DataFrame, small: DataFrame, on: list[str], how: str, spread: Column) -> DataFrame:
+def skewed_join(big: DataFrame, small: DataFrame, on: list[str], how: str, spread: Column, counts: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small``, whose rows have distinct keys, so that no key of ``big`` is one task's work.
 
     A key with over one in ``SPLITS`` rows of ``big`` is hot; there can't be ``SPLITS`` of them, so
     their list is broadcast.  Rows of a hot key are dealt over ``SPLITS`` parts by ``spread``, and its
-    row of ``small`` is written once for each part.
+    row of ``small`` is written once for each part.  ``counts`` (key, __rows) saves counting ``big``.
     """
-    counts = big.groupBy(*on).count().withColumnRenamed("count", "__rows")
-    total = big.count()
-    hot = F.broadcast(counts.where(F.col("__rows") > total / SPLITS).select(*on, F.lit(True).alias("__hot")))
+    counts = big.groupBy(*on).agg(F.count("*").alias("__rows")) if counts is None else counts
+    total = counts.agg(F.sum("__rows")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("__rows") > max(1, total / SPLITS)).select(*on, F.lit(True).alias("__hot")))
     dealt = big.join(hot, on, "left").withColumn("__part", F.when(F.col("__hot"), F.pmod(spread, F.lit(SPLITS)).cast("int")).otherwise(0)).drop("__hot")
     parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
     copied = small.join(hot, on, "left").withColumn("__part", F.explode(parts)).drop("__hot")

@@ -20,7 +20,9 @@ compared on its own, so no task ever holds more than two parts.
 
 Null and empty texts have fingerprint zero and are linked like any other; texts of one or two
 words have one shingle; repeated rows share a group; long texts are hashed whole; extra columns
-are not read (``first_of_group`` keeps them); an empty table gives an empty result.
+are not read; an empty table gives an empty result.
+
+``simhash_sets`` has the operator's form for a similarity of shingle sets, which the pipeline uses.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import written
+from pointloom.llm.common import skewed_join, written
 from pointloom.llm.components import connected_components
 
 SEED, RADIUS, SHINGLE = 42, 3, 3
@@ -84,29 +86,30 @@ def transposed(rows: np.ndarray) -> np.ndarray:
 
 
 def near_lanes(plane: np.ndarray, used: np.ndarray, probes: np.ndarray, words: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Which lanes lie within ``radius`` (0 to 3) of a probe.
+    """Which lanes lie within ``radius`` of a probe.
 
     Block i is word ``words[i]`` of the planes against fingerprint ``probes[i]``; ``used`` marks the
     filled lanes of each word.  Gives (block, lane) of every hit.  All 64 distances of a block are
-    counted at once by carry-save adders; blocks whose lanes are all over the radius are dropped.
+    counted at once by carry-save adders, in counters that begin so high that they run over at
+    ``radius`` + 1; blocks whose lanes have all run over are dropped.
     """
-    full = ~np.uint64(0)
+    full, none = ~np.uint64(0), np.uint64(0)
     block, w, probe = np.arange(len(words)), words, probes
-    one = np.zeros(len(words), np.uint64)
-    two, over = one.copy(), ~used[words]
+    width = max(1, radius.bit_length())
+    begin = (1 << width) - 1 - radius
+    count = [np.full(len(words), full if begin >> b & 1 else none) for b in range(width)]
+    over = ~used[words]
     for k in range(64):
-        carry = plane[k, w] ^ (np.uint64(0) - ((probe >> np.uint64(k)) & np.uint64(1)))  # lanes that differ in bit k
-        carry, one = one & carry, one ^ carry
-        carry, two = two & carry, two ^ carry
-        over |= carry  # a fourth difference: the counter is full for good
+        carry = plane[k, w] ^ (none - ((probe >> np.uint64(k)) & np.uint64(1)))  # lanes that differ in bit k
+        for b in range(width):
+            carry, count[b] = count[b] & carry, count[b] ^ carry
+        over |= carry
         if k % 4 == 3:
             live = over != full
             if not live.all():
-                block, w, probe, one, two, over = block[live], w[live], probe[live], one[live], two[live], over[live]
+                block, w, probe, over, count = block[live], w[live], probe[live], over[live], [c[live] for c in count]
                 if not len(block):
                     break
-    if radius < 3:
-        over = over | {0: one | two, 1: two, 2: one & two}[radius]
     row, lane = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     return block[row], lane
 
@@ -124,8 +127,8 @@ def joined_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = again
 
 
-def star_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, blocks: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smaller place's fingerprint, fingerprint) that span what lies within ``radius`` in each group.
+def near_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, blocks: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of all pairs within ``radius`` in each group (and of each member with itself).
 
     ``fps`` has the groups' members end to end.  At most ``blocks`` blocks of 64 comparisons are held at once.
     """
@@ -140,7 +143,6 @@ def star_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, blocks:
     plane, used = transposed(rows), np.packbits(member >= 0, bitorder="little").view(np.uint64)
     own_word = lane_of // 64
     meets = first_word[group] + n_words[group] - own_word  # a probe meets its own word and those after it
-    root = np.arange(len(fps))
     ends = np.cumsum(meets)
     at = 0
     while at < len(fps):
@@ -149,8 +151,15 @@ def star_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, blocks:
         step = np.arange(len(probe)) - np.repeat(ends[at:to] - meets[at:to] - (ends[at - 1] if at else 0), meets[at:to])
         words = own_word[probe] + step
         block, lane = near_lanes(plane, used, fps[probe], words, radius)
-        root = joined_roots(root, probe[block], member[words[block] * 64 + lane])
+        yield probe[block], member[words[block] * 64 + lane]
         at = to
+
+
+def star_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, blocks: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smaller place's fingerprint, fingerprint) that span what lies within ``radius`` in each group."""
+    root = np.arange(len(fps))
+    for a, b in near_pairs(fps, sizes, radius, blocks):
+        root = joined_roots(root, a, b)
     own = np.flatnonzero(root != np.arange(len(fps)))
     return fps[root[own]], fps[own]
 
@@ -182,7 +191,7 @@ def candidate_groups(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         tables += [F.lit((i * 4 + j) << 28) + F.shiftleft(bits(16 * i, 16), 12) + F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(4095)) for j in range(4)]
     keyed = fps.select("fp", F.explode(F.array(*tables)).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    some = keyed.join(counts, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    some = skewed_join(keyed, counts, ["key"], "inner", F.xxhash64("fp"), counts.select("key", F.col("n").alias("__rows"))).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     some = some.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # part p meets every part from itself on
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))
@@ -198,28 +207,32 @@ def identity() -> list:
     return [F.col("doc_id").isNull().alias("__missing"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__rid")]
 
 
-def _groups(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with fingerprints, and for each fingerprint the first document of its group."""
+def _groups(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with fingerprints, their number by fingerprint, and for each fingerprint the first
+    document of its group."""
     own = written(fingerprints(docs), "fingerprints")
-    classes = own.groupBy("fp").agg(F.min(F.struct("__missing", "__rid")).alias("own_first"))
-    links = candidate_groups(own.select("fp").distinct(), block).mapInArrow(links_in, "a long, b long")
+    classes = written(own.groupBy("fp").agg(F.min(F.struct("__missing", "__rid")).alias("own_first"), F.count("*").alias("__rows")), "classes")
+    links = candidate_groups(classes.select("fp"), block).mapInArrow(links_in, "a long, b long")
     roots = connected_components(links).withColumnRenamed("node", "fp")
     least = roots.join(classes, "fp").groupBy("root").agg(F.min("own_first").alias("first"))
-    labels = roots.join(least, "root").select("fp", "first")
-    return own, written(classes.join(labels, "fp", "left").select("fp", F.coalesce("first", "own_first").alias("first")), "labels")
+    labels = skewed_join(roots, least, ["root"], "inner", F.xxhash64("fp")).select("fp", "first")
+    firsts = written(classes.join(labels, "fp", "left").select("fp", F.coalesce("first", "own_first").alias("first")), "labels")
+    return own, classes.select("fp", "__rows"), firsts
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id of the group; null
     if the group has none)."""
-    own, firsts = _groups(docs, block)
+    own, counts, firsts = _groups(docs, block)
     component = F.when(~F.col("first.__missing"), F.col("first.__rid"))
-    return own.join(firsts, "fp").select(F.when(~F.col("__missing"), F.col("__rid")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
+    out = skewed_join(own, firsts, ["fp"], "inner", F.col("__rid"), counts)
+    return out.select(F.when(~F.col("__missing"), F.col("__rid")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
 
 
 def first_of_group(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The document with the smallest doc_id of each group, once, with all its columns."""
-    firsts = _groups(docs, block)[1].select("first.*").distinct()
-    rows = docs.select(*identity(), F.struct("*").alias("__doc"))  # packed, so that no name of theirs can clash
+    """The document with the smallest doc_id of each group, once, with all its columns.  Rows with one
+    doc_id and different texts are different documents; if both begin a group, both stay."""
+    firsts = _groups(docs, block)[2].select("first.*").distinct()
+    rows = docs.select(*identity(), F.xxhash64("text").alias("__hash"), F.struct("*").alias("__doc"))  # packed, so that no name of theirs can clash
     kept = rows.join(firsts, ["__missing", "__rid"], "left_semi")
-    return kept.dropDuplicates(["__missing", "__rid"]).select("__doc.*")
+    return kept.dropDuplicates(["__missing", "__rid", "__hash"]).select("__doc.*")
