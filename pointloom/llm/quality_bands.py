@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: (bytes from which a line holds, least ratio, largest ratio) of whole documents.  From the rows of
-#: the 0.1 table with an even doc_id that pass the base rule and are labelled good (quality 1): the
-#: smallest ratio less 0.05, and the 99.5 % quantile plus 0.03, never less than in the line before.
+#: (bytes from which a line holds, least ratio, largest ratio) of whole documents.  Set as
+#: ``fitted_bands`` does, from the rows of the 0.1 table with an even doc_id; another corpus has its own.
 #: No such rows: under 256 bytes (no least ratio to speak of) and from 65536 (the largest carried on).
 BANDS = (
     (0, 0.5, 1.84), (256, 1.33, 1.84), (384, 1.38, 1.84), (512, 1.42, 1.84), (640, 1.54, 1.88), (768, 1.56, 1.99), (1024, 1.67, 2.02), (1280, 1.73, 2.07), (1536, 1.79, 2.12),
@@ -32,7 +32,7 @@ CHUNK_BAND, CHUNK_SHARE = (1.9, 2.28), 0.34
 LEVEL = 3
 SYMBOLS = "#*$%&|<>"
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks int, n_chunks_outside int, reason string"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks int, n_chunks_outside int, reason string, n_bytes long"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -112,13 +112,30 @@ def quality_rules(docs: DataFrame, **settings) -> DataFrame:
                 text = text.as_py()
                 base = base_figures(text)
                 ratio, n, outside, why = bands.verdict(text)
-                rows.append((doc_id.as_py(), *base, not base[-1] and why is None, ratio, n, outside, "base" if base[-1] else why))
+                rows.append((doc_id.as_py(), *base, not base[-1] and why is None, ratio, n, outside, "base" if base[-1] else why, len((text or "").encode())))
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def fitted_bands(docs: DataFrame, labels: DataFrame, edges: tuple[int, ...] = tuple(b[0] for b in BANDS)) -> tuple[tuple[int, float, float], ...]:
+    """Bands for a corpus, from its labelled good rows (quality 1) that pass the base rule: by length the
+    smallest ratio less 0.05 and the 99.5 % quantile plus 0.03, neither below the line before.  Lengths
+    without such rows take the limits of the line before.  One row a length comes to the driver."""
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = quality_rules(docs).where("not base_failed").join(good, "doc_id", "left_semi")
+    line = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n_bytes"))) - 1
+    got = {r["line"]: r for r in rows.groupBy(line.alias("line")).agg(F.min("ratio").alias("low"), F.expr("percentile(ratio, 0.995)").alias("high")).collect()}
+    out, low, high = [], 0.5, 0.0
+    for i, edge in enumerate(edges):
+        if i in got:
+            low, high = max(low, got[i]["low"] - 0.05), max(high, got[i]["high"] + 0.03)
+        out.append((edge, round(low, 2), round(high, 2)))
+    first = next((h for _, _, h in out if h), float("inf"))
+    return tuple((e, lo, h or first) for e, lo, h in out)
+
+
 def passing(docs: DataFrame, **settings) -> DataFrame:
     """The documents that neither the base rule nor the bands reject, with all their columns.
 

@@ -43,3 +43,39 @@ def test_bands_reject_rows_that_pass_the_base_rule(spark):
     poor, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
     assert len(poor) > 100 and sum(poor) / len(poor) < 0.3
     assert len(good) > 1000 and sum(good) / len(good) > 0.99
+
+
+def plain_verdict(text):
+    """Ratio, chunks, chunks outside and verdict, by slicing and one compressor a piece."""
+    import zstandard
+
+    data = (text or "").encode()
+    squeeze = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x)) if x else 0.0
+    ratio = squeeze(data)
+    low, high = [b[1:] for b in quality_bands.BANDS if b[0] <= len(data)][-1]
+    pieces = [data[i : i + 4096] for i in range(0, len(data), 4096)] or [b""]
+    if len(pieces) > 1 and len(pieces[-1]) < 2048:
+        pieces[-2:] = [pieces[-2] + pieces[-1]]
+    lowest, highest = quality_bands.CHUNK_BAND
+    outside = sum(not lowest <= squeeze(x) <= highest for x in pieces) if len(pieces) > 1 else 0
+    return ratio, len(pieces), outside, low <= ratio <= high and outside <= quality_bands.CHUNK_SHARE * len(pieces)
+
+
+def test_bands_match_a_plain_version(spark):
+    from tests.llm.test_filters import plain_figures
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(documents(spark).select("doc_id", "text"))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["ratio"], r["n_chunks"], r["n_chunks_outside"], r["kept"]) for r in quality_bands.quality_rules(docs).collect())
+    want = []
+    for r in docs.collect():
+        *figures, fine = plain_verdict(r["text"])
+        want.append((r["doc_id"] is None, r["doc_id"] or 0, len((r["text"] or "").encode()), *figures, fine and not plain_figures(r["text"])[-1]))
+    assert got == sorted(want)
+    assert len({w[-1] for w in want}) == 2 and max(w[4] for w in want) > 5
+
+
+def test_bands_of_a_corpus(spark):
+    sf = "/root/testdata/sf0.1"
+    bands = quality_bands.fitted_bands(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 0"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for (edge, low, high), (e, lo, h) in zip(bands, quality_bands.BANDS):
+        assert edge == e and (not 640 <= e <= 16384 or abs(high - h) < 0.12 and abs(low - lo) < 0.12), (e, low, lo, high, h)
