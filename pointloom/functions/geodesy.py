@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.geometry import ColumnLike, c
+from pointloom.functions.geometry import ColumnLike, c, held
 
 #: WGS 84 (fixed values).
 A, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -71,3 +71,49 @@ def enu(lat: ColumnLike, lon: ColumnLike, h: ColumnLike, lat0: float, lon0: floa
         (-math.sin(p) * math.cos(l) * dx - math.sin(p) * math.sin(l) * dy + math.cos(p) * dz).alias("n"),
         (math.cos(p) * math.cos(l) * dx + math.cos(p) * math.sin(l) * dy + math.sin(p) * dz).alias("u"),
     )
+
+
+def from_web_mercator(x: ColumnLike, y: ColumnLike) -> Column:
+    """struct(lat, lon) in degrees."""
+    return F.struct(F.degrees(F.asin(F.tanh(c(y) / A))).alias("lat"), F.degrees(c(x) / A).alias("lon"))
+
+
+def from_transverse_mercator(east: ColumnLike, north: ColumnLike, lon0: float | Column, scale: float, false_east: float, false_north: float) -> Column:
+    """struct(lat, lon): the inverse of ``transverse_mercator``, by the inverse series and five fixed-point
+    steps for the latitude."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 / 1440 * n**4, 17 / 480 * n**3 - 37 / 840 * n**4, 4397 / 161280 * n**4]
+    e = math.sqrt(E2)
+
+    def run(xi: Column, eta: Column, lon0: Column) -> Column:
+        x, y = eta, xi
+        for j, b in enumerate(beta, 1):
+            x = x - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return held(angles, x, y, lon0)
+
+    def angles(x: Column, y: Column, lon0: Column) -> Column:
+        conformal = F.asin(F.sin(y) / F.cosh(x))
+        whole = F.log(F.tan(F.pi() / 4 + conformal / 2))
+        lat = conformal
+        for _ in range(5):
+            lat = held(lambda p, q: 2 * F.atan(F.exp(q + e * F.atanh(e * F.sin(p)))) - F.pi() / 2, lat, whole)
+        return F.struct(F.degrees(lat).alias("lat"), (F.degrees(F.atan2(F.sinh(x), F.cos(y))) + lon0).alias("lon"))
+
+    return held(run, (c(north) - false_north) / (scale * radius), (c(east) - false_east) / (scale * radius), c(lon0))
+
+
+def with_geoid(fixes: DataFrame, grid: DataFrame, step: float, height: str = "height") -> DataFrame:
+    """Adds orthometric: heights less the geoid's separation, between the four grid points around a fix.
+
+    ``grid`` has (iy, ix, separation) at iy * step degrees of latitude and ix * step of longitude; a fix
+    outside it gets null.  Each fix meets four grid rows by an equi-join.
+    """
+    iy, ix = F.floor(F.col("lat") / step), F.floor(F.col("lon") / step)
+    fy, fx = F.col("lat") / step - iy, F.col("lon") / step - ix
+    corner = lambda a, b, w: F.struct((iy + a).cast("long").alias("iy"), (ix + b).cast("long").alias("ix"), w.alias("w"))
+    corners = F.array(corner(0, 0, (1 - fy) * (1 - fx)), corner(0, 1, (1 - fy) * fx), corner(1, 0, fy * (1 - fx)), corner(1, 1, fy * fx))
+    rows = fixes.select(F.struct(*fixes.columns).alias("__fix"), F.explode(corners).alias("k")).select("__fix", "k.*").join(grid.selectExpr("cast(iy as long) iy", "cast(ix as long) ix", "separation"), ["iy", "ix"], "left")
+    out = rows.groupBy("__fix").agg(F.sum(F.col("w") * F.col("separation")).alias("__n"), F.count("separation").alias("__c"))
+    return out.select("__fix.*", F.when(F.col("__c") == 4, F.col(f"__fix.{height}") - F.col("__n")).alias("orthometric"))

@@ -88,12 +88,12 @@ def histogram_stats(bins: DataFrame, width: float) -> DataFrame:
 
 
 def normal_equations(rows: DataFrame, jacobian: list[str], residual: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Upper triangle of J'WJ (ata_ij) and J'Wr (atb_i) by key: only sums cross the exchange."""
+    """Upper triangle of J'WJ (ata_ij), J'Wr (atb_i) and r'Wr (rtr) by key: only sums cross the exchange."""
     w = F.col(weight) if weight else F.lit(1.0)
     n = len(jacobian)
     ata = [F.sum(F.col(jacobian[i]) * F.col(jacobian[j]) * w).alias(f"ata_{i}{j}") for i in range(n) for j in range(i, n)]
     atb = [F.sum(F.col(jacobian[i]) * F.col(residual) * w).alias(f"atb_{i}") for i in range(n)]
-    return rows.groupBy(*(keys or [])).agg(F.count("*").alias("n"), *ata, *atb)
+    return rows.groupBy(*(keys or [])).agg(F.count("*").alias("n"), *ata, *atb, F.sum(F.col(residual) * F.col(residual) * w).alias("rtr"))
 
 
 def rms(rows: DataFrame, residuals: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -139,3 +139,94 @@ def dense_index(rows: DataFrame, value: str, name: str) -> DataFrame:
     are numbered once and joined back, so rows are not ordered in one task."""
     distinct = rows.select(value).where(F.col(value).isNotNull()).distinct().withColumn(name, F.row_number().over(Window.orderBy(value)) - 1)
     return rows.join(distinct, value, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
+
+
+def bucket_index(points: DataFrame, dims: list[str], size: float) -> DataFrame:
+    """Cells in the order of their keys with count and the places (begin, end) of their rows in a table
+    sorted by cell.  Counts are summed along the first axis, then inside each of its columns, so no
+    window holds all cells."""
+    keys = [f"i{d}" for d in dims]
+    cells = with_cells(points, dims, size).groupBy(*keys).agg(F.count("*").alias("n"))
+    columns = cells.groupBy(keys[0]).agg(F.sum("n").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy(keys[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each cell of one axis
+    starts = columns.select(keys[0], before.alias("__start"))
+    inner = F.sum("n").over(Window.partitionBy(keys[0]).orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, 0))
+    out = cells.withColumn("__upto", inner).join(starts, keys[0])
+    return out.select(*keys, "n", (F.col("__start") + F.col("__upto") - F.col("n")).alias("begin"), (F.col("__start") + F.col("__upto")).alias("end"))
+
+
+def largest_buckets(points: DataFrame, dims: list[str], size: float, more_than: int) -> DataFrame:
+    """Cells with more than so many points, the largest first."""
+    keys = [f"i{d}" for d in dims]
+    return with_cells(points, dims, size).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > more_than).orderBy(F.desc("n"), *keys)
+
+
+def pair_normal_equations(rows: DataFrame, first: list[str], second: list[str], residual: str, pose_a: str, pose_b: str, weight: str | None = None) -> DataFrame:
+    """Sparse normal equations of observations between two poses each: (row, col, i, j, ata) blocks with
+    row <= col, and (row, i, atb) as the blocks with col null and j null.
+
+    ``first`` and ``second`` are the Jacobian's columns for ``pose_a`` and ``pose_b``.  Every observation
+    gives its own three blocks and two right sides as small sums by (row, col), so the exchange carries a
+    row for each pair of poses that see each other, not for each observation.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    n = len(first)
+    a, b = F.col(pose_a), F.col(pose_b)
+    swap = a > b
+    side = lambda low: [F.when(swap, F.col(y if low else x)).otherwise(F.col(x if low else y)) for x, y in zip(first, second)]
+    own = rows.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"), *[v.alias(f"u{i}") for i, v in enumerate(side(True))], *[v.alias(f"v{i}") for i, v in enumerate(side(False))], F.col(residual).alias("r"), w.alias("w"))
+    sums = []
+    for x, y in (("u", "u"), ("u", "v"), ("v", "v")):
+        sums += [F.sum(F.col(f"{x}{i}") * F.col(f"{y}{j}") * F.col("w")).alias(f"{x}{y}_{i}_{j}") for i in range(n) for j in range(n)]
+    sums += [F.sum(F.col(f"{x}{i}") * F.col("r") * F.col("w")).alias(f"{x}r_{i}") for x in "uv" for i in range(n)]
+    pairs = own.groupBy("p", "q").agg(*sums)
+    none = F.lit(None)
+    long, whole = none.cast("long"), lambda i: F.lit(i).cast("int")
+    block = lambda row, col, i, j, value: F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"), whole(i).alias("i"), whole(j).alias("j"), F.col(value).alias("value"))
+    p, q = F.col("p"), F.col("q")
+    parts = [block(p, p, i, j, f"uu_{i}_{j}") for i in range(n) for j in range(n)] + [block(p, q, i, j, f"uv_{i}_{j}") for i in range(n) for j in range(n)] + [block(q, q, i, j, f"vv_{i}_{j}") for i in range(n) for j in range(n)]
+    parts += [block(p, long, i, None, f"ur_{i}") for i in range(n)] + [block(q, long, i, None, f"vr_{i}") for i in range(n)]
+    return pairs.select(F.explode(F.array(*parts)).alias("b")).select("b.*").groupBy("row", "col", "i", "j").agg(F.sum("value").alias("value"))
+
+
+def mahalanobis(points: DataFrame, gaussians: DataFrame, size: float, mode: str = "floor", floor: float = 0.0) -> DataFrame:
+    """(n, mean_square): points against the Gaussian of their own voxel; singular ones are left out."""
+    from pointloom.functions.geometry import held
+
+    keys = ["ix", "iy", "iz"]
+    j = with_cells(points, ["x", "y", "z"], size, mode, keys).join(gaussians.drop("n"), keys)
+    d = [F.col(a) - F.col(f"mean_{a}") for a in "xyz"]
+
+    def square(x, y, z, xx, xy, xz, yy, yz, zz):
+        cof = (yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy, xx * zz - xz * xz, xy * xz - xx * yz, xx * yy - xy * xy)
+        det = xx * cof[0] + xy * cof[1] + xz * cof[2]
+        top = x * x * cof[0] + y * y * cof[3] + z * z * cof[5] + 2 * (x * y * cof[1] + x * z * cof[2] + y * z * cof[4])
+        return F.when(det > 0, top / det)
+
+    covs = [F.col(f"cov_{n}") + (floor * floor if n[0] == n[1] else 0.0) for n in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    return j.select(held(square, *d, *covs).alias("m")).where("m is not null").agg(F.count("*").alias("n"), F.avg("m").alias("mean_square"))
+
+
+def load_counters(points: DataFrame, kept, ts: str = "ts", keys: list[str] | None = None) -> DataFrame:
+    """What a loader reports: rows in all, without a time, and left out by the condition ``kept``."""
+    return points.groupBy(*(keys or [])).agg(F.count("*").alias("total"), F.count_if(F.col(ts) == 0).alias("without_time"), F.count_if(~F.coalesce(kept, F.lit(False))).alias("filtered"))
+
+
+def first_failure(rows: DataFrame, value: str, ts: str, keys: list[str] | None = None) -> DataFrame:
+    """Where a computation first went wrong: the smallest time at which ``value`` isn't a finite number
+    (null: nowhere), and how often."""
+    bad = F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    return rows.groupBy(*(keys or [])).agg(F.min(F.when(bad, F.col(ts))).alias("ts_failure"), F.count_if(bad).alias("failures"))
+
+
+def wasserstein(a: DataFrame, b: DataFrame, value: str, width: float) -> DataFrame:
+    """Earth mover's distance of one coordinate of two clouds, from histograms of ``width``: the area
+    between both cumulative shares.  Windows run over bins, not rows; along several directions it gives
+    the sliced distance of clouds."""
+    both = a.select(F.lit(1).alias("__a"), F.col(value).alias("v")).unionByName(b.select(F.lit(0).alias("__a"), F.col(value).alias("v")))
+    bins = both.groupBy(cell("v", width, "floor").alias("bin")).agg(F.sum("__a").alias("na"), F.sum(1 - F.col("__a")).alias("nb"))
+    w = Window.orderBy("bin")
+    run, all_ = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gap = F.abs(F.sum("na").over(run) / F.sum("na").over(all_) - F.sum("nb").over(run) / F.sum("nb").over(all_))
+    step = F.coalesce(F.lead("bin").over(w) - F.col("bin"), F.lit(0)) * width
+    return bins.select((gap * step).alias("part")).agg(F.sum("part").alias("emd"))

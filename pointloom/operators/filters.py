@@ -71,3 +71,23 @@ def recentred(points: DataFrame, dims: list[str], offset: dict[str, float] | Non
         return points.withColumns({d: c(d) - F.lit(offset[d]) for d in dims})
     mean = points.agg(*[F.avg(d).alias(f"__m_{d}") for d in dims])
     return points.crossJoin(F.broadcast(mean)).withColumns({d: c(d) - c(f"__m_{d}") for d in dims}).select(*points.columns)
+
+
+def unoccluded(voxels: DataFrame, most_hits: int = 20, hits: str = "hits") -> DataFrame:
+    """Voxels that fewer than ``most_hits`` rays pass through (no count: none)."""
+    return voxels.where(F.coalesce(c(hits), F.lit(0)) < most_hits)
+
+
+def planar_buckets(voxels: DataFrame, more_than: int = 10, planarity: float = 0.7) -> DataFrame:
+    """Voxels (n, cov_xx .. cov_zz; each level by itself) with enough points that lie flat: adds planarity."""
+    # 3 e0 / s * 3 e1 / s * 3 e2 / s is 27 det / trace^3, so no eigenvalue is worked out
+    det = c("cov_xx") * (c("cov_yy") * c("cov_zz") - c("cov_yz") * c("cov_yz")) - c("cov_xy") * (c("cov_xy") * c("cov_zz") - c("cov_yz") * c("cov_xz")) + c("cov_xz") * (c("cov_xy") * c("cov_yz") - c("cov_yy") * c("cov_xz"))
+    trace = c("cov_xx") + c("cov_yy") + c("cov_zz")
+    out = voxels.where(F.col("n") > more_than).withColumn("planarity", 1 - F.try_divide(27 * det, trace * trace * trace))
+    return out.where(F.col("planarity") > planarity)
+
+
+def around_point(rows: DataFrame, point: tuple[float, float, float], radius: float = 0.03) -> DataFrame:
+    """Rows within ``radius`` of one point, with their distance d: its correspondences on every ray."""
+    d = norm(*[c(a) - F.lit(float(v)) for a, v in zip("xyz", point)])
+    return rows.withColumn("d", d).where(F.col("d") < radius)

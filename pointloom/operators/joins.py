@@ -180,3 +180,30 @@ def edge_neighbours(edges: DataFrame, scans: DataFrame, reach: int, start: str =
     around = lambda c: F.sequence(F.col(c) - reach, F.col(c) + reach)
     e = edges.withColumn(scan, F.explode(F.array_distinct(F.concat(around(start), around(end)))))
     return e.join(scans, scan)
+
+
+def asof_after_first(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, tolerance: float, by: list[str] | None = None, tie: str | None = None, prefix: str = "r_") -> DataFrame:
+    """The right row before each left one, within ``tolerance``, where a group's very first right row
+    never matches: it has no row before it to measure a motion from."""
+    by = by or []
+    order = F.struct(right_ts, *([tie] if tie else []))
+    first = right.groupBy(*by).agg(F.min(order).alias("__first"))
+    rest = right.join(first, by) if by else right.crossJoin(F.broadcast(first))  # a single row without groups
+    rest = rest.where(order > F.col("__first")).drop("__first")
+    return asof_join(left, rest, left_ts, right_ts, by, "backward", tolerance=tolerance, tie=tie, prefix=prefix)
+
+
+def band_neighbours(points: DataFrame, radius: float, band: float, key: str = "id") -> DataFrame:
+    """(a, b) of different points within ``radius`` of each other in the plane and ``band`` in height."""
+    p = points.select(key, "x", "y", "z")
+    near = radius_pairs(p, p, ["x", "y"], radius).where((F.abs(F.col("l.z") - F.col("r.z")) < band) & (F.col(f"l.{key}") != F.col(f"r.{key}")))
+    return near.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
+
+
+def nearest_to_ray(points: DataFrame, origin: tuple, direction: tuple, key: str = "id", by: list[str] | None = None) -> DataFrame:
+    """The point nearest to the line through ``origin`` along ``direction`` (of every group): its key and d."""
+    from pointloom.functions.geometry import point_line_distance
+
+    d = point_line_distance(("x", "y", "z"), origin, direction)
+    best = points.withColumn("__d", d).groupBy(*(by or [])).agg(F.min(F.struct(F.col("__d").alias("d"), F.col(key).alias("k"))).alias("b"))
+    return best.select(*(by or []), F.col("b.k").alias(key), F.col("b.d").alias("d"))

@@ -104,3 +104,49 @@ def noisy_poses(scans: DataFrame, sigma_t: float, sigma_r: float, seed: int = 1)
     """Poses moved by a small random motion."""
     noise = P.from_rodrigues(*[F.randn(seed + i) * sigma_t for i in range(3)], *[F.randn(seed + 3 + i) * sigma_r for i in range(3)])
     return scans.withColumn("pose", P.product("pose", noise))
+
+
+def first_point_moments(points: DataFrame, size: float, order: list[str], view: tuple[str, str, str] | tuple[float, float, float] = (0.0, 0.0, 0.0), start: float = 0.03) -> DataFrame:
+    """(ix, iy, iz, n, mean_x.., cov_xx..): voxels as an online map builds them, point after point.
+
+    The first point stays the mean, with covariance ``start``^2 I; point k turns cov into
+    cov (k - 1) / k + d d' (k - 1) / k^2, d its offset from the first.  The third point gives the
+    surface's normal, turned to the viewpoint; later ones count for cov only if their viewpoint
+    (``view``: columns or numbers) is in front of it.  Unrolled, cov is a sum of d d' with weights that
+    are running products, so it is windows and one aggregate and no loop over points.
+    """
+    from pointloom.operators.shape import eigen3
+
+    keys = ["ix", "iy", "iz"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    see = [F.col(v) if isinstance(v, str) else F.lit(float(v)) for v in view]
+    p = points.withColumns({f"i{a}": cell(a, size) for a in "xyz"} | {f"__v{a}": v for a, v in zip("xyz", see)})
+    p = p.withColumn("__k", F.row_number().over(w)).withColumns({f"mean_{a}": F.first(a).over(w) for a in "xyz"})
+    p = p.withColumns({f"__d{a}": F.col(a) - F.col(f"mean_{a}") for a in "xyz"}).select(*keys, "__k", *[f"{n}{a}" for n in ("mean_", "__d", "__v") for a in "xyz"])
+    k = F.col("__k")
+    three = p.where(k <= 3).groupBy(*keys).agg(F.count("*").alias("__n"), *[((start * start * (a == b) + F.sum(F.col(f"__d{a}") * F.col(f"__d{b}") * (k - 1) / k)) / 3).alias(f"c{a}{b}") for a, b in PAIRS], *[F.max_by(f"__v{a}", "__k").alias(f"s{a}") for a in "xyz"], *[F.first(f"mean_{a}").alias(f"m{a}") for a in "xyz"])
+    side = F.signum(sum(F.col(f"e.n{a}") * (F.col(f"s{a}") - F.col(f"m{a}")) for a in "xyz"))
+    normals = three.where("__n = 3").withColumn("e", eigen3(*[f"c{a}{b}" for a, b in PAIRS])).select(*keys, *[(F.col(f"e.n{a}") * F.when(side < 0, -1.0).otherwise(1.0)).alias(f"__n{a}") for a in "xyz"])
+    p = p.join(normals, keys, "left")
+    front = sum(F.col(f"__n{a}") * (F.col(f"__v{a}") - F.col(f"mean_{a}")) for a in "xyz") >= 0
+    p = p.withColumn("__on", (k <= 3) | F.coalesce(front, F.lit(False)))
+    # log of the running product of (k - 1) / k over the points that count
+    run = F.sum(F.when(F.col("__on") & (k > 1), F.log((k - 1) / k)).otherwise(0.0)).over(Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, 0))
+    p = p.withColumn("__log", run)
+    whole = F.min("__log")
+    share = F.when(F.col("__on") & (k > 1), (k - 1) / (k * k) * F.exp(-F.col("__log")))
+    sums = p.groupBy(*keys).agg(F.count("*").alias("n"), *[F.first(f"mean_{a}").alias(f"mean_{a}") for a in "xyz"], F.exp(whole).alias("__f"), *[F.coalesce(F.sum(share * F.col(f"__d{a}") * F.col(f"__d{b}")), F.lit(0.0)).alias(f"cov_{a}{b}") for a, b in PAIRS])
+    return sums.withColumns({f"cov_{a}{b}": F.col("__f") * (F.lit(start * start * (a == b)) + F.col(f"cov_{a}{b}")) for a, b in PAIRS}).drop("__f")
+
+
+def ray_hits(points: DataFrame, voxels: DataFrame, size: float, view: tuple[float, float, float] = (0.0, 0.0, 0.0), most: int = 30) -> DataFrame:
+    """Adds hits to voxels: how many rays from points to the viewpoint step through them, ``most`` at most.
+    Steps are as long as a cell's diagonal and leave out both ends."""
+    reach = size * 3**0.5
+    away = [F.lit(float(v)) - F.col(a) for a, v in zip("xyz", view)]
+    far = F.sqrt(sum((a * a for a in away[1:]), away[0] * away[0]))
+    p = points.select("x", "y", "z", far.alias("__far"), *[F.try_divide(a, far).alias(f"__u{n}") for n, a in zip("xyz", away)])
+    steps = p.withColumn("__last", (F.ceil(F.col("__far") / reach) - 2).cast("int")).where("__last >= 1").withColumn("__j", F.explode(F.sequence(F.lit(1), F.col("__last"))))
+    at = steps.select(*[cell(F.col(a) + F.col(f"__u{a}") * reach * (F.col("__j") + 1), size).alias(f"i{a}") for a in "xyz"])
+    hits = at.groupBy("ix", "iy", "iz").agg(F.count("*").alias("hits"))
+    return voxels.join(hits, ["ix", "iy", "iz"], "left").withColumn("hits", F.least(F.coalesce("hits", F.lit(0)), F.lit(most)))

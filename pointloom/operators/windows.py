@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.functions import pose as P
 
@@ -85,7 +86,7 @@ def greedy_segments(rows: DataFrame, keys: list[str], order: list[str], values:
         d = F.coalesce(F.col(v) - F.lag(v).over(w), F.lit(0)).cast("double")
         square = d * d if square is None else square + d * d
     stepped = rows.withColumn("__step", F.sqrt(square))
-    schema = rows.schema.add("segment", "long")
+    schema = T.StructType(list(rows.schema)).add("segment", "long")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -102,7 +103,7 @@ def greedy_segments(rows: DataFrame, keys: list[str], order: list[str], values:
 
 def chained_poses(rows: DataFrame, keys: list[str], order: list[str], relative: str = "relative") -> DataFrame:
     """Adds pose: the product of the relative poses up to each row of a key."""
-    schema = rows.schema.add("pose", "array<double>")
+    schema = T.StructType(list(rows.schema)).add("pose", "array<double>")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, at, out = pdf.sort_values(order, kind="stable"), np.eye(4), []
@@ -141,7 +142,7 @@ def every_nth(rows: DataFrame, keys: list[str], order: list[str], n: int) -> Dat
 def orientation(rows: DataFrame, keys: list[str], order: str = "ts", gain: float = 0.5) -> DataFrame:
     """Adds qw..qz: attitude from gyro (gx, gy, gz, rad/s) and accelerometer (ax, ay, az), by a
     gradient-corrected quaternion filter, sample by sample."""
-    schema = rows.schema
+    schema = T.StructType(list(rows.schema))  # a copy: add() changes its own
     for q in ("qw", "qx", "qy", "qz"):
         schema = schema.add(q, "double")
 
@@ -211,3 +212,85 @@ def thinned(rows: DataFrame, keys: list[str], order: list[str], values: list[str
         return pdf[keep].drop(columns="__step")
 
     return stepped.groupBy(*keys).applyInPandas(run, rows.schema)
+
+
+def to_first_frame(rows: DataFrame, keys: list[str], order: list[str], pose: str = "pose") -> DataFrame:
+    """Poses of every key in the frame of its first one, which becomes the identity."""
+    first = rows.groupBy(*keys).agg(F.min_by(pose, F.struct(*order)).alias("__first"))
+    return rows.join(first, keys).withColumn(pose, P.product(P.inverse("__first"), pose)).drop("__first")
+
+
+def seed_rows(rows: DataFrame, order: list[str], ts: str, n: int = 10_001) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` rows of all, and one row with their number and last time: the cloud that a map starts from."""
+    first = rows.orderBy(*order).limit(n)
+    return first, first.agg(F.count("*").alias("n"), F.max(ts).alias("last"))
+
+
+def point_batches(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """Adds batch: consecutive runs of ``n`` + 1 rows of a key; a shorter last one is left out."""
+    return batches(rows, keys, order, n + 1)
+
+
+def rotation_gaps(nodes: DataFrame, keys: list[str], order: list[str], pose: str = "pose", measured: str = "imu_pose") -> DataFrame:
+    """Adds gap: the angle between a node's rotation since the one before and the measured one; null
+    for a key's first."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = nodes.withColumn("__a", F.lag(pose).over(w)).withColumn("__b", F.lag(measured).over(w))
+    own, theirs = P.product(P.inverse("__a"), pose), P.product(P.inverse("__b"), measured)
+    out = out.withColumn("__d", F.when(F.col("__a").isNotNull(), P.product(P.inverse(own), theirs)))
+    m = F.col("__d")
+    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (m[0] + m[5] + m[10] - 1) / 2)))
+    return out.withColumn("gap", F.when(F.col("__d").isNotNull(), gap)).drop("__a", "__b", "__d")
+
+
+def dead_reckoned(rows: DataFrame, keys: list[str], order: str, acc: tuple[str, str, str] = ("ax", "ay", "az"), method: str = "euler", most_dt: float = 0.1, most_acc: float = 50.0) -> DataFrame:
+    """Adds vx.. and px..: velocity and place from accelerations (m/s^2) in one frame.
+
+    Steps of no positive length count nothing, longer ones than ``most_dt`` as that long.  An
+    acceleration that isn't finite or has a norm from ``most_acc`` on is invalid: 0 for ``euler``, the
+    last valid one for ``trapezoid``, which also takes the mean of both ends.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    dt = F.col(order) - F.lag(order).over(w)
+    square = sum(F.col(a) * F.col(a) for a in acc)
+    out = rows.withColumn("dt", F.when(dt > 0, F.least(dt, F.lit(most_dt))).otherwise(0.0)).withColumn("__ok", F.coalesce((square < most_acc * most_acc) & ~F.isnan(square), F.lit(False)))
+    own = {}
+    for a, name in zip(acc, "xyz"):
+        valid = F.when(F.col("__ok"), F.col(a))
+        own[name] = valid if method == "euler" else F.last(valid, ignorenulls=True).over(run)
+    out = out.withColumns({f"__a{n}": F.coalesce(v, F.lit(0.0)) for n, v in own.items()})
+    if method == "trapezoid":
+        out = out.withColumns({f"__a{n}": (F.col(f"__a{n}") + F.coalesce(F.lag(f"__a{n}").over(w), F.col(f"__a{n}"))) / 2 for n in "xyz"})
+    out = out.withColumns({f"v{n}": F.sum(F.col(f"__a{n}") * F.col("dt")).over(run) for n in "xyz"})
+    step = lambda n: F.col(f"v{n}") if method == "euler" else (F.col(f"v{n}") + F.coalesce(F.lag(f"v{n}").over(w), F.lit(0.0))) / 2
+    out = out.withColumns({f"__s{n}": step(n) * F.col("dt") for n in "xyz"})
+    return out.withColumns({f"p{n}": F.sum(f"__s{n}").over(run) for n in "xyz"}).drop("__ok", *[f"__{k}{n}" for k in "as" for n in "xyz"])
+
+
+def kalman_track(rows: DataFrame, keys: list[str], order: str, acc: tuple[str, str, str] = ("ax", "ay", "az"), noise: float = 0.5, drift: float = 1.0, most_dt: float = 0.1, most_acc: float = 50.0) -> DataFrame:
+    """Adds px.., vx..: a filter over place, velocity and acceleration that measures accelerations.
+
+    The three axes are alike and independent, so one 3x3 covariance serves all; invalid accelerations
+    measure 0.  It is recursive in a key, hence one pass of numpy a key over fixed-size state.
+    """
+    schema = T.StructType(list(rows.schema))  # a copy: add() changes its own
+    for n in ("px", "py", "pz", "vx", "vy", "vz"):
+        schema = schema.add(n, "double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        t, a = pdf[order].to_numpy(float), pdf[list(acc)].to_numpy(float)
+        a = np.where((np.isfinite(a).all(axis=1) & (np.linalg.norm(a, axis=1) < most_acc))[:, None], a, 0.0)
+        step = np.clip(np.diff(t, prepend=t[:1]), 0, most_dt)
+        state, cov, out = np.zeros((3, 3)), np.eye(3), np.zeros((len(t), 6))
+        for k in range(len(t)):
+            d = step[k]
+            f = np.array([[1, d, d * d / 2], [0, 1, d], [0, 0, 1]])
+            state, cov = f @ state, f @ cov @ f.T + drift * d * np.diag([0, 0, 1.0])
+            gain = cov[:, 2] / (cov[2, 2] + noise * noise)
+            state, cov = state + gain[:, None] * (a[k] - state[2]), cov - np.outer(gain, cov[2])
+            out[k] = state[:2].ravel()
+        return pdf.assign(**dict(zip(("px", "py", "pz", "vx", "vy", "vz"), out.T)))
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)

@@ -134,14 +134,14 @@ def consistent_ground(spark, sf_dir):
 
 
 JAC = {"j0": "1.0", "j1": "x", "j2": "y"}
-NORMAL_SQL = ", ".join(f"round(sum(j{i} * j{j}), 6) AS ata_{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"round(sum(j{i} * z), 6) AS atb_{i}" for i in range(3))
+NORMAL_SQL = ", ".join(f"round(sum(j{i} * j{j}), 6) AS ata_{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"round(sum(j{i} * z), 6) AS atb_{i}" for i in range(3)) + ", round(sum(z * z), 6) AS rtr"
 
 
 @query(f"{P_SQL}, j AS (SELECT label, 1.0::DOUBLE AS j0, x AS j1, y AS j2, z FROM p) SELECT label, count(*) AS n, {NORMAL_SQL} FROM j GROUP BY label")
 def normal_eq_sums(spark, sf_dir):
     rows = points(spark, sf_dir).withColumns({"j0": F.lit(1.0), "j1": F.col("x"), "j2": F.col("y")})
     out = A.normal_equations(rows, ["j0", "j1", "j2"], "z", ["label"])
-    return rounded(out, *[c for c in out.columns if c.startswith("at")])
+    return rounded(out, *[c for c in out.columns if c.startswith(("at", "rt"))])
 
 
 @query(f"{P_SQL} SELECT label, round(coalesce(sqrt(avg(x * x + y * y)), -1), 6) AS rms, count(*) AS n FROM p GROUP BY label")
@@ -370,7 +370,16 @@ def motion_edges(spark, sf_dir):
     return rounded(out.select("user_id", "event_id", "d_us", "d_value"), "d_value")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS us, user_id, value FROM events),
+    s AS (SELECT *, abs(value - coalesce(lag(value) OVER w, value)) AS step, row_number() OVER w AS rn FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+    walk AS (
+      SELECT *, (step > 500)::BIGINT AS segment, CASE WHEN step > 500 THEN 0 ELSE step END AS gone FROM s WHERE rn = 1
+      UNION ALL
+      SELECT s.*, walk.segment + (walk.gone + s.step > 500)::BIGINT, CASE WHEN walk.gone + s.step > 500 THEN 0 ELSE walk.gone + s.step END
+      FROM walk JOIN s ON s.user_id = walk.user_id AND s.rn = walk.rn + 1)
+    SELECT user_id, us, event_id, value, segment FROM walk"""
+)
 def segment_by_distance(spark, sf_dir):
     return windows.greedy_segments(events(spark, sf_dir).select("user_id", "us", "event_id", "value"), ["user_id"], ["us", "event_id"], ["value"], 500.0)
 
@@ -504,9 +513,13 @@ def register_clouds(spark, sf_dir):
     return spark.createDataFrame([(r.matched, round(r.rms, 9), [round(float(v), 6) for v in r.pose.ravel()])], "matched long, rms double, pose array<double>")
 
 
-@query()
+DET_SQL = "(cov_xx * (cov_yy * cov_zz - cov_yz * cov_yz) - cov_xy * (cov_xy * cov_zz - cov_yz * cov_xz) + cov_xz * (cov_xy * cov_yz - cov_yy * cov_xz))"
+RAW_SQL = "count(*) AS n, " + ", ".join(f"avg({a}) AS mean_{a}" for a in XYZ) + ", " + ", ".join(f"covar_pop({a}, {b}) AS cov_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+@query(f"{P_SQL}, k AS (SELECT *, {CELLS_SQL} FROM p), m AS (SELECT ix, iy, iz, {RAW_SQL}, min(id) AS first_id FROM k GROUP BY ix, iy, iz) SELECT ix, iy, iz, n, first_id, {', '.join(f'round({c}, 6) AS {c}' for c in MOMENT_NAMES)}, round(1 - 27 * {DET_SQL} / nullif(power(cov_xx + cov_yy + cov_zz, 3), 0), 6) AS planarity FROM m WHERE n >= 4")
 def voxel_shape(spark, sf_dir):
-    return flagship(spark, sf_dir)
+    return rounded(flagship(spark, sf_dir).where("n >= 4"), *MOMENT_NAMES, "planarity")
 
 
 # ---- maps and further windows ------------------------------------------------------------------
@@ -620,3 +633,6 @@ def point_line_distance(spark, sf_dir):
 def gray_code(spark, sf_dir):
     g = F.col("c_custkey").bitwiseXOR(F.shiftright("c_custkey", 1))
     return table(spark, sf_dir, "customer").select("c_custkey", g.alias("gray"), geometry.gray_to_binary(g, 64).alias("back"))
+
+
+from pointloom.plans import catalog_maps, catalog_files  # noqa: E402, F401, I001  # further queries, registered when read

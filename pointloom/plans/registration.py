@@ -20,6 +20,13 @@ from pointloom.operators.maps import PAIRS, voxel_gaussians, voxel_sums
 from pointloom.plans.solvers import exp_pose, log_pose, pose_graph, solve
 
 
+def checked_pose(pose: np.ndarray) -> np.ndarray:
+    """The pose itself; an error if a solve went wrong and left something that isn't finite."""
+    if not np.isfinite(pose).all():
+        raise FloatingPointError("a solve gave a pose that isn't finite")
+    return pose
+
+
 def posed(points: DataFrame, poses: dict[int, np.ndarray]) -> DataFrame:
     """Points in the common frame; the poses of all scans are a few numbers each."""
     spark = points.sparkSession
@@ -211,16 +218,9 @@ def run_odometry(points: DataFrame, trajectory: DataFrame, size: float = 0.3, pe
 
 def _kept(df: DataFrame) -> DataFrame:
     """The map after a batch, stored so that its plan doesn't grow from batch to batch."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if given is None:
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            given = tempfile.mkdtemp(prefix="pointloom-")
-        spark.sparkContext.setCheckpointDir(given)
+    from pointloom.sources.store import shared_folder
+
+    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -69,12 +69,12 @@ def register(source: DataFrame, target: DataFrame, radius: float, rounds: int =
             eqs = [F.struct(*[j.alias(f"j{i}") for i, j in enumerate(jac)], sum((nrm[a] * diff[a] for a in "yz"), nrm["x"] * diff["x"]).alias("res"))]
         else:
             eqs = [F.struct(*[F.lit(1.0 if a == b else 0.0).alias(f"j{i}") for i, b in enumerate("xyz")], *[turn[a][k].alias(f"j{3 + k}") for k in range(3)], diff[a].alias("res")) for a in "xyz"]
-        rows = near.select(F.explode(F.array(*eqs)).alias("e")).select("e.*").withColumn("sq", F.col("res") * F.col("res"))
-        sums = normal_equations(rows, [f"j{i}" for i in range(6)], "res").crossJoin(rows.agg(F.sum("sq").alias("sq"))).first()  # two rows of sums
+        rows = near.select(F.explode(F.array(*eqs)).alias("e")).select("e.*")
+        sums = normal_equations(rows, [f"j{i}" for i in range(6)], "res").first()  # one row of sums
         n = sums["n"]
         if not n:
             break
-        rms = float(np.sqrt(sums["sq"] / n))
+        rms = float(np.sqrt(sums["rtr"] / n))
         d = solve(sums, 6)
         pose = exp_pose(d) @ pose
         if np.abs(d).sum() < tolerance:
@@ -82,38 +82,88 @@ def register(source: DataFrame, target: DataFrame, radius: float, rounds: int =
     return Registration(pose, rms, step, n)
 
 
-def pose_graph(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, float]], rounds: int = 10, fixed: int = 0) -> np.ndarray:
-    """Poses (n, 4, 4) that fit relative poses (from, to, measured, weight), with Cauchy weights;
-    pose ``fixed`` stays.  For graphs that a driver holds: a few thousand scans."""
+def pose_graph(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, float]], rounds: int = 10, fixed: int | list[int] = 0, places: list[tuple[int, np.ndarray, float]] | None = None, steps: int = 200) -> np.ndarray:
+    """Poses (n, 4, 4) that fit relative poses (from, to, measured, weight), with Cauchy weights; pose
+    ``fixed`` stays.  ``places`` (pose, xyz, weight) draw poses to known points, as satellite fixes and
+    ground control do.
+
+    Each edge is four 6x6 blocks.  The system is never laid out: conjugate gradients with the blocks of
+    the diagonal as preconditioner need one product of each block a step, so memory and time follow the
+    number of edges.
+    """
     poses = poses.copy()
     n = len(poses)
+    at = np.array([[i, j] for i, j, *_ in edges], np.int64).reshape(-1, 2)
+    measured = np.linalg.inv(np.array([z for *_, z, _ in edges]).reshape(-1, 4, 4))
+    given = np.array([w for *_, w in edges], float)
+    on = np.array([i for i, *_ in places or []], np.int64)
+    to = np.array([x for _, x, _ in places or []], float).reshape(-1, 3)
+    pull = np.array([w for *_, w in places or []], float)
+    moves = [exp_pose(1e-6 * np.eye(6)[k]) for k in range(6)]
     for _ in range(rounds):
-        a, b = np.zeros((6 * n, 6 * n)), np.zeros(6 * n)
-        for i, j, z, w in edges:
-            err = np.linalg.inv(z) @ np.linalg.inv(poses[i]) @ poses[j]
-            r = log_pose(err)
-            w = w / (1 + r @ r)
-            ji, jj = np.zeros((6, 6)), np.zeros((6, 6))
-            for k in range(6):  # numeric derivatives of six values each
-                d = np.zeros(6)
-                d[k] = 1e-6
-                ji[:, k] = (log_pose(np.linalg.inv(z) @ np.linalg.inv(poses[i] @ exp_pose(d)) @ poses[j]) - r) / 1e-6
-                jj[:, k] = (log_pose(np.linalg.inv(z) @ np.linalg.inv(poses[i]) @ poses[j] @ exp_pose(d)) - r) / 1e-6
-            si, sj = slice(6 * i, 6 * i + 6), slice(6 * j, 6 * j + 6)
-            for s, x in ((si, ji), (sj, jj)):
-                b[s] -= w * x.T @ r
-                for u, y in ((si, ji), (sj, jj)):
-                    a[s, u] += w * x.T @ y
-        f = slice(6 * fixed, 6 * fixed + 6)
-        a[f, f] += 1e12 * np.eye(6)
-        step = np.linalg.solve(a + 1e-9 * np.eye(6 * n), b)
-        for k in range(n):
-            poses[k] = poses[k] @ exp_pose(step[6 * k : 6 * k + 6])
+        a, b = poses[at[:, 0]], poses[at[:, 1]]
+        error = lambda a, b: log_poses(measured @ np.linalg.inv(a) @ b)
+        r = error(a, b)
+        w = given / (1 + (r * r).sum(axis=1))
+        ja = np.stack([(error(a @ m, b) - r) / 1e-6 for m in moves], axis=2)
+        jb = np.stack([(error(a, b @ m) - r) / 1e-6 for m in moves], axis=2)
+        right, diagonal = np.zeros((n, 6)), np.tile(1e-9 * np.eye(6), (n, 1, 1))
+        blocks = {}
+        for s, x in enumerate((ja, jb)):
+            np.add.at(right, at[:, s], -np.einsum("eki,ek,e->ei", x, r, w))
+            for t, y in enumerate((ja, jb)):
+                blocks[s, t] = np.einsum("eki,ekj,e->eij", x, y, w)
+            np.add.at(diagonal, at[:, s], blocks[s, s])
+        if len(on):  # a place depends on its pose's translation, in the pose's own axes
+            miss = poses[on, :3, 3] - to
+            turn = poses[on, :3, :3]
+            v = pull / (1 + (miss * miss).sum(axis=1))
+            own = np.zeros((len(on), 6, 6))
+            own[:, :3, :3] = np.einsum("eki,ekj,e->eij", turn, turn, v)
+            np.add.at(diagonal, on, own)
+            np.add.at(right[:, :3], on, -np.einsum("eki,ek,e->ei", turn, miss, v))
+        diagonal[fixed] += 1e12 * np.eye(6)
+        near = np.linalg.inv(diagonal)
+
+        def product(x: np.ndarray) -> np.ndarray:
+            out = np.einsum("nij,nj->ni", diagonal, x)
+            np.add.at(out, at[:, 0], np.einsum("eij,ej->ei", blocks[0, 1], x[at[:, 1]]))
+            np.add.at(out, at[:, 1], np.einsum("eij,ej->ei", blocks[1, 0], x[at[:, 0]]))
+            return out
+
+        step = conjugate_gradients(product, right, near, max(steps, 6 * n if n < 200 else steps))
+        poses = poses @ np.stack([exp_pose(d) for d in step])
         if np.abs(step).sum() < 1e-10:
             break
     return poses
 
 
+def conjugate_gradients(product, right: np.ndarray, near: np.ndarray, steps: int) -> np.ndarray:
+    """x with product(x) = right, with block preconditioner ``near``."""
+    x, r = np.zeros_like(right), right.copy()
+    z = np.einsum("nij,nj->ni", near, r)
+    p, rz = z.copy(), (r * z).sum()
+    end = 1e-24 * max(rz, 1e-300)
+    for _ in range(steps):
+        if rz <= end:
+            break
+        q = product(p)
+        alpha = rz / (p * q).sum()
+        x, r = x + alpha * p, r - alpha * q
+        z = np.einsum("nij,nj->ni", near, r)
+        rz, old = (r * z).sum(), rz
+        p = z + rz / old * p
+    return x
+
+
+def log_poses(m: np.ndarray) -> np.ndarray:
+    """``log_pose`` of many."""
+    angle = np.arccos(np.clip((np.trace(m[:, :3, :3], axis1=1, axis2=2) - 1) / 2, -1, 1))
+    v = np.stack([m[:, 2, 1] - m[:, 1, 2], m[:, 0, 2] - m[:, 2, 0], m[:, 1, 0] - m[:, 0, 1]], axis=1) / 2
+    s = np.sin(angle)
+    return np.concatenate([m[:, :3, 3], v * np.where(s > 1e-9, angle / np.where(s > 1e-9, s, 1), 1.0)[:, None]], axis=1)
+
+
 def log_pose(m: np.ndarray) -> np.ndarray:
     """Translation and rotation vector of a pose."""
     c = np.clip((np.trace(m[:3, :3]) - 1) / 2, -1, 1)

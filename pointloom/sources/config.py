@@ -74,3 +74,20 @@ def chunks_in(manifest: DataFrame, start: int, end: int) -> list[str]:
 def expected_files(found: DataFrame, names: DataFrame, on: str = "name") -> tuple[DataFrame, DataFrame]:
     """Of the expected names those that are there and those that are missing."""
     return names.join(found, on, "left_semi"), names.join(found, on, "left_anti")
+
+
+def write_params(params: OdometryParams, path: str) -> None:
+    """Settings as a TOML file that ``load_params`` reads; for a file the driver holds."""
+    rows = [f"{f.name} = {getattr(params, f.name)!r}" for f in fields(OdometryParams)]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join([f'version = "{".".join(map(str, VERSION))}"', "", "[odometry]", *rows]) + "\n")
+
+
+def results_document(batches: DataFrame, params: OdometryParams | None = None) -> str:
+    """A JSON report of a run: number of batches and poses, path length and duration from a table of
+    batches (batch, poses, length, seconds), with its settings; one row of sums comes to the driver."""
+    import json
+    from dataclasses import asdict
+
+    r = batches.agg(F.count("*").alias("batches"), F.sum("poses").alias("poses"), F.sum("length").alias("length_m"), F.sum("seconds").alias("seconds")).first().asDict()
+    return json.dumps({"version": ".".join(map(str, VERSION)), "results": r, "params": asdict(params or OdometryParams())}, indent=1)

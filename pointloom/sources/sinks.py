@@ -127,3 +127,96 @@ def scale_board(rows: int, cols: int, step: float, spark) -> DataFrame:
     """(row, col, x, y, z) lattice of a board."""
     out = spark.range(rows).select(F.col("id").cast("int").alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     return out.select("row", "col", (F.col("col") * step).alias("x"), (F.col("row") * step).alias("y"), F.lit(0.0).alias("z"))
+
+
+def ply_bytes(x, y, z, intensity=None) -> bytes:
+    """A binary little-endian PLY of vertices."""
+    import numpy as np
+
+    names = ["x", "y", "z", *["intensity"] * (intensity is not None)]
+    raw = np.zeros(len(x), np.dtype([(n, "<f8") for n in names]))
+    for n, v in zip(names, (x, y, z, intensity)):
+        raw[n] = v
+    head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(raw)}", *[f"property double {n}" for n in names], "end_header"]
+    return ("\n".join(head) + "\n").encode() + raw.tobytes()
+
+
+def pcd_bytes(x, y, z, intensity=None) -> bytes:
+    """A binary PCD file of version 0.7."""
+    import numpy as np
+
+    names = ["x", "y", "z", *["intensity"] * (intensity is not None)]
+    raw = np.zeros(len(x), np.dtype([(n, "<f8") for n in names]))
+    for n, v in zip(names, (x, y, z, intensity)):
+        raw[n] = v
+    k = len(names)
+    head = ["# .PCD v0.7", "VERSION 0.7", "FIELDS " + " ".join(names), "SIZE" + " 8" * k, "TYPE" + " F" * k, "COUNT" + " 1" * k, f"WIDTH {len(raw)}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {len(raw)}", "DATA binary"]
+    return ("\n".join(head) + "\n").encode() + raw.tobytes()
+
+
+def write_points(points: DataFrame, folder: str, kind: str) -> list[str]:
+    """PLY or PCD files (x, y, z and, if there, intensity), one a partition, or text lines; returns the
+    files' paths.  As with ``write_las``, only files of finished tasks count."""
+    with_intensity = "intensity" in points.columns
+    if kind == "txt":
+        cols = [F.col(n).cast("string") for n in ("x", "y", "z", *["intensity"] * with_intensity)]
+        points.select(F.concat_ws(" ", *cols)).write.text(folder)
+        return [folder]
+    encode = {"ply": ply_bytes, "pcd": pcd_bytes}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        path = f"{base}/points-{uuid.uuid4().hex[:12]}.{kind}"
+        with store.open_output_stream(path) as f:
+            f.write(encode(*[c.to_numpy() for c in rows.columns]))
+        yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    names = ["x", "y", "z", *["intensity"] * with_intensity]
+    return [r["path"] for r in points.select(names).mapInArrow(run, "path string").collect()]  # a path a file
+
+
+def write_trajectory(poses: DataFrame, path: str) -> None:
+    """Lines of ts_ns and the row-major 3x4 pose, in time order, as ``text.trajectory`` reads them."""
+    rows = poses.repartitionByRange("ts_ns").sortWithinPartitions("ts_ns")
+    rows.select(F.concat_ws(" ", F.col("ts_ns").cast("string"), *[F.format_string("%.9f", F.col("pose")[i]) for i in range(12)])).write.text(path)
+
+
+def pose_list_text(scans: DataFrame, name: str = "name", order: str = "scan_id") -> str:
+    """A pose list: the count, then each scan's name and four rows of four numbers; a few lines a scan,
+    put together on the driver."""
+    rows = scans.orderBy(order).select(name, "pose").collect()
+    lines = [str(len(rows))]
+    for n, m in rows:
+        lines += [n, *[" ".join(f"{v:.9f}" for v in m[4 * i : 4 * i + 4]) for i in range(4)]]
+    return "\n".join(lines) + "\n"
+
+
+def gnss_points(fixes: DataFrame, lat0: float, lon0: float, h0: float) -> DataFrame:
+    """Fixes (ts, lat, lon, height) as points x, y, z of the local frame, ready for ``write_las``."""
+    from pointloom.functions.geodesy import enu
+
+    p = fixes.withColumn("__p", enu("lat", "lon", "height", lat0, lon0, h0))
+    return p.select(F.col("__p.e").alias("x"), F.col("__p.n").alias("y"), F.col("__p.u").alias("z"), "ts")
+
+
+def roi_lines(rois: DataFrame, path: str) -> None:
+    """Regions (name, x, y, z, size) as lines of name, centre and edge length."""
+    rois.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("name", "x", "y", "z", "size")])).write.text(path)
+
+
+def roi_constraints(spark, path: str) -> DataFrame:
+    """(name, x, y, z, size) from such lines; others are skipped."""
+    from pointloom.sources.text import lines
+
+    parts = F.split(F.trim("line"), r"\s+")
+    rows = lines(spark, path).where(F.size(parts) == 5).select(parts[0].alias("name"), *[parts[i].try_cast("double").alias(n) for i, n in enumerate(("x", "y", "z", "size"), 1)])
+    return rows.dropna()
