@@ -11,10 +11,11 @@ words by weight; a source stops at twice its words and its excess goes to the ot
 until none is above.
 
 *Prefix sums without one big window.*  A source's documents fall by the hash that shuffles them
-into slots of about ``SLOT_ROWS`` rows, however large the source is.  Words are summed by (source,
-slot), the short table of slots gets its running sums, and only inside a slot are rows ordered.
-The global order is cut the same way: words are summed by ranges of finish time, and only the one
-range in which the budget runs out is ordered row by row.
+into slots, as many as the square root of its rows.  Words are summed by (source, slot), the table of
+slots gets its running sums, and only inside a slot are rows ordered: no window holds more than about
+the square root of a source.  The global order is cut the same way: words are summed by ranges of
+finish time, the square root of all rows to a unit of it, and only the one range in which the budget
+runs out is ordered row by row.
 
 The shuffle is md5 of the doc_id, with ties by doc_id and text hash, so a rerun agrees; rows alike
 in all three are taken together or not at all.  Null texts have no words and take none; a null
@@ -24,6 +25,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +34,6 @@ from pointloom.llm.common import word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, MOST = 150, 2
-#: Rows of a source in a slot, about: what is ordered at once.
-SLOT_ROWS = 500
-#: Ranges that one unit of finish time is cut into.
-RANGES = 4096
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST) -> DataFrame:
@@ -63,29 +62,30 @@ def place() -> F.Column:
     return F.struct(key.alias("key"), F.col("doc_id").isNull().alias("missing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), tie.alias("tie")).alias("__place")
 
 
-def queued(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, slot_rows: int = SLOT_ROWS) -> tuple[DataFrame, float | None]:
+def queued(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, slot_rows: int | None = None) -> tuple[DataFrame, float | None]:
     """Every row with source, size, source_size, target, __place and reached (words of the source up
-    to it), and the finish time up to which the mix takes documents (null: there are no words)."""
+    to it; ``slot_rows`` sets the rows of a slot), and the finish time up to which the mix takes documents (null: there are no words)."""
     rows = written(docs.select("source", word_count("text").alias("size"), place()), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     targets = written(source_targets(sizes, weights, share_percent, most), "targets")
     named = targets.withColumnRenamed("source", "__source")
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     unit = F.conv(F.substring("__place.key", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("slot", F.floor(unit * F.ceil(F.col("source_rows") / slot_rows) / F.lit(1 << 32)).cast("long"))
+    slots = F.ceil(F.sqrt("source_rows") if slot_rows is None else F.col("source_rows") / slot_rows)
+    rows = rows.withColumn("slot", F.floor(unit * slots / F.lit(1 << 32)).cast("long"))
     before = F.coalesce(F.sum("__sum").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = rows.groupBy("source", "slot").agg(F.sum("size").alias("__sum")).select(F.col("source").alias("__source"), F.col("slot").alias("__slot"), before.alias("__before"))
     inner = F.sum("size").over(Window.partitionBy("source", "slot").orderBy("__place"))  # rows alike count together
     own = rows.withColumn("__own", inner).join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("slot") == F.col("__slot")))
     own = written(own.select("source", "size", "source_size", "target", "__place", (F.col("__own") + F.col("__before")).alias("reached")), "queue")
 
-    total = targets.agg(F.sum("source_size")).first()[0]
+    total, n_rows = targets.agg(F.sum("source_size"), F.sum("source_rows")).first()
     if not total:
         return own, None
     budget = total * share_percent / 100
     lap = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("lap")
     turns = own.where("size > 0").select("size", "target", "source_size", "reached", lap).select("size", ((F.col("reached") + F.col("lap") * F.col("source_size")) / F.col("target")).alias("finish"))
-    turns = turns.withColumn("range", F.floor(F.least("finish", F.lit(1e6)) * RANGES).cast("long"))
+    turns = turns.withColumn("range", F.floor(F.least("finish", F.lit(1e6)) * math.ceil(math.sqrt(n_rows))).cast("long"))
     by_range = turns.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(Window.orderBy("range")))
     over = by_range.where(F.col("upto") > budget).agg(F.min("range").alias("range"), F.min(F.col("upto") - F.col("words")).alias("before")).first()
     if over["range"] is None:

@@ -109,7 +109,7 @@ def sql_mix(df):
 def test_mix_matches_sql(spark):
     for sf in ("sf0.001",):
         df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
-        for slot_rows in (500, 3):
+        for slot_rows in (None, 500, 3):
             assert sorted(map(tuple, mixing.mix(df, slot_rows=slot_rows).collect())) == sql_mix(df)
 
 
