@@ -39,12 +39,18 @@ class Registration:
     matched: int
 
 
-def solve(row, n: int, damping: float = 0.0) -> np.ndarray:
+def solve_blocks(row, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix and right side of a row of ``normal_equations``."""
     a, b = np.zeros((n, n)), np.zeros(n)
     for i in range(n):
         b[i] = row[f"atb_{i}"] or 0.0
         for j in range(i, n):
             a[i, j] = a[j, i] = row[f"ata_{i}{j}"] or 0.0
+    return a, b
+
+
+def solve(row, n: int, damping: float = 0.0) -> np.ndarray:
+    a, b = solve_blocks(row, n)
     return np.linalg.lstsq(a + damping * np.eye(n), b, rcond=None)[0]
 
 

@@ -212,3 +212,29 @@ def test_camera_extrinsics_from_picks():
     c = xyz @ true[:3, :3].T + true[:3, 3]
     picks = [(tuple(p), (500 * q[0] / q[2] + 320, 500 * q[1] / q[2] + 240)) for p, q in zip(xyz, c)]
     assert np.allclose(camera_extrinsics(picks, cam), true, atol=1e-6)
+
+
+def test_batch_settles_on_two_maps(spark):
+    """Five poses in a room: all off by one motion, which both maps take back while the model keeps their steps."""
+    from pointloom.plans import batches as B
+
+    xyz = room(300) + 0.3
+    step = exp_pose(np.array([0.05, 0.02, 0, 0, 0, 0.01]))
+    true = [np.eye(4)]
+    for _ in range(4):
+        true.append(true[-1] @ step)
+    rows = []
+    for k, m in enumerate(true):
+        inv = np.linalg.inv(m)
+        rows += [(k, len(rows) + i, *map(float, inv[:3, :3] @ p + inv[:3, 3])) for i, p in enumerate(xyz[k::5])]
+    points = spark.createDataFrame(rows, "scan_id long, id long, x double, y double, z double")
+    world = scan_table(spark, xyz).select("id", "x", "y", "z")
+    sizes = {"near": 1.0, "far": 2.0}
+    table = B.two_level_map({n: (maps.voxel_gaussians(maps.voxel_sums(world, s), s), s) for n, s in sizes.items()})
+    off = exp_pose(np.array([0.03, -0.02, 0.02, 0.002, -0.003, 0.004]))
+    start = {k: off @ m for k, m in enumerate(true)}
+    got = B.register_batch(points, start, table, sizes, B.Motion(0.01, 0.1, 1.0, 10.0), rounds=8, far=2.0)
+    miss = lambda poses: max(np.abs(poses[k][:3, 3] - m[:3, 3]).max() for k, m in enumerate(true))
+    assert got.matched > 1000 and not got.refused and miss(got.poses) < 0.35 * miss(start)
+    held = B.register_batch(points, start, table, sizes, B.Motion(), rounds=3, far=2.0)  # a first pose that may not move
+    assert np.allclose(held.poses[0], start[0], atol=1e-4)
