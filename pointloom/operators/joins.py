@@ -135,11 +135,29 @@ def _celled(points: DataFrame, dims: list[str], radius: float) -> DataFrame:
     return points.withColumns({f"__c{i}": cell(d, radius, "floor") for i, d in enumerate(dims)})
 
 
+#: One in so many rows makes a cell hot, and so many parts does it get.
+SPLITS = 64
+
+
+def split_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``keys`` with a further key __part, by which a key with over one in
+    ``SPLITS`` rows of ``left`` is many tasks' work: its left rows are dealt by ``spread``, its right rows
+    stand in every part.  There can't be ``SPLITS`` hot keys, so their list is broadcast."""
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    total = counts.agg(F.sum("__rows").alias("__total"))
+    hot = counts.crossJoin(F.broadcast(total)).where((F.col("__rows") > F.col("__total") / SPLITS) & (F.col("__rows") > 1000)).select(*keys, F.lit(True).alias("__hot"))  # total: a single row
+    a = left.join(F.broadcast(hot), keys, "left").withColumn("__part", F.when(F.col("__hot"), F.pmod(spread, F.lit(SPLITS)).cast("int")).otherwise(0)).drop("__hot")
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
+    b = right.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    return a, b
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, dims: list[str], radius: float, on: list[str] | None = None, strict: bool = False) -> DataFrame:
     """All pairs of a left (l) and a right (r) row within ``radius``, with columns l, r (structs) and d.
 
     The right side is written into each cell around it (3 per dimension; the smaller side should
     stand there), and cells of the radius' width make it an equi-join.  ``on`` adds equal columns.
+    Crowded cells are split (``split_hot``), so one cell with most of the points is not one task's work.
     """
     on = on or []
     keys = [f"__c{i}" for i in range(len(dims))]
@@ -149,7 +167,9 @@ def radius_pairs(left: DataFrame, right: DataFrame, dims: list[str], radius: flo
     for k in keys:
         b = b.withColumn("__step", F.explode(steps)).withColumn(k, F.col(k) + F.col("__step")).drop("__step")
     d2 = sum(((F.col(f"l.{x}") - F.col(f"r.{x}")) * (F.col(f"l.{x}") - F.col(f"r.{x}")) for x in dims[1:]), (F.col(f"l.{dims[0]}") - F.col(f"r.{dims[0]}")) * (F.col(f"l.{dims[0]}") - F.col(f"r.{dims[0]}")))
-    out = a.join(b, keys + [f"__k{i}" for i in range(len(on))]).withColumn("d", F.sqrt(d2))
+    equal = keys + [f"__k{i}" for i in range(len(on))]
+    a, b = split_hot(a, b, equal, F.xxhash64("l"))
+    out = a.join(b, [*equal, "__part"]).withColumn("d", F.sqrt(d2))
     return out.where(F.col("d") < radius if strict else F.col("d") <= radius).select("l", "r", "d")
 
 

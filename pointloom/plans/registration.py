@@ -126,19 +126,45 @@ def loop_edges(poses: dict[int, np.ndarray], spark: SparkSession, reach: float,
     return sorted((r["a"], r["b"]) for r in near.where(other).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).collect())
 
 
+def register_edges(points: DataFrame, poses: dict[int, np.ndarray], edges: list[tuple[int, int]], radius: float, rounds: int = 10) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
+    """For every pair of scans (a, b) the motion, in the common frame, that brings b onto a, and the points
+    it was measured with.  All pairs are one join a round, kept apart by their number; a row of sums for
+    each comes to the driver."""
+    spark = points.sparkSession
+    flat = lambda m: [float(v) for v in m.ravel()]
+    fixes = {e: np.eye(4) for e in edges}
+    matched = dict.fromkeys(edges, 0)
+    names = spark.createDataFrame([(k, int(a), flat(poses[a])) for k, (a, _) in enumerate(edges)], "edge int, scan_id long, __pose array<double>")
+    place = lambda table: points.join(table, "scan_id").withColumn("__p", transform("__pose", "x", "y", "z")).select("edge", "id", *[F.col(f"__p.{x}").alias(x) for x in "xyz"])
+    target = place(names).persist()
+    for _ in range(rounds):
+        moved = place(spark.createDataFrame([(k, int(e[1]), flat(fixes[e] @ poses[e[1]])) for k, e in enumerate(edges)], "edge int, scan_id long, __pose array<double>"))
+        near = joins.radius_pairs(moved, target, ["x", "y", "z"], radius, ["edge"])
+        best = near.groupBy("l.edge", "l.id").agg(F.min_by(F.struct("l", "r"), F.struct("d", "r.id")).alias("b"))
+        p = {x: F.col(f"b.l.{x}") for x in "xyz"}
+        rows = best.select("edge", _equations(p, {x: F.col(f"b.r.{x}") - p[x] for x in "xyz"}).alias("e")).select("edge", "e.*")
+        step = 0.0
+        matched = dict.fromkeys(edges, 0)
+        for r in normal_equations(rows, [f"j{i}" for i in range(6)], "res", ["edge"]).collect():  # a row a pair
+            e, d = edges[r["edge"]], solve(r, 6)
+            fixes[e], matched[e] = checked_pose(exp_pose(d) @ fixes[e]), r["n"]
+            step += float(np.abs(d).sum())
+        if step < 1e-9:
+            break
+    target.unpersist()
+    return {e: (fixes[e], matched[e]) for e in edges}
+
+
 def closed(points: DataFrame, poses: dict[int, np.ndarray], edges: list[tuple[int, int]], radius: float, fixed: int | None = None) -> dict[int, np.ndarray]:
     """Pose graph over the given motions between consecutive scans and loop edges measured by
     registering their two scans."""
-    from pointloom.plans.solvers import register
-
     keys = sorted(poses)
     at = {k: i for i, k in enumerate(keys)}
     graph = [(at[a], at[b], np.linalg.inv(poses[a]) @ poses[b], 1.0) for a, b in zip(keys, keys[1:])]
-    for a, b in edges:
-        own = lambda k: posed(points.where(F.col("scan_id") == k), {k: poses[k]}).select("id", "x", "y", "z")
-        r = register(own(b), own(a), radius, rounds=10)
-        if r.matched:
-            graph.append((at[a], at[b], np.linalg.inv(poses[a]) @ r.pose @ poses[b], 1.0))
+    if edges:
+        for (a, b), (fix, n) in register_edges(points, poses, edges, radius).items():
+            if n:
+                graph.append((at[a], at[b], np.linalg.inv(poses[a]) @ fix @ poses[b], 1.0))
     out = pose_graph(np.array([poses[k] for k in keys]), graph, fixed=at[fixed] if fixed is not None else 0)
     return {k: out[at[k]] for k in keys}
 

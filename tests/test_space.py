@@ -96,3 +96,16 @@ def test_pose_graph_closes_a_square():
     noisy = np.array([t @ exp_pose(0.05 * np.array([1, -1, 1, 0.2, -0.1, 0.3]) * (k > 0)) for k, t in enumerate(true)])
     out = pose_graph(noisy, [(k, (k + 1) % 4, step, 1.0) for k in range(4)], rounds=20)
     assert np.allclose(out, true, atol=1e-5)
+
+
+def test_crowded_cell_is_split(spark, monkeypatch):
+    """A cell with most of the points is dealt over parts and loses no pair."""
+    rng = np.random.default_rng(7)
+    xyz = np.concatenate([rng.uniform(0.41, 0.49, (1500, 3)), rng.uniform(0, 3, (200, 3))])
+    left = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "id long, x double, y double, z double")
+    right = left.where("id % 50 = 0")
+    near = joins.radius_pairs(left, right, ["x", "y", "z"], 0.5)
+    want = sum(int((np.linalg.norm(xyz - xyz[i], axis=1) <= 0.5).sum()) for i in range(0, len(xyz), 50))
+    assert near.count() == want
+    a, _ = joins.split_hot(left.selectExpr("id", "floor(x / 0.5) as k"), right.selectExpr("floor(x / 0.5) as k"), ["k"], F.xxhash64("id"))
+    assert a.where("k = 0").select("__part").distinct().count() > 32 and a.where("k > 0 and __part > 0").count() == 0
