@@ -133,12 +133,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The cosine of every row with vector ``q``, in double precision."""
-    rows, q = scaled(rows), scaled(q[None])[0]
-    return (rows * q).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((q * q).sum()))
-
-
 def sound(vectors: DataFrame) -> DataFrame:
     """(vec_id, h, v array<double>) of the vectors that take part, all of one length; vec_id and h, a
     hash of the vector, name a row."""
@@ -227,13 +221,24 @@ class Block:
         of = lambda n: rows.column(n).combine_chunks()
         self.books = books
         self.ids, self.marks, self.norm = (of(n).to_numpy() for n in ("vec_id", "h", "norm"))
-        self.v = matrix(of("v"))
+        self.v = scaled(matrix(of("v")))
+        self.length = np.sqrt((self.v * self.v).sum(axis=1))
         self.turn = np.arccos(np.clip(of("near").to_numpy().astype(np.float64), -1, 1))
         self.codes = np.frombuffer(b"".join(of("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
         self.cell = cell
 
+    def cosines(self, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The cosine of query i with row j for each pair, in double precision."""
+        length = np.sqrt((q * q).sum(axis=1))
+        out = np.empty(len(i))
+        for a in range(0, len(i), 1 << 15):
+            x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
+            out[a : a + (1 << 15)] = (self.v[y] * q[x]).sum(axis=1) / (self.length[y] * length[x])
+        return out
+
     def best(self, ids: np.ndarray, marks: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the query, vec_id, cosine) of each query's k nearest rows of the block."""
+        q = scaled(q)
         u = unit(q)
         dots = np.repeat((u @ self.books[0][self.cell])[:, None], len(self.ids), axis=1)
         for j, book in enumerate(self.books[1:]):
@@ -241,21 +246,23 @@ class Block:
         score = self.norm - 2 * dots
         own = (ids[:, None] == self.ids) & (marks[:, None] == self.marks)
         score[own] = np.inf
-        angle = np.arccos(np.clip(dots / np.sqrt(np.maximum(self.norm, 1e-30)), -1, 1))
-        bound = np.cos(np.abs(angle - self.turn)) + 1e-5
-        bound[own] = -np.inf
-        first = np.argpartition(score, min(FIRST, score.shape[1]) - 1, axis=1)[:, :FIRST]
-        out = []
-        for i in range(len(q)):
-            near = first[i][~own[i, first[i]]]
-            exact = cosines(self.v[near], q[i])
-            least = np.partition(exact, -k)[-k] if len(exact) >= k else -2.0
-            more = np.flatnonzero(bound[i] >= least)
-            more = more[~np.isin(more, near)]
-            near, exact = np.concatenate([near, more]), np.concatenate([exact, cosines(self.v[more], q[i])])
-            keep = np.lexsort((self.ids[near], -exact))[:k]
-            out.append((np.full(len(keep), i), self.ids[near[keep]], exact[keep]))
-        return tuple(np.concatenate(x) for x in zip(*out))
+        n = min(FIRST, score.shape[1])
+        first = np.argpartition(score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.tile(np.arange(n), (len(q), 1))
+        i, j = np.repeat(np.arange(len(q)), n), first.ravel()
+        exact = self.cosines(q, i, j)
+        exact[own[i, j]] = -np.inf
+        least = np.partition(exact.reshape(len(q), n), n - k, axis=1)[:, n - k] if n >= k else np.full(len(q), -np.inf)
+        if n < score.shape[1]:  # the rest, as far as the bound reaches what is there
+            angle = np.arccos(np.clip(dots / np.sqrt(np.maximum(self.norm, 1e-30)), -1, 1))
+            more = (np.cos(np.abs(angle - self.turn)) + 1e-5 >= least[:, None]) & ~own
+            more[i, j] = False
+            x, y = np.nonzero(more)
+            i, j, exact = np.concatenate([i, x]), np.concatenate([j, y]), np.concatenate([exact, self.cosines(q, x, y)])
+        i, j, exact = (x[np.isfinite(exact)] for x in (i, j, exact))
+        order = np.lexsort((self.ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[keep], self.ids[j[keep]], exact[keep]
 
 
 def searched(rows: DataFrame, asks: DataFrame, books: list[np.ndarray], k: int, tasks: int) -> DataFrame:
