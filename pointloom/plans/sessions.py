@@ -92,3 +92,50 @@ def fused_with_fixes(scans: DataFrame, fixes: DataFrame, tolerance: float, round
         pose = checked_pose(new)
     m = F.array(*[F.lit(float(v)) for v in pose.ravel()])
     return scans.withColumn("pose", P.product(m, "pose")), pose
+
+
+def sessions_joined(points: DataFrame, scans: DataFrame, reach: float, radius: float, apart: int = 10, places: DataFrame | None = None) -> DataFrame:
+    """Scans of all sessions in one graph: motions between consecutive scans of a session, and loop edges
+    between scans nearer than ``reach`` (of different sessions, or ``apart`` places within one), measured
+    by registering their points.  ``scan_id`` is unique over the sessions.
+
+    ``places`` (scan_id, x, y, z, weight) are known points of scans, as satellite fixes or ground control;
+    with them no scan is held, without them the first one is.  Scans come to the driver, points don't.
+    """
+    from pointloom.plans.registration import loop_edges, register_edges
+    from pointloom.plans.solvers import pose_graph
+
+    spark = scans.sparkSession
+    rows = scans.select("session", "scan_id", "ts", "pose").orderBy("session", "ts", "scan_id").collect()  # a row a scan
+    keys = [r["scan_id"] for r in rows]
+    at = {k: i for i, k in enumerate(keys)}
+    poses = {r["scan_id"]: np.array(r["pose"], float).reshape(4, 4) for r in rows}
+    graph = [(i, i + 1, np.linalg.inv(poses[keys[i]]) @ poses[keys[i + 1]], 1.0) for i in range(len(rows) - 1) if rows[i]["session"] == rows[i + 1]["session"]]
+    edges = loop_edges(poses, spark, reach, {r["scan_id"]: r["session"] for r in rows}, apart)
+    measured = register_edges(points, poses, edges, radius) if edges else {}
+    graph += [(at[a], at[b], np.linalg.inv(poses[a]) @ fix @ poses[b], 1.0) for (a, b), (fix, n) in measured.items() if n]
+    known = [(at[r["scan_id"]], np.array([r["x"], r["y"], r["z"]], float), float(r["weight"])) for r in places.collect() if r["scan_id"] in at] if places is not None else []
+    out = pose_graph(np.array([poses[k] for k in keys]), graph, rounds=20, fixed=[] if known else 0, places=known)
+    table = spark.createDataFrame([(int(k), [float(v) for v in out[i].ravel()]) for k, i in at.items()], "scan_id long, __new array<double>")
+    return scans.join(table, "scan_id").withColumn("pose", F.col("__new")).drop("__new")
+
+
+def calibrated_sensors(points: DataFrame, size: float, radius: float, rounds: int = 20) -> np.ndarray:
+    """The pose that brings all other sensors' points (lidar_id not 0) onto those of sensor 0: both sides
+    are thinned to a point a cell, then registered."""
+    from pointloom.operators.aggregates import decimate
+    from pointloom.plans.solvers import register
+
+    thin = lambda p: decimate(p.select("id", "x", "y", "z"), ["x", "y", "z"], size, "id").select("id", "x", "y", "z")
+    return register(thin(points.where("lidar_id <> 0")), thin(points.where("lidar_id = 0")), radius, rounds).pose
+
+
+def experiments(spark, methods: dict) -> DataFrame:
+    """(method, rms, ms) of named registrations (functions without arguments that give a result with rms)."""
+    import time
+
+    rows = []
+    for name, run in methods.items():
+        began = time.perf_counter()
+        rows.append((name, float(run().rms), 1000 * (time.perf_counter() - began)))
+    return spark.createDataFrame(rows, "method string, rms double, ms double")

@@ -220,3 +220,16 @@ def roi_constraints(spark, path: str) -> DataFrame:
     parts = F.split(F.trim("line"), r"\s+")
     rows = lines(spark, path).where(F.size(parts) == 5).select(parts[0].alias("name"), *[parts[i].try_cast("double").alias(n) for i, n in enumerate(("x", "y", "z", "size"), 1)])
     return rows.dropna()
+
+
+def kml_lines(fixes: DataFrame, order: str = "ts") -> DataFrame:
+    """Fixes (lat, lon, alt and the order) as lines of a KML document: one row a line, in order of ``n``.
+    The placemarks are made on the executors; head and tail are two rows."""
+    mark = F.format_string("<Placemark><Point><coordinates>%.8f,%.8f,%.3f</coordinates></Point></Placemark>", F.col("lon").cast("double"), F.col("lat").cast("double"), F.col("alt").cast("double"))
+    ends = fixes.sparkSession.createDataFrame([(0, '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), (2, "</Document></kml>")], "part int, line string")
+    rows = fixes.select(F.lit(1).alias("part"), F.col(order).alias("n"), mark.alias("line"))
+    return ends.selectExpr("part", "null as n", "line").unionByName(rows)
+
+
+def write_kml(fixes: DataFrame, path: str, order: str = "ts") -> None:
+    kml_lines(fixes, order).repartitionByRange("part", "n").sortWithinPartitions("part", "n").select("line").write.text(path)

@@ -138,3 +138,50 @@ def test_gnss_points(spark):
     fixes = spark.createDataFrame([(52.0, 21.0, 100.0, 1.0), (52.001, 21.0, 110.0, 2.0)], "lat double, lon double, height double, ts double")
     a, b = sinks.gnss_points(fixes, 52.0, 21.0, 100.0).orderBy("ts").collect()
     assert (a["x"], a["y"], a["z"]) == pytest.approx((0, 0, 0), abs=1e-6) and b["y"] == pytest.approx(111.27, abs=0.05) and b["z"] == pytest.approx(10, abs=0.01)
+
+
+def room(n):
+    """Points on three walls that meet in a corner."""
+    rng = np.random.default_rng(6)
+    xyz = rng.uniform(0, 3, (n, 3))
+    xyz[np.arange(n), np.arange(n) % 3] = 0
+    return xyz
+
+
+def test_sessions_joined_by_loop_edges(spark):
+    """Two sessions of the same room, the second one shifted: edges between them bring it back."""
+    xyz = room(240)
+    shift = exp_pose(np.array([0.03, -0.02, 0.02, 0.0, 0.0, 0.004]))
+    true = {10 * s + k: exp_pose(np.array([0.4 * k, 0.2 * s, 0, 0, 0, 0.1 * k])) for s in (0, 1) for k in range(3)}
+    rows, scans = [], []
+    for key, m in true.items():
+        inv = np.linalg.inv(m)
+        rows += [(key, len(rows) + i, *map(float, inv[:3, :3] @ p + inv[:3, 3])) for i, p in enumerate(xyz)]
+        scans.append((key // 10, key, float(key), (shift @ m if key >= 10 else m).ravel().tolist()))
+    points = spark.createDataFrame(rows, "scan_id long, id long, x double, y double, z double")
+    table = spark.createDataFrame(scans, "session int, scan_id long, ts double, pose array<double>")
+    got = {r["scan_id"]: np.array(r["pose"]).reshape(4, 4) for r in sessions.sessions_joined(points, table, 0.35, 0.15).collect()}
+    assert all(np.abs(got[k] - m).max() < 5e-3 for k, m in true.items())
+
+
+def test_sensors_and_experiments(spark):
+    xyz = room(150)
+    move = exp_pose(np.array([0.02, -0.01, 0.015, 0.003, -0.002, 0.002]))
+    back = np.linalg.inv(move)
+    rows = [(i, 0, *map(float, p)) for i, p in enumerate(xyz)] + [(1000 + i, 1 + i % 2, *map(float, back[:3, :3] @ p + back[:3, 3])) for i, p in enumerate(xyz)]
+    points = spark.createDataFrame(rows, "id long, lidar_id int, x double, y double, z double")
+    pose = sessions.calibrated_sensors(points, 0.001, 0.12)
+    assert np.allclose(pose, move, atol=1e-4)
+
+    class Result:
+        rms = 0.25
+
+    r = sessions.experiments(spark, {"a": Result, "b": Result}).orderBy("method").collect()
+    assert [(x["method"], x["rms"]) for x in r] == [("a", 0.25), ("b", 0.25)] and r[0]["ms"] >= 0
+
+
+def test_kml(spark, tmp_path):
+    fixes = spark.createDataFrame([(2.0, 52.5, 21.25, 110.0), (1.0, 52.0, 21.0, 100.0)], "ts double, lat double, lon double, alt double")
+    sinks.write_kml(fixes, str(tmp_path / "k"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "k")).collect()]
+    assert sum("21.25000000,52.50000000,110.000" in x for x in lines) == 1 and sum("</kml>" in x for x in lines) == 1 and len(lines) == 4
