@@ -237,11 +237,11 @@ def grid_round_trip(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_linenumber, (l_extendedprice::DOUBLE - 30000) / 10000 AS r FROM lineitem)
+    """WITH r AS (SELECT l_orderkey, l_linenumber, (l_extendedprice::DOUBLE - 30000) / 10007.3 AS r FROM lineitem)
     SELECT l_orderkey, l_linenumber, round(abs(r), 6) AS l1, round(r * r / 2, 6) AS l2, round(abs(r) ** 1.2 / 1.2, 6) AS lp, round(2 * (sqrt(1 + r * r / 2) - 1), 6) AS l1l2,
     round(CASE WHEN abs(r) <= 1.345 THEN r * r / 2 ELSE 1.345 * (abs(r) - 0.6725) END, 6) AS huber, round(r * r / 2 / (1 + r * r), 6) AS geman, round(sqrt(r * r + 1) - 1, 6) AS barron,
     round(2.3849 ** 2 / 2 * ln(1 + (r / 2.3849) ** 2), 6) AS cauchy, round(2.9846 ** 2 / 2 * (1 - exp(-((r / 2.9846) ** 2))), 6) AS welsch FROM r"""
 )
 def robust_losses(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_extendedprice").cast("double") - 30000) / 10000).alias("r"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_extendedprice").cast("double") - 30000) / 10007.3).alias("r"))  # a divisor that leaves no exact halves to round
     return rows.select("l_orderkey", "l_linenumber", *[F.round(robust.estimator(n, "r")[0], 6).alias(n) for n in ("l1", "l2", "lp", "l1l2", "huber", "geman", "barron", "cauchy", "welsch")])
