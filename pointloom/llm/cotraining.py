@@ -301,8 +301,12 @@ def surest(rows: DataFrame, heads: list[Head], most: int) -> pa.Table:
     some = rows.select("doc_id", "t", "m", *[c for _, c, _ in JUDGEMENTS]).mapInArrow(run, "head int, view int, value int, doc_id long, sure double, tie long")
     some = some.groupBy(*key, "doc_id", "tie").agg(F.max("sure").alias("sure"))
     limits = F.create_map(*[F.lit(v) for i, r in enumerate(room) for value, n in enumerate(r) for v in (2 * i + value, n)])
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("sure"), "tie"))
-    chosen = written(some.withColumn("nth", nth).where(F.col("nth") <= limits[2 * F.col("head") + F.col("value")]).select(*key, "doc_id"), "surest")
+    room_here = limits[2 * F.col("head") + F.col("value")]
+    # the best of each of 64 parts first, so that the last order has a bounded number of rows, whatever the tasks before
+    for part in ([*key, F.pmod("tie", F.lit(64))], key):
+        nth = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("sure"), "tie"))
+        some = some.withColumn("nth", nth).where(F.col("nth") <= room_here).drop("nth")
+    chosen = written(some.select(*key, "doc_id"), "surest")
     one = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min(F.struct("t", "m")).alias("f"))  # at most ``most`` a view and judgement
     return chosen.join(F.broadcast(one), "doc_id").select(*key, "doc_id", "f.t", "f.m").orderBy(*key, "doc_id").toArrow()
 
