@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import additive_ann, bpe_codec, cotraining, elias_fano, mixing, pii, quality_bands, simhash, token_counts, url_templates
+from pointloom.llm import additive_ann, bpe_codec, cotraining, elias_fano, html_blocks, mixing, pii, quality_bands, simhash, token_counts, url_templates
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -61,6 +61,10 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_fair_mix,
         op10_url_templates,
+        op11_html_extraction,
     )
 }
 
