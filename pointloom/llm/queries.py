@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import additive_ann, bpe_codec, cotraining, elias_fano, filter_audit, html_blocks, mixing, pii, quality_bands, simhash, token_counts, url_templates
+from pointloom.llm import additive_ann, bpe_codec, cotraining, elias_fano, filter_audit, html_blocks, mixing, pii, quality_bands, simhash, spelling, token_counts, url_templates
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -65,6 +65,10 @@ def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extracted(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,8 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_fair_mix,
         op10_url_templates,
         op11_html_extraction,
+        op12_spelling_variants,
         op13_filter_audit,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_fair_mix": mixing.MIX_SQL, "op10_url_templates": url_templates.TEMPLATES_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_fair_mix": mixing.MIX_SQL, "op10_url_templates": url_templates.TEMPLATES_SQL, "op12_spelling_variants": spelling.VARIANTS_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
