@@ -85,11 +85,13 @@ def failure_masks(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, part and mask (bit 0 for A to bit 4 for E) of every document, stored."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    rows = rows.select("doc_id", "part", own_mask(F.col("text"), F.col("words")).alias("mask"), "text", F.sha2("text", 256).alias("fp"))
+    rows = rows.withColumn("fp", F.sha2("text", 256))
     by = [F.col("fp"), F.col("doc_id").asc_nulls_last()]
     dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-    marked = written(with_predecessors(dealt.sortWithinPartitions("fp", "text", F.col("doc_id").asc_nulls_last())), "marked")
+    # masks are taken behind the exchange, as the sampling of ranges computes all that lies before it
+    dealt = dealt.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).sortWithinPartitions("fp", "text", F.col("doc_id").asc_nulls_last())
+    dealt = dealt.select("doc_id", "part", own_mask(F.col("text"), F.col("words")).alias("mask"), "text", "fp")
+    marked = written(with_predecessors(dealt), "marked")
     ends = marked.where("kind = 'end'").groupBy("fp").agg(F.min("doc_id").alias("least"))
     rows = marked.where("kind <> 'end'").join(F.broadcast(ends), "fp", "left")
     late = F.coalesce((F.col("kind") == "open") & (F.col("least") < F.col("doc_id")), F.lit(False))
