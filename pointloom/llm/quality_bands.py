@@ -2,9 +2,10 @@
 
 The zstandard ratio (bytes before over bytes after) of a whole document and of its fixed chunks
 must lie in a band: text that compresses too well repeats itself, text that hardly compresses is
-not language.  Short texts compress less than long ones, so the limits depend on the length.
+not language.  Short texts compress less than long ones, so the limits depend on the length.  They are
+those of the corpus at hand, from its labelled good rows (``fitted``); without labels they are wide ones.
 
-Each row stands alone: one pass, no exchange.  Null and empty texts have no words and fail the
+Each row stands alone: one pass, no exchange, after a pass over a bounded sample that sets the limits.  Null and empty texts have no words and fail the
 base rule; repeated rows are judged alike; long texts are compressed whole; extra columns are not
 read by ``quality_rules`` and kept by ``passing``; an empty table gives an empty result.
 """
@@ -18,17 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: (bytes from which a line holds, least ratio, largest ratio) of whole documents.  Set as
-#: ``fitted_bands`` does, from the rows of the 0.1 table with an even doc_id; another corpus has its own.
-#: No such rows: under 256 bytes (no least ratio to speak of) and from 65536 (the largest carried on).
+#: (bytes from which a line holds, least ratio, largest ratio) of whole documents, for a corpus without
+#: labels: wide enough for prose, code, licences and tables in any script.  With labels, ``fitted`` sets them.
 BANDS = (
-    (0, 0.5, 1.84), (256, 1.33, 1.84), (384, 1.38, 1.84), (512, 1.42, 1.84), (640, 1.54, 1.88), (768, 1.56, 1.99), (1024, 1.67, 2.02), (1280, 1.73, 2.07), (1536, 1.79, 2.12),
-    (2048, 1.87, 2.16), (2560, 1.92, 2.18), (3072, 2.0, 2.24), (4096, 2.07, 2.3), (5120, 2.09, 2.32), (6144, 2.13, 2.37), (8192, 2.19, 2.39), (12288, 2.21, 2.43), (16384, 2.29, 2.51), (65536, 2.29, 2.7),
+    (0, 0.3, 2.2), (256, 1.0, 2.6), (512, 1.2, 3.0), (1024, 1.25, 3.6), (2048, 1.35, 4.2), (4096, 1.4, 5.0), (16384, 1.45, 6.0), (65536, 1.5, 7.0),
 )
+#: Lines that are fitted, from these bytes on.
+EDGES = (0, 256, 384, 512, 640, 768, 1024, 1280, 1536, 2048, 2560, 3072, 4096, 5120, 6144, 8192, 12288, 16384, 32768)
 #: Bytes of a chunk; a rest under half of that belongs to the chunk before it.
 CHUNK = 4096
-#: Band of one chunk (99 % of the chunks of those rows, with a margin) and the share of chunks that may lie outside.
-CHUNK_BAND, CHUNK_SHARE = (1.9, 2.28), 0.34
+#: Band of one chunk and the share of chunks that may lie outside.
+CHUNK_BAND, CHUNK_SHARE = (1.3, 5.0), 0.34
+#: Fitting: at most so many labelled good rows, the share of them each end of a band may cut off, the margins
+#: added below and above, and the rows a line needs for limits of its own.
+SAMPLE, TAIL, MARGINS, LEAST_ROWS = 20_000, 0.003, (0.05, 0.03), 20
 LEVEL = 3
 SYMBOLS = "#*$%&|<>"
 
@@ -82,58 +86,83 @@ class Bands:
     def ratio(self, data: bytes) -> float:
         return len(data) / len(self.compress(data)) if data else 0.0
 
+    def chunk_ratios(self, data: bytes) -> list[float]:
+        """Of the chunks of a document that has several."""
+        n = max(1, len(data) // self.chunk + (len(data) % self.chunk >= self.chunk // 2))
+        view = memoryview(data)
+        return [self.ratio(bytes(view[k * self.chunk : (k + 1) * self.chunk if k < n - 1 else len(data)])) for k in range(n)] if n > 1 else []
+
     def verdict(self, text: str | None) -> tuple[float, int, int, str | None]:
         """ratio, chunks, chunks outside the band, and why the method rejects (null: it doesn't)."""
         data = (text or "").encode()
         ratio = self.ratio(data)
         low, high = next((lo, hi) for least, lo, hi in reversed(self.bands) if len(data) >= least)
-        n = max(1, len(data) // self.chunk + (len(data) % self.chunk >= self.chunk // 2))
-        outside = 0
-        if n > 1:
-            view = memoryview(data)
-            for k in range(n):
-                part = bytes(view[k * self.chunk : (k + 1) * self.chunk if k < n - 1 else len(data)])
-                outside += not self.chunk_band[0] <= self.ratio(part) <= self.chunk_band[1]
+        chunks = self.chunk_ratios(data)
+        n, outside = max(1, len(chunks)), sum(not self.chunk_band[0] <= x <= self.chunk_band[1] for x in chunks)
         why = "repetitive" if ratio > high else "incompressible" if ratio < low else "chunks" if outside > self.share * n else None
         return ratio, n, outside, why
 
 
-def quality_rules(docs: DataFrame, **settings) -> DataFrame:
-    """Base figures, compression figures and verdict of every document; ``settings`` go to Bands."""
+def quality_rules(docs: DataFrame, chunks: bool = False, **settings) -> DataFrame:
+    """Base figures, compression figures and verdict of every document (with ``chunks`` also the ratios
+    of its chunks); ``settings`` go to Bands."""
+    schema = SCHEMA + (", chunk_ratios array<double>" if chunks else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(**settings)
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}
-        kinds = [types[x.split()[1]] for x in SCHEMA.split(", ")]
+        names = [x.split()[0] for x in schema.split(", ")]
+        types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+        kinds = [types[x.split()[1]] for x in schema.split(", ")]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 base = base_figures(text)
                 ratio, n, outside, why = bands.verdict(text)
-                rows.append((doc_id.as_py(), *base, not base[-1] and why is None, ratio, n, outside, "base" if base[-1] else why, len((text or "").encode())))
+                data = (text or "").encode()
+                own = (bands.chunk_ratios(data),) if chunks else ()
+                rows.append((doc_id.as_py(), *base, not base[-1] and why is None, ratio, n, outside, "base" if base[-1] else why, len(data), *own))
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+
 
+def sampled_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id and text of the first ``sample`` doc_ids with quality 1, by hash; that list is broadcast."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
 
-def fitted_bands(docs: DataFrame, labels: DataFrame, edges: tuple[int, ...] = tuple(b[0] for b in BANDS)) -> tuple[tuple[int, float, float], ...]:
-    """Bands for a corpus, from its labelled good rows (quality 1) that pass the base rule: by length the
-    smallest ratio less 0.05 and the 99.5 % quantile plus 0.03, neither below the line before.  Lengths
-    without such rows take the limits of the line before.  One row a length comes to the driver."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = quality_rules(docs).where("not base_failed").join(good, "doc_id", "left_semi")
+
+def fitted(docs: DataFrame, labels: DataFrame | None, edges: tuple[int, ...] = EDGES, sample: int = SAMPLE) -> dict:
+    """Settings of Bands for a corpus: the limits that its own labelled good rows keep.
+
+    Of at most ``sample`` of those that pass the base rule: by length, the quantiles of the ratio at ``TAIL``
+    from either end, with ``MARGINS``; ratios grow with length, so no limit is below that of a shorter line, and a
+    line with under ``LEAST_ROWS`` rows takes those of the line before (before the first such line, its own
+    least and that line's largest).  Likewise one band for chunks.  Without labels, or with no line that has rows
+    enough, there are no settings and the wide ``BANDS`` hold.  One row a line comes to the driver.
+    """
+    if labels is None:
+        return {}
+    rows = quality_rules(sampled_good(docs, labels, sample), chunks=True).where("not base_failed")
     line = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n_bytes"))) - 1
-    got = {r["line"]: r for r in rows.groupBy(line.alias("line")).agg(F.min("ratio").alias("low"), F.expr("percentile(ratio, 0.995)").alias("high")).collect()}
-    out, low, high = [], 0.5, 0.0
+    ends = lambda c: F.percentile(c, [TAIL, 1 - TAIL])
+    got = {r["line"]: r for r in rows.groupBy(line.alias("line")).agg(F.count("*").alias("rows"), ends("ratio").alias("ends")).collect() if r["rows"] >= LEAST_ROWS}
+    if not got:
+        return {}
+    first = min(got)
+    out, low, high = [], BANDS[0][1], got[first]["ends"][1] + MARGINS[1]
     for i, edge in enumerate(edges):
         if i in got:
-            low, high = max(low, got[i]["low"] - 0.05), max(high, got[i]["high"] + 0.03)
-        out.append((edge, round(low, 2), round(high, 2)))
-    first = next((h for _, _, h in out if h), float("inf"))
-    return tuple((e, lo, h or first) for e, lo, h in out)
+            low, high = max(low, got[i]["ends"][0] - MARGINS[0]), max(high, got[i]["ends"][1] + MARGINS[1])
+        out.append((edge, round(low, 3), round(high, 3)))
+    settings = {"bands": tuple(out)}
+    chunks = rows.where("n_chunks > 1").select(F.explode("chunk_ratios").alias("x")).agg(F.count("*").alias("rows"), ends("x").alias("ends")).first()
+    if chunks["rows"] >= LEAST_ROWS:
+        settings["chunk_band"] = (round(chunks["ends"][0] - MARGINS[0], 3), round(chunks["ends"][1] + MARGINS[1], 3))
+    return settings
 
 
 def passing(docs: DataFrame, **settings) -> DataFrame:

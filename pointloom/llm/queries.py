@@ -21,8 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The labels beside the documents, where there are any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/labels.parquet")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return table(spark, sf_dir, "labels") if there else None
+
+
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_bands.quality_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality_bands.quality_rules(docs, **quality_bands.fitted(docs, labels_of(spark, sf_dir)))
 
 
 def op2_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
