@@ -1,10 +1,11 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source's documents, in a shuffled order, queue for the mix.  A document's virtual finish
-time is the words of its source up to and including it, divided by the source's target; a second
+time is the words of its source before it and half its own, divided by the source's target; a second
 lap through a source goes on counting.  All documents are then ordered by finish time over the
 whole table and taken until the total budget is used up, so at any point of the order each source
-has had its due share.
+has had its due share.  As a document counts from its middle, a source ends within half a document of
+its target (and of where the budget ends), one that has a single document too.
 
 Sources in order of code points (null last) weigh 3, 1, 2, repeating.  Targets share 150 % of all
 words by weight; a source stops at twice its words and its excess goes to the others, by weight,
@@ -17,8 +18,8 @@ the square root of a source.  The global order is cut the same way: words are su
 finish time, the square root of all rows to a unit of it, and only the one range in which the budget
 runs out is ordered row by row.
 
-The shuffle is md5 of the doc_id, with ties by doc_id and text hash, so a rerun agrees; rows alike
-in all three are taken together or not at all.  Null texts have no words and take none; a null
+The shuffle is md5 of doc_id and of the text's md5, so a rerun agrees, and rows that share a doc_id, or
+have none, are spread by their texts; rows alike in both are taken together or not at all.  Null texts have no words and take none; a null
 source is a source of its own; extra columns are kept by ``mixed`` and not read by ``mix``; an
 empty table gives an empty result.
 """
@@ -57,14 +58,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
 
 def place() -> F.Column:
     """Column __place, the shuffled order within a source."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).cast("binary"))
     tie = F.coalesce(F.xxhash64("text"), F.lit(0))
     return F.struct(key.alias("key"), F.col("doc_id").isNull().alias("missing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), tie.alias("tie")).alias("__place")
 
 
 def queued(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, slot_rows: int | None = None) -> tuple[DataFrame, float | None]:
     """Every row with source, size, source_size, target, __place and reached (words of the source up
-    to it; ``slot_rows`` sets the rows of a slot), and the finish time up to which the mix takes documents (null: there are no words)."""
+    to its middle; ``slot_rows`` sets the rows of a slot), and the finish time up to which the mix takes documents (null: there are no words)."""
     rows = written(docs.select("source", word_count("text").alias("size"), place()), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     targets = written(source_targets(sizes, weights, share_percent, most), "targets")
@@ -75,7 +76,8 @@ def queued(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT,
     rows = rows.withColumn("slot", F.floor(unit * slots / F.lit(1 << 32)).cast("long"))
     before = F.coalesce(F.sum("__sum").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = rows.groupBy("source", "slot").agg(F.sum("size").alias("__sum")).select(F.col("source").alias("__source"), F.col("slot").alias("__slot"), before.alias("__before"))
-    inner = F.sum("size").over(Window.partitionBy("source", "slot").orderBy("__place"))  # rows alike count together
+    # rows alike count together, up to the middle of all of them
+    inner = F.sum("size").over(Window.partitionBy("source", "slot").orderBy("__place")) - F.sum("size").over(Window.partitionBy("source", "slot", "__place")) / 2
     own = rows.withColumn("__own", inner).join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("slot") == F.col("__slot")))
     own = written(own.select("source", "size", "source_size", "target", "__place", (F.col("__own") + F.col("__before")).alias("reached")), "queue")
 
@@ -140,7 +142,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 #: The same in SQL, over a table of documents with unique doc_ids.
 MIX_SQL = r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, md5(doc_id::VARCHAR) AS k,
+  SELECT doc_id, source, md5(doc_id::VARCHAR || ':' || md5(coalesce(text, ''))) AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 src AS (
@@ -160,7 +162,7 @@ targets AS (
   SELECT source, source_size, CASE WHEN level IS NULL OR level * weight >= cap THEN cap::DOUBLE ELSE level * weight END AS target FROM levelled),
 queue AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id)::DOUBLE AS reached
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id) - s.size / 2.0 AS reached
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 turns AS (
   SELECT size, (reached + lap * source_size) / target AS finish FROM queue, (VALUES (0), (1)) laps(lap) WHERE size > 0),

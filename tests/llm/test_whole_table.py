@@ -221,3 +221,28 @@ def test_beam_search_is_better_than_greedy():
     books = additive_ann.fit_codebooks(x, m=4, k=16, cells=8)
     error = lambda beam: ((x - additive_ann.decoded(additive_ann.encode(x, books, beam), books)) ** 2).sum()
     assert error(4) < error(1)
+
+
+def test_sources_end_near_their_targets(spark):
+    """Within half the longest document of a source and of where the budget ends; a source of one document too."""
+    import pyspark.sql.functions as F
+
+    one = spark.createDataFrame([(1, "w " * 304, "a"), (2, "w " * 301, "b"), (3, "w " * 80, "c"), (4, None, "d")], "doc_id long, text string, source string")
+    taken = {r["source_size"]: (r["taken"], r["target"]) for r in mixing.mix(one).collect()}
+    assert taken[301][0] == 301 and abs(taken[301][0] - taken[301][1]) <= 301 / 2
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        rows = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("longest")).collect()
+        total, budget = sum(r["taken"] for r in rows), sum(r["target"] for r in rows)
+        assert 0 <= budget - total <= max(r["longest"] for r in rows)
+        for r in rows:
+            assert abs(r["taken"] - r["target"]) <= r["longest"] / 2 + r["target"] * 0.02, (sf, r)
+
+
+def test_rows_without_an_id_are_spread_and_mixed_alike(spark):
+    rows = [(None if i % 3 else 7, f"own {i} " + "w " * (i % 50), "s" if i % 4 else "t") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    queue = mixing.queued(df)[0]
+    assert queue.select("__place.key").distinct().count() == 2000
+    got = sorted(map(str, mixing.mix(df).collect()))
+    assert got == sorted(map(str, mixing.mix(df.repartition(9)).collect()))
