@@ -635,4 +635,4 @@ def gray_code(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", g.alias("gray"), geometry.gray_to_binary(g, 64).alias("back"))
 
 
-from pointloom.plans import catalog_maps, catalog_files  # noqa: E402, F401, I001  # further queries, registered when read
+from pointloom.plans import catalog_maps, catalog_files, catalog_solvers  # noqa: E402, F401, I001  # further queries, registered when read

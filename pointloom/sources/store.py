@@ -1,10 +1,11 @@
-"""The folder that driver and executors share, for files the library writes itself."""
+"""The folder that driver and executors share, and tables the library itself writes there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +18,19 @@ def shared_folder(spark: SparkSession) -> str:
     own = "file://" + tempfile.mkdtemp(prefix="pointloom-")
     spark.sparkContext.setCheckpointDir(own)
     return own
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that a lost executor costs nothing before it."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a table of ``stored`` that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
