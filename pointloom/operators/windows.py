@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointloom.functions import pose as P
+from pointloom.operators.scans import chained_poses, greedy_segments, spaced_matches, thinned  # noqa: F401
 
 
 def batches(rows: DataFrame, keys: list[str], order: list[str], size: int = 20, least: int | None = None) -> DataFrame:
@@ -74,47 +75,6 @@ def entries(rows: DataFrame, keys: list[str], order: list[str], inside) -> DataF
     return out.where("__in and not __was").drop("__in", "__was")
 
 
-def greedy_segments(rows: DataFrame, keys: list[str], order: list[str], values: list[str], reach: float) -> DataFrame:
-    """Adds segment: a new one begins once the path since its first row exceeds ``reach``.
-
-    The counter resets where it fires, so the rule is sequential in a key: step lengths come from a
-    window, then one pass of numpy a key.
-    """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    square = None
-    for v in values:
-        d = F.coalesce(F.col(v) - F.lag(v).over(w), F.lit(0)).cast("double")
-        square = d * d if square is None else square + d * d
-    stepped = rows.withColumn("__step", F.sqrt(square))
-    schema = T.StructType(list(rows.schema)).add("segment", "long")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out, gone, seg = np.zeros(len(pdf), np.int64), 0.0, 0
-        for i, s in enumerate(pdf["__step"].to_numpy()):
-            gone += s
-            if gone > reach:
-                seg, gone = seg + 1, 0.0
-            out[i] = seg
-        return pdf.drop(columns="__step").assign(segment=out)
-
-    return stepped.groupBy(*keys).applyInPandas(run, schema)
-
-
-def chained_poses(rows: DataFrame, keys: list[str], order: list[str], relative: str = "relative") -> DataFrame:
-    """Adds pose: the product of the relative poses up to each row of a key."""
-    schema = T.StructType(list(rows.schema)).add("pose", "array<double>")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, at, out = pdf.sort_values(order, kind="stable"), np.eye(4), []
-        for m in pdf[relative]:
-            at = at if m is None else at @ np.asarray(m, float).reshape(4, 4)
-            out.append(at.ravel().tolist())
-        return pdf.assign(pose=out)
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
-
-
 def integrated(rows: DataFrame, keys: list[str], order: str, rate: str, method: str = "euler", most_dt: float = 0.1) -> DataFrame:
     """Adds dt and integral: the running integral of ``rate`` over ``order`` (seconds).
 
@@ -169,51 +129,6 @@ def orientation(rows: DataFrame, keys: list[str], order: str = "ts", gain: float
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
-def spaced_matches(rows: DataFrame, keys: list[str], order: list[str], values: list[str], matched: str, reach: float) -> DataFrame:
-    """Rows at which the path since the last row taken reaches ``reach`` and that have a match
-    (column ``matched`` not null); the path goes on counting where there is none."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    square = None
-    for v in values:
-        d = F.coalesce(F.col(v) - F.lag(v).over(w), F.lit(0)).cast("double")
-        square = d * d if square is None else square + d * d
-    stepped = rows.withColumn("__step", F.sqrt(square))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        keep, gone = np.zeros(len(pdf), bool), 0.0
-        there = pdf[matched].notna().to_numpy()
-        for i, s in enumerate(pdf["__step"].to_numpy()):
-            gone += s
-            if gone >= reach and there[i]:
-                keep[i], gone = True, 0.0
-        return pdf[keep].drop(columns="__step")
-
-    return stepped.groupBy(*keys).applyInPandas(run, rows.schema)
-
-
-def thinned(rows: DataFrame, keys: list[str], order: list[str], values: list[str], straight: float, curved: float, in_curve: str = "in_curve") -> DataFrame:
-    """Rows a distance apart: ``straight`` on straight parts, ``curved`` in curves; each key's first
-    row stays and its counter is its own."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    square = None
-    for v in values:
-        d = F.coalesce(F.col(v) - F.lag(v).over(w), F.lit(0)).cast("double")
-        square = d * d if square is None else square + d * d
-    stepped = rows.withColumn("__step", F.sqrt(square))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        keep, gone = np.zeros(len(pdf), bool), float("inf")
-        for i, (s, c) in enumerate(zip(pdf["__step"].to_numpy(), pdf[in_curve].to_numpy())):
-            gone += s
-            if gone >= (curved if c else straight):
-                keep[i], gone = True, 0.0
-        return pdf[keep].drop(columns="__step")
-
-    return stepped.groupBy(*keys).applyInPandas(run, rows.schema)
-
-
 def to_first_frame(rows: DataFrame, keys: list[str], order: list[str], pose: str = "pose") -> DataFrame:
     """Poses of every key in the frame of its first one, which becomes the identity."""
     first = rows.groupBy(*keys).agg(F.min_by(pose, F.struct(*order)).alias("__first"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pointloom.functions import pose
+from pointloom.operators import windows
 from pointloom.plans import sparse
 from pointloom.plans.catalog import E_SQL, events
 from pointloom.plans.registry import query
@@ -55,3 +57,28 @@ def bent_track(spark, sf_dir):
     track, matched = fixes(spark, sf_dir)
     out = sparse.bent_onto(track, matched, "t", 24.0, 0.1)
     return out.select("event_id", *[F.round(c, 5).alias(c) for c in ("x", "y", "cx", "cy")])
+
+
+@query(
+    f"""{E_SQL}, v AS (SELECT *, coalesce(value, 0) / 50 AS yaw, coalesce(value, 0) / 100 AS tx, user_id / 1000 AS ty FROM e),
+    h AS (SELECT *, sum(yaw) OVER w - yaw AS h FROM v WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT user_id, event_id, round(sum(cos(h) * tx - sin(h) * ty) OVER w, 5) AS x, round(sum(sin(h) * tx + cos(h) * ty) OVER w, 5) AS y FROM h WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)"""
+)
+def chained_poses(spark, sf_dir):
+    """Steps and turns of each user chained to places; in the plane that is a sum of turned steps."""
+    zero, v = F.lit(0.0), F.coalesce(F.col("value"), F.lit(0.0))
+    e = events(spark, sf_dir).withColumn("relative", pose.from_tait_bryan(v / 100, F.col("user_id") / 1000, zero, zero, zero, v / 50))
+    out = windows.chained_poses(e, ["user_id"], ["us", "event_id"])
+    return out.select("user_id", "event_id", F.round(F.col("pose")[3], 5).alias("x"), F.round(F.col("pose")[7], 5).alias("y"))
+
+
+@query(
+    f"""{E_SQL.replace('WITH e', 'WITH RECURSIVE e')}, s AS (SELECT user_id, event_id, row_number() OVER w AS i, event_type, coalesce(abs(value - lag(value) OVER w), 0) AS d FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+    r AS (SELECT user_id, event_id, i, 0.0::DOUBLE AS gone, false AS took FROM s WHERE i = 1
+      UNION ALL SELECT s.user_id, s.event_id, s.i, CASE WHEN r.gone + s.d >= 250 AND s.event_type = 'click' THEN 0.0 ELSE r.gone + s.d END, r.gone + s.d >= 250 AND s.event_type = 'click' FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+    SELECT user_id, event_id FROM r WHERE took"""
+)
+def spaced_matches(spark, sf_dir):
+    """A user's clicks at least 250 of value travelled apart."""
+    e = events(spark, sf_dir).withColumn("m", F.when(F.col("event_type") == "click", 1))
+    return windows.spaced_matches(e, ["user_id"], ["us", "event_id"], ["value"], "m", 250.0).select("user_id", "event_id")
