@@ -7,15 +7,16 @@ sum, the cosine between sum and vector, and the vector itself.  A query scores r
 tables, |sum|^2 - 2 <q, sum>, without decoding, and reranks them exactly, by cosine in double precision.
 
 *How deep to rerank.*  With a the angle between query and sum and t the stored angle between sum and
-vector, the query's cosine is at most cos(a - t).  A block's nearest by score are reranked first; then
+vector, the query's cosine is at most cos(a - t); a is taken as an interval, by the error of its table sums.  A block's nearest by score are reranked first; then
 every row of it whose bound reaches their k-th exact cosine.  So in the blocks a query meets the result
 is exact, and no number of candidates is fixed, however many near copies there are.
 
-*What meets what.*  The first codebook deals the index into cells, about the square root of the rows
-many.  How many cells, in order of their distance, a query visits is measured: ``CHECKED`` queries are
+*What meets what.*  The first two codebooks deal the index into cells, a cell a pair of codewords, about
+the square root of the rows many; each of the two has the square root of that, so a bounded sample is
+enough to fit them at any size.  How many cells, in order of their distance, a query visits is measured: ``CHECKED`` queries are
 searched exactly over all rows, and the fewest cells that hold ``RECALL`` of their nearest are taken.
-Cells are cut into blocks of about ``ROWS`` rows by hash, so a cell with a third of all vectors is only
-more blocks.  A task reads a block and then the queries that visit it, sorted behind it, in batches;
+Cells with more rows than a block of ``BLOCK`` bytes holds are cut by hash, so a cell with a third of all
+vectors is only more blocks; any other is one, and a query's vector is sent to it once.  A task reads a block and then the queries that visit it, sorted behind it, in batches;
 each block gives the best k of a query, and their best k are the result.
 
 The codebooks are fitted on at most ``TRAIN`` vectors, chosen by a hash of vec_id; every vector is
@@ -37,14 +38,16 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import written
 
-#: Codebooks, codewords of each but the first, most of the first (the cells), partial sums kept.
-M, K, CELLS, BEAM = 24, 128, 500, 4
+#: Codebooks, codewords of each from the third on, partial sums kept.
+M, K, BEAM = 24, 128, 4
 TRAIN = 10_000
 #: Queries that are searched exactly to choose the number of cells visited, and the share of their
 #: nearest that those must hold.
 CHECKED, RECALL = 200, 0.97
-#: Rows of a block, rows of it that are reranked first, and queries scored at once.
-ROWS, FIRST, QUERIES = 4096, 32, 64
+#: Bytes of a block's vectors, rows of it that are reranked first, and queries scored at once.
+BLOCK, FIRST, QUERIES = 32 << 20, 32, 64
+#: Error of a cosine from the tables, which are sums of ``M`` products in single precision.
+SLACK = 4e-6
 
 
 def nearest_codewords(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -90,31 +93,31 @@ def decoded(codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
 
 
 def fit_codebooks(x: np.ndarray, cells: int, m: int = M, k: int = K, seed: int = 7) -> list[np.ndarray]:
-    """``m`` codebooks for unit rows ``x``."""
+    """``m`` codebooks for unit rows ``x``; pairs of the first two's codewords make at least ``cells`` cells."""
     rng = np.random.default_rng(seed)
-    k, cells = min(k, max(1, len(x))), min(cells, max(1, len(x) // 4))
+    k, side = min(k, max(1, len(x))), int(np.ceil(np.sqrt(cells)))
     books, rest = [], x.copy()
     for level in range(m):
-        book = k_means(rest, k if level else cells, rng)
+        book = k_means(rest, k if level > 1 else side, rng)
         rest = rest - book[nearest_codewords(rest, book)]
         books.append(book)
-    # least squares: all codewords together, the codes as they are, from the second book on; the
-    # first stays, as it deals the cells
+    # least squares: all codewords together, the codes as they are, from the third book on; the
+    # first two stay, as they deal the cells
     codes = encode(x, books)
-    cols = codes[:, 1:].astype(np.int64)
-    wide = (m - 1) * k
-    gram = np.zeros((m - 1, k, m - 1, k))
+    cols = codes[:, 2:].astype(np.int64)
+    wide = (m - 2) * k
+    gram = np.zeros((m - 2, k, m - 2, k))
     right = np.zeros((wide, x.shape[1]))
-    target = x - books[0][codes[:, 0]]
-    for i in range(m - 1):
-        for j in range(m - 1):
+    target = x - books[0][codes[:, 0]] - books[1][codes[:, 1]]
+    for i in range(m - 2):
+        for j in range(m - 2):
             gram[i, :, j] = np.bincount(cols[:, i] * k + cols[:, j], minlength=k * k).reshape(k, k)
         n = np.bincount(cols[:, i], minlength=k)
         right[np.flatnonzero(n) + i * k] = np.add.reduceat(target[np.argsort(cols[:, i], kind="stable")], (np.cumsum(n) - n)[n > 0])
     gram = gram.reshape(wide, wide)
-    old = np.concatenate(books[1:]).astype(np.float64)
+    old = np.concatenate(books[2:]).astype(np.float64)
     better = old + np.linalg.solve(gram + 0.5 * np.eye(wide), right - gram @ old)
-    return [books[0].astype(np.float32), *better.reshape(m - 1, k, -1).astype(np.float32)]
+    return [books[0].astype(np.float32), books[1].astype(np.float32), *better.reshape(m - 2, k, -1).astype(np.float32)]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -154,24 +157,33 @@ def index(vectors: DataFrame, books: list[np.ndarray]) -> DataFrame:
             x = unit(matrix(b.column(2)))
             codes = encode(x, books)
             sums = decoded(codes, books)
-            norm = (sums.astype(np.float64) ** 2).sum(axis=1)
-            near = (sums * x).sum(axis=1) / np.sqrt(np.maximum(norm, 1e-30))
-            packed = pa.array([c.tobytes() for c in codes[:, 1:].astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes[:, 0], pa.int32()), packed, pa.array(norm, pa.float32()), pa.array(near, pa.float32())], ["vec_id", "h", "v", "cell", "codes", "norm", "near"])
+            sums, exact = sums.astype(np.float64), scaled(matrix(b.column(2)))
+            norm = (sums**2).sum(axis=1)
+            near = (sums * exact).sum(axis=1) / np.sqrt(np.maximum(norm, 1e-30)) / np.linalg.norm(exact, axis=1)
+            packed = pa.array([c.tobytes() for c in codes[:, 2:].astype(np.uint8)], pa.binary())
+            cell = codes[:, 0].astype(np.int32) * len(books[1]) + codes[:, 1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), packed, pa.array(norm), pa.array(near)], ["vec_id", "h", "v", "cell", "codes", "norm", "near"])
 
-    return vectors.select("vec_id", "h", "v").mapInArrow(run, "vec_id long, h long, v array<double>, cell int, codes binary, norm float, near float")
+    return vectors.select("vec_id", "h", "v").mapInArrow(run, "vec_id long, h long, v array<double>, cell int, codes binary, norm double, near double")
 
 
-def cell_order(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Cells by distance, for every unit row."""
-    return np.argsort((first**2).sum(axis=1) - 2 * x @ first.T, axis=1, kind="stable")
+def cell_order(x: np.ndarray, books: list[np.ndarray], probe: int | None = None) -> np.ndarray:
+    """Cells by distance, for every unit row: all, or the ``probe`` nearest."""
+    a, b = books[:2]
+    norm = ((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) + 2 * a @ b.T).ravel()
+    out = []
+    for i in range(0, len(x), n := max(1, (1 << 22) // len(norm))):
+        rows = x[i : i + n]
+        far = norm - 2 * ((rows @ a.T)[:, :, None] + (rows @ b.T)[:, None, :]).reshape(len(rows), -1)
+        out.append(np.argsort(far, axis=1, kind="stable")[:, :probe])
+    return np.concatenate(out) if out else np.zeros((0, probe or len(norm)), np.int64)
 
 
-def cells_needed(rows: DataFrame, queries: DataFrame, first: np.ndarray, k: int, checked: int, recall: float) -> int:
+def cells_needed(rows: DataFrame, queries: DataFrame, books: list[np.ndarray], k: int, checked: int, recall: float) -> int:
     """The fewest nearest cells that hold ``recall`` of the exact k nearest of a bounded sample of queries."""
     sample = queries.orderBy(F.xxhash64("vec_id", F.lit(3)), "h").limit(checked).select("vec_id", "h", "v").toArrow().combine_chunks()
     if not sample.num_rows:
-        return len(first)
+        return 1
     ids, marks, q = (sample.column(0).to_numpy(), sample.column(1).to_numpy(), unit(matrix(sample.column(2).combine_chunks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,27 +200,26 @@ def cells_needed(rows: DataFrame, queries: DataFrame, first: np.ndarray, k: int,
     w = Window.partitionBy("q").orderBy(F.desc("s"), "vec_id")
     found = rows.select("vec_id", "h", "v", "cell").mapInArrow(run, "q int, s float, vec_id long, cell int").where("s > -2")
     found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("q", "cell").collect()  # at most checked * k short rows
-    place = np.argsort(cell_order(q, first), axis=1)
+    place = np.argsort(cell_order(q, books), axis=1)
     ranks = np.sort([place[r["q"], r["cell"]] for r in found])
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else len(first)
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
 
 
-def routed(queries: DataFrame, first: np.ndarray, parts: np.ndarray, probe: int) -> DataFrame:
+def routed(queries: DataFrame, books: list[np.ndarray], parts: np.ndarray, probe: int) -> DataFrame:
     """(vec_id, h, v, cell, part) for each block that a query visits; ``parts`` are the blocks of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            live = np.zeros((len(b), len(parts)), bool)
-            np.put_along_axis(live, cell_order(unit(matrix(b.column(2))), first)[:, :probe], True, axis=1)
-            row, cell = np.nonzero(live & (parts > 0))
-            times = parts[cell]
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            for a in range(0, len(row), 4096):
-                own = b.take(pa.array(row[a : a + 4096]))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cell[a : a + 4096], pa.int32()), pa.array(part[a : a + 4096], pa.int32())], ["vec_id", "h", "v", "cell", "part"])
+        for whole in batches:
+            for i in range(0, len(whole), 256):
+                b = whole.slice(i, 256)
+                cells = cell_order(unit(matrix(b.column(2))), books, probe)
+                row, cell = np.repeat(np.arange(len(b)), cells.shape[1]), cells.ravel()
+                times = parts[cell]  # none of an empty cell
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                for a in range(0, len(row), 4096):
+                    own = b.take(pa.array(row[a : a + 4096]))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cell[a : a + 4096], pa.int32()), pa.array(part[a : a + 4096], pa.int32())], ["vec_id", "h", "v", "cell", "part"])
 
     return queries.select("vec_id", "h", "v").mapInArrow(run, "vec_id long, h long, v array<double>, cell int, part int")
 
@@ -223,9 +234,9 @@ class Block:
         self.ids, self.marks, self.norm = (of(n).to_numpy() for n in ("vec_id", "h", "norm"))
         self.v = scaled(matrix(of("v")))
         self.length = np.sqrt((self.v * self.v).sum(axis=1))
-        self.turn = np.arccos(np.clip(of("near").to_numpy().astype(np.float64), -1, 1))
+        self.turn = np.arccos(np.clip(of("near").to_numpy(), -1, 1))
         self.codes = np.frombuffer(b"".join(of("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
-        self.cell = cell
+        self.middle = books[0][cell // len(books[1])] + books[1][cell % len(books[1])]
 
     def cosines(self, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The cosine of query i with row j for each pair, in double precision."""
@@ -240,8 +251,8 @@ class Block:
         """(place of the query, vec_id, cosine) of each query's k nearest rows of the block."""
         q = scaled(q)
         u = unit(q)
-        dots = np.repeat((u @ self.books[0][self.cell])[:, None], len(self.ids), axis=1)
-        for j, book in enumerate(self.books[1:]):
+        dots = np.repeat((u @ self.middle)[:, None], len(self.ids), axis=1)
+        for j, book in enumerate(self.books[2:]):
             dots += (u @ book.T)[:, self.codes[:, j]]  # the table of <q, codeword>
         score = self.norm - 2 * dots
         own = (ids[:, None] == self.ids) & (marks[:, None] == self.marks)
@@ -253,8 +264,10 @@ class Block:
         exact[own[i, j]] = -np.inf
         least = np.partition(exact.reshape(len(q), n), n - k, axis=1)[:, n - k] if n >= k else np.full(len(q), -np.inf)
         if n < score.shape[1]:  # the rest, as far as the bound reaches what is there
-            angle = np.arccos(np.clip(dots / np.sqrt(np.maximum(self.norm, 1e-30)), -1, 1))
-            more = (np.cos(np.abs(angle - self.turn)) + 1e-5 >= least[:, None]) & ~own
+            cosine = dots / np.sqrt(np.maximum(self.norm, 1e-30))
+            low, high = np.arccos(np.clip(cosine + SLACK, -1, 1)), np.arccos(np.clip(cosine - SLACK, -1, 1))
+            apart = np.maximum(0, np.maximum(low - self.turn, self.turn - high))
+            more = (np.cos(apart) + 1e-12 >= least[:, None]) & ~own
             more[i, j] = False
             x, y = np.nonzero(more)
             i, j, exact = np.concatenate([i, x]), np.concatenate([j, y]), np.concatenate([exact, self.cosines(q, x, y)])
@@ -313,19 +326,20 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, probe: int | None =
     chance = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30)
     fitted = v.where(chance < 2 * train / n).orderBy(F.xxhash64("vec_id"), "vec_id", "h").limit(train)  # of about twice as many the first by hash
     x = unit(matrix(fitted.select("v").toArrow().combine_chunks().column(0).combine_chunks()))
-    books = fit_codebooks(x, cells=int(min(CELLS, np.ceil(np.sqrt(n)))))
+    books = fit_codebooks(x, cells=int(np.ceil(np.sqrt(n))))
 
     rows = written(index(v, books), "index")
-    in_cell = np.zeros(len(books[0]), np.int64)
-    for r in rows.groupBy("cell").count().collect():  # a row for each codeword at most
+    in_cell = np.zeros(len(books[0]) * len(books[1]), np.int64)
+    for r in rows.groupBy("cell").count().collect():  # a row a cell: about the square root of the rows
         in_cell[r["cell"]] = r["count"]
-    parts = -(-in_cell // ROWS)
+    parts = -(-in_cell // max(1024, BLOCK // (8 * x.shape[1])))
     queries = rows.where(F.col("vec_id") % every == 0)
     if probe is None:
-        probe = cells_needed(rows, queries, books[0], k, checked, recall)
-    asks = routed(queries, books[0], parts, probe)
-    per_cell = F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts]), F.col("cell") + 1)
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "h"), per_cell).cast("int"))
+        probe = cells_needed(rows, queries, books, k, checked, recall)
+    asks = routed(queries, books, parts, probe)
+    several = [(int(c), int(parts[c])) for c in np.flatnonzero(parts > 1)]
+    per_cell = spark.createDataFrame(several, "cell int, parts int")
+    dealt = rows.join(F.broadcast(per_cell), "cell", "left").withColumn("part", F.pmod(F.xxhash64("vec_id", "h"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(min(parts.sum(), 20_000)))
     short = searched(dealt, asks, books, k, tasks)
     w = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")

@@ -246,3 +246,24 @@ def test_rows_without_an_id_are_spread_and_mixed_alike(spark):
     assert queue.select("__place.key").distinct().count() == 2000
     got = sorted(map(str, mixing.mix(df).collect()))
     assert got == sorted(map(str, mixing.mix(df.repartition(9)).collect()))
+
+
+def test_cells_and_share_of_rows_scored_follow_the_square_root():
+    """More rows, more cells, with the same sample; cells of clustered vectors hold their neighbours."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60_000, 16)) * 0.25 + rng.normal(size=(300, 16))[rng.integers(0, 300, 60_000)]
+    x = additive_ann.unit(x)
+    shares = []
+    for n in (15_000, 60_000):
+        books = additive_ann.fit_codebooks(x[:4000], cells=int(np.ceil(np.sqrt(n))), m=3, k=32)
+        assert len(books[0]) * len(books[1]) >= np.sqrt(n)
+        own = additive_ann.encode(x[:n], books)
+        cell = own[:, 0].astype(int) * len(books[1]) + own[:, 1]
+        q = np.arange(0, n, n // 60)
+        near = np.argsort(-(x[q] @ x[:n].T), axis=1)[:, 1:6]
+        place = np.argsort(additive_ann.cell_order(x[q], books), axis=1)
+        ranks = np.sort(np.take_along_axis(place, cell[near], axis=1).ravel())
+        probe = ranks[int(0.97 * len(ranks))] + 1
+        visited = place[:, np.arange(place.shape[1])] < probe
+        shares.append(float((visited * np.bincount(cell, minlength=visited.shape[1])).sum() / len(q) / n))
+    assert shares[1] < shares[0] < 0.5, shares
