@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pointloom.functions import pose
 from pointloom.plans.catalog import P_SQL, XYZ, points, table
 from pointloom.plans.registry import query
+from pointloom.sources import catalogued, sinks, text
 from pointloom.sources import points as readers
-from pointloom.sources import sinks, text
+from pointloom.sources.register import register
 from pointloom.sources.store import shared_folder
 
 
@@ -120,3 +121,15 @@ def nmea_file(spark, sf_dir):
     e.select(line(0)).union(e.where("event_id % 100 = 0").select(line(1))).write.text(at)
     got = text.nmea(spark, at)
     return got.select("lidar_ns", "unix_ns", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "alt")
+
+
+@query(f"{P_SQL} SELECT round(x, 3) AS x, round(y, 3) AS y, count(*) AS n FROM (SELECT round(x, 4) AS x, round(y, 4) AS y FROM p) WHERE x BETWEEN -0.1 AND 0.25 AND y BETWEEN 0.0 AND 0.3 GROUP BY ALL")
+def region_read(spark, sf_dir):
+    """Tiles of 0.2 written through the data source, and a region read from those its bounds name."""
+    register(spark)
+    at = folder(spark, "tiles")
+    p = points(spark, sf_dir).select(*[F.round(a, 4).alias(a) for a in XYZ])
+    p.repartitionByRange(F.floor(F.col("x") / 0.2), F.floor(F.col("y") / 0.2)).write.format("las").mode("append").save(at)
+    bounds = catalogued.file_bounds(spark, at, "las", "*.las")
+    got = catalogued.read_region(spark, bounds, {"x": (-0.1, 0.25), "y": (0.0, 0.3)})
+    return got.groupBy(F.round(F.round("x", 4), 3).alias("x"), F.round(F.round("y", 4), 3).alias("y")).agg(F.count("*").alias("n"))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import geodesy, geometry, imu, pose, robust
 from pointloom.operators import aggregates as A
-from pointloom.operators import filters, joins, maps, shape, windows
+from pointloom.operators import evaluate, filters, joins, maps, shape, windows
 from pointloom.plans import sessions, terrain
 from pointloom.plans.catalog import CELLS_SQL, D_SQL, DET_SQL, E_SQL, FLOOR_SQL, P_SQL, RAW_SQL, SIZE, XYZ, events, points, rounded, table
 from pointloom.plans.registry import query
+from pointloom.sources import store
+from pointloom.streaming import online_map
 
 COVS = ("xx", "xy", "xz", "yy", "yz", "zz")
 DIFF_SQL = ", ".join(f"{a} - first_value({a}) OVER w AS d{a}, first_value({a}) OVER w AS mean_{a}" for a in XYZ)
@@ -245,3 +247,65 @@ def grid_round_trip(spark, sf_dir):
 def robust_losses(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_extendedprice").cast("double") - 30000) / 10007.3).alias("r"))  # a divisor that leaves no exact halves to round
     return rows.select("l_orderkey", "l_linenumber", *[F.round(robust.estimator(n, "r")[0], 6).alias(n) for n in ("l1", "l2", "lp", "l1l2", "huber", "geman", "barron", "cauchy", "welsch")])
+
+
+# ---- the map that lives on ---------------------------------------------------------------------
+
+VIEW_SQL = "(id % 5 - 2) * 0.7 AS vx, (id % 3 - 1) * 0.9 AS vy, (id % 2) * 2.0 - 1 AS vz"
+SEEN_SQL = f"""{P_SQL.replace('WITH p', 'WITH RECURSIVE p')}, c AS (SELECT *, {CELLS_SQL}, {VIEW_SQL} FROM p),
+    d AS (SELECT ix, iy, iz, row_number() OVER w AS k, vx, vy, vz, {DIFF_SQL} FROM c WINDOW w AS (PARTITION BY ix, iy, iz ORDER BY id)),
+    m AS (SELECT ix, iy, iz, {', '.join(f"(CASE WHEN '{c[0]}' = '{c[1]}' THEN 0.0009 ELSE 0 END + sum(d{c[0]} * d{c[1]} * (k - 1) / k)) / 3 AS cov_{c}" for c in COVS)} FROM d WHERE k <= 3 GROUP BY ix, iy, iz HAVING count(*) = 3), {EIGEN_SQL},
+    g AS (SELECT ix, iy, iz, cov_xx - e2 AS g0, cov_yy - e2 AS g1, cov_zz - e2 AS g2, cov_xy AS h, cov_xz AS i, cov_yz AS j FROM f),
+    x AS (SELECT ix, iy, iz, [h * j - i * g1, i * h - g0 * j, g0 * g1 - h * h] AS n0, [h * g2 - i * j, i * i - g0 * g2, g0 * j - h * i] AS n1, [g1 * g2 - j * j, j * i - h * g2, h * j - g1 * i] AS n2 FROM g),
+    n AS (SELECT ix, iy, iz, list_extract(list_sort([struct_pack(q := list_inner_product(n0, n0), v := n0), struct_pack(q := list_inner_product(n1, n1), v := n1), struct_pack(q := list_inner_product(n2, n2), v := n2)], 'DESC'), 1).v AS nv FROM x),
+    sd AS (SELECT d.*, list_inner_product(nv, [vx - mean_x, vy - mean_y, vz - mean_z]) AS front FROM d LEFT JOIN n USING (ix, iy, iz)),
+    o AS (SELECT *, k <= 3 OR coalesce(front * first_value(front) OVER w >= 0, false) AS counts FROM sd WINDOW w AS (PARTITION BY ix, iy, iz ORDER BY CASE WHEN k = 3 THEN 0 ELSE k END)),
+    step AS (SELECT ix, iy, iz, k, mean_x, mean_y, mean_z, {', '.join(f"CASE WHEN '{c[0]}' = '{c[1]}' THEN 0.0009 ELSE 0 END::DOUBLE AS cov_{c}" for c in COVS)} FROM o WHERE k = 1
+      UNION ALL SELECT o.ix, o.iy, o.iz, o.k, o.mean_x, o.mean_y, o.mean_z, {', '.join(f'CASE WHEN o.counts THEN step.cov_{c} * (o.k - 1) / o.k + o.d{c[0]} * o.d{c[1]} * (o.k - 1) / (o.k * o.k) ELSE step.cov_{c} END' for c in COVS)}
+      FROM step JOIN o ON step.ix = o.ix AND step.iy = o.iy AND step.iz = o.iz AND o.k = step.k + 1)
+    SELECT ix, iy, iz, k AS n, {', '.join(f'round(mean_{a}, 6) AS mean_{a}' for a in XYZ)}, {', '.join(f'round(cov_{c}, 6) AS cov_{c}' for c in COVS)}
+    FROM step QUALIFY k = max(k) OVER (PARTITION BY ix, iy, iz)"""
+
+
+def viewed(spark, sf_dir):
+    i = F.col("id")
+    return points(spark, sf_dir).withColumns({"vx": (i % 5 - 2) * 0.7, "vy": (i % 3 - 1) * 0.9, "vz": (i % 2) * 2.0 - 1})
+
+
+@query(SEEN_SQL)
+def seen_point_map(spark, sf_dir):
+    """The map of points seen from moving places: what is seen from behind doesn't count."""
+    out = maps.first_point_moments(viewed(spark, sf_dir), SIZE, ["id"], ("vx", "vy", "vz"))
+    return rounded(out, *[f"mean_{a}" for a in XYZ], *[f"cov_{c}" for c in COVS])
+
+
+@query(SEEN_SQL)
+def continued_map(spark, sf_dir):
+    """The same map, taken on over four batches of points."""
+    p = viewed(spark, sf_dir).select(F.lit(0).alias("session"), "id", F.col("id").alias("ts"), *XYZ, "vx", "vy", "vz", F.lit(0).alias("rebuild"), F.lit(float("-inf")).alias("keep_from"))
+    ends = p.agg(F.min("id").alias("a"), (F.max("id") + 1).alias("b")).first()
+    known, step = None, (ends["b"] - ends["a"]) / 4
+    for k in range(4):
+        known = store.stored(online_map.continued(known, p.where((F.col("id") >= ends["a"] + k * step) & (F.col("id") < ends["a"] + (k + 1) * step)), SIZE), "map")
+    out = known.select("ix", "iy", "iz", "n", *online_map.MEAN, *online_map.COV)
+    return rounded(out, *online_map.MEAN, *online_map.COV)
+
+
+@query(f"{E_SQL}, s AS (SELECT user_id, us, avg(value) AS v FROM e WHERE event_id % 2 = 1 AND value IS NOT NULL GROUP BY 1, 2), q AS (SELECT * FROM e WHERE event_id % 2 = 0 AND value IS NOT NULL), b AS (SELECT q.*, s.us AS a, s.v AS va FROM q ASOF JOIN s ON q.user_id = s.user_id AND q.us >= s.us), f AS (SELECT b.*, s.us AS z, s.v AS vz FROM b ASOF JOIN s ON b.user_id = s.user_id AND b.us <= s.us), d AS (SELECT user_id, CASE WHEN a = z THEN va ELSE va + (vz - va) * ((us - a)::DOUBLE / (z - a)::DOUBLE) END - value AS err FROM f) SELECT user_id, count(*) AS n, round(sqrt(avg(err * err)), 5) AS ate_rmse, round(avg(abs(err)), 5) AS ate_mean, round(max(abs(err)), 5) AS ate_max FROM d GROUP BY user_id")
+def trajectory_ate(spark, sf_dir):
+    """Absolute errors of each user's even events as poses, against poses interpolated between the odd ones."""
+    zero = F.lit(0.0)
+    e = events(spark, sf_dir).where("value is not null")
+    at = lambda v: pose.from_tait_bryan(v, zero, zero, zero, zero, zero)
+    truth = e.where("event_id % 2 = 1").groupBy("user_id", F.col("us").alias("ts_ns")).agg(F.avg("value").alias("v")).select("user_id", "ts_ns", at(F.col("v")).alias("pose"))
+    own = e.where("event_id % 2 = 0").select("user_id", F.col("us").alias("ts_ns"), at(F.col("value")).alias("pose"))
+    out = evaluate.ate(evaluate.with_truth(own, truth, "ts_ns", ["user_id"]), ["user_id"])
+    return out.select("user_id", "n", *[F.round(c, 5).alias(c) for c in ("ate_rmse", "ate_mean", "ate_max")])
+
+
+@query("WITH b AS (SELECT l_partkey AS scan_id, avg(l_tax) + avg(l_discount) + avg(l_quantity) / 100 AS t FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), a AS (SELECT l_partkey AS scan_id, avg(l_tax) + avg(l_discount) + avg(l_quantity) / 100 AS t FROM lineitem WHERE l_linenumber > 3 GROUP BY 1) SELECT round(avg(b.t) / avg(a.t), 6) AS ratio FROM b JOIN a USING (scan_id)")
+def uncertainty_ratio(spark, sf_dir):
+    """Covariance traces of scans (parts) before and after an adjustment (later lines)."""
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "scan_id")
+    cov = lambda d: d.groupBy("scan_id").agg(F.avg("l_tax").cast("double").alias("cov_xx"), F.avg("l_discount").cast("double").alias("cov_yy"), (F.avg("l_quantity") / 100).cast("double").alias("cov_zz"))
+    return rounded(terrain.uncertain_pairs(cov(rows.where("l_linenumber <= 3")), cov(rows.where("l_linenumber > 3"))), "ratio")

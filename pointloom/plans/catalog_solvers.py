@@ -11,13 +11,14 @@ from pointloom.plans import sparse
 from pointloom.plans.catalog import E_SQL, events
 from pointloom.plans.registry import query
 
-STEP_SQL = f"{E_SQL}, s AS (SELECT lag(event_id) OVER w AS a, event_id AS b, value / 100 AS v FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), t AS (SELECT a, b, v FROM s WHERE a IS NOT NULL)"
+STEP_SQL = f"{E_SQL}, s AS (SELECT lag(event_id) OVER w AS a, event_id AS b, value / 100.7 AS v FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), t AS (SELECT a, b, v FROM s WHERE a IS NOT NULL)"
 
 
 def steps(spark, sf_dir):
-    """Terms of a user's consecutive events, two unknowns an event: (-1, -v) of the one, (1, v) of the other."""
+    """Terms of a user's consecutive events, two unknowns an event: (-1, -v) of the one, (1, v) of the other
+    (v by a divisor that leaves no exact halves to round)."""
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    rows = events(spark, sf_dir).select(F.lag("event_id").over(w).alias("a"), F.col("event_id").alias("b"), (F.col("value") / 100).alias("v")).where("a is not null")
+    rows = events(spark, sf_dir).select(F.lag("event_id").over(w).alias("a"), F.col("event_id").alias("b"), (F.col("value") / 100.7).alias("v")).where("a is not null")
     return rows.select(F.array("a", "b").alias("nodes"), F.array(F.lit(-1.0), -F.col("v"), F.lit(1.0), F.col("v")).alias("jac"), F.array("v").alias("res"), F.lit(1.0).alias("weight"))
 
 

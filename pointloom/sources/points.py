@@ -44,6 +44,14 @@ def las_points(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def las_bounds(header: bytes) -> dict[str, float] | None:
+    """min_x to max_z from the first 227 bytes of a LAS file; none of a file without points or of another kind."""
+    if header[:4] != b"LASF" or len(header) < 227 or struct.unpack_from("<I", header, 107)[0] == 0:
+        return None
+    v = struct.unpack_from("<6d", header, 179)
+    return {f"{m}_{a}": v[2 * i + k] for i, a in enumerate("xyz") for k, m in enumerate(("max", "min"))}
+
+
 def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, intensity=None, ts=None, user_data=None, source_id=None, rgb=None, scale: float = 1e-4) -> bytes:
     """A LAS 1.2 file of point format 1 (3 with colours)."""
     n, kind = len(x), 3 if rgb is not None else 1
