@@ -8,8 +8,10 @@ Two judgements are made this way, quality (labels.quality) and harmlessness (lab
 score is the product of both probabilities and ``kept`` needs each of them.
 
 *What is bounded.*  Models are fitted on the driver, on at most ``MAX_LABELLED`` labelled rows, chosen
-by a hash of doc_id, with at most ``MAX_SIZE`` features together, and on the pseudo-labels: at most
-``PER_ROUND`` a view and round.  Everything else covers the table: each text is read once, whole, for
+by a hash of doc_id, with at most ``MAX_SIZE`` features together (a document that would go beyond is passed
+over, not those after it), on at most ``MAX_FEATURES`` features a view, those that tell the classes apart
+best (of such a sample a few thousand pass ``LEAST_Z``, so the limit only guards the driver), and on the
+pseudo-labels: at most ``PER_ROUND`` a view and round.  Everything else covers the table: each text is read once, whole, for
 its features; every round scores every document without a label on the executors, a task gives back
 its surest ones, and the surest of all are taken; every document gets its score.
 
@@ -234,9 +236,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED,
     rows = rows.selectExpr("doc_id", "h", "cast(quality as int) quality", "cast(toxic as int) toxic", "text", "source", "lang", "n_chars")
     rows = written(rows.mapInArrow(run, "doc_id long, h long, quality int, toxic int, t array<long>, m array<long>, size long"), "labelled")
     sizes = rows.groupBy("doc_id").agg(F.min(F.struct("h", "size")).alias("one")).select("doc_id", "one.*").orderBy(order, "doc_id").collect()  # at most ``most`` short rows
-    total = np.cumsum([r["size"] for r in sizes])
+    taken, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= most_size:
+            taken.append((r["doc_id"], r["h"]))
+            total += r["size"]
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(r["doc_id"], r["h"]) for r, n in zip(sizes, total) if n <= most_size], "doc_id long, h long")
+    ids = spark.createDataFrame(taken, "doc_id long, h long")
     got = rows.join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "quality", "toxic", "t", "m").toArrow()
     return got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))  # as read, the order is the tasks'
 

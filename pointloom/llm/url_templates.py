@@ -84,8 +84,10 @@ def literal(segment: Column) -> Column:
 
 
 def prefixes(segments: Column) -> Column:
-    """A hash of the first d segments for each d from 0 to all."""
-    return F.transform(F.sequence(F.lit(0), F.size(segments)), lambda d: F.xxhash64(F.slice(segments, F.lit(1), d)))
+    """A hash of the first d segments for each d from 0 to all, each from the one before, so that a
+    segment is read once however deep the path."""
+    start = F.array(F.lit(42).cast("long"))
+    return F.aggregate(segments, start, lambda seen, s: F.concat(seen, F.array(F.xxhash64(F.element_at(seen, -1), s))))
 
 
 def generalised(paths: DataFrame) -> DataFrame:

@@ -90,3 +90,12 @@ def test_repeated_ids_and_pool(spark):
     size = C.labelled_rows(many, labels, most_size=60).num_rows
     assert 0 < size < 40
     assert score(many) == score(df)
+
+
+def test_one_huge_document_does_not_empty_the_sample(spark):
+    """A document with more features than all may have is passed over; those after it by hash still teach."""
+    rows = [(i, " ".join(f"w{j}" for j in range(5000 if i % 7 == 0 else 5)), "s", "en", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = C.labelled_rows(docs, labels, most_size=1000).column("doc_id").to_pylist()
+    assert got == [i for i in range(60) if i % 7]

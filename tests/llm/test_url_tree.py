@@ -138,3 +138,24 @@ def test_hot_typed_path_and_repeated_rows(spark):
     urls = [f"http://h.org/p/{i % 7}" for i in range(900)] + [None, "", "x"] * 5 + [f"http://h.org/q/{i}" for i in range(30)]
     bad = {i: True for i in range(0, 900, 9)} | {i: False for i in range(915, 930)}
     assert judged(spark, urls, bad) == plain_verdicts(urls, bad)
+
+
+def test_prefix_hashes_of_deep_paths(spark):
+    """Equal prefixes, and no others, have equal hashes; a path of thousands of segments takes no square of time."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    rows = [(["a", "b", "c"],), (["a", "b", "d"],), (["a"],), ([],), (["ab", "c"],), (["a", "bc"],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s array<string>").select(url_templates.prefixes(F.col("s"))).collect()]
+    seen = {}
+    for (s,), h in zip(rows, got):
+        assert len(h) == len(s) + 1
+        for d, x in enumerate(h):
+            assert seen.setdefault(x, tuple(s[:d])) == tuple(s[:d])
+    assert len(seen) == len({tuple(s[:d]) for (s,) in rows for d in range(len(s) + 1)})
+    deep = spark.createDataFrame([(["segment-%d" % i for i in range(4000)],)], "s array<string>")
+    deep.select(url_templates.prefixes(F.col("s"))).collect()
+    began = time.perf_counter()
+    deep.select(F.size(url_templates.prefixes(F.col("s")))).collect()
+    assert time.perf_counter() - began < 5
