@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import pose
 from pointloom.operators import windows
 from pointloom.plans import sparse
-from pointloom.plans.catalog import E_SQL, events
+from pointloom.plans.catalog import E_SQL, P_SQL, events, points, rounded
 from pointloom.plans.registry import query
 
 STEP_SQL = f"{E_SQL}, s AS (SELECT lag(event_id) OVER w AS a, event_id AS b, value / 100.7 AS v FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), t AS (SELECT a, b, v FROM s WHERE a IS NOT NULL)"
@@ -83,3 +83,15 @@ def spaced_matches(spark, sf_dir):
     """A user's clicks at least 250 of value travelled apart."""
     e = events(spark, sf_dir).withColumn("m", F.when(F.col("event_type") == "click", 1))
     return windows.spaced_matches(e, ["user_id"], ["us", "event_id"], ["value"], "m", 250.0).select("user_id", "event_id")
+
+
+@query(
+    f"""{P_SQL}, s AS (SELECT *, x - 0.05 AS dx, y + 0.02 AS dy, z - 0.01 AS dz FROM p), r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM s),
+    k AS (SELECT *, floor(r / 0.1)::INT AS ir, floor(degrees(acos(greatest(-1, least(1, dz / r)))) / 30)::INT AS it, floor(degrees(atan2(dy, dx)) / 30)::INT AS ip FROM r)
+    SELECT ir, it, ip, count(*) AS n, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(avg(z), 6) AS mean_z, round(covar_pop(x, x), 6) AS cov_xx, round(covar_pop(x, y), 6) AS cov_xy, round(covar_pop(x, z), 6) AS cov_xz, round(covar_pop(y, y), 6) AS cov_yy, round(covar_pop(y, z), 6) AS cov_yz, round(covar_pop(z, z), 6) AS cov_zz
+    FROM k GROUP BY ir, it, ip HAVING count(*) >= 3"""
+)
+def ray_cells(spark, sf_dir):
+    """Sums of points by ray and range about a place, on which the spherical refinement stands."""
+    out = sparse.ray_gaussians(points(spark, sf_dir), (0.05, -0.02, 0.01), 0.1, 30.0, 3)
+    return rounded(out, *[f"mean_{a}" for a in "xyz"], *[f"cov_{c}" for c in ("xx", "xy", "xz", "yy", "yz", "zz")])

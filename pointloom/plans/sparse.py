@@ -13,15 +13,18 @@ neighbours is summed in each task before the exchange.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.functions import pose as P
+from pointloom.functions.geometry import cell, transform
+from pointloom.operators.maps import PAIRS
 from pointloom.plans.solvers import exp_pose, log_poses
 from pointloom.sources.store import dropped, stored
 
@@ -281,19 +284,17 @@ def consistent(poses: DataFrame, edges: DataFrame, places: DataFrame | None = No
     return current
 
 
-def voxel_blocks(points: DataFrame, gaussians: DataFrame, size: float, floor: float = 1e-2):
-    """``more`` of ``consistent``: points (id of their pose, x, y, z in its frame) against a map's voxels
-    (ix, iy, iz, mean_, cov_), each weighed by the voxel's inverse covariance."""
-    from pointloom.functions.geometry import cell, transform
-
-    pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
+def map_blocks(points: DataFrame, gaussians: DataFrame, cells: Callable[[Column], dict[str, Column]], floor: float = 1e-2):
+    """``more`` of ``consistent``: points (id of their pose, x, y, z in its frame) against a map's cells
+    (mean_, cov_ and the key columns), each weighed by the cell's inverse covariance.  ``cells`` gives the key
+    columns of a place (a struct of x, y, z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             col = lambda *names: np.stack([np.asarray(batch.column(batch.schema.get_field_index(c)), float) for c in names], axis=1)  # noqa: B023, E731
-            pose, own, mean, cov = matrix_of(batch.column(1), 4, 4), col("x", "y", "z"), col(*(f"mean_{a}" for a in "xyz")), col(*(f"cov_{c}" for c in pairs))
+            pose, own, mean, cov = matrix_of(batch.column(1), 4, 4), col("x", "y", "z"), col(*(f"mean_{a}" for a in "xyz")), col(*(f"cov_{c}" for c in PAIRS))
             c = cov[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3) + floor * floor * np.eye(3)
             turn = pose[:, :3, :3]
             r = mean - (np.einsum("nij,nj->ni", turn, own) + pose[:, :3, 3])
@@ -311,13 +312,62 @@ def voxel_blocks(points: DataFrame, gaussians: DataFrame, size: float, floor: fl
 
     def blocks(poses: DataFrame) -> DataFrame:
         p = points.join(poses, "id").withColumn("__g", transform("pose", "x", "y", "z"))
-        p = p.withColumns({f"i{a}": cell(F.col(f"__g.{a}"), size, "floor") for a in "xyz"})
-        rows = p.join(gaussians, ["ix", "iy", "iz"]).select("id", "pose", "x", "y", "z", *[f"mean_{a}" for a in "xyz"], *[f"cov_{c}" for c in pairs])
+        keys = cells(F.col("__g"))
+        rows = p.withColumns(keys).join(gaussians, list(keys)).select("id", "pose", "x", "y", "z", *[f"mean_{a}" for a in "xyz"], *[f"cov_{c}" for c in PAIRS])
         return rows.mapInArrow(run, BLOCK)
 
     return blocks
 
 
+def voxel_blocks(points: DataFrame, gaussians: DataFrame, size: float, floor: float = 1e-2):
+    """``map_blocks`` for voxels (ix, iy, iz)."""
+    return map_blocks(points, gaussians, lambda g: {f"i{a}": cell(g[a], size, "floor") for a in "xyz"}, floor)
+
+
+# ---- spherical refinement ------------------------------------------------------------------------
+
+
+def ray_cells(place: Column, origin: tuple[float, float, float], step: float, degrees: float) -> dict[str, Column]:
+    """Key columns ir, it, ip of a place seen from an origin: its range in steps, and the two angles of its ray.
+    A cell is as deep as ``step`` everywhere and as wide as its angle makes it, as a scanner sees the world."""
+    x, y, z = (place[a] - F.lit(float(o)) for a, o in zip("xyz", origin))
+    r = F.sqrt(x * x + y * y + z * z)
+    up = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(z, r)))))
+    return {"ir": F.floor(r / step).cast("int"), "it": F.floor(F.coalesce(up, F.lit(0.0)) / degrees).cast("int"), "ip": F.floor(F.degrees(F.atan2(y, x)) / degrees).cast("int")}
+
+
+def ray_gaussians(points: DataFrame, origin: tuple[float, float, float], step: float, degrees: float, least: int = 5) -> DataFrame:
+    """(ir, it, ip, n, mean_x.., cov_xx..) of points (x, y, z) by ray cells: keys are spherical, sums are not."""
+    p = points.withColumns(ray_cells(F.struct("x", "y", "z"), origin, step, degrees))
+    covs = [F.covar_pop(a, b).alias(f"cov_{a}{b}") for a, b in PAIRS]
+    return p.groupBy("ir", "it", "ip").agg(F.count("*").alias("n"), *[F.avg(a).alias(f"mean_{a}") for a in "xyz"], *covs).where(F.col("n") >= least)
+
+
+def refined_by_rays(points: DataFrame, poses: DataFrame, reference: DataFrame, origin: tuple[float, float, float], step: float, degrees: float, window: int | None = 20, edge_weight: float = 1e4, rounds: int = 8, floor: float = 1e-2, least: int = 5, **solver) -> DataFrame:
+    """Poses (id, pose) moved so that their points (id, x, y, z) fit the ray cells of a reference cloud.
+
+    First rigidly: ``window`` consecutive poses move as one (none: this step is left out), so a window that is
+    off as a whole comes back as a whole.  Then semi-rigidly: each pose by itself, with the motion between
+    neighbours kept by ``edge_weight``.  Both are ``consistent`` with the cells' sums as blocks.
+    """
+    cells = lambda g: ray_cells(g, origin, step, degrees)
+    gaussians = stored(ray_gaussians(reference, origin, step, degrees, least), "rays").drop("n")
+    poses = poses.select(F.col("id").cast("long").alias("id"), "pose")
+    none = poses.sparkSession.createDataFrame([], "a long, b long, measured array<double>, weight double")
+    nothing = poses.sparkSession.createDataFrame([], "id long, x double, y double, z double, weight double")
+    if window:
+        own = poses.withColumn("w", F.floor(F.col("id") / window)).withColumn("first", F.lit(None).cast("array<double>"))
+        first = own.groupBy("w").agg(F.min_by("pose", "id").alias("first"))
+        own = own.drop("first").join(first, "w").withColumn("inside", P.product(P.inverse("first"), "pose"))
+        whole = points.join(own.select("id", "w", "inside"), "id").withColumn("__p", transform("inside", "x", "y", "z")).select(F.col("w").alias("id"), "__p.x", "__p.y", "__p.z")
+        moved = consistent(first.select(F.col("w").alias("id"), F.col("first").alias("pose")), none, places=nothing, rounds=rounds, more=map_blocks(whole, gaussians, cells, floor), **solver)
+        poses = stored(own.join(moved.select(F.col("id").alias("w"), F.col("pose").alias("new")), "w").select("id", P.product("new", "inside").alias("pose")), "poses")
+    at = Window.orderBy("id").partitionBy(F.floor(F.col("id") / 1024))  # pieces of neighbours; their seams have no edge
+    edges = poses.select(F.lag("id").over(at).alias("a"), F.col("id").alias("b"), F.lag("pose").over(at).alias("__a"), F.col("pose").alias("__b")).where("a is not null")
+    edges = stored(edges.select("a", "b", P.product(P.inverse("__a"), "__b").alias("measured"), F.lit(edge_weight).alias("weight")), "edges")
+    return consistent(poses, edges, places=nothing, rounds=rounds, more=map_blocks(points, gaussians, cells, floor), **solver)
+
+
 # ---- semi-rigid fusion ---------------------------------------------------------------------------
 
 

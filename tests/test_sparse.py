@@ -120,3 +120,23 @@ def test_bent_track_is_straightened(spark, size):
     assert np.abs(got - true).max() < 0.2 < np.abs(off - true).max()
     still = sparse.bent_onto(track, matched.limit(0), "t", 20.0).agg(F.max(F.abs("cx"))).first()[0]
     assert abs(still) < 1e-9
+
+
+def test_rays_bring_windows_and_poses_back(spark):
+    """Two windows off as a whole and each pose a little by itself come back onto a room seen from its middle."""
+    rng = np.random.default_rng(11)
+    room = np.concatenate([np.insert(rng.uniform(-3, 3, (1500, 2)), axis, side * 3.0, axis=1) for axis in range(3) for side in (-1, 1)]) + rng.normal(scale=0.005, size=(9000, 3))
+    true = [exp_pose(np.array([0.1 * k, 0.05 * k, 0, 0, 0, 0.05 * k])) for k in range(6)]
+    whole = [exp_pose(np.array([0.03, -0.02, 0.02, 0.004, -0.003, 0.006])), exp_pose(np.array([-0.02, 0.03, 0.0, 0.0, 0.005, -0.004]))]
+    off = [true[k] @ whole[k // 3] @ exp_pose(0.004 * rng.normal(size=6)) for k in range(6)]
+    rows = []
+    for k, t in enumerate(true):
+        own = np.c_[room[k::9], np.ones(len(room[k::9]))] @ np.linalg.inv(t).T
+        rows += [(k, *p[:3].tolist()) for p in own]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    reference = spark.createDataFrame([tuple(map(float, p)) for p in room], "x double, y double, z double")
+    poses = spark.createDataFrame([(k, m.ravel().tolist()) for k, m in enumerate(off)], "id long, pose array<double>")
+    rigid = sparse.refined_by_rays(points, poses, reference, (0.0, 0.0, 0.0), 0.6, 15.0, window=3, edge_weight=100.0, rounds=5, size=8)
+    got = {r["id"]: np.reshape(r["pose"], (4, 4)) for r in rigid.collect()}
+    before, after = (max(np.abs(m[k] - true[k]).max() for k in range(6)) for m in (dict(enumerate(off)), got))
+    assert after < 0.01 and after < before / 3, (before, after)
