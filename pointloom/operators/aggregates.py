@@ -230,3 +230,36 @@ def wasserstein(a: DataFrame, b: DataFrame, value: str, width: float) -> DataFra
     gap = F.abs(F.sum("na").over(run) / F.sum("na").over(all_) - F.sum("nb").over(run) / F.sum("nb").over(all_))
     step = F.coalesce(F.lead("bin").over(w) - F.col("bin"), F.lit(0)) * width
     return bins.select((gap * step).alias("part")).agg(F.sum("part").alias("emd"))
+
+
+def normal_histogram(normals: DataFrame, bins: int = 101) -> DataFrame:
+    """(ix, iy, iz, n): unit normals (nx, ny, nz) counted in a sparse cube of ``bins`` cells a side over
+    [-1, 1].  Histograms of parts add up by key; rows with a null component take no part."""
+    at = lambda a: F.least(F.floor((F.col(f"n{a}") + 1) / 2 * bins), F.lit(bins - 1)).cast("int").alias(f"i{a}")
+    rows = normals.where("nx is not null and ny is not null and nz is not null")
+    return rows.select(*map(at, "xyz")).groupBy("ix", "iy", "iz").agg(F.count("*").alias("n"))
+
+
+def histogram_modes(histogram: DataFrame, least: int = 1) -> DataFrame:
+    """Cells with at least ``least`` normals that no cell beside them exceeds (of equals the smaller key): the
+    directions of walls.  A cell is written to its 27 neighbours and compared with their largest, with no join."""
+    key = ["ix", "iy", "iz"]
+    beside = F.array(*[F.struct(*[(F.col(a) + d).alias(a) for a, d in zip(key, (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    own = F.struct(F.col("n"), *[(-F.col(a)).alias(a) for a in key])
+    best = histogram.select(F.explode(beside).alias("c"), own.alias("own")).select("c.*", "own").groupBy(*key).agg(F.max("own").alias("b"))
+    same = [F.col(a) == -F.col(f"b.{a}") for a in key]
+    return best.where(same[0] & same[1] & same[2] & (F.col("b.n") >= least)).select(*key, F.col("b.n").alias("n"))
+
+
+def sliced_distance(a: DataFrame, b: DataFrame, directions: list[tuple[float, float, float]], width: float) -> DataFrame:
+    """(direction, distance): the earth mover's distance of two clouds along each direction, over bins of
+    ``width``: both are projected onto all directions in one explode, and what is left are two running sums
+    of bins.  The mean over directions is the sliced distance in space."""
+    slices = F.array(*[F.struct(F.lit(i).alias("direction"), F.floor(sum((F.col(c) * float(v) for c, v in zip("yz", d[1:])), F.col("x") * float(d[0])) / width).alias("bin")) for i, d in enumerate(directions)])
+    both = a.select(slices.alias("s"), F.lit(1).alias("own")).unionByName(b.select(slices.alias("s"), F.lit(0).alias("own")))
+    bins = both.select(F.explode("s").alias("s"), "own").groupBy("s.direction", "s.bin").agg(F.sum("own").alias("na"), F.sum(1 - F.col("own")).alias("nb"))
+    order = Window.partitionBy("direction").orderBy("bin")
+    whole = Window.partitionBy("direction")
+    apart = F.abs(F.sum("na").over(order) / F.sum("na").over(whole) - F.sum("nb").over(order) / F.sum("nb").over(whole))
+    rows = bins.select("direction", (apart * (F.lead("bin").over(order) - F.col("bin")) * width).alias("part"))
+    return rows.groupBy("direction").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("distance"))

@@ -28,7 +28,7 @@ ROWS = 500_000
 
 def ranged(rows: DataFrame, keys: list[str], order: list[str], partitions: int | None = None, each: int = ROWS) -> DataFrame:
     """Rows dealt by ranges of key and order, sorted, with __key (the keys as text)."""
-    own = rows.withColumn("__key", F.to_json(F.struct(*keys)))
+    own = rows.withColumn("__key", F.to_json(F.struct(*keys)) if keys else F.lit(""))
     if partitions is None:
         partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
     return own.repartitionByRange(partitions, "__key", *order).sortWithinPartitions("__key", *order)
@@ -41,7 +41,7 @@ def scanned(rows: DataFrame, step: Callable[[], Callable], adds: str, inputs: li
     called row after row and returns the added values.
     """
     schema = T.StructType(list(rows.schema)).add("__i", "long")
-    types = T._parse_datatype_string(adds)
+    types = T._parse_datatype_string(adds) if adds else T.StructType([])
     for f in types:
         schema = schema.add(f)
     kinds = {T.DoubleType(): pa.float64(), T.LongType(): pa.int64(), T.ArrayType(T.DoubleType()): pa.list_(pa.float64())}
@@ -95,6 +95,16 @@ def chained_poses(rows: DataFrame, keys: list[str], order: list[str], relative:
     return out.withColumn("pose", pose).select(*rows.columns, "pose")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "n", partitions: int | None = None) -> DataFrame:
+    """Adds the place of each row in the order of all, from 0: partitions count their own, and add what lies
+    before them."""
+    local = scanned(ranged(rows, [], order, partitions), lambda: lambda begins: (), "", [])
+    counts = local.groupBy("__pid").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__pid", before.alias("__before"))  # a row a partition
+    return local.join(F.broadcast(starts), "__pid").withColumn(name, F.col("__before") + F.col("__i")).select(*rows.columns, name)
+
+
 def paths(rows: DataFrame, keys: list[str], order: list[str], values: list[str], partitions: int | None = None) -> DataFrame:
     """Rows with __key, __pid, __i and __d: the path over ``values`` since the key's first row."""
 

@@ -309,3 +309,35 @@ def uncertainty_ratio(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "scan_id")
     cov = lambda d: d.groupBy("scan_id").agg(F.avg("l_tax").cast("double").alias("cov_xx"), F.avg("l_discount").cast("double").alias("cov_yy"), (F.avg("l_quantity") / 100).cast("double").alias("cov_zz"))
     return rounded(terrain.uncertain_pairs(cov(rows.where("l_linenumber <= 3")), cov(rows.where("l_linenumber > 3"))), "ratio")
+
+
+# ---- directions --------------------------------------------------------------------------------
+
+UNIT_SQL = f"{P_SQL}, u AS (SELECT id, x / sqrt(x * x + y * y + z * z) AS nx, y / sqrt(x * x + y * y + z * z) AS ny, z / sqrt(x * x + y * y + z * z) AS nz FROM p), h AS (SELECT {', '.join(f'least(floor((n{a} + 1) / 2 * 11), 10)::INT AS i{a}' for a in XYZ)}, count(*) AS n FROM u GROUP BY ALL)"
+
+
+def directions(spark, sf_dir):
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    return A.normal_histogram(points(spark, sf_dir).select(*[(F.col(a) / r).alias(f"n{a}") for a in XYZ]), 11)
+
+
+@query(f"{UNIT_SQL} SELECT ix, iy, iz, n FROM h")
+def normal_histogram(spark, sf_dir):
+    return directions(spark, sf_dir)
+
+
+@query(f"{UNIT_SQL} SELECT ix, iy, iz, n FROM h a WHERE n >= 3 AND NOT EXISTS (SELECT 1 FROM h b WHERE abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 AND (b.n > a.n OR b.n = a.n AND (b.ix, b.iy, b.iz) < (a.ix, a.iy, a.iz)))")
+def histogram_modes(spark, sf_dir):
+    return A.histogram_modes(directions(spark, sf_dir), 3)
+
+
+@query(
+    f"""{P_SQL}, d AS (SELECT * FROM (VALUES (0, 1.0, 0.0, 0.0), (1, 0.6, 0.8, 0.0), (2, 0.0, 0.6, -0.8), (3, 0.48, 0.6, 0.64)) t(direction, a, b, c)),
+    b AS (SELECT direction, floor((x * a + y * b + z * c) / 0.0101)::BIGINT AS bin, count(*) FILTER (label % 2 = 0) AS na, count(*) FILTER (label % 2 = 1) AS nb FROM p, d GROUP BY ALL),
+    s AS (SELECT direction, abs(sum(na) OVER w / sum(na) OVER (PARTITION BY direction) - sum(nb) OVER w / sum(nb) OVER (PARTITION BY direction)) * (lead(bin) OVER w - bin) * 0.0101 AS part FROM b WINDOW w AS (PARTITION BY direction ORDER BY bin))
+    SELECT direction, round(sum(part), 6) AS distance FROM s GROUP BY direction"""
+)
+def sliced_distance(spark, sf_dir):
+    p = points(spark, sf_dir)
+    ways = [(1.0, 0.0, 0.0), (0.6, 0.8, 0.0), (0.0, 0.6, -0.8), (0.48, 0.6, 0.64)]
+    return rounded(A.sliced_distance(p.where("label % 2 = 0"), p.where("label % 2 = 1"), ways, 0.0101), "distance")

@@ -17,6 +17,7 @@ from pointloom.functions.geometry import cell, transform
 from pointloom.operators import filters, joins
 from pointloom.operators.aggregates import normal_equations
 from pointloom.operators.maps import PAIRS, voxel_gaussians, voxel_sums
+from pointloom.sources.store import stored
 from pointloom.plans.solvers import exp_pose, log_pose, pose_graph, solve
 
 
@@ -207,8 +208,8 @@ def alignment(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def run_odometry(points: DataFrame, trajectory: DataFrame, size: float = 0.3, per_batch: int = 20, rounds: int = 5, least: int = 5, tolerance_ns: int = 10_000_000) -> dict[int, np.ndarray]:
-    """Poses of batches of a recording.
+def run_odometry(points: DataFrame, trajectory: DataFrame, size: float = 0.3, per_batch: int = 20, rounds: int = 5, least: int = 5, tolerance_ns: int = 10_000_000, piece_ns: int = 10_000_000_000) -> dict[int, np.ndarray]:
+    """Poses of batches of a recording (``odometry.followed`` solves for every pose of a batch).
 
     Points (id, ts_ns, x, y, z) are matched to the pose before them in ``trajectory`` (ts_ns, pose)
     within a tolerance and put into their batch's first frame; the first batch seeds the map, and
@@ -219,7 +220,7 @@ def run_odometry(points: DataFrame, trajectory: DataFrame, size: float = 0.3, pe
 
     t = windows.batches(trajectory.withColumn("__k", F.lit(0)), ["__k"], ["ts_ns"], per_batch).select("ts_ns", "pose", "batch")
     first = t.groupBy("batch").agg(F.min_by("pose", "ts_ns").alias("first_pose"))
-    hit = joins.asof_join(points, t, "ts_ns", "ts_ns", strict=True, tolerance=tolerance_ns, prefix="__t_").where("__t_batch is not null")
+    hit = joins.asof_join(points, t, "ts_ns", "ts_ns", strict=True, tolerance=tolerance_ns, bucket=piece_ns, prefix="__t_").where("__t_batch is not null")
     from pointloom.functions import pose as P
 
     hit = hit.withColumnRenamed("__t_batch", "batch").join(first, "batch")
@@ -237,19 +238,11 @@ def run_odometry(points: DataFrame, trajectory: DataFrame, size: float = 0.3, pe
             pose = register_to_voxels(own, {b: pose}, size, rounds, gaussians=maps.voxel_gaussians(world, size, least))[b]
         out[b] = pose
         sums = maps.voxel_sums(posed(own, {b: pose}), size)
-        world = _kept(sums if world is None else maps.merged(world, sums))
+        world = stored(sums if world is None else maps.merged(world, sums), "world")
     local.unpersist()
     return out
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The map after a batch, stored so that its plan doesn't grow from batch to batch."""
-    from pointloom.sources.store import shared_folder
-
-    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def motion(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Six numbers of the motion from pose a to pose b."""
     return log_pose(np.linalg.inv(a) @ b)
