@@ -102,12 +102,12 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.table = ChunkTable(by_pretoken(self.vocabulary, merge_rounds))
+        self.table = ChunkTable(by_pretoken(self.vocabulary, merge_rounds), limit=200_000)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         texts = list(texts)
-        for a, b in slices(np.array([len(t or "") for t in texts], np.int64), 4_000_000):
+        for a, b in slices(np.array([len(t or "") for t in texts], np.int64), 2_000_000):
             chunks, counts = gathered(self.vocabulary, texts[a:b])
             ends = np.cumsum(counts)
             at = 0
