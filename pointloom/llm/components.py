@@ -17,6 +17,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     logarithm of the nodes.  A hub with very many neighbours is aggregated with partial sums, and the
     joins deal its rows over many tasks; it is never gathered in one.
     Each round is stored in the shared folder, and the round before it deleted.
+
+    Loops, repeated links and links with a null end count for nothing; a node without links is in no row; other
+    columns are not read; an empty table gives an empty result.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     signature = None
