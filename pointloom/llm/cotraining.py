@@ -10,8 +10,7 @@ score is the product of both probabilities and ``kept`` needs each of them.
 *What is bounded.*  Models are fitted on the driver, on at most ``MAX_LABELLED`` labelled rows, chosen
 by a hash of doc_id, with at most ``MAX_SIZE`` features together (a document that would go beyond is passed
 over, not those after it), on at most ``MAX_FEATURES`` features a view, those that tell the classes apart
-best (of such a sample a few thousand pass ``LEAST_Z``, so the limit only guards the driver), and on the
-pseudo-labels: at most ``PER_ROUND`` a view and round.  Everything else covers the table: each text is read once, whole, for
+best (a guard of the driver's memory), and on the pseudo-labels: at most ``PER_ROUND`` a view and round.  Everything else covers the table: each text is read once, whole, for
 its features; every round scores every document without a label on the executors, a task gives back
 its surest ones, and the surest of all are taken; every document gets its score.
 
