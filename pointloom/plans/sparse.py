@@ -257,12 +257,13 @@ def anchored(poses: DataFrame, fixed: list[int] | None, d: int = 6, weight: floa
     return own.select(F.col("id").alias("row"), F.col("id").alias("col"), F.array(*[F.lit(weight if i % (d + 1) == 0 else 0.0) for i in range(d * d)]).alias("value"))
 
 
-def consistent(poses: DataFrame, edges: DataFrame, places: DataFrame | None = None, fixed: list[int] | None = None, rounds: int = 10, tolerance: float = 1e-8, more=None, size: int = 64, steps: int = 200) -> DataFrame:
+def consistent(poses: DataFrame, edges: DataFrame, places: DataFrame | None = None, fixed: list[int] | None = None, rounds: int = 10, tolerance: float = 1e-8, more=None, size: int = 64, steps: int = 200, solve: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """A trajectory (id, pose) made consistent with relative poses between any of its poses, with known
     places, and with what ``more`` gives for the poses of a round (blocks of 6, such as sums of points
     against a map).  Gauss-Newton; all tables are distributed, ids may be any longs, best consecutive.
 
-    Without places the poses ``fixed`` stay (the first, if none is named).
+    Without places the poses ``fixed`` stay (the first, if none is named).  ``solve`` gives (id, x) of a round's
+    summed blocks, as ``elimination.solution`` does for tracks; conjugate gradients, if none is named.
     """
     current = stored(poses.select(F.col("id").cast("long").alias("id"), "pose"), "poses")
     for _ in range(rounds):
@@ -273,11 +274,14 @@ def consistent(poses: DataFrame, edges: DataFrame, places: DataFrame | None = No
             blocks = blocks.unionByName(anchored(current, fixed))
         if more is not None:
             blocks = blocks.unionByName(more(current))
-        s = system(summed(blocks, 6), 6, size)
-        step = stored(conjugate_gradients(s, steps), "step")
+        if solve is not None:
+            s, step = None, solve(summed(blocks, 6), 6)
+        else:
+            s = system(summed(blocks, 6), 6, size)
+            step = stored(conjugate_gradients(s, steps), "step")
         before, current = current, stored(moved_poses(current, step), "poses")
         far = step.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, x: s + F.abs(x)))).first()[0] or 0.0
-        for used in (before, step, s.matrix, s.parts):
+        for used in (before, step) + ((s.matrix, s.parts) if s else ()):
             dropped(used)
         if far < tolerance:
             break
