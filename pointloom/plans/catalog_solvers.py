@@ -1,15 +1,18 @@
-"""Queries of the sparse solvers: one product, the sums they start from, and a track bent onto fixes."""
+"""Queries of the sparse solvers: one product, the sums they start from, tracks solved by elimination with their
+variances, and tracks bent or laid onto fixes."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import pose
-from pointloom.operators import windows
-from pointloom.plans import sparse
+from pointloom.operators import maps, scans, windows
+from pointloom.plans import batches, elimination, planes, sessions, sparse
 from pointloom.plans.catalog import E_SQL, P_SQL, events, points, rounded
 from pointloom.plans.registry import query
+from pointloom.sources.store import stored
 
 STEP_SQL = f"{E_SQL}, s AS (SELECT lag(event_id) OVER w AS a, event_id AS b, value / 100.7 AS v FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), t AS (SELECT a, b, v FROM s WHERE a IS NOT NULL)"
 
@@ -95,3 +98,107 @@ def ray_cells(spark, sf_dir):
     """Sums of points by ray and range about a place, on which the spherical refinement stands."""
     out = sparse.ray_gaussians(points(spark, sf_dir), (0.05, -0.02, 0.01), 0.1, 30.0, 3)
     return rounded(out, *[f"mean_{a}" for a in "xyz"], *[f"cov_{c}" for c in ("xx", "xy", "xz", "yy", "yz", "zz")])
+
+
+def tracks(spark, sf_dir):
+    """Events numbered user by user in time order: n, whether it begins a user, and the step from the one before."""
+    own = Window.partitionBy("user_id").orderBy("us", "event_id")
+    e = scans.numbered(events(spark, sf_dir), ["user_id", "us", "event_id"])
+    return stored(e.withColumn("begins", F.row_number().over(own) == 1).withColumn("v", F.coalesce("value", F.lit(0.0)) / 100.7), "tracks")
+
+
+@query(
+    f"""{E_SQL}, v AS (SELECT event_id, user_id, row_number() OVER w = 1 AS begins, coalesce(value, 0) / 100.7 AS v, 1 + event_id % 3 AS weight, us FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
+    SELECT event_id, round(sum(CASE WHEN begins THEN user_id / 10 ELSE v END) OVER w, 5) AS x, round(sum(CASE WHEN begins THEN 0.25 ELSE 1 / weight END) OVER w, 6) AS variance FROM v WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)"""
+)
+def track_variances(spark, sf_dir):
+    """Each user's events as a track with a known start, solved by elimination: where each event lies, and its
+    variance, which along a track is the sum of those of its steps."""
+    t = tracks(spark, sf_dir)
+    one = F.array(F.lit(1.0))
+    starts = t.where("begins").select(F.array("n", "n").alias("nodes"), F.array(F.lit(1.0), F.lit(0.0)).alias("jac"), F.array(F.col("user_id") / 10).alias("res"), F.lit(4.0).alias("weight"))
+    ways = t.where("NOT begins").select(F.array(F.col("n") - 1, "n").alias("nodes"), F.concat(F.array(F.lit(-1.0)), one).alias("jac"), F.array("v").alias("res"), (1.0 + F.col("event_id") % 3).alias("weight"))
+    out = elimination.solution(sparse.summed(sparse.term_blocks(starts.unionByName(ways), 1), 1), 1, covariances=True)
+    return out.join(t.select(F.col("n").alias("id"), "event_id"), "id").select("event_id", F.round(F.col("x")[0], 5).alias("x"), F.round(F.col("covariance")[0], 6).alias("variance"))
+
+
+@query(
+    f"""{E_SQL}, v AS (SELECT *, coalesce(value, 0) / 50 AS yaw, coalesce(value, 0) / 100 AS tx, user_id / 1000 AS ty FROM e),
+    h AS (SELECT *, sum(yaw) OVER w - yaw AS h FROM v WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, round(sum(cos(h) * tx - sin(h) * ty) OVER w, 4) AS x, round(sum(sin(h) * tx + cos(h) * ty) OVER w, 4) AS y FROM h WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)"""
+)
+def closed_tracks(spark, sf_dir):
+    """A pose graph: each user's track has drifted, its steps and the loop from its first to its last event
+    are known, its start is held; all tracks come back to where their steps put them."""
+    zero, v = F.lit(0.0), F.coalesce(F.col("value"), F.lit(0.0))
+    e = scans.numbered(events(spark, sf_dir), ["user_id", "us", "event_id"])
+    e = e.withColumn("relative", pose.from_tait_bryan(v / 100, F.col("user_id") / 1000, zero, zero, zero, v / 50))
+    own = Window.partitionBy("user_id")
+    t = windows.chained_poses(e, ["user_id"], ["us", "event_id"]).select("n", "user_id", "event_id", "relative", "pose")
+    t = stored(t.withColumn("first", F.min("n").over(own)).withColumn("last", F.max("n").over(own)), "tracks")
+    off = pose.from_tait_bryan(F.sin("n") / 20, F.cos("n") / 20, zero, zero, zero, F.sin(F.col("n") * 2) / 50)
+    drifted = t.select(F.col("n").alias("id"), F.when(F.col("n") == F.col("first"), F.col("pose")).otherwise(pose.product("pose", off)).alias("pose"))
+    ways = t.where("n > first").select((F.col("n") - 1).alias("a"), F.col("n").alias("b"), F.col("relative").alias("measured"), F.lit(1.0).alias("weight"))
+    ends = t.where("n = first AND last > first + 1").select(F.col("n").alias("a"), F.col("last").alias("b"), F.col("pose").alias("start"))
+    loops = ends.join(t.select(F.col("n").alias("b"), "pose"), "b").select("a", "b", pose.product(pose.inverse("start"), "pose").alias("measured"), F.lit(5.0).alias("weight"))
+    held = t.where("n = first").select(F.col("n").alias("row"), F.col("n").alias("col"), F.array(*[F.lit(1e6 if i % 7 == 0 else 0.0) for i in range(36)]).alias("value"))
+    none = spark.createDataFrame([], "id long, x double, y double, z double, weight double")
+    edges = stored(ways.unionByName(loops), "edges")
+    out = sparse.consistent(drifted, edges, places=none, more=lambda poses: held, rounds=8, tolerance=1e-6, solve=elimination.solution)
+    return out.join(t.select(F.col("n").alias("id"), "event_id"), "id").select("event_id", F.round(F.col("pose")[3], 4).alias("x"), F.round(F.col("pose")[7], 4).alias("y"))
+
+
+PLANE_SQL = "m AS (SELECT id % 7 AS a, 7 + id % 5 AS b, x, y, z, x - z AS dx, y - x AS dy, z - y AS dz FROM p), r AS (SELECT *, 0.6 * dy + 0.8 * dz AS r FROM m), j AS (SELECT *, 1 / (1 + 4 * r * r) * 4 AS w, [0, 0.6, 0.8, y * 0.8 - z * 0.6, -x * 0.8, x * 0.6] AS j FROM r)"
+
+
+@query(
+    f"""{P_SQL}, {PLANE_SQL}, k AS (SELECT unnest(range(1, 7)) AS i),
+    t AS (SELECT a AS "row", a AS col, i - 1 AS i, w * j[i] * j[6] AS v FROM j, k UNION ALL SELECT b, b, i - 1, w * j[i] * j[6] FROM j, k UNION ALL SELECT a, b, i - 1, -w * j[i] * j[6] FROM j, k UNION ALL SELECT b, a, i - 1, -w * j[i] * j[6] FROM j, k
+      UNION ALL SELECT a, NULL, i - 1, -w * r * j[i] FROM j, k UNION ALL SELECT b, NULL, i - 1, w * r * j[i] FROM j, k)
+    SELECT "row", col, i, round(sum(v), 6) AS value FROM t GROUP BY ALL"""
+)
+def plane_sums(spark, sf_dir):
+    """Normal equations of points against planes by scan and pair of scans: the last column of each block, and
+    the right sides."""
+    p = points(spark, sf_dir)
+    slope, flat = (F.array(*[F.lit(v) for v in n]) for n in ((0.6, 0.8, 0.0), (0.0, 0.6, 0.8)))
+    m = p.select((F.col("id") % 7).alias("a"), (7 + F.col("id") % 5).alias("b"), F.array("x", "y", "z").alias("pa"), slope.alias("na"), F.array("z", "x", "y").alias("pb"), flat.alias("nb"), F.lit(4.0).alias("weight"))
+    still = m.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("pose", F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)]))
+    blocks = sparse.summed(sparse.term_blocks(planes.plane_terms(still, m, "point_to_plane"), 6), 6)
+    last = F.when(F.col("col").isNull(), F.col("value")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.col("value")[i * 6 + 5]))
+    return blocks.select("row", "col", F.posexplode(last).alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""{P_SQL}, k AS (SELECT id % 10 AS scan_id, x, y, z, sqrt(x * x + y * y + z * z) AS r FROM p),
+    l AS (SELECT 'fine' AS level, 0.15 AS size UNION ALL SELECT 'coarse', 0.3),
+    c AS (SELECT level, size, scan_id, x, y, z, r, floor(x / size)::INT AS ix, floor(y / size)::INT AS iy, floor(z / size)::INT AS iz FROM k, l),
+    g AS (SELECT level, ix, iy, iz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) + (0.05 * any_value(size)) ** 2 AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) + (0.05 * any_value(size)) ** 2 AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) + (0.05 * any_value(size)) ** 2 AS zz FROM c GROUP BY ALL HAVING count(*) > 5),
+    h AS (SELECT c.scan_id, mx - x AS dx, my - y AS dy, mz - z AS dz, g.* FROM c JOIN g USING (level, ix, iy, iz) WHERE r BETWEEN 0.1 AND 70 AND (level = 'fine' OR r >= 0.2)),
+    q AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM h)
+    SELECT scan_id, 3 * count(*) AS n, round(sum((dx * dx * (yy * zz - yz * yz) + dy * dy * (xx * zz - xz * xz) + dz * dz * (xx * yy - xy * xy) + 2 * (dx * dy * (xz * yz - xy * zz) + dx * dz * (xy * yz - xz * yy) + dy * dz * (xy * xz - xx * yz))) / det), 5) AS misfit FROM q GROUP BY scan_id"""
+)
+def two_map_probe(spark, sf_dir):
+    """Points of each scan against a fine and a coarse map in one join: how many equations they give, and their
+    squared misfit in the voxels' own metric."""
+    p = points(spark, sf_dir).select((F.col("id") % 10).alias("scan_id"), "id", "x", "y", "z")
+    sizes = {"fine": 0.15, "coarse": 0.3}
+    levels = {n: (maps.voxel_gaussians(maps.voxel_sums(p, size), size, 5), size) for n, size in sizes.items()}
+    rows = batches.probed(p, {k: np.eye(4) for k in range(10)}, batches.two_level_map(levels, 5), sizes, far=0.2)
+    return rows.groupBy("scan_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("res") * F.col("res")), 5).alias("misfit"))
+
+
+@query(
+    """WITH e AS (SELECT epoch_us(ts) AS us, min(event_id) AS event_id, min_by(coalesce(value, 0) / 100, event_id) AS x, min_by(user_id / 100, event_id) AS y FROM events GROUP BY ts)
+    SELECT event_id, round(cos(0.3) * x - sin(0.3) * y + 2, 5) AS x, round(sin(0.3) * x + cos(0.3) * y - 1, 5) AS y, round(sin(us / 1e9) + 0.5, 5) AS z FROM e"""
+)
+def rigid_fusion(spark, sf_dir):
+    """A trajectory laid onto satellite fixes that show it turned and moved."""
+    e = events(spark, sf_dir).groupBy("us").agg(F.min("event_id").alias("event_id"), F.min_by(F.coalesce("value", F.lit(0.0)) / 100, "event_id").alias("x"), F.min_by(F.col("user_id") / 100, "event_id").alias("y"))
+    z = F.sin(F.col("us") / 1e9)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    track = e.select(F.col("us").alias("ts"), "event_id", F.array(one, zero, zero, F.col("x"), zero, one, zero, F.col("y"), zero, zero, one, z, zero, zero, zero, one).alias("pose"))
+    c, s = float(np.cos(0.3)), float(np.sin(0.3))
+    fixes = e.select(F.col("us").alias("ts"), (c * F.col("x") - s * F.col("y") + 2).alias("x"), (s * F.col("x") + c * F.col("y") - 1).alias("y"), (z + 0.5).alias("z"))
+    out, _ = sessions.fused_with_fixes(stored(track, "track"), stored(fixes, "fixes"), 1)
+    return out.select("event_id", *[F.round(F.col("pose")[i], 5).alias(a) for a, i in zip("xyz", (3, 7, 11))])
