@@ -10,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions import pose as P
 from pointloom.functions.geometry import cell, transform
 from pointloom.operators import filters, joins
 from pointloom.operators.aggregates import normal_equations
 from pointloom.operators.maps import PAIRS, voxel_gaussians, voxel_sums
-from pointloom.sources.store import stored
+from pointloom.sources.store import dropped, stored
 from pointloom.plans.solvers import exp_pose, log_pose, pose_graph, solve
 
 
@@ -118,42 +120,84 @@ def register_pairs(points: DataFrame, poses: dict[int, np.ndarray], radius: floa
     return poses
 
 
-def loop_edges(poses: dict[int, np.ndarray], spark: SparkSession, reach: float, sessions: dict[int, int] | None = None, apart: int = 1) -> list[tuple[int, int]]:
-    """Pairs of scans nearer than ``reach``: of different sessions, or ``apart`` places within one."""
-    rows = [(int(k), int((sessions or {}).get(k, 0)), *[float(v) for v in m[:3, 3]]) for k, m in poses.items()]
-    p = spark.createDataFrame(rows, "id long, session long, x double, y double, z double")
+def loop_pairs(scans: DataFrame, reach: float, apart: int = 1) -> DataFrame:
+    """(a, b) of scans (scan_id, session, pose) nearer than ``reach``: of different sessions, the earlier one
+    first, or ``apart`` places within one."""
+    p = scans.select(F.col("scan_id").alias("id"), "session", *[F.col("pose")[i].alias(x) for x, i in zip("xyz", (3, 7, 11))])
     near = joins.radius_pairs(p, p, ["x", "y", "z"], reach, strict=True)
     other = (F.col("l.session") < F.col("r.session")) | ((F.col("l.session") == F.col("r.session")) & (F.col("l.id") + apart < F.col("r.id")))
-    return sorted((r["a"], r["b"]) for r in near.where(other).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).collect())
+    return near.where(other).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
-def register_edges(points: DataFrame, poses: dict[int, np.ndarray], edges: list[tuple[int, int]], radius: float, rounds: int = 10) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
-    """For every pair of scans (a, b) the motion, in the common frame, that brings b onto a, and the points
-    it was measured with.  All pairs are one join a round, kept apart by their number; a row of sums for
-    each comes to the driver."""
-    spark = points.sparkSession
-    flat = lambda m: [float(v) for v in m.ravel()]
-    fixes = {e: np.eye(4) for e in edges}
-    matched = dict.fromkeys(edges, 0)
-    names = spark.createDataFrame([(k, int(a), flat(poses[a])) for k, (a, _) in enumerate(edges)], "edge int, scan_id long, __pose array<double>")
-    place = lambda table: points.join(table, "scan_id").withColumn("__p", transform("__pose", "x", "y", "z")).select("edge", "id", *[F.col(f"__p.{x}").alias(x) for x in "xyz"])
-    target = place(names).persist()
+def pose_table(spark: SparkSession, poses: dict[int, np.ndarray]) -> DataFrame:
+    return spark.createDataFrame([(int(k), [float(v) for v in m.ravel()]) for k, m in poses.items()], "scan_id long, pose array<double>")
+
+
+def loop_edges(poses: dict[int, np.ndarray], spark: SparkSession, reach: float, sessions: dict[int, int] | None = None, apart: int = 1) -> list[tuple[int, int]]:
+    """``loop_pairs`` of a few scans, as a list."""
+    names = spark.createDataFrame([(int(k), int((sessions or {}).get(k, 0))) for k in poses], "scan_id long, session long")
+    return sorted((r["a"], r["b"]) for r in loop_pairs(pose_table(spark, poses).join(names, "scan_id"), reach, apart).collect())
+
+
+def _fixed_by_sums(rows: DataFrame) -> DataFrame:
+    """(a, b, fix, matched, moved): ``fix`` one Gauss-Newton step further by its pair's sums (where it has any)."""
+    names = [f"ata_{i}{j}" for i in range(6) for j in range(i, 6)] + [f"atb_{i}" for i in range(6)]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                fix, d = np.reshape(r["fix"], (4, 4)), np.zeros(6)
+                if r["n"]:
+                    d = solve(r, 6)
+                    fix = checked_pose(exp_pose(d) @ fix)
+                out.append({"a": r["a"], "b": r["b"], "fix": fix.ravel().tolist(), "matched": r["n"] or 0, "moved": float(np.abs(d).sum())})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fix", pa.list_(pa.float64())), ("matched", pa.int64()), ("moved", pa.float64())])
+    return rows.select("a", "b", "fix", "n", *names).mapInArrow(run, "a long, b long, fix array<double>, matched long, moved double")
+
+
+def register_loops(points: DataFrame, scans: DataFrame, edges: DataFrame, radius: float, rounds: int = 10) -> DataFrame:
+    """(a, b, fix, matched) for every pair of scans (a, b): the motion, in the common frame, that brings b onto
+    a, and the equations it was measured with (none: no motion).
+
+    All pairs are one join a round, kept apart by their names.  Sums and steps are rows by pair, so there may
+    be as many pairs as there are; the driver sees one number a round.
+    """
+    own = scans.select("scan_id", "pose")
+    still = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
+    state = stored(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct().select("a", "b", still.alias("fix"), F.lit(0).cast("long").alias("matched")), "loops")
+
+    def placed(pairs: DataFrame, scan: str) -> DataFrame:
+        at = points.join(pairs.withColumnRenamed(scan, "scan_id").join(own, "scan_id"), "scan_id")
+        if "fix" in pairs.columns:
+            at = at.withColumn("pose", P.product("fix", "pose"))
+        at = at.withColumn("__p", transform("pose", "x", "y", "z")).withColumnRenamed("scan_id", scan)
+        return at.select("a", "b", "id", *[F.col(f"__p.{x}").alias(x) for x in "xyz"])
+
+    target = stored(placed(state.select("a", "b"), "a"), "targets")
     for _ in range(rounds):
-        moved = place(spark.createDataFrame([(k, int(e[1]), flat(fixes[e] @ poses[e[1]])) for k, e in enumerate(edges)], "edge int, scan_id long, __pose array<double>"))
-        near = joins.radius_pairs(moved, target, ["x", "y", "z"], radius, ["edge"])
-        best = near.groupBy("l.edge", "l.id").agg(F.min_by(F.struct("l", "r"), F.struct("d", "r.id")).alias("b"))
-        p = {x: F.col(f"b.l.{x}") for x in "xyz"}
-        rows = best.select("edge", _equations(p, {x: F.col(f"b.r.{x}") - p[x] for x in "xyz"}).alias("e")).select("edge", "e.*")
-        step = 0.0
-        matched = dict.fromkeys(edges, 0)
-        for r in normal_equations(rows, [f"j{i}" for i in range(6)], "res", ["edge"]).collect():  # a row a pair
-            e, d = edges[r["edge"]], solve(r, 6)
-            fixes[e], matched[e] = checked_pose(exp_pose(d) @ fixes[e]), r["n"]
-            step += float(np.abs(d).sum())
-        if step < 1e-9:
+        near = joins.radius_pairs(placed(state.select("a", "b", "fix"), "b"), target, ["x", "y", "z"], radius, ["a", "b"])
+        best = near.groupBy("l.a", "l.b", "l.id").agg(F.min_by(F.struct("l", "r"), F.struct("d", "r.id")).alias("m"))
+        p = {x: F.col(f"m.l.{x}") for x in "xyz"}
+        rows = best.select("a", "b", _equations(p, {x: F.col(f"m.r.{x}") - p[x] for x in "xyz"}).alias("e")).select("a", "b", "e.*")
+        sums = normal_equations(rows, [f"j{i}" for i in range(6)], "res", ["a", "b"])
+        after = stored(_fixed_by_sums(state.select("a", "b", "fix").join(sums, ["a", "b"], "left")), "loops")
+        dropped(state)
+        state = after
+        if (after.agg(F.sum("moved")).first()[0] or 0.0) < 1e-9:
             break
-    target.unpersist()
-    return {e: (fixes[e], matched[e]) for e in edges}
+    dropped(target)
+    return state
+
+
+def register_edges(points: DataFrame, poses: dict[int, np.ndarray], edges: list[tuple[int, int]], radius: float, rounds: int = 10) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
+    """``register_loops`` of a few pairs, by pair."""
+    spark = points.sparkSession
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in edges], "a long, b long")
+    found = register_loops(points, pose_table(spark, poses), pairs, radius, rounds).collect()
+    return {(r["a"], r["b"]): (np.reshape(r["fix"], (4, 4)), r["matched"]) for r in found}
 
 
 def closed(points: DataFrame, poses: dict[int, np.ndarray], edges: list[tuple[int, int]], radius: float, fixed: int | None = None) -> dict[int, np.ndarray]:
@@ -221,8 +265,6 @@ def run_odometry(points: DataFrame, trajectory: DataFrame, size: float = 0.3, pe
     t = windows.batches(trajectory.withColumn("__k", F.lit(0)), ["__k"], ["ts_ns"], per_batch).select("ts_ns", "pose", "batch")
     first = t.groupBy("batch").agg(F.min_by("pose", "ts_ns").alias("first_pose"))
     hit = joins.asof_join(points, t, "ts_ns", "ts_ns", strict=True, tolerance=tolerance_ns, bucket=piece_ns, prefix="__t_").where("__t_batch is not null")
-    from pointloom.functions import pose as P
-
     hit = hit.withColumnRenamed("__t_batch", "batch").join(first, "batch")
     local = hit.withColumn("__m", P.product(P.inverse("first_pose"), "__t_pose")).withColumn("__p", transform("__m", "x", "y", "z"))
     local = local.select(F.col("batch").alias("scan_id"), "id", *[F.col(f"__p.{a}").alias(a) for a in "xyz"]).persist()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import pose as P
 from pointloom.functions.geometry import transform
 from pointloom.operators import joins
+from pointloom.sources.store import stored
 
 
 def session_points(points: DataFrame, scans: DataFrame, keep: Column | None = None, on: str = "scan_id") -> DataFrame:
@@ -94,30 +95,33 @@ def fused_with_fixes(scans: DataFrame, fixes: DataFrame, tolerance: float, round
     return scans.withColumn("pose", P.product(m, "pose")), pose
 
 
-def sessions_joined(points: DataFrame, scans: DataFrame, reach: float, radius: float, apart: int = 10, places: DataFrame | None = None) -> DataFrame:
+def sessions_joined(points: DataFrame, scans: DataFrame, reach: float, radius: float, apart: int = 10, places: DataFrame | None = None, rounds: int = 20, solve=None) -> DataFrame:
     """Scans of all sessions in one graph: motions between consecutive scans of a session, and loop edges
     between scans nearer than ``reach`` (of different sessions, or ``apart`` places within one), measured
     by registering their points.  ``scan_id`` is unique over the sessions.
 
     ``places`` (scan_id, x, y, z, weight) are known points of scans, as satellite fixes or ground control;
-    with them no scan is held, without them the first one is.  Scans come to the driver, points don't.
+    with them no scan is held, without them the first one is.  Scans, edges and the system they make are
+    tables; ``solve`` is that of ``sparse.consistent``.
     """
-    from pointloom.plans.registration import loop_edges, register_edges
-    from pointloom.plans.solvers import pose_graph
-
-    spark = scans.sparkSession
-    rows = scans.select("session", "scan_id", "ts", "pose").orderBy("session", "ts", "scan_id").collect()  # a row a scan
-    keys = [r["scan_id"] for r in rows]
-    at = {k: i for i, k in enumerate(keys)}
-    poses = {r["scan_id"]: np.array(r["pose"], float).reshape(4, 4) for r in rows}
-    graph = [(i, i + 1, np.linalg.inv(poses[keys[i]]) @ poses[keys[i + 1]], 1.0) for i in range(len(rows) - 1) if rows[i]["session"] == rows[i + 1]["session"]]
-    edges = loop_edges(poses, spark, reach, {r["scan_id"]: r["session"] for r in rows}, apart)
-    measured = register_edges(points, poses, edges, radius) if edges else {}
-    graph += [(at[a], at[b], np.linalg.inv(poses[a]) @ fix @ poses[b], 1.0) for (a, b), (fix, n) in measured.items() if n]
-    known = [(at[r["scan_id"]], np.array([r["x"], r["y"], r["z"]], float), float(r["weight"])) for r in places.collect() if r["scan_id"] in at] if places is not None else []
-    out = pose_graph(np.array([poses[k] for k in keys]), graph, rounds=20, fixed=[] if known else 0, places=known)
-    table = spark.createDataFrame([(int(k), [float(v) for v in out[i].ravel()]) for k, i in at.items()], "scan_id long, __new array<double>")
-    return scans.join(table, "scan_id").withColumn("pose", F.col("__new")).drop("__new")
+    from pointloom.operators.scans import numbered
+    from pointloom.plans import registration, sparse
+
+    t = stored(numbered(scans.select("session", "scan_id", "ts", "pose"), ["session", "ts", "scan_id"]), "scans")
+    ahead = t.select((F.col("n") - 1).alias("a"), F.col("n").alias("b"), F.col("session").alias("__s"), F.col("pose").alias("__next"))
+    ways = ahead.join(t.select(F.col("n").alias("a"), "session", "pose"), "a").where("session = __s").select("a", "b", P.product(P.inverse("pose"), "__next").alias("measured"))
+    loops = registration.register_loops(points, t, registration.loop_pairs(t, reach, apart), radius).where("matched > 0")
+    side = lambda c: t.select(F.col("scan_id").alias(c), F.col("n").alias(f"__{c}"), F.col("pose").alias(f"__pose_{c}"))
+    loops = loops.join(side("a"), "a").join(side("b"), "b")
+    loops = loops.select(F.col("__a").alias("a"), F.col("__b").alias("b"), P.product(P.inverse("__pose_a"), P.product("fix", "__pose_b")).alias("measured"))
+    edges = stored(ways.unionByName(loops).withColumn("weight", F.lit(1.0)), "edges")
+    known = None
+    if places is not None:
+        known = stored(places.join(t.select("scan_id", F.col("n").alias("id")), "scan_id").select("id", "x", "y", "z", "weight"), "places")
+        known = None if known.isEmpty() else known
+    out = sparse.consistent(t.select(F.col("n").alias("id"), "pose"), edges, known, rounds=rounds, solve=solve)
+    new = t.select("scan_id", F.col("n").alias("id")).join(out.withColumnRenamed("pose", "__new"), "id").drop("id")
+    return scans.join(new, "scan_id").withColumn("pose", F.col("__new")).drop("__new")
 
 
 def calibrated_sensors(points: DataFrame, size: float, radius: float, rounds: int = 20) -> np.ndarray:
