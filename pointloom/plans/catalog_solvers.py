@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pointloom.functions import pose
+from pointloom.functions import geometry, pose
 from pointloom.operators import maps, scans, windows
 from pointloom.plans import batches, elimination, planes, sessions, sparse
 from pointloom.plans.catalog import E_SQL, P_SQL, events, points, rounded
@@ -202,3 +202,36 @@ def rigid_fusion(spark, sf_dir):
     fixes = e.select(F.col("us").alias("ts"), (c * F.col("x") - s * F.col("y") + 2).alias("x"), (s * F.col("x") + c * F.col("y") - 1).alias("y"), (z + 0.5).alias("z"))
     out, _ = sessions.fused_with_fixes(stored(track, "track"), stored(fixes, "fixes"), 1)
     return out.select("event_id", *[F.round(F.col("pose")[i], 5).alias(a) for a, i in zip("xyz", (3, 7, 11))])
+
+
+def seen_from(p, key, poses):
+    """Points as scanners at known poses see them: (key, id, x, y, z) in each one's own frame."""
+    at = p.crossJoin(F.broadcast(poses)).withColumn("__p", geometry.transform(pose.inverse("true_pose"), "x", "y", "z"))  # poses: a handful of stated rows
+    return at.select(key, "id", *[F.col(f"__p.{a}").alias(a) for a in "xyz"])
+
+
+@query(f"{P_SQL} SELECT k AS scan_id, id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM p, range(4) r(k)")
+def joined_sessions(spark, sf_dir):
+    """Two sessions of two scans each of the same points, the second one displaced as a whole: edges between them
+    bring every point back to where it is."""
+    k, zero = F.col("id").cast("double"), F.lit(0.0)
+    true = spark.range(4).select(F.col("id").alias("scan_id"), F.when(F.col("id") < 2, 0).otherwise(1).alias("session"), k.alias("ts"), pose.from_tait_bryan(k / 5, -k / 10, zero, zero, zero, k / 10).alias("true_pose"))
+    off = pose.from_tait_bryan(F.lit(0.004), F.lit(-0.003), F.lit(0.002), F.lit(0.004), F.lit(-0.003), F.lit(0.005))
+    given = true.withColumn("pose", F.when(F.col("session") == 1, pose.product(off, "true_pose")).otherwise(F.col("true_pose")))
+    own = stored(seen_from(points(spark, sf_dir).select("id", "x", "y", "z"), "scan_id", true), "scans")
+    joined = sessions.sessions_joined(own, given.select("session", "scan_id", "ts", "pose"), 1.0, 0.05)
+    out = sessions.session_points(own, joined)
+    return out.select("scan_id", "id", *[F.round(a, 4).alias(a) for a in "xyz"])
+
+
+@query(f"{P_SQL} SELECT k::INT AS lidar_id, id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM p, range(2) r(k)")
+def two_sensors(spark, sf_dir):
+    """Two sensors that see the same points, the second one mounted a little off: calibrated, both agree."""
+    zero = F.lit(0.0)
+    mount = F.when(F.col("id") == 1, pose.from_tait_bryan(F.lit(0.003), F.lit(-0.002), F.lit(0.004), F.lit(-0.005), F.lit(0.003), F.lit(0.002))).otherwise(pose.from_tait_bryan(*[zero] * 6))
+    sensors = spark.range(2).select(F.col("id").cast("int").alias("lidar_id"), mount.alias("true_pose"))
+    own = stored(seen_from(points(spark, sf_dir).select("id", "x", "y", "z"), "lidar_id", sensors), "sensors")
+    found = sessions.calibrated_sensors(own, 1e-6, 0.05)
+    m = F.array(*[F.lit(float(v)) for v in found.ravel()])
+    moved = own.withColumn("__p", F.when(F.col("lidar_id") == 0, F.struct("x", "y", "z")).otherwise(geometry.transform(m, "x", "y", "z")))
+    return moved.select("lidar_id", "id", *[F.round(f"__p.{a}", 4).alias(a) for a in "xyz"])

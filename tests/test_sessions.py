@@ -185,3 +185,19 @@ def test_kml(spark, tmp_path):
     sinks.write_kml(fixes, str(tmp_path / "k"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "k")).collect()]
     assert sum("21.25000000,52.50000000,110.000" in x for x in lines) == 1 and sum("</kml>" in x for x in lines) == 1 and len(lines) == 4
+
+
+def test_loops_without_a_match_and_sessions_with_places(spark):
+    """A pair that meets nothing has no motion; known places of scans outweigh the first one's pose."""
+    from pointloom.plans import registration
+
+    poses = {0: np.eye(4), 1: exp_pose(np.array([0.2, 0, 0, 0, 0, 0]))}
+    pairs = spark.createDataFrame([(0, 1), (0, 1)], "a long, b long")
+    far = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (1, 1, 9.0, 9.0, 9.0)], "scan_id long, id long, x double, y double, z double")
+    got = registration.register_loops(far, registration.pose_table(spark, poses), pairs, 0.1).collect()
+    assert [(r["a"], r["b"], r["matched"]) for r in got] == [(0, 1, 0)] and np.allclose(np.reshape(got[0]["fix"], (4, 4)), np.eye(4))
+
+    scans = spark.createDataFrame([(0, k, float(k), m.ravel().tolist()) for k, m in poses.items()], "session int, scan_id long, ts double, pose array<double>")
+    places = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 100.0), (1, 1.2, 0.0, 0.0, 100.0), (7, 5.0, 5.0, 5.0, 1.0)], "scan_id long, x double, y double, z double, weight double")
+    out = {r["scan_id"]: r["pose"] for r in sessions.sessions_joined(far, scans, 0.01, 0.1, places=places).collect()}
+    assert abs(out[0][3] - 1.0) < 1e-3 and abs(out[1][3] - 1.2) < 1e-3
