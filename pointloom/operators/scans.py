@@ -9,6 +9,7 @@ partition continues from the one before, so what is broadcast has a row a partit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from pointloom.sources.store import stored
 
 #: Rows of a partition, about.
 ROWS = 500_000
+#: Paths are whole numbers of this length, so that sums are exact and a path equal to its reach is no matter of chance.
+UNIT = 1e-9
 
 
 def ranged(rows: DataFrame, keys: list[str], order: list[str], partitions: int | None = None, each: int = ROWS) -> DataFrame:
@@ -106,29 +109,30 @@ def numbered(rows: DataFrame, order: list[str], name: str = "n", partitions: int
 
 
 def paths(rows: DataFrame, keys: list[str], order: list[str], values: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows with __key, __pid, __i and __d: the path over ``values`` since the key's first row."""
+    """Rows with __key, __pid, __i and __d: the path over ``values`` since the key's first row, in UNITs, each step
+    rounded (9e9 of the values' unit are the longest).  A step from or to a missing value has no length."""
 
     def step():
-        last, gone = None, 0.0
+        last, gone = None, 0
 
         def call(begins, *at):
             nonlocal last, gone
             at = np.array([np.nan if v is None else float(v) for v in at])
-            d = 0.0 if begins or last is None else float(np.sqrt(np.nansum((at - last) ** 2)))
-            last, gone = at, 0.0 if begins else gone + d
+            d = 0 if begins or last is None else math.floor(float(np.sqrt(np.nansum((at - last) ** 2))) / UNIT + 0.5)
+            last, gone = at, 0 if begins else gone + d
             return (gone,)
 
         return call
 
-    local = scanned(ranged(rows, keys, order, partitions), step, "__d double", values)
+    local = scanned(ranged(rows, keys, order, partitions), step, "__d long", values)
     at = F.array(*[F.col(v).cast("double") for v in values])
     ends = local.groupBy("__key", "__pid").agg(F.min_by(at, "__i").alias("first"), F.max_by(at, "__i").alias("last"), F.max("__d").alias("own"))
     w = Window.partitionBy("__key").orderBy("__pid")  # a row a partition
     gap = F.sqrt(F.aggregate(F.zip_with("first", F.lag("last").over(w), lambda a, b: F.coalesce((a - b) * (a - b), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x))
-    ends = ends.withColumn("gap", F.coalesce(gap, F.lit(0.0)))
-    ends = ends.withColumn("lagged", F.lag("own", 1, 0.0).over(w))
+    ends = ends.withColumn("gap", F.coalesce(F.floor(gap / F.lit(UNIT) + F.lit(0.5)), F.lit(0)))
+    ends = ends.withColumn("lagged", F.lag("own", 1, 0).over(w))
     carry = ends.select("__key", "__pid", F.sum(F.col("gap") + F.col("lagged")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__before")).where("__before > 0")
-    out = local.join(carry, ["__key", "__pid"], "left").withColumn("__d", F.col("__d") + F.coalesce("__before", F.lit(0.0)))
+    out = local.join(carry, ["__key", "__pid"], "left").withColumn("__d", F.col("__d") + F.coalesce("__before", F.lit(0)))
     return stored(out.drop("__before"), "paths")
 
 
@@ -147,6 +151,7 @@ def fired(rows: DataFrame, reach: dict[str, float], strict: bool, first: bool) -
         raise ValueError("a reach must be positive")
     side = "right" if strict else "left"
     kinds = sorted(reach)
+    reach = {k: math.floor(v / UNIT + 0.5) for k, v in reach.items()}  # as paths are
 
     def nexts(d: np.ndarray, kind: np.ndarray) -> np.ndarray:
         out = np.full(len(d), len(d))
@@ -179,7 +184,7 @@ def fired(rows: DataFrame, reach: dict[str, float], strict: bool, first: bool) -
         return pd.concat(out) if out else pd.DataFrame({"__key": [], "id": [], "rule": [], "d": [], "leave": []})
 
     own = rows.select("__key", "__pid", "__i", "__d", "__rule")
-    nodes = stored(own.groupBy("__pid").applyInPandas(entries, "__key string, id long, rule string, d double, leave double").distinct(), "entries")
+    nodes = stored(own.groupBy("__pid").applyInPandas(entries, "__key string, id long, rule string, d long, leave long").distinct(), "entries")
 
     def following(asked: DataFrame) -> DataFrame:
         """(id, to) of rows (id, __key, leave): the first node of any rule that fires after."""
@@ -196,7 +201,7 @@ def fired(rows: DataFrame, reach: dict[str, float], strict: bool, first: bool) -
         reached = nodes.groupBy("__key").agg(F.min("id").alias("id")).select("id")
     else:
         starts = own.groupBy("__key").agg(F.min(F.col("__pid").cast("long") * (1 << 40) + F.col("__i")).alias("id"))
-        reached = following(starts.withColumn("leave", F.lit(0.0))).select(F.col("to").alias("id")).where("id is not null")
+        reached = following(starts.withColumn("leave", F.lit(0).cast("long"))).select(F.col("to").alias("id")).where("id is not null")
     reached = stored(reached.distinct(), "reached")
     while True:
         more = reached.join(jump, "id").where("to is not null").select(F.col("to").alias("id"))

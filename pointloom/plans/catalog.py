@@ -372,15 +372,16 @@ def motion_edges(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS us, user_id, value FROM events),
-    s AS (SELECT *, abs(value - coalesce(lag(value) OVER w, value)) AS step, row_number() OVER w AS rn FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+    s AS (SELECT *, floor(coalesce(abs(value - lag(value) OVER w), 0) / 1e-9 + 0.5)::BIGINT AS step, row_number() OVER w AS rn FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
     walk AS (
-      SELECT *, (step > 500)::BIGINT AS segment, CASE WHEN step > 500 THEN 0 ELSE step END AS gone FROM s WHERE rn = 1
+      SELECT *, 0::BIGINT AS segment, 0::BIGINT AS gone FROM s WHERE rn = 1
       UNION ALL
-      SELECT s.*, walk.segment + (walk.gone + s.step > 500)::BIGINT, CASE WHEN walk.gone + s.step > 500 THEN 0 ELSE walk.gone + s.step END
+      SELECT s.*, walk.segment + (walk.gone + s.step > 500000000000)::BIGINT, CASE WHEN walk.gone + s.step > 500000000000 THEN 0 ELSE walk.gone + s.step END
       FROM walk JOIN s ON s.user_id = walk.user_id AND s.rn = walk.rn + 1)
     SELECT user_id, us, event_id, value, segment FROM walk"""
 )
 def segment_by_distance(spark, sf_dir):
+    """A user's events cut where over 500 of value are travelled; paths are whole billionths, so both sides add them exactly."""
     return windows.greedy_segments(events(spark, sf_dir).select("user_id", "us", "event_id", "value"), ["user_id"], ["us", "event_id"], ["value"], 500.0)
 
 

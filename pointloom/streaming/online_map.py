@@ -176,7 +176,7 @@ def rebuilds(track: DataFrame, reach: float, session: str = "session", ts: str =
     run = Window.partitionBy(session).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     marks = way.where("__fires").select(session, ts, F.col("__d").alias("__at"), "__pid")
     marks = marks.withColumn("rebuild", F.row_number().over(Window.partitionBy(session).orderBy(ts)).cast("long"))
-    before = F.coalesce(F.lag("__at").over(Window.partitionBy(session).orderBy(ts)), F.lit(0.0))
+    before = F.coalesce(F.lag("__at").over(Window.partitionBy(session).orderBy(ts)), F.lit(0))
     marks = marks.withColumn("__half", (F.col("__at") + before) / 2)
     # the first row at or after the half of the way
     own = way.select(session, F.col(ts).alias("__t"), "__d")

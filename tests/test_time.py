@@ -97,3 +97,14 @@ def test_spaced_and_thinned_rows(spark):
     assert got == [4, 8]
     got = [r["i"] for r in windows.thinned(rows, ["k"], ["i"], ["v"], 4.0, 2.0).orderBy("i").collect()]
     assert got == [0, 4, 6, 8, 10]
+
+
+def test_paths_equal_to_their_reach(spark):
+    """Values with two decimals whose path, added in binary, misses or passes 0.3 by chance: 0.3 is not over 0.3, but reaches it."""
+    values = [10.0, 10.1, 10.2, 10.3, 10.4, 10.5, 10.6, None, 10.6, 10.7]
+    rows = spark.createDataFrame([(1, i, v, 1.0) for i, v in enumerate(values)], "k int, i int, v double, m double")
+    for parts in (None, 3):
+        got = [r["segment"] for r in windows.greedy_segments(rows, ["k"], ["i"], ["v"], 0.3, parts).orderBy("i").collect()]
+        assert got == [0, 0, 0, 0, 1, 1, 1, 1, 1, 1]
+        got = [r["i"] for r in windows.spaced_matches(rows, ["k"], ["i"], ["v"], "m", 0.3, parts).orderBy("i").collect()]
+        assert got == [3, 6]
