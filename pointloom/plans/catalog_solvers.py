@@ -77,13 +77,13 @@ def chained_poses(spark, sf_dir):
 
 
 @query(
-    f"""{E_SQL.replace('WITH e', 'WITH RECURSIVE e')}, s AS (SELECT user_id, event_id, row_number() OVER w AS i, event_type, coalesce(abs(value - lag(value) OVER w), 0) AS d FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
-    r AS (SELECT user_id, event_id, i, 0.0::DOUBLE AS gone, false AS took FROM s WHERE i = 1
-      UNION ALL SELECT s.user_id, s.event_id, s.i, CASE WHEN r.gone + s.d >= 250 AND s.event_type = 'click' THEN 0.0 ELSE r.gone + s.d END, r.gone + s.d >= 250 AND s.event_type = 'click' FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+    f"""{E_SQL.replace('WITH e', 'WITH RECURSIVE e')}, s AS (SELECT user_id, event_id, row_number() OVER w AS i, event_type, floor(coalesce(abs(value - lag(value) OVER w), 0) / 1e-9 + 0.5)::BIGINT AS d FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+    r AS (SELECT user_id, event_id, i, 0::BIGINT AS gone, false AS took FROM s WHERE i = 1
+      UNION ALL SELECT s.user_id, s.event_id, s.i, CASE WHEN r.gone + s.d >= 250000000000 AND s.event_type = 'click' THEN 0 ELSE r.gone + s.d END, r.gone + s.d >= 250000000000 AND s.event_type = 'click' FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
     SELECT user_id, event_id FROM r WHERE took"""
 )
 def spaced_matches(spark, sf_dir):
-    """A user's clicks at least 250 of value travelled apart."""
+    """A user's clicks at least 250 of value travelled apart, in whole billionths as ``segment_by_distance``."""
     e = events(spark, sf_dir).withColumn("m", F.when(F.col("event_type") == "click", 1))
     return windows.spaced_matches(e, ["user_id"], ["us", "event_id"], ["value"], "m", 250.0).select("user_id", "event_id")
 
