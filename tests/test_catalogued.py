@@ -89,3 +89,15 @@ def test_a_task_that_fails_leaves_nothing_that_is_read(spark, tmp_path):
         bad.write.format("las").option("most", 5).mode("append").save(where)
     open(f"{where}/points-dead-0.las", "wb").write(b"half a file")
     assert spark.read.format("las").load(where).count() == 100
+
+
+def test_places_read_as_they_were_written():
+    """A file's offset leaves no trace in its coordinates (0.3 at an offset of -1 was 0.30000000000000004, beyond
+    a box that ends at 0.3), and halves go away from zero at any offset."""
+    v = points.np.array([-0.35, 0.3, -0.1, 0.0001, 12.3456])
+    got = points.las_points(points.las_bytes(v, v, v))
+    assert got["x"].tolist() == v.tolist() and ((got["y"] >= -0.1) & (got["y"] <= 0.3)).sum() == 3
+    half = points.np.array([0.03125, -0.03125])
+    assert points.las_points(points.las_bytes(half, half, half))["z"].tolist() == [0.0313, -0.0313]
+    odd = points.las_points(points.las_bytes(v, v, v, scale=0.00025))["x"]  # no power of ten: as near as the scale allows
+    assert points.np.abs(odd - v).max() <= 0.000125 + 1e-12
