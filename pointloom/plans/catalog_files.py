@@ -33,9 +33,10 @@ def las_round_trip(spark, sf_dir):
     return back.select(*[F.round(a, 4).alias(a) for a in XYZ], F.col("intensity").cast("long").alias("intensity"), F.col("user_data").cast("long").alias("scan_id"))
 
 
-@query(f"{P_SQL} SELECT round(x * 100, 2) AS x, round(y * 100, 2) AS y, label AS lidar_id FROM p WHERE id % 5 > 0 AND sqrt(x * x + y * y) > 0.1 AND sqrt(x * x + y * y) < 0.25 AND label < 6")
+@query(f"{P_SQL}, r AS (SELECT id, label, round(x, 4) AS x, round(y, 4) AS y FROM p) SELECT round(x * 100, 2) AS x, round(y * 100, 2) AS y, label AS lidar_id FROM r WHERE id % 5 > 0 AND sqrt(x * x + y * y) > 0.1 AND sqrt(x * x + y * y) < 0.25 AND label < 6")
 def las_scan(spark, sf_dir):
-    """A recording: rows without a time go, then the annulus, then each sensor's calibration (here 100 times)."""
+    """A recording, in tenths of a millimetre as LAS files are: rows without a time go, then the annulus, then each
+    sensor's calibration (here 100 times)."""
     p = points(spark, sf_dir).select(*XYZ, F.when(F.col("id") % 5 == 0, 0.0).otherwise(1.5).alias("ts"), F.col("label").alias("lidar_id"))
     at = folder(spark, "scan")
     sinks.write_las(p, at)

@@ -101,3 +101,18 @@ def test_places_read_as_they_were_written():
     assert points.las_points(points.las_bytes(half, half, half))["z"].tolist() == [0.0313, -0.0313]
     odd = points.las_points(points.las_bytes(v, v, v, scale=0.00025))["x"]  # no power of ten: as near as the scale allows
     assert points.np.abs(odd - v).max() <= 0.000125 + 1e-12
+
+
+def test_a_scan_is_cut_where_its_file_puts_the_points(spark, tmp_path):
+    """Points that the file's tenths of a millimetre move onto the annulus' border, or off it."""
+    import duckdb
+
+    from pointloom.plans import catalog
+
+    xs = [0.10004, 0.10006, 0.24996, 0.24994, -0.10004, 0.15]
+    spark.createDataFrame([(5 * i + 1, [x, 0.0, 0.0], i % 6) for i, x in enumerate(xs)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted((r["x"], r["lidar_id"]) for r in catalog.QUERIES["las_scan"](spark, str(tmp_path)).collect())
+    assert got == [(10.01, 1), (15.0, 5), (24.99, 3)]
+    assert sorted((x, k) for x, _, k in db.execute(catalog.ORACLES["las_scan"]).fetchall()) == got
