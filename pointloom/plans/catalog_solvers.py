@@ -28,11 +28,10 @@ def steps(spark, sf_dir):
 @query(f"{STEP_SQL}, u AS (SELECT *, (b % 7 - a % 7) / 7.0 + v * (b % 3 - a % 3) AS u FROM t), y AS (SELECT a AS id, -u AS y0, -v * u AS y1 FROM u UNION ALL SELECT b, u, v * u FROM u) SELECT id, round(sum(y0), 6) AS y0, round(sum(y1), 6) AS y1 FROM y GROUP BY id")
 def consistency_product(spark, sf_dir):
     """The step of a trajectory's consistency that crosses the cluster: its matrix times a vector."""
-    s = sparse.system(sparse.summed(sparse.term_blocks(steps(spark, sf_dir), 2), 2), 2)
+    s = sparse.system(sparse.summed(sparse.term_blocks(steps(spark, sf_dir), 2), 2), 2, inverse=False)
     ids = s.parts.select("p", F.sequence(F.col("p") * s.size, (F.col("p") + 1) * s.size - 1).alias("ids"))
     x = ids.select("p", F.flatten(F.transform("ids", lambda i: F.array(i % 7 / 7.0, (i % 3).cast("double")))).alias("v"))
-    y = sparse.product(s, x).join(s.parts.select("p", "used"), "p").select("p", "y", F.explode("used").alias("i"))
-    return y.select((F.col("p") * s.size + F.col("i")).alias("id"), *[F.round(F.col("y")[F.col("i") * 2 + k], 6).alias(f"y{k}") for k in (0, 1)])
+    return sparse.product_rows(s, x).select((F.col("p") * s.size + F.col("i")).alias("id"), *[F.round(F.col("y")[k], 6).alias(f"y{k}") for k in (0, 1)])
 
 
 def fixes(spark, sf_dir):

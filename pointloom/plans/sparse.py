@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,7 +71,7 @@ def summed(blocks: DataFrame, d: int) -> DataFrame:
 
 @dataclass
 class System:
-    """A system in parts: matrix (p, q, at, value), inverse (p, inverse), right (p, b, ids)."""
+    """A system in parts: matrix (p, q, e), parts (p, inverse, b, used)."""
 
     d: int
     size: int
@@ -80,8 +79,9 @@ class System:
     parts: DataFrame
 
 
-def system(blocks: DataFrame, d: int, size: int = 64, damping: float = 1e-9) -> System:
-    """The system of summed blocks."""
+def system(blocks: DataFrame, d: int, size: int = 64, damping: float = 1e-9, inverse: bool = True) -> System:
+    """The system of summed blocks; without ``inverse`` for products only.  Inverses have (size * d)^2 numbers
+    a part, so a task makes and hands on one after another."""
     blocks = stored(blocks, "blocks")
     part = lambda c: F.floor(F.col(c) / size)
     local = lambda c: (F.col(c) - part(c) * size).cast("int")
@@ -90,58 +90,60 @@ def system(blocks: DataFrame, d: int, size: int = 64, damping: float = 1e-9) ->
     right = blocks.where("col is null").select(part("row").alias("p"), F.struct(local("row").alias("i"), "value").alias("b")).groupBy("p").agg(F.collect_list("b").alias("b"))
     n = size * d
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for p, entries, b in zip(pdf["p"], pdf["e"], pdf["b"]):
-            dense, rhs, used = np.zeros((size, d, size, d)), np.zeros((size, d)), np.zeros(size, bool)
-            for e in entries:
-                dense[e["i"], :, e["j"], :] = np.reshape(e["value"], (d, d))
-                used[e["i"]] = True
-            for x in b if b is not None else []:
-                rhs[x["i"]] = x["value"]
-            dense = dense.reshape(n, n) + np.diag(np.where(np.repeat(used, d), damping, 1.0))
-            out.append((p, np.linalg.inv(dense).ravel().tolist(), rhs.ravel().tolist(), np.flatnonzero(used).tolist()))
-        return pd.DataFrame(out, columns=["p", "inverse", "b", "used"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, e, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                rhs, e = np.zeros((size, d)), e.values
+                used = np.unique(np.asarray(e.field("i")))
+                if b.is_valid:
+                    rhs[np.asarray(b.values.field("i"))] = np.asarray(b.values.field("value").flatten(), float).reshape(-1, d)
+                own = np.zeros(0)
+                if inverse:
+                    dense = np.zeros((size, d, size, d))
+                    dense[np.asarray(e.field("i")), :, np.asarray(e.field("j")), :] = np.asarray(e.field("value").flatten(), float).reshape(-1, d, d)
+                    free = np.ones(size, bool)
+                    free[used] = False
+                    own = np.linalg.inv(dense.reshape(n, n) + np.diag(np.where(np.repeat(free, d), 1.0, damping))).ravel()
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t)) for v, t in ((own, pa.float64()), (rhs.ravel(), pa.float64()), (used, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *lists], ["p", "inverse", "b", "used"])
 
     own = matrix.where("p = q").select("p", "e").join(right, "p", "left")
-    parts = own.mapInPandas(lambda frames: map(run, frames), "p long, inverse array<double>, b array<double>, used array<int>")
+    parts = own.mapInArrow(run, "p long, inverse array<double>, b array<double>, used array<int>")
     out = System(d, size, matrix, stored(parts, "parts"))
     dropped(blocks)
     return out
 
 
-def product(s: System, x: DataFrame) -> DataFrame:
-    """(p, y): the matrix times the vector parts (p, v)."""
-    n, d, size = s.size * s.d, s.d, s.size
+def product_rows(s: System, x: DataFrame) -> DataFrame:
+    """(p, i, y): the matrix times the vector parts (p, v), ``d`` numbers a node.  A task adds up what it has of
+    a node before the exchange, and nodes without entries aren't passed on, so it grows with the entries
+    however they are scattered."""
+    d, size = s.d, s.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            e, v = batch.column(1), batch.column(2)
+            at = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(e.offsets)))
+            e = e.flatten()
+            value = np.asarray(e.field("value").flatten(), float).reshape(-1, d, d)
+            x = np.asarray(v.flatten(), float).reshape(-1, size, d)[at, np.asarray(e.field("j"))]
+            nodes, back = np.unique(np.asarray(batch.column(0))[at] * size + np.asarray(e.field("i")), return_inverse=True)
+            y = np.zeros((len(nodes), d))
+            np.add.at(y, back, np.einsum("eij,ej->ei", value, x))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * d, pa.int32()), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes // size), pa.array((nodes % size).astype(np.int32)), lists], ["p", "i", "y"])
 
-        def out() -> pa.RecordBatch:
-            rows = pa.array([v.ravel().tolist() for v in sums.values()], pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), rows], ["p", "y"])
+    pieces = s.matrix.join(x.select(F.col("p").alias("q"), "v"), "q").select("p", "e", "v").mapInArrow(run, "p long, i int, y array<double>")
+    return pieces.groupBy("p", "i").agg(F.array(*[F.sum(F.col("y")[k]) for k in range(d)]).alias("y"))
 
-        for batch in batches:
-            for p, entries, v in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                e = entries.values
-                value = np.asarray(e.field("value").flatten(), float).reshape(-1, d, d)
-                i, j = np.asarray(e.field("i")), np.asarray(e.field("j"))
-                y = sums.setdefault(p, np.zeros((size, d)))
-                np.add.at(y, i, np.einsum("eij,ej->ei", value, np.asarray(v.values, float).reshape(size, d)[j]))
-            if len(sums) > 1000:
-                yield out()
-                sums.clear()
-        if sums:
-            yield out()
-
-    pieces = s.matrix.join(x.select(F.col("p").alias("q"), "v"), "q").select("p", "e", "v").mapInArrow(run, "p long, y array<double>")
-    return pieces.groupBy("p").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(n)]).alias("y")) if n <= 64 else _added(pieces)
-
-
-def _added(pieces: DataFrame) -> DataFrame:
-    """Long arrays added up by p: a few a part, as tasks have added up their own."""
-    run = lambda key, pdf: pd.DataFrame({"p": [key[0]], "y": [np.sum(np.stack(pdf["y"].to_numpy()), axis=0).tolist()]})
-    return pieces.groupBy("p").applyInPandas(run, "p long, y array<double>")
+
+def product(s: System, x: DataFrame) -> DataFrame:
+    """(p, y): ``product_rows`` as vector parts, zero where a node has no entries."""
+    zero = F.array_repeat(F.lit(0.0), s.d)
+    rows = product_rows(s, x).groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("i", "y"))).alias("y"))  # size entries at most
+    return rows.select("p", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(s.size - 1)), lambda i: F.coalesce(F.try_element_at("y", i), zero))).alias("y"))
 
 
 def dot(a: str, b: str) -> Column:

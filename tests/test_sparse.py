@@ -140,3 +140,19 @@ def test_rays_bring_windows_and_poses_back(spark):
     got = {r["id"]: np.reshape(r["pose"], (4, 4)) for r in rigid.collect()}
     before, after = (max(np.abs(m[k] - true[k]).max() for k in range(6)) for m in (dict(enumerate(off)), got))
     assert after < 0.01 and after < before / 3, (before, after)
+
+
+def test_scattered_products_pass_on_only_what_they_hold(spark):
+    """Nodes far apart, one entry a part: a row a node and no inverses, where each entry was 128 numbers and each
+    part 16384 before."""
+    rng = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 500, (300, 2)) * 64 + 7}
+    blocks = {k: rng.normal(size=(2, 2)) for k in pairs | {(a, a) for k in pairs for a in k}}
+    s = sparse.system(spark.createDataFrame([(a, b, v.ravel().tolist()) for (a, b), v in blocks.items()], sparse.BLOCK), 2, inverse=False)
+    assert s.parts.selectExpr("max(size(inverse))").first()[0] == 0
+    x = s.parts.selectExpr("p", "array_repeat(cast(p as double), 128) AS v")
+    got = {r["p"] * 64 + r["i"]: r["y"] for r in sparse.product_rows(s, x).collect()}
+    want = {}
+    for (a, b), v in blocks.items():
+        want[a] = want.get(a, 0) + v @ np.full(2, b // 64)
+    assert got.keys() == want.keys() and all(np.allclose(got[a], want[a]) for a in got)
