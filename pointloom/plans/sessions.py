@@ -36,11 +36,12 @@ def align_sessions(scans: DataFrame, offset: float, first: object) -> DataFrame:
     """All sessions brought to the session ``first``: each one's pose ``offset`` after its start (its
     first scan later than that) falls on that of ``first``.  A row a session decides; none is collected."""
     start = scans.groupBy("session").agg(F.min("ts").alias("__start"))
-    late = scans.join(start, "session").where(F.col("ts") > F.col("__start") + F.lit(offset))
+    # sessions are few against their scans, which stay where they lie: a session may hold any share of them
+    late = scans.join(F.broadcast(start), "session").where(F.col("ts") > F.col("__start") + F.lit(offset))
     at = late.groupBy("session").agg(F.min_by("pose", F.struct("ts", "scan_id")).alias("__at"))
     target = at.where(F.col("session") == F.lit(first)).select(F.col("__at").alias("__to"))
     move = at.crossJoin(F.broadcast(target)).select("session", P.product("__to", P.inverse("__at")).alias("__move"))  # a single row
-    return scans.join(move, "session").withColumn("pose", P.product("__move", "pose")).drop("__move")
+    return scans.join(F.broadcast(move), "session").withColumn("pose", P.product("__move", "pose")).drop("__move")
 
 
 def reloaded(points: DataFrame, trajectory: DataFrame, index: DataFrame) -> DataFrame:

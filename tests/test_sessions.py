@@ -201,3 +201,19 @@ def test_loops_without_a_match_and_sessions_with_places(spark):
     places = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 100.0), (1, 1.2, 0.0, 0.0, 100.0), (7, 5.0, 5.0, 5.0, 1.0)], "scan_id long, x double, y double, z double, weight double")
     out = {r["scan_id"]: r["pose"] for r in sessions.sessions_joined(far, scans, 0.01, 0.1, places=places).collect()}
     assert abs(out[0][3] - 1.0) < 1e-3 and abs(out[1][3] - 1.2) < 1e-3
+
+
+def test_scans_are_not_dealt_by_session(spark):
+    """However large the tables look, four sessions are not four tasks' work."""
+    from pointloom.functions import pose as P
+    from pointloom.plans import sessions
+
+    k = F.col("id").cast("double")
+    scans = spark.range(40).select((F.col("id") % 4).alias("session"), F.col("id").alias("scan_id"), k.alias("ts"), P.from_tait_bryan(k, -k, k * 0, k * 0, k * 0, k / 10).alias("pose"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sessions.align_sessions(scans, 8.0, 0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
