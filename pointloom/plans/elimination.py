@@ -69,11 +69,12 @@ def part_of(e: pa.Scalar, b: pa.Scalar, edge: pa.Scalar, d: int) -> Part:
 
 
 def split(part: Part, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of inner and outer unknowns, the inverse of the inner matrix, and it times what links both."""
+    """Places of inner and outer unknowns, and the inner matrix's inverse times what links both and times the
+    inner right side."""
     i = np.flatnonzero(np.repeat(part.inner, d))
     s = np.flatnonzero(np.repeat(~part.inner, d))
-    inverse = np.linalg.inv(part.a[np.ix_(i, i)]) if len(i) else np.zeros((0, 0))
-    return i, s, inverse, inverse @ part.a[np.ix_(i, s)]
+    both = np.linalg.solve(part.a[np.ix_(i, i)], np.column_stack([part.a[np.ix_(i, s)], part.b[i]]))
+    return i, s, both[:, :-1], both[:, -1]
 
 
 def _kept(d: int) -> Callable:
@@ -83,13 +84,13 @@ def _kept(d: int) -> Callable:
         for batch in batches:
             for e, b, edge in zip(batch.column("e"), batch.column("b"), batch.column("edge")):
                 part = part_of(e, b, edge, d)
-                i, s, inverse, link = split(part, d)
+                i, s, link, own = split(part, d)
                 outer = part.nodes[~part.inner]
                 n = len(outer)
                 across = part.a[np.ix_(s, i)]
                 left = (part.a[np.ix_(s, s)] - across @ link).reshape(n, d, n, d).transpose(0, 2, 1, 3)
                 yield block_batch(np.repeat(outer, n), np.tile(outer, n), left.reshape(n * n, d * d))
-                yield block_batch(outer, None, part.b[s] - across @ (inverse @ part.b[i]))
+                yield block_batch(outer, None, part.b[s] - across @ own)
 
     return run
 
@@ -102,14 +103,14 @@ def _filled(d: int, base: int, below: int | None, covariances: bool) -> Callable
         for batch in batches:
             for e, b, edge, known, ends in zip(*(batch.column(c) for c in ("e", "b", "edge", "known", "ends"))):
                 part = part_of(e, b, edge, d)
-                i, s, inverse, link = split(part, d)
+                i, s, link, own = split(part, d)
                 n, outer = len(part.nodes), part.nodes[~part.inner]
                 x = np.zeros(n * d)
                 at, _, value = entries_of(ends, d)
                 given = np.zeros((len(outer), d))
                 given[np.searchsorted(outer, at)] = value
                 x[s] = given.ravel()
-                x[i] = inverse @ part.b[i] - link @ x[s]
+                x[i] = own - link @ x[s]
                 yield block_batch(part.nodes, None, x)
                 if not covariances:
                     continue
@@ -120,7 +121,7 @@ def _filled(d: int, base: int, below: int | None, covariances: bool) -> Callable
                 edge_cov = edge_cov.reshape(m * d, m * d)
                 cov = np.zeros((n * d, n * d))
                 cov[np.ix_(s, s)] = edge_cov
-                cov[np.ix_(i, i)] = inverse + link @ edge_cov @ link.T
+                cov[np.ix_(i, i)] = np.linalg.inv(part.a[np.ix_(i, i)]) + link @ edge_cov @ link.T
                 cov[np.ix_(i, s)] = -link @ edge_cov
                 cov[np.ix_(s, i)] = cov[np.ix_(i, s)].T
                 if below is None:
@@ -133,28 +134,30 @@ def _filled(d: int, base: int, below: int | None, covariances: bool) -> Callable
     return run
 
 
-def solution(blocks: DataFrame, d: int, size: int = 64, fan: int = 16, most: int = 500, covariances: bool = False) -> DataFrame:
-    """(id, x) of summed blocks (row, col, value), or (id, x, covariance) with each node's block of the inverse."""
+def solution(blocks: DataFrame, d: int, size: int = 16, fan: int = 16, most: int = 500, covariances: bool = False) -> DataFrame:
+    """(id, x) of summed blocks (row, col, value), or (id, x, covariance) with each node's block of the inverse.
+
+    A part's work grows with the cube of its nodes, so ``size`` is small; a level is one exchange up and one down.
+    """
     blocks = left = stored(blocks, "blocks")
     base = blocks.agg(F.min("row")).first()[0] or 0
     levels: list[DataFrame] = []
     width = size
     part = lambda c, w: F.expr(f"({c} - {base}L) div {w}L")
-    lists = lambda rows, name: rows.groupBy("p").agg(F.collect_list(F.struct("row", "col", "value")).alias(name))
+    entry = F.struct("row", "col", "value")
     while True:
-        square = left.where("col is not null").withColumn("p", part("row", width))
-        beyond = square.where(F.col("p") != part("col", width))
-        own = square.where(F.col("p") == part("col", width))
-        largest = own.where("row = col").groupBy("p").count().agg(F.max("count")).first()[0] or 0
-        if largest > most:
-            raise ValueError(f"a part of {width} ids keeps {largest} nodes (at most {most}): this graph is no track, use conjugate gradients")
-        edge = beyond.groupBy("p").agg(F.sort_array(F.collect_set("row")).alias("edge"))
-        right = lists(left.where("col is null").withColumn("p", part("row", width)), "b")
-        levels.append(stored(lists(own, "e").join(right, "p", "left").join(edge, "p", "left"), f"level-{len(levels)}"))
-        open_parts = levels[-1].where("edge is not null")
-        if open_parts.isEmpty():
+        p, q = part("row", width), part("col", width)
+        kinds = {"e": F.collect_list(F.when(p == q, entry)), "b": F.collect_list(F.when(F.col("col").isNull(), entry)), "edge": F.array_sort(F.collect_set(F.when(p != q, F.col("row"))))}
+        rows = left.groupBy(p.alias("p")).agg(*[v.alias(k) for k, v in kinds.items()]).where("size(e) > 0")
+        rows = rows.withColumn("edge", F.when(F.size("edge") > 0, F.col("edge"))).withColumn("nodes", F.size(F.filter("e", lambda x: x["row"] == x["col"])))
+        levels.append(stored(rows, f"level-{len(levels)}"))
+        seen = levels[-1].agg(F.max("nodes").alias("largest"), F.count("edge").alias("open")).first()
+        if (seen["largest"] or 0) > most:
+            raise ValueError(f"a part of {width} ids keeps {seen['largest']} nodes (at most {most}): this graph is no track, use conjugate gradients")
+        if not seen["open"]:
             break
-        upper = stored(open_parts.select("e", "b", "edge").mapInArrow(_kept(d), BLOCK).unionByName(beyond.drop("p")), "left")
+        beyond = left.where(p != q)
+        upper = stored(levels[-1].where("edge is not null").select("e", "b", "edge").mapInArrow(_kept(d), BLOCK).unionByName(beyond), "left")
         if left is not blocks:
             dropped(left)
         left, width = upper, width * fan
@@ -164,10 +167,10 @@ def solution(blocks: DataFrame, d: int, size: int = 64, fan: int = 16, most: int
         if found is None:
             none = F.lit(None).cast("array<struct<row: long, col: long, value: array<double>>>")
             rows = rows.withColumn("known", none).withColumn("ends", none)
-        else:
-            at = found.join(_edges(levels[level]), "row")
-            both = at.where("col is not null").join(_edges(levels[level]).select(F.col("row").alias("col"), F.col("p").alias("q")), "col").where("p = q").drop("q")
-            rows = rows.join(lists(both, "known"), "p", "left").join(lists(at.where("col is null"), "ends"), "p", "left")
+        else:  # the nodes of the level above are this one's outer ones
+            p, q = part("row", size * fan**level), part("col", size * fan**level)
+            kinds = {"known": F.when(p == q, entry), "ends": F.when(F.col("col").isNull(), entry)}
+            rows = rows.join(found.groupBy(p.alias("p")).agg(*[F.collect_list(v).alias(k) for k, v in kinds.items()]), "p", "left")
         below = size * fan ** (level - 1) if level else None
         run = _filled(d, base, below, covariances)
         filled = stored(rows.select("e", "b", "edge", "known", "ends").mapInArrow(run, BLOCK), "found")
@@ -183,11 +186,6 @@ def solution(blocks: DataFrame, d: int, size: int = 64, fan: int = 16, most: int
     return out
 
 
-def _edges(level: DataFrame) -> DataFrame:
-    """(row, p) of a level's outer nodes."""
-    return level.where("edge is not null").select(F.explode("edge").alias("row"), "p")
-
-
 def unit_variance(terms: DataFrame, unknowns: int) -> float:
     """Weighted squared residuals by degrees of freedom (residuals less unknowns; 1 if there are none): the
     variance of a residual of weight one, as the misfit shows it."""

@@ -31,6 +31,18 @@ def exp_pose(d: np.ndarray) -> np.ndarray:
     return out
 
 
+def exp_poses(d: np.ndarray) -> np.ndarray:
+    """``exp_pose`` of many."""
+    angle = np.linalg.norm(d[:, 3:], axis=1)
+    x, y, z = np.where(angle > 1e-12, d[:, 3:].T / np.where(angle > 1e-12, angle, 1), 0.0)
+    o = np.zeros(len(d))
+    k = np.stack([o, -z, y, z, o, -x, -y, x, o], axis=1).reshape(-1, 3, 3)
+    out = np.tile(np.eye(4), (len(d), 1, 1))
+    out[:, :3, :3] += np.sin(angle)[:, None, None] * k + (1 - np.cos(angle))[:, None, None] * (k @ k)
+    out[:, :3, 3] = d[:, :3]
+    return out
+
+
 @dataclass
 class Registration:
     pose: np.ndarray

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import pose as P
 from pointloom.functions.geometry import cell, transform
 from pointloom.operators.maps import PAIRS
-from pointloom.plans.solvers import exp_pose, log_poses
+from pointloom.plans.solvers import exp_pose, exp_poses, log_poses
 from pointloom.sources.store import dropped, stored
 
 BLOCK = "row long, col long, value array<double>"
@@ -35,6 +35,12 @@ def matrix_of(column: pa.Array, *shape: int) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(-1, *shape)
 
 
+def list_column(values: np.ndarray) -> pa.Array:
+    """A list for each of the array's first places."""
+    flat = np.ascontiguousarray(values).reshape(len(values), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+
+
 def term_blocks(terms: DataFrame, d: int) -> DataFrame:
     """The blocks of terms (nodes, jac, res, weight): J'WJ as (row, col, value) and J'Wr with a null col.
 
@@ -62,11 +68,11 @@ def term_blocks(terms: DataFrame, d: int) -> DataFrame:
 
 
 def summed(blocks: DataFrame, d: int) -> DataFrame:
-    """Blocks of one place added up, with partial sums before the exchange."""
-    at = lambda n: F.array(*[F.sum(F.col("value")[i]) for i in range(n)])
-    square = blocks.where("col is not null").groupBy("row", "col").agg(at(d * d).alias("value"))
-    right = blocks.where("col is null").groupBy("row").agg(at(d).alias("value"))
-    return square.unionByName(right.withColumn("col", F.lit(None).cast("long"))).select("row", "col", "value")
+    """Blocks of one place added up, with partial sums before the exchange; one pass over ``blocks``, right sides
+    being the groups with a null col."""
+    sums = blocks.groupBy("row", "col").agg(*[F.sum(F.get("value", F.lit(i))).alias(f"__{i}") for i in range(d * d)])
+    at = lambda n: F.array(*[F.col(f"__{i}") for i in range(n)])
+    return sums.select("row", "col", F.when(F.col("col").isNull(), at(d)).otherwise(at(d * d)).alias("value"))
 
 
 @dataclass
@@ -223,8 +229,8 @@ def edge_terms(poses: DataFrame, edges: DataFrame) -> DataFrame:
             # each component has a weight of its own, which goes into its rows
             root = np.sqrt(w)
             jac = np.stack([ja, jb], axis=1) * root[:, None, :, None]
-            nodes = pa.array(np.stack([batch.column(0), batch.column(1)], axis=1).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(jac.reshape(len(r), -1).tolist()), pa.array((-r * root).tolist()), pa.array(np.ones(len(r)))], ["nodes", "jac", "res", "weight"])
+            nodes = np.stack([batch.column(0), batch.column(1)], axis=1)
+            yield pa.RecordBatch.from_arrays([*map(list_column, (nodes, jac, -r * root)), pa.array(np.ones(len(r)))], ["nodes", "jac", "res", "weight"])
 
     own = lambda c, name: poses.select(F.col("id").alias(c), F.col("pose").alias(name))
     rows = edges.join(own("a", "__a"), "a").join(own("b", "__b"), "b").select("a", "b", "__a", "__b", "measured", F.col("weight").cast("double"))
@@ -246,9 +252,11 @@ def moved_poses(poses: DataFrame, steps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pose, step = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = [p if s is None else (np.reshape(p, (4, 4)) @ exp_pose(np.array(s))).ravel().tolist() for p, s in zip(pose, step)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["id", "pose"])
+            if not batch.num_rows:
+                continue
+            pose, step = matrix_of(batch.column(1), 4, 4), np.zeros((batch.num_rows, 6))
+            step[np.asarray(batch.column(2).is_valid())] = matrix_of(batch.column(2), 6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_column(pose @ exp_poses(step))], ["id", "pose"])
 
     return poses.join(steps, "id", "left").select("id", "pose", "x").mapInArrow(run, "id long, pose array<double>")
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pointloom.plans import elimination, sparse
+from pointloom.plans import elimination, solvers, sparse
 from tests.test_sparse import chain, frames
 
 
@@ -81,3 +81,13 @@ def test_measured_variance(spark):
     terms = spark.createDataFrame([([0], [1.0], [v], 2.0) for v in (1.0, -1.0, 2.0)], "nodes array<long>, jac array<double>, res array<double>, weight double")
     assert elimination.unit_variance(terms, 1) == pytest.approx(2 * 6 / 2)
     assert elimination.unit_variance(terms, 3) == 1.0
+
+
+def test_blocks_are_made_once_and_motions_in_whole_batches(spark):
+    """Sums of a system run the terms' Python once, and poses of a batch move as one by one."""
+    df = spark.createDataFrame([([0, 1], [-1.0, 1.0], [2.0], 1.0)], "nodes array<long>, jac array<double>, res array<double>, weight double")
+    sums = sparse.summed(sparse.term_blocks(df, 1), 1)
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r["row"], r["col"], *r["value"]) for r in sums.collect()} == {(0, 0, 1.0), (0, 1, -1.0), (1, 0, -1.0), (1, 1, 1.0), (0, None, -2.0), (1, None, 2.0)}
+    steps = np.vstack([np.random.default_rng(5).normal(size=(6, 6)), np.zeros(6)])
+    assert np.allclose(solvers.exp_poses(steps), [solvers.exp_pose(d) for d in steps], atol=1e-14)
