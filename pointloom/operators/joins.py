@@ -1,15 +1,23 @@
 """Joins that Spark has no operator for: as-of, interval, interpolation and distance joins.
 
 None of them compares all pairs.  Time joins are one union and one window over the time order;
-distance joins go through grid cells as equi-joins, so Catalyst picks and AQE adapts the strategy.
+distance joins go through grid cells as equi-joins, so Catalyst picks and AQE adapts the strategy; nearest
+neighbours go through blocks of space, whose pairs are compared inside a task and never listed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.functions.geometry import cell
+from pointloom.sources.store import stored
 
 
 def _last_known(both: DataFrame, by: list[str], order: list[Column], value: str, bucket: Column | None, forward: bool) -> DataFrame:
@@ -173,12 +181,181 @@ def radius_pairs(left: DataFrame, right: DataFrame, dims: list[str], radius: flo
     return out.where(F.col("d") < radius if strict else F.col("d") <= radius).select("l", "r", "d")
 
 
+#: Right rows of a block of the nearest-neighbour search, about, and the rows from which the cuts are taken.
+BLOCK_ROWS, CUT_ROWS = 20_000, 200_000
+#: Pairs that are compared at once inside a block.
+AT_ONCE = 100_000
+
+
+def cuts(rows: np.ndarray, leaves: int) -> list[tuple]:
+    """A tree of (axis, value, low, high) that cuts places (n, dims) into about ``leaves`` parts of as many rows,
+    each along its widest axis; a leaf is (-1, its number, 0, 0)."""
+    tree: list[tuple] = []
+    found = 0
+
+    def grow(at: np.ndarray, n: int) -> int:
+        nonlocal found
+        k = len(tree)
+        tree.append(())
+        axis = int(np.argmax(np.ptp(at, axis=0))) if len(at) > 1 else 0
+        cut = split_at(at[:, axis]) if n > 1 and len(at) > 1 else None
+        if cut is None:
+            tree[k] = (-1, found, 0, 0)
+            found += 1
+        else:
+            low = at[:, axis] <= cut
+            tree[k] = (axis, cut, grow(at[low], n // 2), grow(at[~low], n - n // 2))
+        return k
+
+    grow(rows, leaves)
+    return tree
+
+
+def split_at(values: np.ndarray) -> float | None:
+    """A value with about as many values up to it as above; none, if all are equal."""
+    top = values.max()
+    cut = np.partition(values, (len(values) - 1) // 2)[(len(values) - 1) // 2]
+    if cut < top:
+        return float(cut)
+    below = values[values < top]
+    return float(below.max()) if len(below) else None
+
+
+def leaves_of(tree: list[tuple], at: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of every leaf that a ball around a place (n, dims) of radius ``reach`` touches."""
+    rows, out = [(0, np.arange(len(at)))], []
+    while rows:
+        k, own = rows.pop()
+        axis, cut, low, high = tree[k]
+        if axis < 0:
+            out.append((own, np.full(len(own), cut)))
+            continue
+        x, r = at[own, axis], reach[own] * (1 + 1e-12)
+        rows += [(low, own[x - r <= cut]), (high, own[x + r > cut])]
+    return np.concatenate([o for o, _ in out]), np.concatenate([c for _, c in out]).astype(np.int64)
+
+
+def search(left: np.ndarray, right: np.ndarray, ids: np.ndarray, best: np.ndarray, found: np.ndarray) -> None:
+    """Sets ``best`` (at first how far to look) and ``found`` to the distance and place of each left row's nearest
+    right one (n, dims), of equally near ones that with the smallest of ``ids``.  Right rows are halved along
+    their widest axis, and a left row looks across a cut only as far as its best hit."""
+    work = [(np.arange(len(left)), np.arange(len(right)))]
+    while work:
+        l, r = work.pop()
+        if not len(l) or not len(r):
+            continue
+        axis = int(np.argmax(np.ptp(right[r], axis=0)))
+        cut = split_at(right[r, axis]) if len(r) > 1 and len(l) * len(r) > AT_ONCE else None
+        if cut is None:
+            each = max(1, AT_ONCE // len(r))
+            r = r[np.argsort(ids[r], kind="stable")]
+            for some in (l[k : k + each] for k in range(0, len(l), each)):
+                d = left[some, None, 0] - right[None, r, 0]
+                square = d * d
+                for i in range(1, left.shape[1]):
+                    d = left[some, None, i] - right[None, r, i]
+                    square += d * d
+                at = np.sqrt(square)
+                near = at.argmin(axis=1)  # the first: the smallest id
+                d = at[np.arange(len(some)), near]
+                new = r[near]
+                better = (d < best[some]) | ((d == best[some]) & ((found[some] < 0) | (ids[new] < ids[found[some]])))
+                best[some[better]], found[some[better]] = d[better], new[better]
+            continue
+        x = left[l, axis]
+        low, high = r[right[r, axis] <= cut], r[right[r, axis] > cut]
+        side = x <= cut
+        # own sides are taken first, so that little is left to look at across the cut
+        search_own = ((l[side], low, l[side], high), (l[~side], high, l[~side], low))
+        for own, here, over, there in search_own:
+            b, f = best[own], found[own]
+            search(left[own], right[here], ids[here], b, g := np.full(len(own), -1))
+            hit = g >= 0
+            take = hit & ((b < best[own]) | (f < 0) | (ids[here[g]] < ids[f]))
+            best[own[take]], found[own[take]] = b[take], here[g[take]]
+            reach = best[over] * (1 + 1e-12)
+            work.append((over[np.abs(left[over, axis] - cut) <= reach], there))
+
+
+def nearest(left: DataFrame, right: DataFrame, dims: list[str], radius: float, left_id: str, right_id: str, on: list[str] | None = None) -> DataFrame:
+    """(on.., left_id, l, r, d): every left row that has a right one within ``radius`` with the nearest, both as
+    structs; of equally near ones that with the smallest ``right_id``.  ``on`` adds equal columns.
+
+    Pairs are never listed: blocks of space hold about ``BLOCK_ROWS`` right rows each (cuts from a bounded sample
+    say only where a block ends), left rows meet those of their own block, and go on to the others that lie
+    nearer than their hit.  Of right rows at one place one stands for all, and crowded blocks are split by left
+    rows (``split_hot``).
+    """
+    on = on or []
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))
+    fine = lambda df: df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in on) or "true").where(reduce(lambda a, b: a & b, map(finite, dims)))
+    place = lambda df: [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(dims)]
+    keys = [f"__k{i}" for i in range(len(on))]
+    named = [F.col(c).alias(k) for c, k in zip(on, keys)]
+    axes = [f"__x{i}" for i in range(len(dims))]
+    rows = fine(right).select(*named, *place(right), F.col(right_id).alias("__rid"), F.struct(*right.columns).alias("r"))
+    rows = stored(rows.groupBy(*keys, *axes).agg(F.min("__rid").alias("__rid"), F.min_by("r", "__rid").alias("r")), "nearest-right")
+    rows_of = rows.groupBy(*keys).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    some = max(1, (rows_of["all"] or 0) // CUT_ROWS)
+    sample = np.array(rows.where(F.pmod(F.xxhash64(*axes), F.lit(some)) == 0).select(*axes).collect(), float).reshape(-1, len(dims))
+    tree = cuts(sample, -(-(rows_of["most"] or 0) // BLOCK_ROWS))
+
+    def dealt(df: DataFrame, reach: str | None = None) -> DataFrame:
+        """Rows with __leaf: their own, or with ``reach`` the others that they touch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+                at = np.stack([np.asarray(col(c), float) for c in axes], axis=1)
+                own, leaf = leaves_of(tree, at, np.zeros(len(at)))
+                if reach is not None:
+                    home = np.empty(len(at), np.int64)
+                    home[own] = leaf
+                    own, leaf = leaves_of(tree, at, np.asarray(col(reach), float))
+                    own, leaf = own[leaf != home[own]], leaf[leaf != home[own]]
+                yield batch.take(pa.array(own)).append_column("__leaf", pa.array(leaf))
+
+        return df.mapInArrow(run, T.StructType(list(df.schema)).add("__leaf", "long"))
+
+    def met(lefts: DataFrame, blocks: DataFrame) -> DataFrame:
+        a, b = split_hot(lefts, blocks, [*keys, "__leaf"], F.xxhash64("__lid", *axes))
+        schema = T.StructType([f for f in a.schema if f.name not in ("__d", "r", "__rid", "__leaf", "__part")]).add("__d", "double").add(blocks.schema["r"]).add(blocks.schema["__rid"])
+        names = schema.fieldNames()
+
+        def run(one: pa.Table, two: pa.Table) -> pa.Table:
+            at = [np.stack([np.asarray(t.column(c), float) for c in axes], axis=1) for t in (one, two)]
+            best, found = np.asarray(one.column("__d"), float).copy(), np.full(one.num_rows, -1)
+            search(*at, np.asarray(two.column("__rid")), best, found)
+            hit = np.flatnonzero(found >= 0)
+            out = one.drop_columns(["__d"]).take(pa.array(hit)).append_column("__d", pa.array(best[hit]))
+            twos = two.take(pa.array(found[hit]))
+            return out.append_column("r", twos.column("r")).append_column("__rid", twos.column("__rid")).select(names)
+
+        groups = [*keys, "__leaf", "__part"]
+        return a.groupBy(*groups).cogroup(b.groupBy(*groups)).applyInArrow(run, schema)
+
+    blocks = dealt(rows)
+    lefts = fine(left).select(*named, *place(left), F.col(left_id).alias("__lid"), F.struct(*left.columns).alias("l"), F.lit(float(radius)).alias("__d"))
+    if len(tree) == 1:
+        hits = met(dealt(lefts), blocks)
+    else:
+        own = stored(dealt(lefts), "nearest-left")
+        first = stored(met(own, blocks), "nearest-hits")
+        bound = first.groupBy(*keys, "__lid").agg(F.min("__d").alias("__hit"))
+        further = own.drop("__leaf").join(bound, [*keys, "__lid"], "left").withColumn("__d", F.coalesce("__hit", "__d")).drop("__hit")
+        hits = first.unionByName(met(dealt(further, "__d"), blocks))
+    best = hits.groupBy(*keys, "__lid").agg(F.min_by(F.struct("l", "r", "__d"), F.struct("__d", "__rid")).alias("b"))
+    return best.select(*[F.col(k).alias(c) for c, k in zip(on, keys)], F.col("__lid").alias(left_id), "b.l", "b.r", F.col("b.__d").alias("d"))
+
+
 def nearest_within(left: DataFrame, right: DataFrame, dims: list[str], radius: float, left_id: str, right_id: str, on: list[str] | None = None) -> DataFrame:
     """(left_id, nn_id, d): the nearest right row within ``radius`` of every left row that has one;
-    of equally near ones the smallest id.  Partial minima are taken before the exchange."""
-    p = radius_pairs(left, right, dims, radius, on)
-    best = F.min(F.struct("d", F.col(f"r.{right_id}").alias("id")))
-    return p.groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(best.alias("b")).select(left_id, F.col("b.id").alias("nn_id"), F.col("b.d").alias("d"))
+    of equally near ones the smallest id."""
+    near = nearest(left.select(*dict.fromkeys([left_id, *dims, *(on or [])])), right.select(*dict.fromkeys([right_id, *dims, *(on or [])])), dims, radius, left_id, right_id, on)
+    out = near.select(left_id, F.col(f"r.{right_id}").alias("nn_id"), "d")
+    return out.groupBy(left_id).agg(F.min(F.struct("d", "nn_id")).alias("b")).select(left_id, "b.nn_id", "b.d") if on else out
 
 
 def self_pairs(points: DataFrame, dims: list[str], radius: float, key: str, group: str | None = None) -> DataFrame:

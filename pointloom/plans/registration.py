@@ -178,10 +178,9 @@ def register_loops(points: DataFrame, scans: DataFrame, edges: DataFrame, radius
 
     target = stored(placed(state.select("a", "b"), "a"), "targets")
     for _ in range(rounds):
-        near = joins.radius_pairs(placed(state.select("a", "b", "fix"), "b"), target, ["x", "y", "z"], radius, ["a", "b"])
-        best = near.groupBy("l.a", "l.b", "l.id").agg(F.min_by(F.struct("l", "r"), F.struct("d", "r.id")).alias("m"))
-        p = {x: F.col(f"m.l.{x}") for x in "xyz"}
-        rows = best.select("a", "b", _equations(p, {x: F.col(f"m.r.{x}") - p[x] for x in "xyz"}).alias("e")).select("a", "b", "e.*")
+        best = joins.nearest(placed(state.select("a", "b", "fix"), "b"), target, ["x", "y", "z"], radius, "id", "id", ["a", "b"])
+        p = {x: F.col(f"l.{x}") for x in "xyz"}
+        rows = best.select("a", "b", _equations(p, {x: F.col(f"r.{x}") - p[x] for x in "xyz"}).alias("e")).select("a", "b", "e.*")
         sums = normal_equations(rows, [f"j{i}" for i in range(6)], "res", ["a", "b"])
         after = stored(_fixed_by_sums(state.select("a", "b", "fix").join(sums, ["a", "b"], "left")), "loops")
         dropped(state)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import transform
 from pointloom.operators.aggregates import normal_equations
-from pointloom.operators.joins import radius_pairs
+from pointloom.operators.joins import nearest
 
 
 def skew(v: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ def register(source: DataFrame, target: DataFrame, radius: float, rounds: int =
     for step in range(1, rounds + 1):
         m = F.array(*[F.lit(float(v)) for v in pose.ravel()])
         moved = source.withColumn("__p", transform(m, "x", "y", "z")).select("id", *[F.col(f"__p.{a}").alias(a) for a in "xyz"])
-        near = radius_pairs(moved, target, ["x", "y", "z"], radius).groupBy("l.id").agg(F.min_by(F.struct("l", "r"), F.struct("d", "r.id")).alias("b")).select("b.*")
+        near = nearest(moved, target, ["x", "y", "z"], radius, "id", "id").select("l", "r")
         p = {a: F.col(f"l.{a}") for a in "xyz"}
         diff = {a: F.col(f"r.{a}") - p[a] for a in "xyz"}
         zero = F.lit(0.0)

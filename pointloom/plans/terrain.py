@@ -59,11 +59,10 @@ def ground_surface(points: DataFrame, size: float, smooth: float = 1.0, rounds:
 def vertex_heights(vertices: DataFrame, ground: DataFrame, radius: float = 1.0, key: str = "id") -> DataFrame:
     """(key, z, d): for every surface vertex (key, x, y) the height of the ground point nearest in the
     plane, within ``radius``; of equally near ones that with the smallest id."""
-    from pointloom.operators.joins import radius_pairs
+    from pointloom.operators.joins import nearest
 
-    near = radius_pairs(vertices.select(key, "x", "y"), ground.select("id", "x", "y", "z"), ["x", "y"], radius)
-    best = near.groupBy(F.col(f"l.{key}").alias(key)).agg(F.min(F.struct("d", F.col("r.id").alias("id"), F.col("r.z").alias("z"))).alias("b"))
-    return best.select(key, F.col("b.z").alias("z"), F.col("b.d").alias("d"))
+    near = nearest(vertices.select(key, "x", "y"), ground.select("id", "x", "y", "z"), ["x", "y"], radius, key, "id")
+    return near.select(key, F.col("r.z").alias("z"), "d")
 
 
 def find_poles(points: DataFrame, size: float = 0.5, above: float = 0.5, below_top: float = 10.0, radius: float = 0.5, linearity: float = 0.8) -> DataFrame:

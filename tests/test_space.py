@@ -109,3 +109,23 @@ def test_crowded_cell_is_split(spark, monkeypatch):
     assert near.count() == want
     a, _ = joins.split_hot(left.selectExpr("id", "floor(x / 0.5) as k"), right.selectExpr("floor(x / 0.5) as k"), ["k"], F.xxhash64("id"))
     assert a.where("k = 0").select("__part").distinct().count() > 32 and a.where("k > 0 and __part > 0").count() == 0
+
+
+@pytest.mark.parametrize("on", [[], ["k"]])
+def test_nearest_over_many_blocks_matches_all_pairs(spark, monkeypatch, on):
+    """Blocks of 20 rows: neighbours across their edges, copies (the smallest id counts), ties, rows without a place."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(joins, "AT_ONCE", 50)
+    rng = np.random.default_rng(4)
+    own, other = (np.round(rng.normal(size=(n, 2)), 1) for n in (150, 300))
+    rows = lambda at, shift: [(i + shift, int(i % 2), float(x), float(y)) for i, (x, y) in enumerate(at)] + [(9999, 0, None, 0.0), (9998, 1, float("nan"), 0.0)]
+    left, right = (spark.createDataFrame(rows(at, s), "id long, k int, x double, y double") for at, s in ((own, 0), (other, 1000)))
+    near = joins.nearest(left, right, ["x", "y"], 0.25, "id", "id", on)
+    got = {r["id"]: (r["r"]["id"], r["d"], r["l"]["x"]) for r in near.collect()}
+    want = {}
+    for i, (x, y) in enumerate(own):
+        hits = [(np.sqrt((x - u) * (x - u) + (y - v) * (y - v)), j + 1000) for j, (u, v) in enumerate(other) if not on or i % 2 == j % 2]
+        d, j = min(hits)
+        if d <= 0.25:
+            want[i] = (j, d, x)
+    assert got == want and 50 < len(got) < 150
