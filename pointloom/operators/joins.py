@@ -60,7 +60,8 @@ def asof_join(
     both, the earlier on equal distance).  ``strict`` leaves out equal times, ``tolerance`` those
     further away.  Of right rows with one time the largest ``tie`` column wins (smallest, forward).
     Right columns come as ``prefix`` + name, null where nothing fits; left rows with a null time
-    fit nothing.  ``bucket`` is a width of time by which large groups are ordered in pieces.
+    fit nothing.  ``bucket`` is a width of time by which large groups are ordered in pieces; without
+    groups and ``bucket`` the pieces are ranges of about as many rows.
     """
     by = by or []
     if direction == "nearest":
@@ -83,6 +84,11 @@ def asof_join(
     else:
         order = [F.col("__ts"), (-F.col("__right") if not strict else F.col("__right")), F.col("__tie")]
     piece = None if bucket is None else F.floor(F.col("__ts").cast("double") / F.lit(float(bucket)))
+    if bucket is None and not by:  # without groups all rows were one task's work: ranges of the order are the pieces
+        at = [f"__o{i}" for i in range(len(order))]
+        ranged = both.withColumns(dict(zip(at, order))).repartitionByRange(*at)
+        both = stored(ranged.withColumn("__range", F.spark_partition_id().cast("long")).drop(*at), "asof")
+        piece = F.col("__range")
     hit = _last_known(both, by, order, "__r", piece, forward).where("__right = 0")
     found = F.col("__hit")
     if tolerance is not None:

@@ -83,7 +83,7 @@ def fused_with_fixes(scans: DataFrame, fixes: DataFrame, tolerance: float, round
     from pointloom.plans.registration import checked_pose
 
     pairs = joins.asof_after_first(scans, fixes.select("ts", "x", "y", "z"), "ts", "ts", tolerance, prefix="g_").where("g_x is not null")
-    pairs = pairs.select(*[F.col("pose")[i].alias(f"p{a}") for a, i in zip("xyz", (3, 7, 11))], "g_x", "g_y", "g_z")
+    pairs = stored(pairs.select(*[F.col("pose")[i].alias(f"p{a}") for a, i in zip("xyz", (3, 7, 11))], "g_x", "g_y", "g_z"), "pairs")  # read in every round
     pose = np.eye(4)
     for k in range(rounds):
         at = pairs.withColumn("__p", transform(F.array(*[F.lit(float(v)) for v in pose.ravel()]), "px", "py", "pz"))
