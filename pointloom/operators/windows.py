@@ -151,11 +151,12 @@ def rotation_gaps(nodes: DataFrame, keys: list[str], order: list[str], pose: str
     for a key's first."""
     w = Window.partitionBy(*keys).orderBy(*order)
     out = nodes.withColumn("__a", F.lag(pose).over(w)).withColumn("__b", F.lag(measured).over(w))
-    own, theirs = P.product(P.inverse("__a"), pose), P.product(P.inverse("__b"), measured)
-    out = out.withColumn("__d", F.when(F.col("__a").isNotNull(), P.product(P.inverse(own), theirs)))
-    m = F.col("__d")
-    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (m[0] + m[5] + m[10] - 1) / 2)))
-    return out.withColumn("gap", F.when(F.col("__d").isNotNull(), gap)).drop("__a", "__b", "__d")
+    a, b, p, q = (F.col(c) for c in ("__a", "__b", pose, measured))
+    turned = lambda m, n, i, j: m[i] * n[j] + m[4 + i] * n[4 + j] + m[8 + i] * n[8 + j]
+    # the trace of both rotations' difference; columns of the window's rows, so nothing is worked out twice
+    trace = sum((turned(a, p, i, j) * turned(b, q, i, j) for i in range(3) for j in range(3) if i or j), turned(a, p, 0, 0) * turned(b, q, 0, 0))
+    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2)))
+    return out.withColumn("gap", F.when(a.isNotNull(), gap)).drop("__a", "__b")
 
 
 def dead_reckoned(rows: DataFrame, keys: list[str], order: str, acc: tuple[str, str, str] = ("ax", "ay", "az"), method: str = "euler", most_dt: float = 0.1, most_acc: float = 50.0) -> DataFrame:

@@ -123,3 +123,14 @@ def test_asof_without_groups_is_cut_into_ranges(spark, direction, strict):
         ok = [(t, k) for k, t in rows if r["t"] is not None and (t < r["t"] if strict else t <= r["t"] if direction == "backward" else t >= r["t"])]
         want = (max if direction == "backward" else min)(ok)[1] if ok else None
         assert r["r_r"] == want, r
+
+
+def test_rotation_gaps_work_nothing_out_twice(spark):
+    """The gap of two turns about z, and a plan that calls no function over arrays (they were nested many times)."""
+    turn = lambda c: P.from_tait_bryan(*[F.lit(0.0)] * 5, F.col(c))
+    rows = spark.createDataFrame([(0, 0.1, 0.0), (1, 0.5, 0.1), (2, 3.0, 0.2)], "i int, a double, b double").withColumn("k", F.lit(1))
+    rows = spark.createDataFrame(rows.withColumn("pose", turn("a")).withColumn("imu_pose", turn("b")).collect(), "i int, a double, b double, k int, pose array<double>, imu_pose array<double>")
+    out = windows.rotation_gaps(rows, ["k"], ["i"])
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = [r["gap"] for r in out.orderBy("i").collect()]
+    assert got[0] is None and got[1:] == pytest.approx([0.3, 2.4])
