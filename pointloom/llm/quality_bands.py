@@ -5,7 +5,7 @@ must lie in a band: text that compresses too well repeats itself, text that hard
 not language.  Short texts compress less than long ones, so the limits depend on the length.  They are
 those of the corpus at hand, from its labelled good rows (``fitted``); without labels they are wide ones.
 
-Each row stands alone: one pass, no exchange, after a pass over a bounded sample that sets the limits.  Null and empty texts have no words and fail the
+Each row stands alone: one pass, no exchange of texts, after a pass over all labelled good rows that sets the limits.  Null and empty texts have no words and fail the
 base rule; repeated rows are judged alike; long texts are compressed whole; extra columns are not
 read by ``quality_rules`` and kept by ``passing``; an empty table gives an empty result.
 """
@@ -16,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import discard, written
+
 #: (bytes from which a line holds, least ratio, largest ratio) of whole documents, for a corpus without
 #: labels: wide enough for prose, code, licences and tables in any script.  With labels, ``fitted`` sets them.
 BANDS = (
@@ -30,9 +32,9 @@ EDGES = (0, 256, 384, 512, 640, 768, 1024, 1280, 1536, 2048, 2560, 3072, 4096, 5
 CHUNK = 4096
 #: Band of one chunk and the share of chunks that may lie outside.
 CHUNK_BAND, CHUNK_SHARE = (1.3, 5.0), 0.34
-#: Fitting: at most so many labelled good rows, the share of them each end of a band may cut off, the margins
-#: added below and above, and the rows a line needs for limits of its own.
-SAMPLE, TAIL, MARGINS, LEAST_ROWS = 20_000, 0.003, (0.05, 0.03), 20
+#: Fitting: the share of labelled good rows each end of a band may cut off, the margins added below and above,
+#: the rows a line needs for limits of its own, and the digits of a ratio that are told apart.
+TAIL, MARGINS, LEAST_ROWS, DIGITS = 0.003, (0.05, 0.03), 20, 4
 LEVEL = 3
 SYMBOLS = "#*$%&|<>"
 
@@ -128,17 +130,24 @@ def quality_rules(docs: DataFrame, chunks: bool = False, **settings) -> DataFram
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
 
-def sampled_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id and text of the first ``sample`` doc_ids with quality 1, by hash; that list is broadcast."""
+def good_figures(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``quality_rules`` with chunk ratios of all rows with quality 1.  Figures are joined with labels, so no
+    text crosses the exchange; they are stored, as several sums read them."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    return written(quality_rules(docs, chunks=True).join(good, "doc_id", "left_semi"), "good-figures")
+
+
+def ends(values: DataFrame, by: list[str]) -> list[Row]:
+    """(by.., rows, ends) of ratios x: how many, and their quantiles at ``TAIL`` from either end.  Equal ratios
+    (of ``DIGITS`` digits) are counted first, so a group holds its distinct ratios and not its rows."""
+    counts = values.groupBy(*by, F.round("x", DIGITS).alias("x")).agg(F.count("*").alias("n"))
+    return counts.groupBy(*by).agg(F.sum("n").alias("rows"), F.percentile("x", [TAIL, 1 - TAIL], F.col("n")).alias("ends")).collect()
 
 
-def fitted(docs: DataFrame, labels: DataFrame | None, edges: tuple[int, ...] = EDGES, sample: int = SAMPLE) -> dict:
+def fitted(docs: DataFrame, labels: DataFrame | None, edges: tuple[int, ...] = EDGES) -> dict:
     """Settings of Bands for a corpus: the limits that its own labelled good rows keep.
 
-    Of at most ``sample`` of those that pass the base rule: by length, the quantiles of the ratio at ``TAIL``
+    Of all those that pass the base rule: by length, the quantiles of the ratio at ``TAIL``
     from either end, with ``MARGINS``; ratios grow with length, so no limit is below that of a shorter line, and a
     line with under ``LEAST_ROWS`` rows takes those of the line before (before the first such line, its own
     least and that line's largest).  Likewise one band for chunks.  Without labels, or with no line that has rows
@@ -146,10 +155,12 @@ def fitted(docs: DataFrame, labels: DataFrame | None, edges: tuple[int, ...] = E
     """
     if labels is None:
         return {}
-    rows = quality_rules(sampled_good(docs, labels, sample), chunks=True).where("not base_failed")
+    figures = good_figures(docs, labels)
+    rows = figures.where("not base_failed")
     line = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n_bytes"))) - 1
-    ends = lambda c: F.percentile(c, [TAIL, 1 - TAIL])
-    got = {r["line"]: r for r in rows.groupBy(line.alias("line")).agg(F.count("*").alias("rows"), ends("ratio").alias("ends")).collect() if r["rows"] >= LEAST_ROWS}
+    got = {r["line"]: r for r in ends(rows.select(line.alias("line"), F.col("ratio").alias("x")), ["line"]) if r["rows"] >= LEAST_ROWS}
+    chunks = ends(rows.where("n_chunks > 1").select(F.explode("chunk_ratios").alias("x")), [])
+    discard(figures)
     if not got:
         return {}
     first = min(got)
@@ -159,9 +170,8 @@ def fitted(docs: DataFrame, labels: DataFrame | None, edges: tuple[int, ...] = E
             low, high = max(low, got[i]["ends"][0] - MARGINS[0]), max(high, got[i]["ends"][1] + MARGINS[1])
         out.append((edge, round(low, 3), round(high, 3)))
     settings = {"bands": tuple(out)}
-    chunks = rows.where("n_chunks > 1").select(F.explode("chunk_ratios").alias("x")).agg(F.count("*").alias("rows"), ends("x").alias("ends")).first()
-    if chunks["rows"] >= LEAST_ROWS:
-        settings["chunk_band"] = (round(chunks["ends"][0] - MARGINS[0], 3), round(chunks["ends"][1] + MARGINS[1], 3))
+    if chunks and (chunks[0]["rows"] or 0) >= LEAST_ROWS:
+        settings["chunk_band"] = (round(chunks[0]["ends"][0] - MARGINS[0], 3), round(chunks[0]["ends"][1] + MARGINS[1], 3))
     return settings
 
 

@@ -129,3 +129,17 @@ def test_bands_match_a_plain_version(spark):
         want.append((r["doc_id"] is None, r["doc_id"] or 0, len((r["text"] or "").encode()), *figures, fine and not plain_figures(r["text"])[-1]))
     assert got == sorted(want)
     assert len({w[-1] for w in want}) == 2 and max(w[4] for w in want) > 5
+
+
+def test_bands_are_fitted_to_all_good_rows(spark):
+    """30,000 labelled good rows of one length: every one counts, as the quantiles of all say."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(3).normal(2.0, 0.3, 30_000).round(6)
+    values = spark.createDataFrame([(float(v),) for v in x], "x double")
+    (got,) = quality_bands.ends(values, [])
+    assert got["rows"] == 30_000 and np.allclose(got["ends"], np.percentile(x, [0.3, 99.7]), atol=1e-4)
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a word "), F.col("id").cast("string")).alias("text"))
+    figures = quality_bands.good_figures(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert figures.count() == 30_000 and quality_bands.ends(values.limit(0), []) is not None
