@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,8 @@ def ranged(rows: DataFrame, keys: list[str], order: list[str], partitions: int |
     return own.repartitionByRange(partitions, "__key", *order).sortWithinPartitions("__key", *order)
 
 
-def scanned(rows: DataFrame, step: Callable[[], Callable], adds: str, inputs: list[str]) -> DataFrame:
-    """``rows`` of ``ranged`` with __pid, __i (place in the partition) and the columns ``adds``, stored.
+def scanned(rows: DataFrame, step: Callable[[], Callable], adds: str, inputs: list[str], drops: list[str] | None = None) -> DataFrame:
+    """``rows`` of ``ranged`` with __pid, __i (place in the partition) and the columns ``adds``, but those of ``drops``, stored.
 
     ``step()`` makes a function of (whether a row begins its key in this partition, its ``inputs``) that is
     called row after row and returns the added values.
@@ -64,11 +64,13 @@ def scanned(rows: DataFrame, step: Callable[[], Callable], adds: str, inputs: li
             yield batch
 
     out = rows.mapInArrow(run, schema)
-    return stored(out.withColumn("__pid", F.spark_partition_id()), "scan")
+    return stored(out.withColumn("__pid", F.spark_partition_id()).drop(*drops or []), "scan")
 
 
-def chained_poses(rows: DataFrame, keys: list[str], order: list[str], relative: str = "relative", partitions: int | None = None) -> DataFrame:
-    """Adds pose: the product of the relative poses (null: none) up to each row of a key."""
+def chained_poses(rows: DataFrame, keys: list[str], order: list[str], relative: str | Column = "relative", partitions: int | None = None, begins: str | None = None) -> DataFrame:
+    """Adds pose: the product of the relative poses (null: none) up to each row of a key, and a column ``begins``,
+    if named: whether the row is its key's first.  A Column as ``relative`` is worked out behind the exchange and
+    not kept."""
 
     def step():
         at = np.eye(4)
@@ -77,12 +79,18 @@ def chained_poses(rows: DataFrame, keys: list[str], order: list[str], relative:
             nonlocal at
             at = np.eye(4) if begins else at
             at = at if m is None else at @ np.reshape(m, (4, 4))
-            return (at.ravel().tolist(),)
+            return at.ravel().tolist(), int(begins)
 
         return call
 
-    local = scanned(ranged(rows, keys, order, partitions), step, "pose array<double>", [relative])
-    totals = local.groupBy("__key", "__pid").agg(F.max_by("pose", "__i").alias("pose"))
+    own = ranged(rows, keys, order, partitions)
+    if isinstance(relative, Column):
+        local = scanned(own.withColumn("__relative", relative), step, "pose array<double>, __begins long", ["__relative"], ["__relative"])
+    else:
+        local = scanned(own, step, "pose array<double>, __begins long", [relative])
+    ends = local.groupBy("__key", "__pid").agg(F.max("__i").alias("__i"))
+    some = ends.withColumn("__n", F.count("*").over(Window.partitionBy("__key"))).where("__n > 1").drop("__n")  # two a partition at most
+    totals = local.join(F.broadcast(some), ["__key", "__pid", "__i"]).select("__key", "__pid", "pose")
 
     def carries(pdf: pd.DataFrame) -> pd.DataFrame:
         at, out = np.eye(4), []
@@ -91,11 +99,13 @@ def chained_poses(rows: DataFrame, keys: list[str], order: list[str], relative:
             at = at @ np.reshape(m, (4, 4))
         return pd.DataFrame(out[1:], columns=["__key", "__pid", "__carry"])
 
-    some = totals.withColumn("__n", F.count("*").over(Window.partitionBy("__key"))).where("__n > 1").drop("__n")
-    carry = some.groupBy("__key").applyInPandas(carries, "__key string, __pid int, __carry array<double>")
+    carry = totals.groupBy("__key").applyInPandas(carries, "__key string, __pid int, __carry array<double>")
     out = local.join(F.broadcast(carry), ["__key", "__pid"], "left")
     pose = F.when(F.col("__carry").isNotNull(), P.product("__carry", "pose")).otherwise(F.col("pose"))
-    return out.withColumn("pose", pose).select(*rows.columns, "pose")
+    out = out.withColumn("pose", pose)
+    if begins:
+        out = out.withColumn(begins, (F.col("__begins") == 1) & F.col("__carry").isNull())
+    return out.select(*rows.columns, "pose", *([begins] if begins else []))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "n", partitions: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import geometry, pose
 from pointloom.operators import maps, scans, windows
-from pointloom.plans import batches, elimination, planes, sessions, sparse
+from pointloom.plans import batches, elimination, planes, sessions, sparse, trackwise
 from pointloom.plans.catalog import E_SQL, P_SQL, events, points, rounded
 from pointloom.plans.registry import query
 from pointloom.sources.store import stored
@@ -130,21 +130,17 @@ def closed_tracks(spark, sf_dir):
     """A pose graph: each user's track has drifted, its steps and the loop from its first to its last event
     are known, its start is held; all tracks come back to where their steps put them."""
     zero, v = F.lit(0.0), F.coalesce(F.col("value"), F.lit(0.0))
-    e = scans.numbered(events(spark, sf_dir), ["user_id", "us", "event_id"])
-    e = e.withColumn("relative", pose.from_tait_bryan(v / 100, F.col("user_id") / 1000, zero, zero, zero, v / 50))
-    own = Window.partitionBy("user_id")
-    t = windows.chained_poses(e, ["user_id"], ["us", "event_id"]).select("n", "user_id", "event_id", "relative", "pose")
-    t = stored(t.withColumn("first", F.min("n").over(own)).withColumn("last", F.max("n").over(own)), "tracks")
+    relative = pose.from_tait_bryan(v / 100, F.col("user_id") / 1000, zero, zero, zero, v / 50)
+    e = scans.numbered(events(spark, sf_dir).drop("event_type"), ["user_id", "us", "event_id"])
+    t = windows.chained_poses(e, ["user_id"], ["us", "event_id"], relative, begins="begins")
     off = pose.from_tait_bryan(F.sin("n") / 20, F.cos("n") / 20, zero, zero, zero, F.sin(F.col("n") * 2) / 50)
-    drifted = t.select(F.col("n").alias("id"), F.when(F.col("n") == F.col("first"), F.col("pose")).otherwise(pose.product("pose", off)).alias("pose"))
-    ways = t.where("n > first").select((F.col("n") - 1).alias("a"), F.col("n").alias("b"), F.col("relative").alias("measured"), F.lit(1.0).alias("weight"))
-    ends = t.where("n = first AND last > first + 1").select(F.col("n").alias("a"), F.col("last").alias("b"), F.col("pose").alias("start"))
-    loops = ends.join(t.select(F.col("n").alias("b"), "pose"), "b").select("a", "b", pose.product(pose.inverse("start"), "pose").alias("measured"), F.lit(5.0).alias("weight"))
-    held = t.where("n = first").select(F.col("n").alias("row"), F.col("n").alias("col"), F.array(*[F.lit(1e6 if i % 7 == 0 else 0.0) for i in range(36)]).alias("value"))
-    none = spark.createDataFrame([], "id long, x double, y double, z double, weight double")
-    edges = stored(ways.unionByName(loops), "edges")
-    out = sparse.consistent(drifted, edges, places=none, more=lambda poses: held, rounds=8, tolerance=1e-6, solve=elimination.solution)
-    return out.join(t.select(F.col("n").alias("id"), "event_id"), "id").select("event_id", F.round(F.col("pose")[3], 4).alias("x"), F.round(F.col("pose")[7], 4).alias("y"))
+    drifted = t.select(F.col("user_id").alias("track"), F.col("n").alias("id"), F.when(F.col("begins"), F.col("pose")).otherwise(pose.product("pose", off)).alias("pose"), "event_id")
+    ways = t.where("NOT begins").select(F.col("user_id").alias("track"), (F.col("n") - 1).alias("a"), F.col("n").alias("b"), relative.alias("measured"), F.lit(1.0).alias("weight"))
+    at = lambda f: F.array(*[f(F.col("pose")[i], "n") for i in range(16)])  # noqa: E731  number by number: whole lists would have all rows sorted
+    ends = t.groupBy(F.col("user_id").alias("track")).agg(F.min("n").alias("a"), F.max("n").alias("b"), at(F.min_by).alias("start"), at(F.max_by).alias("end"))
+    loops = ends.where("b > a + 1").select("track", "a", "b", pose.product(pose.inverse("start"), "end").alias("measured"), F.lit(5.0).alias("weight"))
+    out = trackwise.consistent(drifted, ways.unionByName(loops), hold=1e6, rounds=8, tolerance=1e-6)
+    return out.select("event_id", F.round(F.col("pose")[3], 4).alias("x"), F.round(F.col("pose")[7], 4).alias("y"))
 
 
 PLANE_SQL = "m AS (SELECT id % 7 AS a, 7 + id % 5 AS b, x, y, z, x - z AS dx, y - x AS dy, z - y AS dz FROM p), r AS (SELECT *, 0.6 * dy + 0.8 * dz AS r FROM m), j AS (SELECT *, 1 / (1 + 4 * r * r) * 4 AS w, [0, 0.6, 0.8, y * 0.8 - z * 0.6, -x * 0.8, x * 0.6] AS j FROM r)"

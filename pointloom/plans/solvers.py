@@ -21,6 +21,13 @@ def skew(v: np.ndarray) -> np.ndarray:
     return np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
 
 
+def crosses(v: np.ndarray) -> np.ndarray:
+    """``skew`` of many."""
+    x, y, z = v.T
+    o = np.zeros(len(v))
+    return np.stack([o, -z, y, z, o, -x, -y, x, o], axis=1).reshape(-1, 3, 3)
+
+
 def exp_pose(d: np.ndarray) -> np.ndarray:
     """The pose of a small motion (translation, rotation vector)."""
     angle = float(np.linalg.norm(d[3:]))
@@ -35,8 +42,7 @@ def exp_poses(d: np.ndarray) -> np.ndarray:
     """``exp_pose`` of many."""
     angle = np.linalg.norm(d[:, 3:], axis=1)
     x, y, z = np.where(angle > 1e-12, d[:, 3:].T / np.where(angle > 1e-12, angle, 1), 0.0)
-    o = np.zeros(len(d))
-    k = np.stack([o, -z, y, z, o, -x, -y, x, o], axis=1).reshape(-1, 3, 3)
+    k = crosses(np.stack([x, y, z], axis=1))
     out = np.tile(np.eye(4), (len(d), 1, 1))
     out[:, :3, :3] += np.sin(angle)[:, None, None] * k + (1 - np.cos(angle))[:, None, None] * (k @ k)
     out[:, :3, 3] = d[:, :3]

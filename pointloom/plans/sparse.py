@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import pose as P
 from pointloom.functions.geometry import cell, transform
 from pointloom.operators.maps import PAIRS
-from pointloom.plans.solvers import exp_pose, exp_poses, log_poses
+from pointloom.plans.solvers import crosses, exp_poses, log_poses
 from pointloom.sources.store import dropped, stored
 
 BLOCK = "row long, col long, value array<double>"
@@ -210,22 +210,35 @@ def solved(terms: DataFrame, d: int, size: int = 64, steps: int = 200, tolerance
 # ---- poses ---------------------------------------------------------------------------------------
 
 
+def edge_system(a: np.ndarray, b: np.ndarray, measured: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Jacobians (n, 6, 6) by either pose's own motion, the six residuals of relative poses, and their Cauchy weights."""
+    back = np.linalg.inv(measured)
+    d = np.linalg.inv(a) @ b
+    e = back @ d
+    r = log_poses(e)
+    turn = r[:, 3:]
+    square = (turn * turn).sum(axis=1)
+    small = square < 1e-8
+    t = np.sqrt(np.where(small, 1.0, square))
+    c = np.where(small, 1 / 12 + square / 720, (1 - t * np.sin(t) / (2 - 2 * np.cos(t))) / (t * t))
+    k = crosses(turn)
+    right = np.eye(3) + k / 2 + c[:, None, None] * (k @ k)
+    turned = back[:, :3, :3]
+    ja, jb = np.zeros((2, len(r), 6, 6))
+    jb[:, :3, :3], jb[:, 3:, 3:] = e[:, :3, :3], right
+    ja[:, :3, :3], ja[:, :3, 3:], ja[:, 3:, 3:] = -turned, turned @ crosses(d[:, :3, 3]), -right.transpose(0, 2, 1) @ turned
+    return ja, jb, r, weight[:, None] / (1 + r * r)
+
+
 def edge_terms(poses: DataFrame, edges: DataFrame) -> DataFrame:
     """Terms of relative poses (a, b, measured, weight) at the poses (id, pose), with Cauchy weights:
     six residuals, in each pose's own axes."""
-    moves = [exp_pose(1e-6 * np.eye(6)[k]) for k in range(6)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, z = (matrix_of(batch.column(i), 4, 4) for i in (2, 3, 4))
-            back = np.linalg.inv(z)
-            error = lambda a, b: log_poses(back @ np.linalg.inv(a) @ b)  # noqa: B023, E731
-            r = error(a, b)
-            ja = np.stack([(error(a @ m, b) - r) / 1e-6 for m in moves], axis=2)
-            jb = np.stack([(error(a, b @ m) - r) / 1e-6 for m in moves], axis=2)
-            w = np.asarray(batch.column(5), float)[:, None] / (1 + r * r)
+            ja, jb, r, w = edge_system(*(matrix_of(batch.column(i), 4, 4) for i in (2, 3, 4)), np.asarray(batch.column(5), float))
             # each component has a weight of its own, which goes into its rows
             root = np.sqrt(w)
             jac = np.stack([ja, jb], axis=1) * root[:, None, :, None]

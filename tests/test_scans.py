@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pointloom.functions import pose
 from pointloom.operators import scans
 from pointloom.plans.solvers import exp_pose
 
@@ -81,3 +83,16 @@ def test_chained_poses(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], track(1)[1])
     assert scans.greedy_segments(df, ["k"], ["t"], ["x"], 1.0).count() == 0
+
+
+def test_chained_poses_of_a_column(spark):
+    """The steps as a column worked out behind the exchange, and each key's first row told however it is cut."""
+    df = spark.createDataFrame([(k, i, 0.01 * i) for k, n in (("a", 300), ("b", 5), (None, 40)) for i in range(n)], "k string, i int, s double")
+    zero = F.lit(0.0)
+    step = pose.from_tait_bryan(F.col("s"), zero, zero, zero, zero, F.col("s"))
+    want = {(r["k"], r["i"]): r["pose"] for r in scans.chained_poses(df.withColumn("relative", step), ["k"], ["i"], partitions=1).collect()}
+    for partitions in (1, 9):
+        out = scans.chained_poses(df, ["k"], ["i"], step, partitions, begins="first")
+        got = out.collect()
+        assert out.columns == ["k", "i", "s", "pose", "first"] and {(r["k"], r["i"]) for r in got} == want.keys()
+        assert all(r["first"] == (r["i"] == 0) and np.allclose(r["pose"], want[r["k"], r["i"]]) for r in got)
