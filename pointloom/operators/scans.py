@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ from pointloom.sources.store import stored
 ROWS = 500_000
 #: Paths are whole numbers of this length, so that sums are exact and a path equal to its reach is no matter of chance.
 UNIT = 1e-9
+START = np.eye(4)
 
 
 def ranged(rows: DataFrame, keys: list[str], order: list[str], partitions: int | None = None, each: int = ROWS) -> DataFrame:
@@ -37,11 +39,12 @@ def ranged(rows: DataFrame, keys: list[str], order: list[str], partitions: int |
     return own.repartitionByRange(partitions, "__key", *order).sortWithinPartitions("__key", *order)
 
 
-def scanned(rows: DataFrame, step: Callable[[], Callable], adds: str, inputs: list[str], drops: list[str] | None = None) -> DataFrame:
+def scanned(rows: DataFrame, step: Callable[[], Callable], adds: str, inputs: list[str], drops: list[str] | None = None, whole: bool = False) -> DataFrame:
     """``rows`` of ``ranged`` with __pid, __i (place in the partition) and the columns ``adds``, but those of ``drops``, stored.
 
     ``step()`` makes a function of (whether a row begins its key in this partition, its ``inputs``) that is
-    called row after row and returns the added values.
+    called row after row and returns the added values; with ``whole``, batch after batch, of an array and Arrow
+    columns, and returns the columns.
     """
     schema = T.StructType(list(rows.schema)).add("__i", "long")
     types = T._parse_datatype_string(adds) if adds else T.StructType([])
@@ -52,15 +55,22 @@ def scanned(rows: DataFrame, step: Callable[[], Callable], adds: str, inputs: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call, before, i = step(), None, 0
         for batch in batches:
-            col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
-            out = []
-            for key, *values in zip(col("__key"), *map(col, inputs)):
-                out.append(call(key != before, *values))
-                before = key
-            batch = batch.append_column("__i", pa.array(range(i, i + len(out)), pa.int64()))
-            i += len(out)
-            for f, values in zip(types, list(zip(*out)) or [[]] * len(types)):
-                batch = batch.append_column(f.name, pa.array(values, kinds[f.dataType]))
+            n = batch.num_rows
+            if not n:
+                continue
+            col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            key = col("__key")
+            begins = np.append(key[0].as_py() != before, np.asarray(pc.not_equal(key.slice(1), key.slice(0, n - 1))))
+            before = key[n - 1].as_py()
+            if whole:
+                columns = call(begins, *map(col, inputs))
+            else:
+                out = [call(*values) for values in zip(begins.tolist(), *(col(c).to_pylist() for c in inputs))]
+                columns = [pa.array(values, kinds[f.dataType]) for f, values in zip(types, zip(*out))]
+            batch = batch.append_column("__i", pa.array(np.arange(i, i + n)))
+            i += n
+            for f, values in zip(types, columns):
+                batch = batch.append_column(f.name, values)
             yield batch
 
     out = rows.mapInArrow(run, schema)
@@ -77,17 +87,22 @@ def chained_poses(rows: DataFrame, keys: list[str], order: list[str], relative:
 
         def call(begins, m):
             nonlocal at
-            at = np.eye(4) if begins else at
-            at = at if m is None else at @ np.reshape(m, (4, 4))
-            return at.ravel().tolist(), int(begins)
+            steps = np.tile(np.eye(4), (len(m), 1, 1))
+            steps[np.asarray(m.is_valid())] = np.asarray(m.flatten(), float).reshape(-1, 4, 4)
+            out = np.empty_like(steps)
+            for i, first in enumerate(begins.tolist()):
+                at = np.matmul(START if first else at, steps[i], out=out[i])
+            at = at.copy()  # of its batch
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * 16, pa.int32()), pa.array(out.ravel()))
+            return lists, pa.array(begins.astype(np.int64))
 
         return call
 
     own = ranged(rows, keys, order, partitions)
     if isinstance(relative, Column):
-        local = scanned(own.withColumn("__relative", relative), step, "pose array<double>, __begins long", ["__relative"], ["__relative"])
+        local = scanned(own.withColumn("__relative", relative), step, "pose array<double>, __begins long", ["__relative"], ["__relative"], whole=True)
     else:
-        local = scanned(own, step, "pose array<double>, __begins long", [relative])
+        local = scanned(own, step, "pose array<double>, __begins long", [relative], whole=True)
     ends = local.groupBy("__key", "__pid").agg(F.max("__i").alias("__i"))
     some = ends.withColumn("__n", F.count("*").over(Window.partitionBy("__key"))).where("__n > 1").drop("__n")  # two a partition at most
     totals = local.join(F.broadcast(some), ["__key", "__pid", "__i"]).select("__key", "__pid", "pose")
@@ -111,7 +126,7 @@ def chained_poses(rows: DataFrame, keys: list[str], order: list[str], relative:
 def numbered(rows: DataFrame, order: list[str], name: str = "n", partitions: int | None = None) -> DataFrame:
     """Adds the place of each row in the order of all, from 0: partitions count their own, and add what lies
     before them."""
-    local = scanned(ranged(rows, [], order, partitions), lambda: lambda begins: (), "", [])
+    local = scanned(ranged(rows, [], order, partitions), lambda: lambda begins: (), "", [], whole=True)
     counts = local.groupBy("__pid").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__pid", before.alias("__before"))  # a row a partition
