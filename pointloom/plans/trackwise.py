@@ -137,8 +137,14 @@ def _group(names: list[str], hold: float, rounds: int, tolerance: float) -> Call
         held = np.zeros(len(ids))
         held[np.unique(track, return_index=True)[1]] = hold
         measured, weight = sparse.matrix_of(links["measured"].combine_chunks(), 4, 4), links["weight"].to_numpy().astype(float)
-        pose = np.empty((len(ids), 4, 4))
-        pose[order] = settled(sparse.matrix_of(rows["pose"].combine_chunks(), 4, 4)[order], a[here], b[here], measured[here], weight[here], held, rounds, tolerance)
+        at = sparse.matrix_of(rows["pose"].combine_chunks(), 4, 4)[order]
+        sizes = np.bincount(track, minlength=code.max() + 1)
+        batch = (np.cumsum(sizes) - sizes) // GROUP  # of whole tracks: long ones that meet in a group go one after another
+        for k in np.unique(batch[track]):
+            own, e = np.flatnonzero(batch[track] == k), np.flatnonzero(here & (batch[of] == k))
+            at[own] = settled(at[own], np.searchsorted(own, a[e]), np.searchsorted(own, b[e]), measured[e], weight[e], held[own], rounds, tolerance)
+        pose = np.empty_like(at)
+        pose[order] = at
         return rows.set_column(names.index("pose"), "pose", sparse.list_column(pose))
 
     return run

@@ -1,6 +1,7 @@
 """Separate tracks solved each in one task against dense systems, and against the solver that crosses the cluster."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
@@ -90,6 +91,20 @@ def test_tracks_that_miss_numbers_leave_others_as_they_are(spark):
     assert all(np.allclose(np.reshape(r["pose"], (4, 4)), true[r["id"]], atol=1e-6) for r in got) and len(got) == 14
 
 
+def test_long_tracks_of_a_group_go_one_after_another(spark, monkeypatch):
+    """Tracks dealt to one group by chance: a system holds those that begin within GROUP poses, however many meet."""
+    sizes, settled = [], trackwise.settled
+    monkeypatch.setattr(trackwise, "settled", lambda pose, *rest: sizes.append(len(pose)) or settled(pose, *rest))
+    true, drift, own = chain(np.random.default_rng(5), 3000, 0.0)
+    n = 5
+    rows = pa.table({"track": np.tile(np.arange(n), 3000), "id": np.arange(3000).repeat(n) * n + np.tile(np.arange(n), 3000), "pose": list(drift.reshape(-1, 16).repeat(n, axis=0))})
+    links = [(t, i * n + t, j * n + t, z.ravel(), w) for t in range(n) for i, j, z, w in own]
+    links = pa.table(dict(zip(("track", "a", "b", "measured", "weight"), map(list, zip(*links)))))
+    got = trackwise._group(rows.column_names, 1e12, 4, 1e-8)(rows, links)
+    assert np.allclose(sparse.matrix_of(got["pose"].combine_chunks(), 4, 4), true.repeat(n, axis=0), atol=1e-6)
+    assert sum(sizes) == n * 3000 and max(sizes) == 6000
+
+
 def test_closed_tracks_write_no_system(spark, monkeypatch):
     """Users' tracks are solved where they lie: no system crosses the cluster, and what exchanges write is some
     bytes an event (some 7,000 before)."""
